@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from crawlscope.functions.sql import F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

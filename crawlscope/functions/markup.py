@@ -8,7 +8,8 @@ few relevant tags of the page.
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from crawlscope.functions.sql import F
 
 from crawlscope.functions.expr import let
 from crawlscope.functions.text import decode_entities, inner_text, norm
@@ -63,7 +64,7 @@ def parse_tag(tag: Column) -> Column:
     """Struct(keys, vals) of a tag; the first of a repeated attribute wins on lookup."""
     rest = F.regexp_replace(tag, r"^</?[a-zA-Z][^\s/>]*|/?>$", "")
     return F.struct(
-        F.transform(F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(1)), F.lower).alias("keys"),
+        F.transform(F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(1)), lambda x: F.lower(x)).alias("keys"),
         F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(2)).alias("vals"),
     )
 
@@ -162,7 +163,7 @@ def heading_text(piece: Column) -> Column:
 def link_header(value: Column) -> Column:
     """array<struct(url, rel, hreflang)> of an HTTP Link header; repeated headers are separate lines."""
     parts = F.split(F.coalesce(value, F.lit("")), r"\n|,(?=\s*<)")
-    targets = F.filter(F.transform(parts, F.trim), lambda p: p.rlike(r"<[^>]*>"))
+    targets = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda p: p.rlike(r"<[^>]*>"))
 
     def param(p: Column, name: str) -> Column:
         return F.regexp_extract(F.regexp_extract(p, r"(?s)<[^>]*>\s*(.*)$", 1), rf'(?i)(?:^|;)\s*{name}\s*=\s*"?([^";]*)"?\s*(?:;|$)', 1)

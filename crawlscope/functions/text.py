@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from crawlscope.functions.sql import F
 
 # Characters that count as blanks besides ASCII whitespace.
 BLANKS = "[ ​‌‍﻿]"

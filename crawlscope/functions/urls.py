@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from crawlscope.functions.sql import F
 
 from crawlscope.functions.expr import choose, in_words, let
 
@@ -219,9 +220,14 @@ def apex_www_pair(host: Column, registrable: Column) -> Column:
 # ---------------------------------------------------------------------------------------------------------
 def exclusion_reason(u: Column) -> Column:
     """Why a URL is left out of automatic selection: CODE or CODE:detail; NULL when it is kept."""
-    extension = F.lower(F.regexp_extract(path_of(u), r"\.([A-Za-z0-9]+)$", 1))
-    utility = F.filter(segments(u), lambda s: in_words(F.lower(s), UTILITY_SEGMENTS))
-    legal = F.filter(segments(u), lambda s: in_words(F.lower(s), LEGAL_SEGMENTS))
+
+    def by_path(p: Column) -> Column:
+        extension = F.lower(F.regexp_extract(p, r"\.([A-Za-z0-9]+)$", 1))
+        segs = F.filter(F.split(p, "/"), lambda s: s != "")
+        first = lambda xs, words: F.get(F.filter(xs, lambda s: in_words(F.lower(s), words)), F.lit(0))
+        return F.when(in_words(extension, NON_HTML_EXTENSIONS), F.lit("NON_HTML")).otherwise(
+            let(segs, lambda xs: F.coalesce(F.concat(F.lit("UTILITY:"), first(xs, UTILITY_SEGMENTS)), F.concat(F.lit("LEGAL:"), first(xs, LEGAL_SEGMENTS))))
+        )
 
     def by_keys(keys: Column) -> Column:
         facets = F.filter(keys, lambda k: in_words(F.lower(k), FACET_KEYS) | F.lower(k).rlike(FACET_PREFIX))
@@ -230,12 +236,7 @@ def exclusion_reason(u: Column) -> Column:
             ((F.size(facets) >= 1) & (F.size(facets) == F.size(keys)), F.concat(F.lit("FACET:"), F.array_join(facets, "&"))),
         )
 
-    return F.coalesce(
-        F.when(in_words(extension, NON_HTML_EXTENSIONS), F.lit("NON_HTML")),
-        F.when(F.size(utility) > 0, F.concat(F.lit("UTILITY:"), F.get(utility, F.lit(0)))),
-        F.when(F.size(legal) > 0, F.concat(F.lit("LEGAL:"), F.get(legal, F.lit(0)))),
-        let(query_keys(u), by_keys),
-    )
+    return F.coalesce(let(path_of(u), by_path), let(query_keys(u), by_keys))
 
 
 def page_type(u: Column, link_text: Column | None = None) -> Column:
@@ -300,27 +301,33 @@ def split_extension(seg: Column) -> Column:
 def admission_reason(raw: Column) -> Column:
     """Why a submitted seed is refused; NULL when it may be audited."""
     s = F.trim(F.coalesce(raw, F.lit("")))
-    has_scheme = s.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:") & ~s.rlike(r"^[^/:]+:\d+(/|$)")
-    full = F.when(has_scheme, s).otherwise(F.concat(F.lit("https://"), s))
-    host = F.regexp_replace(host_of(full), r"^\[|\]$", "")
-    ipv4 = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    octet = [F.try_element_at(F.split(host, r"\."), F.lit(i)).try_cast("int") for i in (1, 2, 3)]
-    a, b, c = octet
-    # IPv4 ranges that are not globally routable unicast.
-    special_v4 = (
-        (a == 0) | (a == 10) | (a == 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254))
-        | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2))
-        | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113)) | ((a == 192) & (b == 88) & (c == 99))
-    )
-    # IPv6 prefixes that are not globally routable unicast.
-    special_v6 = host.rlike(r"^(::1?$|::ffff:|f[cd][0-9a-f]{2}:|fe[89a-f][0-9a-f]:|ff[0-9a-f]{2}:|64:ff9b:|2001:0?:|2001:db8:|2002:)")
-    local_name = (host == "localhost") | host.rlike(r"\.(localhost|local|internal|lan|home|corp)$")
-    return choose(
-        (s == "", "EMPTY"),
-        (s.rlike(r"\s"), "SPACES"),
-        (has_scheme & ~s.rlike(r"(?i)^https?:"), "SCHEME"),
-        (host_of(full).isNull(), "INVALID"),
-        (url_parts(full)["userinfo"] != "", "CREDENTIALS"),
-        (~host.contains(".") & ~host.contains(":"), "HOSTNAME"),
-        (F.when(ipv4, F.coalesce(special_v4, F.lit(True))).when(host.contains(":"), special_v6).otherwise(local_name), "NOT_PUBLIC"),
-    )
+
+    def schemed(p: Column) -> Column:
+        has_scheme = p.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:") & ~p.rlike(r"^[^/:]+:\d+(/|$)")
+        parts = url_parts(F.when(has_scheme, p).otherwise(F.concat(F.lit("https://"), p)))
+        return let(F.struct(p.alias("s"), has_scheme.alias("has_scheme"), parts["host"].alias("raw_host"), parts["userinfo"].alias("userinfo"), F.regexp_replace(parts["host"], r"^\[|\]$", "").alias("host")), judge)
+
+    def judge(p: Column) -> Column:
+        host = p["host"]
+        a, b, c = [F.try_element_at(F.split(host, r"\."), F.lit(i)).try_cast("int") for i in (1, 2, 3)]
+        # IPv4 ranges that are not globally routable unicast.
+        special_v4 = (
+            (a == 0) | (a == 10) | (a == 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254))
+            | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2))
+            | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113)) | ((a == 192) & (b == 88) & (c == 99))
+        )
+        # IPv6 prefixes that are not globally routable unicast.
+        special_v6 = host.rlike(r"^(::1?$|::ffff:|f[cd][0-9a-f]{2}:|fe[89a-f][0-9a-f]:|ff[0-9a-f]{2}:|64:ff9b:|2001:0?:|2001:db8:|2002:)")
+        local_name = (host == "localhost") | host.rlike(r"\.(localhost|local|internal|lan|home|corp)$")
+        ipv4 = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+        return choose(
+            (p["s"] == "", "EMPTY"),
+            (p["s"].rlike(r"\s"), "SPACES"),
+            (p["has_scheme"] & ~p["s"].rlike(r"(?i)^https?:"), "SCHEME"),
+            (p["raw_host"].isNull(), "INVALID"),
+            (p["userinfo"] != "", "CREDENTIALS"),
+            (~host.contains(".") & ~host.contains(":"), "HOSTNAME"),
+            (F.when(ipv4, F.coalesce(special_v4, F.lit(True))).when(host.contains(":"), special_v6).otherwise(local_name), "NOT_PUBLIC"),
+        )
+
+    return let(s, schemed)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from crawlscope.functions.sql import F
 
 from crawlscope.functions.expr import let
 
@@ -29,7 +30,7 @@ def applicable_contents(meta_robots: Column, x_robots: Column) -> Column:
 
 def effective(meta_robots: Column, x_robots: Column) -> Column:
     """Struct(noindex, nofollow, nosnippet, max_snippet)."""
-    tokens = F.flatten(F.transform(applicable_contents(meta_robots, x_robots), lambda c: F.transform(F.split(F.lower(c), ","), F.trim)))
+    tokens = F.flatten(F.transform(applicable_contents(meta_robots, x_robots), lambda c: F.transform(F.split(F.lower(c), ","), lambda x: F.trim(x))))
 
     def build(t: Column) -> Column:
         limits = F.filter(F.transform(F.filter(t, lambda x: x.startswith("max-snippet:")), lambda x: F.trim(F.split_part(x, F.lit(":"), F.lit(2))).try_cast("int")), lambda n: n.isNotNull())

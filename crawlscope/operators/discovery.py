@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+
+from crawlscope.functions.sql import F
 
 from crawlscope import registry
 from crawlscope.functions.expr import choose, let

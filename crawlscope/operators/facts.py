@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+
+from crawlscope.functions.sql import F
 
 from crawlscope.functions import markup as M
 from crawlscope.functions.expr import choose, let
@@ -171,89 +172,100 @@ def _marked_texts(markup: Column, attribute_pattern: str) -> Column:
 BYLINE = r"""(?:\srel\s*=\s*["']?(?:[^"'>]*\s)?author\b|\sitemprop\s*=\s*["']?author["'\s>]|\sclass\s*=\s*["'](?:[^"']*\s)?(?:author|byline)(?:\s[^"']*)?["']|\sclass\s*=\s*["'][^"']*author-name)"""
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", headers: str | None = None, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """All natively readable facts of a page. `headers` is a MAP column with lower-case names."""
+# Helper columns each fact is read from.
+NEEDS = {
+    "titles": ("_titles",), "title": ("_titles",), "meta_description": ("_metas",), "headings": ("_headings",), "h1": ("_headings",),
+    "canonical_head": ("_head_links",), "canonical_body": ("_head_links", "_all_canonicals"), "canonical_http": ("_link_header",), "meta_robots": ("_metas",),
+    "viewport": ("_metas",), "links": ("_contexts", "_base", "_host"), "hreflang": ("_links", "_link_header", "_base"), "generator": ("_metas",),
+    "author_signals": ("_metas", "_json"), "date_signals": ("_metas", "_json"), "json_ld": ("_json",),
+    "_headings": ("_contexts",), "_head_links": ("_head",), "_all_canonicals": ("_links",),
+}
+
+
+def extract(
+    pages: DataFrame, html: str = "html", url: str = "url", headers: str | None = None, keep: tuple[str, ...] = ("page_id",), only: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """All natively readable facts of a page, or those named in `only`.
+
+    `headers` is a MAP column with lower-case names.
+    """
     header = (lambda name: F.element_at(F.col(headers), name)) if headers else (lambda name: F.lit(None).cast("string"))
     src = read_source(pages.select(*dict.fromkeys([*keep, url, html, *([headers] if headers else [])])), html)
     own_url = [] if "url" in keep else [F.col(url).alias("url")]
     tags, markup = F.col("_tags"), F.col("_markup")
-    base_raw, base = base_url(tags, F.col(url))
-    src = src.withColumns({
-        "_metas": metas(tags),
-        "_links": link_tags(tags),
-        "_head": M.head_of(markup),
-        "_contexts": M.contexts_of(tags),
-        "base_href": base_raw,
-        "_base": base,
-        "_host": host_of(F.col(url)),
-        "_titles": M.titles_of(markup),
-        "_link_header": M.link_header(header("link")),
-        "_json": json_ld(F.col("_plain")),
-    })
-    src = src.withColumns({
-        "_head_links": F.transform(F.filter(link_tags(M.tags_of(F.col("_head"))), lambda x: M.word_in(x["rel"], "canonical")), lambda x: x["href"]),
-        "_all_canonicals": F.transform(F.filter(F.col("_links"), lambda x: M.word_in(x["rel"], "canonical")), lambda x: x["href"]),
-        "_headings": headings(markup, F.col("_contexts")),
-        "links": anchors(markup, F.col("_contexts"), F.col("_base"), F.col("_host")),
-    })
+    stages = [
+        {
+            "_metas": lambda: metas(tags), "_links": lambda: link_tags(tags), "_head": lambda: M.head_of(markup), "_contexts": lambda: M.contexts_of(tags),
+            "_base": lambda: base_url(tags, F.col(url))[1], "_host": lambda: host_of(F.col(url)), "_titles": lambda: M.titles_of(markup),
+            "_link_header": lambda: M.link_header(header("link")), "_json": lambda: json_ld(F.col("_plain")),
+        },
+        {
+            "_head_links": lambda: F.transform(F.filter(link_tags(M.tags_of(F.col("_head"))), lambda x: M.word_in(x["rel"], "canonical")), lambda x: x["href"]),
+            "_all_canonicals": lambda: F.transform(F.filter(F.col("_links"), lambda x: M.word_in(x["rel"], "canonical")), lambda x: x["href"]),
+            "_headings": lambda: headings(markup, F.col("_contexts")),
+        },
+    ]
     by_name = lambda name: F.transform(F.filter(F.col("_metas"), lambda m: m["name"] == name), lambda m: m["content"])
     by_property = lambda p: F.get(F.filter(F.transform(F.filter(F.col("_metas"), lambda m: m["property"] == p), lambda m: m["content"]), lambda v: v != ""), F.lit(0))
-    ld = F.transform(F.col("_json"), lambda j: F.try_parse_json(j["raw"]))
-    ld_value = lambda path: F.filter(F.transform(ld, lambda v: F.try_variant_get(v, path, "string")), lambda v: v.isNotNull())
-    descriptions = F.transform(by_name("description"), norm)
-    content_area = F.array_join(F.regexp_extract_all(markup, F.lit(r"(?is)<main[\s>].*?</main\s*>|<article[\s>].*?</article\s*>"), F.lit(0)), "")
+    ld_value = lambda path: F.filter(F.transform(F.transform(F.col("_json"), lambda j: F.try_parse_json(j["raw"])), lambda v: F.try_variant_get(v, path, "string")), lambda v: v.isNotNull())
     count_tags = lambda source, names: F.size(F.regexp_extract_all(source, F.lit(rf"(?i)<(?:{names})[\s>/]"), F.lit(0)))
-    return src.select(
-        *keep,
-        *own_url,
-        F.col("_titles").alias("titles"),
-        first_non_empty(F.col("_titles")).alias("title"),
-        first_non_empty(descriptions).alias("meta_description"),
-        F.slice(F.col("_headings"), 1, MAX_HEADINGS).alias("headings"),
-        F.transform(F.filter(F.col("_headings"), lambda h: h["level"] == 1), lambda h: h["text"]).alias("h1"),
-        F.col("_head_links").alias("canonical_head"),
-        F.slice(F.col("_all_canonicals"), F.size("_head_links") + 1, F.size("_all_canonicals")).alias("canonical_body"),
-        F.transform(F.filter(F.col("_link_header"), lambda x: x["rel"].rlike(r"(?i)\bcanonical\b")), lambda x: x["url"]).alias("canonical_http"),
-        F.transform(
+    content_area = F.array_join(F.regexp_extract_all(markup, F.lit(r"(?is)<main[\s>].*?</main\s*>|<article[\s>].*?</article\s*>"), F.lit(0)), "")
+    facts = {
+        "titles": lambda: F.col("_titles"),
+        "title": lambda: first_non_empty(F.col("_titles")),
+        "meta_description": lambda: first_non_empty(F.transform(by_name("description"), norm)),
+        "headings": lambda: F.slice(F.col("_headings"), 1, MAX_HEADINGS),
+        "h1": lambda: F.transform(F.filter(F.col("_headings"), lambda h: h["level"] == 1), lambda h: h["text"]),
+        "canonical_head": lambda: F.col("_head_links"),
+        "canonical_body": lambda: F.slice(F.col("_all_canonicals"), F.size("_head_links") + 1, F.size("_all_canonicals")),
+        "canonical_http": lambda: F.transform(F.filter(F.col("_link_header"), lambda x: x["rel"].rlike(r"(?i)\bcanonical\b")), lambda x: x["url"]),
+        "meta_robots": lambda: F.transform(
             F.filter(F.col("_metas"), lambda m: (m["name"] == "robots") | m["name"].rlike("bot$|^googlebot-news$")),
             lambda m: F.struct(m["name"].alias("name"), F.lower(norm(m["content"])).alias("content")),
-        ).alias("meta_robots"),
-        F.filter(F.transform(F.split(F.coalesce(header("x-robots-tag"), F.lit("")), "\n"), F.trim), lambda s: s != "").alias("x_robots"),
-        F.get(by_name("viewport"), F.lit(0)).alias("viewport"),
-        F.get(F.transform(M.named(tags, "html"), lambda t: M.attr(M.parse_tag(t), "lang")), F.lit(0)).alias("lang"),
-        "base_href",
-        "links",
-        hreflang(F.col("_links"), F.col("_link_header"), F.col("_base"), F.col(url)).alias("hreflang"),
-        F.size(F.filter(tags, lambda t: t.rlike(r"(?i)\sdata-nosnippet[\s=>/]"))).alias("nosnippet_count"),
-        F.slice(F.transform(_marked_texts(markup, r"\sdata-nosnippet\b"), lambda t: truncate(t, 140)), 1, 3).alias("nosnippet_excerpts"),
-        F.slice(F.transform(M.named(tags, "img"), lambda t: let(M.parse_tag(t), lambda p: F.struct(
-            truncate(F.coalesce(M.attr(p, "src"), M.attr(p, "data-src"), F.lit("")), 200).alias("src"), M.attr(p, "alt").alias("alt")))), 1, MAX_IMAGES).alias("images"),
-        let(count_tags(content_area, "ul|ol"), lambda n: F.when(n > 0, n).otherwise(count_tags(markup, "ul|ol"))).alias("lists"),
-        count_tags(markup, "table").alias("tables"),
-        let(F.array_distinct(F.transform(tags, M.tag_name)), lambda names: F.array_intersect(F.array(*[F.lit(x) for x in ("header", "nav", "main", "footer", "article", "aside")]), names)).alias("landmarks"),
-        (count_tags(markup, "noscript") > 0).alias("noscript"),
-        F.get(by_name("generator"), F.lit(0)).alias("generator"),
-        F.slice(F.array_distinct(F.concat(
+        ),
+        "x_robots": lambda: F.filter(F.transform(F.split(F.coalesce(header("x-robots-tag"), F.lit("")), "\n"), lambda x: F.trim(x)), lambda s: s != ""),
+        "viewport": lambda: F.get(by_name("viewport"), F.lit(0)),
+        "lang": lambda: F.get(F.transform(M.named(tags, "html"), lambda t: M.attr(M.parse_tag(t), "lang")), F.lit(0)),
+        "base_href": lambda: base_url(tags, F.col(url))[0],
+        "links": lambda: anchors(markup, F.col("_contexts"), F.col("_base"), F.col("_host")),
+        "hreflang": lambda: hreflang(F.col("_links"), F.col("_link_header"), F.col("_base"), F.col(url)),
+        "nosnippet_count": lambda: F.size(F.filter(tags, lambda t: t.rlike(r"(?i)\sdata-nosnippet[\s=>/]"))),
+        "nosnippet_excerpts": lambda: F.slice(F.transform(_marked_texts(markup, r"\sdata-nosnippet\b"), lambda t: truncate(t, 140)), 1, 3),
+        "images": lambda: F.slice(F.transform(M.named(tags, "img"), lambda t: let(M.parse_tag(t), lambda p: F.struct(
+            truncate(F.coalesce(M.attr(p, "src"), M.attr(p, "data-src"), F.lit("")), 200).alias("src"), M.attr(p, "alt").alias("alt")))), 1, MAX_IMAGES),
+        "lists": lambda: let(count_tags(content_area, "ul|ol"), lambda n: F.when(n > 0, n).otherwise(count_tags(markup, "ul|ol"))),
+        "tables": lambda: count_tags(markup, "table"),
+        "landmarks": lambda: let(F.array_distinct(F.transform(tags, M.tag_name)), lambda names: F.array_intersect(F.array(*[F.lit(x) for x in ("header", "nav", "main", "footer", "article", "aside")]), names)),
+        "noscript": lambda: count_tags(markup, "noscript") > 0,
+        "generator": lambda: F.get(by_name("generator"), F.lit(0)),
+        "author_signals": lambda: F.slice(F.array_distinct(F.concat(
             F.transform(F.filter(F.slice(F.transform(by_name("author"), norm), 1, 1), lambda a: a != ""), lambda a: F.concat(F.lit("meta author: "), a)),
             F.transform(F.filter(F.slice(_marked_texts(markup, BYLINE), 1, 3), lambda t: t != ""), lambda t: F.concat(F.lit("byline: "), truncate(t, 80))),
             F.transform(ld_value("$.author.name"), lambda a: F.concat(F.lit("JSON-LD author: "), a)),
             F.transform(ld_value("$.author[0].name"), lambda a: F.concat(F.lit("JSON-LD author: "), a)),
-        )), 1, MAX_AUTHORS).alias("author_signals"),
-        F.slice(F.array_distinct(F.concat(
+        )), 1, MAX_AUTHORS),
+        "date_signals": lambda: F.slice(F.array_distinct(F.concat(
             F.transform(F.slice(F.filter(F.transform(M.named(tags, "time"), lambda t: M.attr(M.parse_tag(t), "datetime")), lambda d: d.isNotNull()), 1, 3), lambda d: F.concat(F.lit("time: "), d)),
             *[F.filter(F.array(F.concat(F.lit(f"{p}: "), by_property(p))), lambda d: d.isNotNull()) for p in ("article:published_time", "article:modified_time")],
             F.transform(ld_value("$.datePublished"), lambda d: F.concat(F.lit("JSON-LD datePublished: "), d)),
             F.transform(ld_value("$.dateModified"), lambda d: F.concat(F.lit("JSON-LD dateModified: "), d)),
-        )), 1, MAX_DATES).alias("date_signals"),
-        F.col("_json").alias("json_ld"),
-        M.visible_text(F.col("_plain")).alias("visible_text"),
-    )
-
-
-def extract_into(df: DataFrame, into: str, html: str, url: str, headers: str | None = None) -> DataFrame:
+        )), 1, MAX_DATES),
+        "json_ld": lambda: F.col("_json"),
+        "visible_text": lambda: M.visible_text(F.col("_plain")),
+    }
+    wanted = list(only) if only else list(facts)
+    needed = {n for f in wanted for n in NEEDS.get(f, ())}
+    needed |= {n for f in needed for n in NEEDS.get(f, ())}
+    for stage in stages:
+        columns = {name: make() for name, make in stage.items() if name in needed}
+        src = src.withColumns(columns) if columns else src
+    return src.select(*keep, *own_url, *[facts[f]().alias(f) for f in wanted])
+
+
+def extract_into(df: DataFrame, into: str, html: str, url: str, headers: str | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
     """`extract`, with the facts packed into one struct column next to all columns of `df`."""
     keep = tuple(df.columns)
-    wide = extract(df, html, url, headers, keep)
+    wide = extract(df, html, url, headers, keep, only)
     facts = [c for c in wide.columns if c not in keep and c != "url"]
     return wide.select(*keep, F.struct(*facts).alias(into))
 

@@ -7,7 +7,8 @@ Aggregations go from (site, check, status) counts upwards, so they combine on th
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+
+from crawlscope.functions.sql import F
 
 from crawlscope import registry
 from crawlscope.functions.expr import choose

@@ -7,7 +7,8 @@ rules are matched inside arrays, so pages x rules is never materialised and noth
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+
+from crawlscope.functions.sql import F
 
 from crawlscope.functions.expr import choose, let
 from crawlscope.functions.urls import origin_of, path_and_query

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from crawlscope.functions.sql import F
 
 from crawlscope import registry
 from crawlscope.functions import urls as U
@@ -83,34 +84,34 @@ def resolved_links(spark, root):
 
 
 # --- extraction on the given pages ------------------------------------------------------------------------------------
-def given_facts(spark, root):
-    return X.extract(read_pages(spark, root))
+def given_facts(spark, root, *only):
+    return X.extract(read_pages(spark, root), only=only)
 
 
 @query
 def page_titles(spark, root):
-    return given_facts(spark, root).select("page_id", "title", F.size("titles").alias("n_titles"))
+    return given_facts(spark, root, "title", "titles").select("page_id", "title", F.size("titles").alias("n_titles"))
 
 
 @query
 def page_h1(spark, root):
-    return given_facts(spark, root).select("page_id", joined(F.col("h1")).alias("h1"), F.size("headings").alias("n_headings"))
+    return given_facts(spark, root, "h1", "headings").select("page_id", joined(F.col("h1")).alias("h1"), F.size("headings").alias("n_headings"))
 
 
 @query
 def page_lang(spark, root):
-    return given_facts(spark, root).select("page_id", "lang", F.coalesce("base_href", F.lit("")).alias("base_href"), "noscript")
+    return given_facts(spark, root, "lang", "base_href", "noscript").select("page_id", "lang", F.coalesce("base_href", F.lit("")).alias("base_href"), "noscript")
 
 
 @query
 def page_links(spark, root):
-    links = X.links_of(given_facts(spark, root))
+    links = X.links_of(given_facts(spark, root, "links"))
     return links.select("page_id", "pos", "href_raw", "url", "text", "zone", "crawlable", "internal", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 @query
 def structure_counts(spark, root):
-    f = given_facts(spark, root)
+    f = given_facts(spark, root, "nosnippet_count", "images", "lists", "tables", "landmarks", "links")
     return f.select("page_id", "nosnippet_count", F.size("images").alias("n_images"), "lists", "tables", joined(F.col("landmarks")).alias("landmarks"), F.size("links").alias("n_links"))
 
 
@@ -119,7 +120,7 @@ def visible_words(spark, root):
     """FN-19 on the given pages."""
     from crawlscope.functions.text import word_count
 
-    f = given_facts(spark, root)
+    f = given_facts(spark, root, "visible_text")
     return f.select("page_id", F.length("visible_text").alias("n_chars"), word_count(F.col("visible_text")).alias("n_words"), F.md5("visible_text").alias("text_md5"))
 
 
@@ -130,15 +131,15 @@ def crawl_states(spark, root):
     return G.with_states(G.with_validity(D.crawl(spark, root)))
 
 
-def crawl_facts(spark, root):
+def crawl_facts(spark, root, *only):
     """RAW facts of the derived crawl."""
-    return X.extract(D.crawl(spark, root), headers="headers", keep=("page_id", "site", "host"))
+    return X.extract(D.crawl(spark, root), headers="headers", keep=("page_id", "site", "host"), only=only)
 
 
-def crawl_pages(spark, root, dom: bool = True):
-    rows = crawl_states(spark, root)
-    rows = X.extract_into(rows, "raw_facts", "html", "url", "headers")
-    return X.extract_into(rows, "dom_facts", "dom", "url") if dom else rows
+def crawl_pages(spark, root, *only):
+    """RAW and RENDERED facts with states; no html behind this point."""
+    rows = X.extract_into(crawl_states(spark, root), "raw_facts", "html", "url", "headers", only)
+    return X.extract_into(rows, "dom_facts", "dom", "url", None, only).drop("html", "dom")
 
 
 __all__ = ["QUERIES", "registry", "L"]
