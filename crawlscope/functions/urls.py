@@ -246,7 +246,7 @@ def page_type(u: Column, link_text: Column | None = None) -> Column:
 
     def classify(segs: Column) -> Column:
         n = F.size(segs)
-        last = F.element_at(segs, -1)
+        last = F.try_element_at(segs, F.lit(-1))
 
         def at(words: list[str]) -> Column:
             return F.array_position(F.transform(segs, lambda s: in_words(s, words)), F.lit(True))

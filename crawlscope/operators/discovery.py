@@ -154,7 +154,7 @@ def signatures(urls: DataFrame, locales: DataFrame | None = None) -> DataFrame:
     shaped = with_locales.withColumn("_segs", let(F.struct(segments(F.col("url")).alias("s"), F.coalesce("locales", none).alias("l")), lambda x: F.transform(x["s"], lambda seg, i: _wildcard(seg, i, x["l"]))))
     shaped = shaped.withColumns({
         "_parent": F.when(F.size("_segs") >= 2, F.concat(origin_of(F.col("url")), F.lit("/"), F.array_join(F.slice("_segs", 1, F.size("_segs") - 1), "/"))),
-        "_leaf": F.element_at("_segs", -1),
+        "_leaf": F.try_element_at(F.col("_segs"), F.lit(-1)),
         "_query": let(F.array_sort(F.array_distinct(query_keys(F.col("url")))), lambda k: F.when(F.size(k) > 0, F.concat(F.lit("?"), F.array_join(k, "&"))).otherwise(F.lit(""))),
     })
     parents = shaped.filter("_parent IS NOT NULL").groupBy("site", "_parent").agg((F.min("_leaf") != F.max("_leaf")).alias("_many"))

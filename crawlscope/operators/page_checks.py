@@ -496,6 +496,12 @@ def prepare(pages: DataFrame) -> DataFrame:
     return canonical_facts(with_directives(out))
 
 
+def prepare_tree(pages: DataFrame) -> DataFrame:
+    """The part of `prepare` that text and markup rules need."""
+    out = with_best(with_defaults(pages))
+    return with_nodes(out.withColumn("best_tree", F.when(F.col("ren_valid"), F.col("dom_tree")).when(F.col("raw_valid"), F.col("raw_tree"))))
+
+
 def evaluate(prepared: DataFrame, checks=ALL, keys: tuple[str, ...] = ("site", "page_id")) -> DataFrame:
     """One row per page and rule."""
     out = with_nodes(prepared) if "nodes" not in prepared.columns else prepared

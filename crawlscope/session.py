@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,8 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     target = f"{path or shared_checkpoint_dir(spark)}/{name}"
     df.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """`materialise` under a fresh name: for intermediate tables that a query reads several times."""
+    return materialise(df, f"{name}-{uuid.uuid4().hex}")

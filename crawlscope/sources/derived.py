@@ -153,3 +153,56 @@ def crawl(spark: SparkSession, root: str) -> DataFrame:
 
 def robots_files(spark: SparkSession, root: str) -> DataFrame:
     return derived(spark, root, ROBOTS_SQL)
+
+
+PROBES_SQL = """
+SELECT site, 'origin' AS kind, 'https://' || host || '/' AS url, CASE m % 7 WHEN 3 THEN 'TLS_ERROR' WHEN 5 THEN 'NETWORK_ERROR' ELSE 'OK' END AS acquisition,
+  CASE WHEN m % 7 IN (3, 5) THEN NULL ELSE 200 END AS status, CASE WHEN m % 7 IN (3, 5) THEN NULL WHEN m % 5 = 1 THEN 'http://' || host || '/' ELSE 'https://' || host || '/' END AS final_url,
+  CASE m % 4 WHEN 0 THEN NULL ELSE 'https://' || host || '/' END AS canonical, 'text/html' AS content_type, '' AS body_prefix, '' AS title, '' AS h1, CASE WHEN m % 7 IN (3, 5) THEN NULL ELSE 'VALID_PAGE' END AS validity FROM {H}
+UNION ALL SELECT site, 'origin', 'http://' || host || '/', CASE m % 11 WHEN 4 THEN 'TIMEOUT' ELSE 'OK' END, CASE m % 11 WHEN 4 THEN NULL ELSE 200 END,
+  CASE WHEN m % 11 = 4 THEN NULL WHEN m % 3 = 0 THEN 'https://' || host || '/' ELSE 'http://' || host || '/' END, CASE m % 4 WHEN 1 THEN 'https://' || host || '/' WHEN 2 THEN 'http://' || host || '/' ELSE NULL END,
+  'text/html', '', '', '', CASE m % 11 WHEN 4 THEN NULL WHEN 6 THEN 'ACCESS_CHALLENGE' ELSE 'VALID_PAGE' END FROM {H}
+UNION ALL SELECT site, 'missing', site || '/missing-' || CAST(m AS STRING), CASE m % 6 WHEN 5 THEN 'TIMEOUT' ELSE 'OK' END, CASE m % 6 WHEN 0 THEN 404 WHEN 3 THEN 503 WHEN 4 THEN 410 WHEN 5 THEN NULL ELSE 200 END,
+  NULL, NULL, 'text/html', '', CASE m % 6 WHEN 1 THEN 'Oops' ELSE 'Welcome' END, CASE m % 4 WHEN 1 THEN 'Page not found' ELSE 'Home' END,
+  CASE m % 6 WHEN 0 THEN 'ERROR_DOCUMENT' WHEN 3 THEN 'ERROR_DOCUMENT' WHEN 4 THEN 'ERROR_DOCUMENT' WHEN 5 THEN NULL ELSE 'VALID_PAGE' END FROM {H}
+UNION ALL SELECT site, 'sitemap', site || '/sitemap.xml', 'OK', CASE m % 5 WHEN 1 THEN 404 WHEN 3 THEN 429 WHEN 4 THEN 404 ELSE 200 END, NULL, NULL, CASE m % 5 WHEN 2 THEN 'text/html' ELSE 'application/xml' END, '<?xml', '', '', 'VALID_PAGE' FROM {H}
+UNION ALL SELECT site, 'sitemap', site || '/sitemap_index.xml', 'OK', CASE m % 5 WHEN 4 THEN 200 WHEN 3 THEN 429 ELSE 404 END, NULL, NULL, 'application/xml', '<?xml', '', '', 'VALID_PAGE' FROM {H}
+UNION ALL SELECT site, 'llms', site || '/llms.txt', CASE m % 5 WHEN 4 THEN 'TIMEOUT' ELSE 'OK' END, CASE m % 5 WHEN 1 THEN 404 WHEN 3 THEN 500 WHEN 4 THEN NULL ELSE 200 END, NULL, NULL, CASE m % 5 WHEN 2 THEN 'text/html' ELSE 'text/plain' END, '# Guide', '', '', 'VALID_PAGE' FROM {H}
+""".replace("{H}", "(SELECT 'https://' || host AS site, host, m FROM (SELECT split_part(url, '/', 3) AS host, min(page_id) AS m FROM pages GROUP BY 1))")
+
+FIELD_SQL = """
+SELECT page_id, 'https://' || split_part(url, '/', 3) AS site,
+  CASE page_id % 6 WHEN 0 THEN NULL ELSE CAST(1500 + (page_id * 37) % 4000 AS DOUBLE) END AS lcp_ms, CASE page_id % 5 WHEN 0 THEN NULL ELSE CAST((page_id * 13) % 700 AS DOUBLE) END AS inp_ms,
+  CASE page_id % 7 WHEN 0 THEN NULL ELSE CAST((page_id * 3) % 40 AS DOUBLE) / 100 END AS cls
+FROM pages
+"""
+
+FETCH_LOG_SQL = """
+SELECT event_id AS seq, 'https://s' || CAST(user_id AS STRING) || '.example' AS site, 's' || CAST(user_id % 50 AS STRING) || '.example' AS host,
+  'https://s' || CAST(user_id AS STRING) || '.example/p' || CAST(event_id % 7 AS STRING) AS url, event_type AS purpose, ts AS started_at,
+  CASE event_id % 23 WHEN 7 THEN 429 ELSE 200 END AS status, event_id % 31 = 5 AS challenged
+FROM events
+"""
+
+REVIEW_SQL = """
+SELECT CASE page_id % 8 WHEN 1 THEN page_id + 1000000000 ELSE page_id END AS page_id, CASE page_id % 8 WHEN 2 THEN 'EV-none' ELSE 'EV-' || CAST(page_id AS STRING) END AS evidence_id,
+  CASE page_id % 8 WHEN 3 THEN 'this text is not on the page at all' ELSE split_part(split_part(html, '<h1>', 2), '</h1>', 1) END AS excerpt,
+  CASE page_id % 8 WHEN 4 THEN 'See www.somewhere.example for more' WHEN 5 THEN 'Traffic would rise by 35 percent' ELSE 'The opening is unclear' END AS observation,
+  CASE page_id % 8 WHEN 6 THEN 'Aim for a score of nine' ELSE 'State the subject first' END AS suggestion
+FROM pages
+"""
+
+PREVIOUS_SQL = """
+SELECT page_id, url, CASE page_id % 5 WHEN 1 THEN 'CHALLENGED' ELSE 'VALID' END AS state, CASE page_id % 7 WHEN 2 THEN 'ERROR_DOCUMENT' ELSE 'VALID_PAGE' END AS raw_validity,
+  CASE page_id % 11 WHEN 3 THEN NULL ELSE 'VALID_PAGE' END AS dom_validity
+FROM pages WHERE page_id % 3 <> 0
+"""
+
+CONFIG_SQL = """
+SELECT site, CASE m % 5 WHEN 3 THEN 'restricted' ELSE 'search_ai_discovery' END AS goal, CASE m % 6 WHEN 1 THEN 'staging' ELSE 'production' END AS environment, m % 4 = 2 AS multilingual
+FROM (SELECT 'https://' || split_part(url, '/', 3) AS site, min(page_id) AS m FROM pages GROUP BY 1)
+"""
+
+
+def with_events(spark: SparkSession, root: str, text: str) -> DataFrame:
+    return spark.sql(text.replace("FROM events", "FROM {events}"), events=read_table(spark, root, "events"))

@@ -134,3 +134,99 @@ SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, CAST(len(string_split(t,
 """
 
 CRAWL = f"crawl AS ({D.CRAWL_SQL})"
+
+# --- units ---------------------------------------------------------------------------------------------------------------
+from crawlscope import registry as G  # noqa: E402
+
+
+def q(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+
+def values(rows, cols) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(q(v) for v in r) + ")" for r in rows) + f") AS t({cols})"
+
+
+SITE_SQL = "regexp_extract(url, '^https?://[^/?#]+')"
+RULES_CTE = f"rules AS (SELECT * FROM {values([(i, r[0], r[2], r[4], r[5], r[6]) for i, r in enumerate(G.RULES)], 'ordinal, check_id, category, score, bucket, weight')})"
+_SEV = {"CRITICAL": 1, "HIGH": 2, "MEDIUM": 3, "LOW": 4}
+REASONS_CTE = f"reasons AS (SELECT * FROM {values([(r[0], r[1], r[2], r[3], _SEV[r[3]], r[4], r[5]) for r in G.REASONS], 'reason_code, check_id, finding_status, severity, sev, classification, confidence')})"
+UNITS = f"""{RULES_CTE}, {REASONS_CTE}, cats AS (SELECT * FROM {values(G.CATEGORIES, 'bucket, score, cat_weight')}),
+first_reason AS (SELECT check_id, finding_status, min(reason_code) AS reason FROM reasons GROUP BY ALL),
+drawn AS (SELECT page_id, {SITE_SQL} AS site, ordinal, (page_id * 31 + ordinal * 17 + (page_id // 10) * 7) % 10 AS pick FROM pages, range(39) AS r(ordinal)),
+named AS (SELECT *, CASE WHEN pick < 5 THEN 'PASS' WHEN pick = 5 THEN 'WARN' WHEN pick = 6 THEN 'FAIL' WHEN pick = 7 THEN 'NOT_TESTABLE' WHEN pick = 8 THEN 'NOT_APPLICABLE' ELSE 'ERROR' END AS drawn_status FROM drawn),
+units AS (SELECT n.site, n.page_id, r.*, CASE WHEN drawn_status IN ('WARN', 'FAIL') AND f.reason IS NULL THEN 'PASS' ELSE drawn_status END AS status, f.reason, drawn_status <> 'ERROR' AS seen,
+  CASE WHEN drawn_status = 'NOT_TESTABLE' THEN 'limit ' || (n.page_id % 8) END AS limitation
+  FROM named n JOIN rules r USING (ordinal) LEFT JOIN first_reason f ON f.check_id = r.check_id AND f.finding_status = drawn_status)"""
+FINDINGS = UNITS + """,
+findings AS (SELECT u.site, u.page_id, u.ordinal, u.category, s.* FROM units u JOIN reasons s ON s.reason_code = u.reason AND s.check_id = u.check_id WHERE u.status IN ('WARN', 'FAIL')),
+grouped AS (SELECT site, check_id, reason_code, any_value(category) AS category, any_value(finding_status) AS finding_status, any_value(severity) AS severity, any_value(sev) AS sev, any_value(classification) AS classification, any_value(confidence) AS confidence,
+  count(*) AS n_pages FROM findings GROUP BY site, check_id, reason_code),
+issues AS (SELECT *, 'I-' || lpad(CAST(row_number() OVER (PARTITION BY site ORDER BY sev, classification <> 'ISSUE', n_pages DESC, check_id, reason_code) AS VARCHAR), 3, '0') AS issue_id,
+  CASE WHEN classification = 'OPTIONAL' THEN 'P4' WHEN classification <> 'ISSUE' THEN 'P3' WHEN sev <= 2 THEN 'P1' WHEN sev = 3 THEN 'P2' ELSE 'P3' END AS priority FROM grouped)"""
+SCORES = UNITS + """,
+per_check AS (SELECT site, check_id, score, bucket, weight, count(*) AS applicable, count(*) FILTER (status IN ('PASS', 'WARN', 'FAIL')) AS evaluated,
+  avg(CASE status WHEN 'PASS' THEN 1.0::DOUBLE WHEN 'WARN' THEN 0.5::DOUBLE WHEN 'FAIL' THEN 0.0::DOUBLE END) AS s FROM units WHERE status <> 'NOT_APPLICABLE' AND score IS NOT NULL GROUP BY ALL),
+per_cat AS (SELECT site, p.score, p.bucket, any_value(cat_weight)::DOUBLE AS cw, floor(sum(s * weight::DOUBLE) / sum(CASE WHEN s IS NOT NULL THEN weight END)::DOUBLE * 100 * 10 + 0.5) / 10 AS cs, sum(evaluated) AS evaluated, sum(applicable) AS applicable
+  FROM per_check p JOIN cats c ON c.bucket = p.bucket AND c.score = p.score GROUP BY ALL)"""
+
+ORACLE["status_precedence"] = """
+SELECT page_id, CASE WHEN page_id % 11 = 1 THEN 'NOT_APPLICABLE' WHEN page_id % 11 = 2 THEN 'NOT_TESTABLE' WHEN page_id % 11 = 3 THEN 'ERROR' WHEN page_id % 7 = 2 AND page_id % 2 = 1 THEN 'FAIL'
+ WHEN page_id % 5 = 1 THEN 'FAIL' WHEN page_id % 3 = 1 THEN 'WARN' WHEN page_id % 13 = 4 THEN 'NOT_TESTABLE' WHEN page_id % 4 = 0 THEN 'ERROR' ELSE 'PASS' END AS status FROM pages
+"""
+_DOC = {s for s, label in G.SOURCES if label == "DOCUMENTED"}
+_RULE_SOURCES = {r[0]: r[7] for r in G.RULES}
+_BAD = [r[0] for r in G.REASONS if r[2] == "FAIL" and not _DOC & set((r[7] or _RULE_SOURCES[r[1]]).split())]
+ORACLE["contract_violations"] = f"WITH {FINDINGS} SELECT site, page_id, check_id, reason_code FROM findings WHERE reason_code IN {words(_BAD or ['-'])}"
+ORACLE["check_scores"] = f"WITH {SCORES} SELECT site, check_id, evaluated, applicable, floor(s * 100 * 10 + 0.5) / 10 AS score_pct FROM per_check"
+ORACLE["category_scores"] = f"WITH {SCORES} SELECT site, score, bucket, cs AS category_score, CAST(evaluated AS BIGINT) AS evaluated, CAST(applicable AS BIGINT) AS applicable FROM per_cat"
+ORACLE["site_scores"] = f"""
+WITH {SCORES}, v AS (SELECT {SITE_SQL} AS site, count(*) FILTER (page_id % 4 <> 0) AS valid FROM pages GROUP BY 1),
+t AS (SELECT site, score, any_value(valid) AS valid, sum(cs * cw) / sum(CASE WHEN cs IS NOT NULL THEN cw END) AS raw, floor(CAST(sum(evaluated) AS DOUBLE) / CAST(sum(applicable) AS DOUBLE) * 100 * 10 + 0.5) / 10 AS pct FROM per_cat JOIN v USING (site) GROUP BY site, score),
+s AS (SELECT *, CASE WHEN valid = 0 THEN 'NO_VALID_PAGE' WHEN raw IS NULL THEN 'NO_SCORED_CHECK' WHEN pct IS NULL OR pct < 50 THEN 'COVERAGE_BELOW_50' ELSE '' END AS suppressed FROM t)
+SELECT site, score, CASE WHEN suppressed = '' THEN CAST(floor(raw + 0.5) AS BIGINT) ELSE -1 END AS value, suppressed, pct AS coverage_pct FROM s
+"""
+ORACLE["root_issues"] = f"WITH {FINDINGS} SELECT site, issue_id, check_id, reason_code, finding_status, severity, classification, priority, n_pages FROM issues"
+ORACLE["issue_pages"] = f"WITH {FINDINGS} SELECT DISTINCT site, check_id, reason_code, page_id FROM findings"
+ORACLE["related_issues"] = f"""
+WITH {FINDINGS}, p AS (SELECT site, reason_code, list(DISTINCT page_id) AS pages FROM findings GROUP BY ALL)
+SELECT a.site, a.reason_code, b.reason_code AS blocker, ia.issue_id, ib.issue_id AS related_issue_id FROM p a JOIN p b ON a.site = b.site AND a.reason_code <> b.reason_code AND list_has_all(b.pages, a.pages)
+ JOIN issues ia ON ia.site = a.site AND ia.reason_code = a.reason_code JOIN issues ib ON ib.site = b.site AND ib.reason_code = b.reason_code
+WHERE b.reason_code IN ('UNEXPECTED_NOINDEX', 'GOOGLEBOT_DISALLOWED', 'NOT_FOUND_STATUS', 'SERVER_ERROR_STATUS')
+"""
+ORACLE["page_issues"] = f"WITH {FINDINGS} SELECT f.site, f.page_id, string_agg(issue_id, ',' ORDER BY issue_id) AS issue_ids, count(*) AS n_issues FROM findings f JOIN issues i USING (site, reason_code) GROUP BY ALL"
+ORACLE["issue_urls"] = f"WITH {FINDINGS} SELECT f.site, issue_id, f.page_id, url FROM findings f JOIN issues i USING (site, reason_code) JOIN pages p USING (page_id)"
+_PHASE = "CASE WHEN classification = 'ISSUE' AND sev <= 2 THEN {0} WHEN classification = 'ISSUE' AND sev = 3 THEN {1} ELSE {2} END"
+ORACLE["top_issues"] = f"""
+WITH {FINDINGS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY {_PHASE.format(1, 2, 3)}, issue_id) AS INTEGER) AS rank FROM issues) SELECT site, rank, issue_id, reason_code FROM r WHERE rank <= 3
+"""
+ORACLE["severity_counts"] = f"WITH {FINDINGS} SELECT site, " + ", ".join(f"count(*) FILTER (classification = 'ISSUE' AND severity = '{s}') AS {s.lower()}" for s in _SEV) + ", count(*) FILTER (classification <> 'ISSUE') AS opportunities FROM issues GROUP BY site"
+ORACLE["action_plan"] = f"WITH {FINDINGS}, p AS (SELECT *, " + _PHASE.format("'0-7 days'", "'1-2 weeks'", "'3-4 weeks'") + " AS phase FROM issues) SELECT site, phase, count(*) AS n_issues, string_agg(issue_id, ',' ORDER BY issue_id) AS issue_ids FROM p GROUP BY ALL"
+ORACLE["issue_filter"] = f"WITH {FINDINGS} SELECT site, issue_id, reason_code FROM issues WHERE category = 'crawl_indexing' AND severity = 'HIGH' AND classification = 'ISSUE' AND finding_status = 'FAIL' AND confidence = 'OBSERVED'"
+ORACLE["unit_search"] = f"WITH {UNITS} SELECT site, page_id, check_id FROM units WHERE status = 'WARN' AND contains(lower(concat_ws(' ', check_id, page_id, reason, 'seen', limitation)), 'canonical')"
+ORACLE["strengths"] = f"WITH {UNITS} SELECT site, check_id, count(*) AS n_units FROM units WHERE status <> 'NOT_APPLICABLE' AND check_id IN ('C-1.2', 'C-1.3', 'C-1.8', 'C-1.7', 'O-2.1', 'A-5.1', 'A-5.3', 'T-8.1', 'U-7.1', 'C-1.12') GROUP BY ALL HAVING bool_and(status = 'PASS')"
+_OMIT = f"WITH {UNITS}, o AS (SELECT site, check_id, page_id, status, coalesce(limitation, 'unavailable') AS reason FROM units WHERE status IN ('NOT_TESTABLE', 'ERROR')) "
+ORACLE["omitted_checks"] = _OMIT + "SELECT * FROM o"
+ORACLE["omitted_reasons"] = _OMIT + ", d AS (SELECT DISTINCT site, reason FROM o), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY reason) AS INTEGER) AS rank FROM d) SELECT site, rank, reason FROM r WHERE rank <= 5".lstrip(", ")
+ORACLE["omitted_reasons"] = _OMIT.rstrip() + ", d AS (SELECT DISTINCT site, reason FROM o), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY reason) AS INTEGER) AS rank FROM d) SELECT site, rank, reason FROM r WHERE rank <= 5"
+ORACLE["progress"] = f"WITH {UNITS} SELECT site, count(*) AS checks, CAST(sum(CASE WHEN reason IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS findings, count(*) FILTER (status = 'FAIL') AS fail, count(*) FILTER (status = 'WARN') AS warn FROM units GROUP BY site"
+ORACLE["category_tallies"] = f"WITH {UNITS} SELECT site, coalesce(category, '*') AS category, coalesce(status, '*') AS status, count(*) AS n_units FROM units GROUP BY GROUPING SETS ((site, category, status), (site, category), (site))"
+ORACLE["status_matrix"] = f"""
+WITH {UNITS}, k AS (SELECT *, dense_rank() OVER (PARTITION BY site ORDER BY page_id) AS slot FROM units)
+SELECT site, check_id, """ + ", ".join(f"coalesce(max(CASE WHEN slot = {i} THEN status END), '') AS p0{i}" for i in range(1, 5)) + " FROM k WHERE slot <= 4 GROUP BY site, check_id"
+_SRC_ROWS = [(r[0], r[1], s) for r in G.REASONS for s in (r[7] or _RULE_SOURCES[r[1]]).split()]
+_RSRC_ROWS = [(r[0], s) for r in G.RULES for s in r[7].split()]
+ORACLE["used_sources"] = f"""
+WITH {FINDINGS} SELECT site, source_id FROM findings JOIN (SELECT * FROM {values(_SRC_ROWS, 'reason_code, check_id, source_id')}) s USING (reason_code, check_id)
+UNION SELECT site, source_id FROM units JOIN (SELECT * FROM {values(_RSRC_ROWS, 'check_id, source_id')}) s USING (check_id) WHERE status IN ('PASS', 'WARN', 'FAIL')
+"""
+ORACLE["finding_ids"] = f"WITH {FINDINGS} SELECT site, page_id, reason_code, 'F-' || lpad(CAST(row_number() OVER (PARTITION BY site ORDER BY ordinal, page_id, reason_code) AS VARCHAR), 4, '0') AS finding_id FROM findings"
+_EV = ", ev AS (SELECT site, page_id, check_id, 'EV-' || lpad(CAST(row_number() OVER (PARTITION BY site ORDER BY ordinal, page_id) AS VARCHAR), 4, '0') AS evidence_id, 'seen ' || page_id AS observed FROM units WHERE seen)"
+ORACLE["evidence_rows"] = f"WITH {UNITS}{_EV} SELECT * FROM ev"
+ORACLE["issue_evidence"] = f"WITH {FINDINGS}{_EV} SELECT f.site, issue_id, f.page_id, evidence_id FROM findings f JOIN issues i USING (site, reason_code) JOIN ev ON ev.site = f.site AND ev.check_id = f.check_id AND ev.page_id = f.page_id"
+ORACLE["limitations"] = f"WITH {UNITS} SELECT DISTINCT site, limitation FROM units WHERE limitation IS NOT NULL"
+ORACLE["run_history"] = """
+WITH u AS (SELECT o_custkey AS tenant_id, 'a' || (o_orderkey % 5000) AS audit_id, o_orderdate AS updated_at, o_orderkey AS version, o_orderkey % 3 = 0 AS fresh FROM orders),
+l AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY tenant_id, audit_id ORDER BY updated_at DESC, fresh DESC, version DESC) = 1),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY updated_at DESC, version DESC) AS INTEGER) AS rank FROM l) SELECT tenant_id, rank, audit_id, version FROM r WHERE rank <= 2
+"""
