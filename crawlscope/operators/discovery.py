@@ -56,7 +56,8 @@ def registrable_domains(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
 def usable_edges(links: DataFrame, cap: int = B["max_links_per_document"]) -> DataFrame:
     """Internal crawlable links per document and profile, navigation and main content first, at most `cap`."""
     inner = links.filter(F.col("crawlable") & F.col("internal")).withColumn("zone_rank", zone_rank(F.col("zone")))
-    return best_per_group(inner, ["site", "from_key", "profile"], [F.col("zone_rank"), F.col("pos")], cap, "link_no")
+    tie = [F.col("page_id")] if "page_id" in links.columns else []
+    return best_per_group(inner, ["site", "from_key", "profile"], [F.col("zone_rank"), F.col("pos"), *tie], cap, "link_no")
 
 
 def merge_candidates(found: DataFrame) -> DataFrame:

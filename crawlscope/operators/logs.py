@@ -35,6 +35,7 @@ def gaps(log: DataFrame, bucket_seconds: int = 3600, min_gap_ms: int = B["min_ga
     Neighbours are found inside (host, time bucket); the first row of a bucket takes the last row of the latest
     earlier bucket, from a table with one row per bucket.
     """
+    log = log.withColumn("started_at", F.col("started_at").cast("timestamp"))
     marked = log.withColumn("_bucket", F.floor(F.unix_micros("started_at") / (bucket_seconds * 1_000_000)))
     inside = Window.partitionBy("host", "_bucket").orderBy("started_at", "seq")
     rows = marked.withColumns({"_before": F.lag("started_at").over(inside), "_no": F.row_number().over(inside)})

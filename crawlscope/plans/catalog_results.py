@@ -220,3 +220,21 @@ def run_history(spark, root):
 
 
 JOINED = joined
+
+
+def full_inputs(spark, root):
+    from crawlscope.plans.audit import Inputs
+    from crawlscope.sources import derived as D
+
+    field = D.derived(spark, root, D.FIELD_SQL)
+    per_url = D.crawl(spark, root).select("page_id", "url").join(field, "page_id").groupBy("url").agg(F.min_by(F.struct("lcp_ms", "inp_ms", "cls"), "page_id").alias("v"))
+    return Inputs(crawl=D.crawl(spark, root), robots_files=D.robots_files(spark, root), probes=D.derived(spark, root, D.PROBES_SQL), settings=D.derived(spark, root, D.CONFIG_SQL),
+                  field=per_url.select(F.lit("URL").alias("scope"), F.col("url").alias("key"), "v.*"))
+
+
+@query
+def full_audit_scores(spark, root):
+    """Whole audit, from pages to scores, in one query."""
+    from crawlscope.plans.audit import run_audit
+
+    return run_audit(spark, full_inputs(spark, root))["scores"]

@@ -97,7 +97,7 @@ ORACLE["crawl_links"] = f"WITH {LINKS} SELECT page_id, href AS href_raw, url, te
 ROLL = f"roll AS (SELECT site, url, count(*) AS n_links, count(DISTINCT page_id) AS n_pages, bool_or(zone = 'nav') AS in_nav FROM edge WHERE internal GROUP BY site, url)"
 ORACLE["link_rollup"] = f"WITH {LINKS}, {ROLL} SELECT * FROM roll"
 _ZR = "CASE zone WHEN 'nav' THEN 1 WHEN 'main' THEN 2 WHEN 'footer' THEN 3 ELSE 4 END"
-ORACLE["document_link_cap"] = f"""WITH {LINKS}, dk AS (SELECT *, row_number() OVER (PARTITION BY site, doc ORDER BY {_ZR}, pos) AS n FROM (SELECT e.*, CAST(a_no - 1 AS INTEGER) AS pos FROM edge e WHERE internal))
+ORACLE["document_link_cap"] = f"""WITH {LINKS}, dk AS (SELECT *, row_number() OVER (PARTITION BY site, doc ORDER BY {_ZR}, pos, page_id) AS n FROM (SELECT e.*, CAST(a_no - 1 AS INTEGER) AS pos FROM edge e WHERE internal))
 SELECT site, page_id, pos, zone, CAST(n AS INTEGER) AS link_no FROM dk WHERE n <= 6"""
 EXCL = f"""CASE WHEN lower(regexp_extract({path_of('url')}, '[.]([A-Za-z0-9]+)$', 1)) IN {words(U.NON_HTML_EXTENSIONS)} THEN 'NON_HTML'
  WHEN len(list_filter({segs_of('url')}, lambda s: lower(s) IN {words(U.UTILITY_SEGMENTS)})) > 0 THEN 'UTILITY:' || list_filter({segs_of('url')}, lambda s: lower(s) IN {words(U.UTILITY_SEGMENTS)})[1]
@@ -121,7 +121,7 @@ sg AS (SELECT w.site, w.url, '/' || array_to_string(CASE WHEN l.parent IS NOT NU
 
 
 ORACLE["url_signatures"] = f"WITH u AS ({C.URLS_SQL}), d AS (SELECT DISTINCT {SITE_SQL} AS site, regexp_replace(url, '#.*$', '') AS url FROM u), {signature_sql('d', 'false')} SELECT * FROM sg"
-ORACLE["signature_groups"] = f"""WITH {CRAWL}, d AS (SELECT site, url FROM crawl UNION SELECT site, site || '/fr/blog/x-' || page_id || '.html' FROM crawl), {signature_sql('d', "s = 'fr'")},
+ORACLE["signature_groups"] = f"""WITH {CRAWL}, en AS (SELECT site, bool_or(contains(html, 'hreflang="en"') AND path LIKE '/en/%') AS en FROM crawl GROUP BY site), d AS (SELECT * FROM (SELECT site, url FROM crawl UNION SELECT site, site || '/fr/blog/x-' || page_id || '.html' FROM crawl) JOIN en USING (site)), {signature_sql('d', "(s = 'fr' OR (en AND s = 'en'))")},
 k AS (SELECT *, row_number() OVER (PARTITION BY site, signature ORDER BY url) AS n FROM sg) SELECT site, signature, count(*) AS n_urls, string_agg(CASE WHEN n <= 3 THEN url END, ' ' ORDER BY url) AS examples FROM k GROUP BY site, signature"""
 _PT = page_type_sql(stems_of("url"), "lower(text)")
 ORACLE["link_expansion"] = f"""
@@ -175,10 +175,10 @@ ORACLE["robots_states"] = f"""WITH {ROBOTS} SELECT origin, robots_state, coalesc
  coalesce((SELECT string_agg(DISTINCT k, '|') FROM kv WHERE kv.origin = rs.origin AND k NOT IN ('user-agent', 'allow', 'disallow', 'sitemap')), '') AS unsupported, CAST(coalesce((SELECT max(group_no) FROM gr WHERE gr.origin = rs.origin), 0) AS INTEGER) AS n_groups FROM rs"""
 _TOKENS = [G.AUDITOR_TOKEN, *[b[0] for b in G.BOTS]]
 DECIDED = f"""{CRAWL}, {ROBOTS}, tk AS (SELECT * FROM {values([(t,) for t in _TOKENS], 'token')}),
-pt AS (SELECT page_id, site, url, token, lower(token) AS tok, substr(url, length(site) + 1) AS path, robots_state FROM crawl CROSS JOIN tk LEFT JOIN rs ON rs.origin = crawl.site),
+pt AS (SELECT crawl.page_id, site, url, token, lower(token) AS tok, substr(url, length(site) + 1) AS path, robots_state FROM crawl CROSS JOIN tk LEFT JOIN rs ON rs.origin = crawl.site),
 own AS (SELECT DISTINCT origin, agent FROM ag),
 hit AS (SELECT p.page_id, p.token, ru.* FROM pt p LEFT JOIN own o ON o.origin = p.site AND o.agent = p.tok JOIN ag ON ag.origin = p.site AND ag.agent = CASE WHEN o.agent IS NOT NULL THEN p.tok ELSE '*' END
-  JOIN ru ON ru.origin = ag.origin AND ru.group_no = ag.group_no WHERE regexp_matches(p.path, '^' || replace(replace(regexp_replace(regexp_replace(ru.path, '([.?+()|\\[\\]{{}}^])', '\\\\\\1', 'g'), '\\$$', chr(1)), '*', '.*'))),
+  JOIN ru ON ru.origin = ag.origin AND ru.group_no = ag.group_no WHERE regexp_matches(p.path, '^' || replace(replace(regexp_replace(regexp_replace(ru.path, '([.?+()|\\[\\]{{}}^])', '\\\\\\1', 'g'), '\\$$', chr(1)), '*', '.*'), chr(1), '$'))),
 best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY page_id, token ORDER BY length(path) DESC, allow DESC, line) = 1),
 de AS (SELECT p.page_id, p.site, p.url, p.token, CASE WHEN robots_state = 'PARSED' THEN CASE WHEN b.allow IS NULL OR b.allow THEN 'ALLOW' ELSE 'DISALLOW' END WHEN robots_state = 'NO_RESTRICTIONS_4XX' THEN 'ALLOW' ELSE 'UNKNOWN' END AS decision,
   CASE WHEN b.path IS NULL THEN '' ELSE CASE WHEN b.allow THEN 'Allow: ' ELSE 'Disallow: ' END || b.path || ' (line ' || b.line || ')' END AS rule FROM pt p LEFT JOIN best b USING (page_id, token))"""
@@ -219,9 +219,9 @@ ORACLE["hreflang_codes"] = "WITH k AS (SELECT * FROM " + values([("en", ""), ("E
 RESP = f"""re AS (SELECT url, status, acquisition, raw_validity, CASE hop_kind WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 0 END AS n_hops, lower({_TITLE.format('html')}) AS title, html, page_id AS rid FROM gt QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1)"""
 _ABS = "list_distinct(list_transform(list_filter({0}, lambda v: v NOT LIKE 'mailto:%'), lambda v: CASE WHEN v LIKE '/%' THEN site || v ELSE v END))"
 CANONICAL = f"""{ST}, {RESP}, ca AS (SELECT *, CASE WHEN raw_valid THEN {_ABS.format(CANON.format('html'))} ELSE CAST([] AS VARCHAR[]) END AS rh, CASE WHEN raw_valid AND page_id % 19 = 10 THEN [site || '/hdr'] ELSE CAST([] AS VARCHAR[]) END AS ht,
-  CASE WHEN ren_valid THEN {_ABS.format(CANON.format('dom'))} ELSE CAST([] AS VARCHAR[]) END AS nh, (raw_valid AND contains(html, 'href="mailto:x"')) OR (ren_valid AND contains(dom, 'href="mailto:x"')) AS bad, coalesce(CASE WHEN acquisition = 'OK' THEN url END, CASE WHEN page_id % 29 = 8 THEN site || '/moved' WHEN dom_acquisition = 'OK' THEN url END, url) AS doc FROM gt),
+  CASE WHEN ren_valid THEN {_ABS.format(CANON.format('dom'))} ELSE CAST([] AS VARCHAR[]) END AS nh, (raw_valid AND contains(html, 'href="mailto:x"')) OR (ren_valid AND contains(dom, 'href="mailto:x"')) AS bad, coalesce(CASE WHEN acquisition = 'OK' THEN url END, CASE WHEN page_id % 29 = 8 THEN site || '/moved' WHEN dom_acquisition = 'OK' THEN url END, url) AS du FROM gt),
 cb AS (SELECT *, list_distinct(list_concat(rh, ht)) AS dc FROM ca), cc AS (SELECT *, CASE WHEN len(dc) = 1 THEN dc[1] WHEN len(dc) = 0 AND len(nh) = 1 THEN nh[1] END AS cn FROM cb),
-cd AS (SELECT cc.*, cn IS NOT NULL AND cn <> doc AND re.acquisition = 'OK' AND re.raw_validity <> 'ACCESS_CHALLENGE' AS known, re.status AS ts, re.n_hops AS th, re.raw_validity AS tv, re.title AS tt, lower({_TITLE.format('best')}) AS mt FROM cc LEFT JOIN re ON re.url = cn)"""
+cd AS (SELECT cc.*, cn IS NOT NULL AND cn <> du AND re.acquisition = 'OK' AND re.raw_validity <> 'ACCESS_CHALLENGE' AS known, re.status AS ts, re.n_hops AS th, re.raw_validity AS tv, re.title AS tt, lower({_TITLE.format('best')}) AS mt FROM cc LEFT JOIN re ON re.url = cn)"""
 _CANON_RULES = [("len(dc) > 1", "CANONICAL_CONFLICT"), ("bad", "CANONICAL_INVALID_VALUE"), ("len(rh) = 1 AND len(nh) = 1 AND rh[1] <> nh[1]", "CANONICAL_CHANGED_BY_JAVASCRIPT"), ("len(dc) = 0 AND len(nh) = 0 AND NOT bad", "CANONICAL_MISSING"),
                 ("known AND ts >= 400", "CANONICAL_TARGET_BROKEN"), ("known AND ts < 400 AND th > 0", "CANONICAL_TARGET_REDIRECTS"), ("known AND ts < 400 AND th = 0 AND tv = 'VALID_PAGE' AND mt <> '' AND tt <> '' AND mt <> tt", "CANONICAL_POINTS_TO_DIFFERENT_PAGE")]
 ORACLE["canonical_check"] = f"WITH {CANONICAL} " + unit("C-1.7", "gate", _CANON_RULES, "cd")
@@ -273,8 +273,8 @@ _GRADE = "CASE WHEN lcp_ms IS NULL AND inp_ms IS NULL AND cls IS NULL THEN 'UNAV
 ORACLE["field_vitals"] = f"WITH f AS ({D.FIELD_SQL}) SELECT page_id, {_GRADE} AS grade FROM f"
 ORACLE["field_check"] = f"WITH {ST}, f AS ({D.FIELD_SQL}), g AS (SELECT gt.*, {_GRADE} AS grade FROM gt JOIN f USING (page_id)) " + unit("P-4.1", "CASE WHEN NOT (raw_valid OR ren_valid) OR grade = 'UNAVAILABLE' THEN 'NOT_TESTABLE' ELSE '' END", [("grade = 'POOR'", "CWV_FIELD_POOR"), ("grade = 'NEEDS_IMPROVEMENT'", "CWV_FIELD_NEEDS_IMPROVEMENT")], "g", "grade = 'INCOMPLETE'")
 _TASK = "CASE WHEN page_id * {0} % 900 >= page_id * 11 % 400 THEN greatest(page_id * ({0} + 3) % 180 - 50, 0) ELSE 0 END"
-ORACLE["lab_summary"] = f"""WITH {ST}, k AS (SELECT page_id FROM gt WHERE ren_valid QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id) <= 3)
-SELECT gt.page_id, 'P-4.3' AS check_id, CASE WHEN k.page_id IS NULL THEN 'NOT_APPLICABLE' WHEN gt.page_id % 6 = 0 THEN 'NOT_TESTABLE' ELSE 'PASS' END AS status, '' AS reasons, CAST({_TASK.format(3)} + {_TASK.format(5)} + {_TASK.format(8)} AS DOUBLE) AS tbt_ms FROM gt LEFT JOIN k ON k.page_id = gt.page_id"""
+ORACLE["lab_summary"] = f"""WITH {ST}, k AS (SELECT page_id AS chosen FROM gt WHERE ren_valid QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id) <= 3)
+SELECT page_id, 'P-4.3' AS check_id, CASE WHEN chosen IS NULL THEN 'NOT_APPLICABLE' WHEN page_id % 6 = 0 THEN 'NOT_TESTABLE' ELSE 'PASS' END AS status, '' AS reasons, CAST({_TASK.format(3)} + {_TASK.format(5)} + {_TASK.format(8)} AS DOUBLE) AS tbt_ms FROM gt LEFT JOIN k ON chosen = page_id"""
 ORACLE["overflow_check"] = f"WITH {ST}, o AS (SELECT *, page_id * 13 % 60 + 400 > 414 AS over FROM gt) " + unit("U-7.2", "CASE WHEN gate <> '' THEN gate WHEN NOT ren_valid OR page_id % 9 = 4 OR (over AND page_id % 4 = 1) THEN 'NOT_TESTABLE' ELSE '' END", [("over", "HORIZONTAL_OVERFLOW")], "o")
 ORACLE["a11y_check"] = f"WITH {ST} " + unit("U-7.3", "CASE WHEN gate <> '' THEN gate WHEN NOT ren_valid OR page_id % 8 = 3 THEN 'NOT_TESTABLE' ELSE '' END", [(f"page_id % {i + 5} = 1", f"A11Y_{r.upper().replace('-', '_')}") for i, r in enumerate(G.A11Y_RULES)])
 LOG = f"lg AS ({D.FETCH_LOG_SQL.replace('AS STRING', 'AS VARCHAR')})"
