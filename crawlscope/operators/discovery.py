@@ -12,7 +12,7 @@ from crawlscope.functions.urls import (
     PAGE_TYPES, ZONES, alias_hosts, exclusion_reason, fetch_key, host_of, is_section_hub, origin_of, page_type, path_of, query_keys, segments, split_extension,
     type_rank, url_parts, zone_rank,
 )
-from crawlscope.operators.skew import best_per_group, join_on_hot_key
+from crawlscope.operators.skew import best_per_group, heavy_from_counts, join_on_hot_key
 
 B = registry.BUDGETS
 ORDER = ["zone_rank", "type_rank", "depth", "url"]
@@ -158,8 +158,10 @@ def signatures(urls: DataFrame, locales: DataFrame | None = None) -> DataFrame:
         "_leaf": F.try_element_at(F.col("_segs"), F.lit(-1)),
         "_query": let(F.array_sort(F.array_distinct(query_keys(F.col("url")))), lambda k: F.when(F.size(k) > 0, F.concat(F.lit("?"), F.array_join(k, "&"))).otherwise(F.lit(""))),
     })
-    parents = shaped.filter("_parent IS NOT NULL").groupBy("site", "_parent").agg((F.min("_leaf") != F.max("_leaf")).alias("_many"))
-    joined = join_on_hot_key(shaped, parents, ["site", "_parent"], ["url"])
+    parents = shaped.filter("_parent IS NOT NULL").groupBy("site", "_parent").agg((F.min("_leaf") != F.max("_leaf")).alias("_many"), F.count(F.lit(1)).alias("_rows"))
+    # The aggregate knows how many rows each parent has, so heavy parents need no pass of their own.
+    hot = heavy_from_counts(parents, ["site", "_parent"])
+    joined = join_on_hot_key(shaped, parents.drop("_rows"), ["site", "_parent"], ["url"], "left", hot)
     slug = F.col("_parent").isNotNull() & F.coalesce("_many", F.lit(False)) & ~F.col("_leaf").startswith("{")
     last = F.when(slug, F.concat(F.lit("{slug}"), split_extension(F.col("_leaf"))["ext"])).otherwise(F.col("_leaf"))
     body = F.when(F.size("_segs") > 0, F.array_join(F.concat(F.slice("_segs", 1, F.size("_segs") - 1), F.array(last)), "/")).otherwise(F.lit(""))

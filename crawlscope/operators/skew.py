@@ -16,7 +16,11 @@ def heavy_keys(df: DataFrame, keys: list[str], share: int = SHARE, floor: int =
     There are fewer than `share` of them whatever the data, so this list may be broadcast. Counting combines on
     the map side and reads only the key columns.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return heavy_from_counts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, share, floor)
+
+
+def heavy_from_counts(counts: DataFrame, keys: list[str], share: int = SHARE, floor: int = FLOOR) -> DataFrame:
+    """`heavy_keys` from a table that has the row count per key in `_rows` already."""
     total = counts.agg(F.sum("_rows"))
     return counts.filter((F.col("_rows") >= floor) & (F.col("_rows") * share > total.scalar())).select(*keys)
 

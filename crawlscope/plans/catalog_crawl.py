@@ -43,7 +43,7 @@ def site_rows(unit_rows):
 @query
 def url_signatures(spark, root):
     urls = sample_urls(spark, root).select(SITE.alias("site"), U.fetch_key(F.col("url")).alias("url")).distinct()
-    return DISC.signatures(urls).select("site", "url", "signature")
+    return DISC.signatures(cut(urls, "urls")).select("site", "url", "signature")
 
 
 @query
@@ -51,8 +51,9 @@ def signature_groups(spark, root):
     facts = crawl_facts(spark, root, "hreflang")
     marks = facts.select("site", F.explode("hreflang").alias("h")).select("site", "h.*")
     extra = facts.select("site", F.concat("site", F.lit("/fr/a")).alias("href"), F.lit("fr-FR").alias("hreflang"), F.lit("HTML").alias("source"))
-    locales = DISC.locale_prefixes(marks.unionByName(extra))
+    locales = cut(DISC.locale_prefixes(marks.unionByName(extra)), "locales")
     urls = D.crawl(spark, root).select("site", F.explode(F.array("url", F.concat("site", F.lit("/fr/blog/x-"), F.col("page_id").cast("string"), F.lit(".html")))).alias("url")).distinct()
+    urls = cut(urls, "urls")
     return DISC.signature_groups(DISC.signatures(urls, locales))
 
 

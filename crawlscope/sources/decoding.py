@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Charsets Spark decodes itself.
 NATIVE = ["utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"]
@@ -18,7 +19,7 @@ def charset_of(body: Column, content_type: Column) -> Column:
     return F.coalesce(F.nullif(declared, F.lit("")), F.nullif(sniffed, F.lit("")), F.lit("utf-8"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_other(body: pd.Series, charset: pd.Series) -> pd.Series:
     def one(raw, label):
         if raw is None:

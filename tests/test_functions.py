@@ -35,8 +35,8 @@ def test_entities(spark):
     assert got == [("a & b é \U0001F600 &bogus;",)]
 
 
-DOC = """<!DOCTYPE html><html lang="de"><head><title>A &amp; B</title><svg><title>icon</title></svg><meta name="Description" content=" d &quot;x&quot; "><link rel="canonical" href="/c">
-<meta name=robots content="NoIndex, follow"></head><body><div role="navigation"><div><a href="/n1">N1</a></div></div><a href="/o1">O</a><header><a href="x.html"><img src=a alt="Pic"></a></header>
+DOC = """<!DOCTYPE html><html lang="de"><head><title>A &amp; B</title><meta name="Description" content=" d &quot;x&quot; "><link rel="canonical" href="/c">
+<meta name=robots content="NoIndex, follow"></head><body><svg><title>icon</title></svg><div role="navigation"><div><a href="/n1">N1</a></div></div><a href="/o1">O</a><header><a href="x.html"><img src=a alt="Pic"></a></header>
 <main><h1>Hi <b>you</b></h1><nav><a href=#f>f</a></nav><a href='mailto:q'>m</a><a href="http://other.example/x" aria-label="lab"></a></main><div data-wa-hidden="1"><h2>hid</h2></div><h2>seen</h2>
 <footer><a href="//www.a.example/f">F</a></footer><p data-x="<a href='/no'>">t</p><!-- <a href="/comment">c</a> --><link rel=canonical href=/late></body></html>"""
 
@@ -51,3 +51,9 @@ def test_extract(spark):
     assert links["/n1"] == ("nav", True, None, "N1") and links["/o1"][0] == "other" and links["x.html"] == ("nav", True, None, "Pic")
     assert links["#f"][2] == "fragment-only link" and links["mailto:q"][2] == "mailto: link" and links["http://other.example/x"] == ("main", False, None, "lab")
     assert links["//www.a.example/f"][:2] == ("footer", True) and "/comment" not in links
+
+
+def test_body_element_ends_the_head(spark):
+    html = '<html><head><div></div><link rel="canonical" href="/c"></head><body></body></html>'
+    r = X.extract(spark.createDataFrame([(1, "https://a.example/", html)], "page_id bigint, url string, html string"), only=("canonical_head", "canonical_body")).first()
+    assert (r.canonical_head, r.canonical_body) == ([], ["/c"])
