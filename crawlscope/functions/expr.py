@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 
 from crawlscope.functions.sql import F
 
@@ -35,3 +35,12 @@ def when_array(*items: tuple[Column, Column], of: str = "string") -> Column:
 
 def in_words(value: Column, words: Iterable[str]) -> Column:
     return value.isin(list(words))
+
+
+def each(df: DataFrame, keys: list, values: Column, name: str) -> DataFrame:
+    """One row per array element.
+
+    A plain explode makes the optimizer test the array before it explodes it, which evaluates a computed array
+    (an extraction) a second and a third time. The outer form with a filter behind it evaluates it once.
+    """
+    return df.select(*keys, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())

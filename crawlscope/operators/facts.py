@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from crawlscope.functions.sql import F
 
 from crawlscope.functions import markup as M
-from crawlscope.functions.expr import choose, let
+from crawlscope.functions.expr import choose, each, let
 from crawlscope.functions.text import inner_text, norm, truncate
 from crawlscope.functions.urls import alias_hosts, host_of, resolve
 
@@ -272,4 +272,4 @@ def extract_into(df: DataFrame, into: str, html: str, url: str, headers: str | N
 
 def links_of(facts: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Child table: one row per anchor."""
-    return facts.select(*keys, F.explode("links").alias("l")).select(*keys, "l.*")
+    return each(facts, list(keys), F.col("links"), "l").select(*keys, "l.*")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from crawlscope.functions.sql import F
 
 from crawlscope import registry
-from crawlscope.functions.expr import choose, let
+from crawlscope.functions.expr import choose, each, let
 from crawlscope.functions.urls import exclusion_reason, fetch_key, resolve_http, same_url
 from crawlscope.operators.skew import best_per_group, join_on_hot_key
 
@@ -54,7 +54,7 @@ def annotations(pages: DataFrame) -> DataFrame:
     canonical = F.coalesce(F.get(F.when(F.col("raw_valid"), F.col("raw_facts")["canonical_head"]), F.lit(0)), F.get(F.col("best")["canonical_head"], F.lit(0)))
     base = F.coalesce(resolve_http(F.col("best")["base_href"], F.col("best_url")), F.col("best_url"))
     keyed = pages.filter(F.col("best_url").isNotNull()).withColumn("self_keys", F.filter(F.array(fetch_key(F.col("best_url")), fetch_key(F.col("url")), fetch_key(resolve_http(canonical, base))), lambda k: k.isNotNull()))
-    return keyed.select("site", "page_id", "self_keys", F.explode(pairs).alias("h")).select(
+    return each(keyed, ["site", "page_id", "self_keys"], pairs, "h").select(
         "site", "page_id", "self_keys", "h.*", hreflang_problem(F.col("h.hreflang")).alias("problem"), fetch_key(F.col("h.href")).alias("fetch_key"),
         F.coalesce(F.array_contains("self_keys", fetch_key(F.col("h.href"))), F.lit(False)).alias("is_self"),
     )
@@ -89,7 +89,7 @@ def with_hreflang(pages: DataFrame, responses: DataFrame) -> DataFrame:
 
 # --- internal link targets -----------------------------------------------------------------------------------------
 def link_rows(pages: DataFrame, facts: str = "best") -> DataFrame:
-    return pages.select("site", "page_id", F.explode(F.col(facts)["links"]).alias("l")).select("site", "page_id", "l.*")
+    return each(pages, ["site", "page_id"], F.col(facts)["links"], "l").select("site", "page_id", "l.*")
 
 
 def link_rollup(links: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from crawlscope.functions.sql import F
 
 from crawlscope import registry
-from crawlscope.functions.expr import choose
+from crawlscope.functions.expr import choose, each
 from crawlscope.operators.skew import best_per_group, numbered
 
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
@@ -263,7 +263,7 @@ def status_matrix(units: DataFrame, slots: int = 10) -> DataFrame:
 
 def bot_summary(decided: DataFrame) -> DataFrame:
     """ALLOW, DISALLOW and UNKNOWN counts per site and token."""
-    long = decided.select("site", F.explode("decisions").alias("token", "d")).select("site", "token", F.col("d.decision").alias("decision"))
+    long = each(decided, ["site"], F.map_entries("decisions"), "e").select("site", F.col("e.key").alias("token"), F.col("e.value.decision").alias("decision"))
     return long.groupBy("site", "token").pivot("decision", ["ALLOW", "DISALLOW", "UNKNOWN"]).count().na.fill(0, ["ALLOW", "DISALLOW", "UNKNOWN"])
 
 

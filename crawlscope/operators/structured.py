@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from crawlscope.functions.sql import F
 
 from crawlscope import registry
-from crawlscope.functions.expr import let
+from crawlscope.functions.expr import each, let
 
 DEPTH = 4
 
@@ -116,4 +116,5 @@ def broken_blocks(json_ld: Column) -> Column:
 
 
 def exploded_nodes(facts: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    return facts.select(*keys, F.posexplode(graded_nodes(F.col("json_ld"))).alias("node_no", "n")).select(*keys, "node_no", "n.*")
+    numbered = F.transform(graded_nodes(F.col("json_ld")), lambda n, i: F.struct(i.alias("node_no"), n.alias("n")))
+    return each(facts, list(keys), numbered, "x").select(*keys, "x.node_no", "x.n.*")

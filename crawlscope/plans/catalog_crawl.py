@@ -6,6 +6,7 @@ from pyspark.sql import Window
 
 from crawlscope import registry
 from crawlscope.functions import urls as U
+from crawlscope.functions.expr import each
 from crawlscope.functions.sql import F
 from crawlscope.operators import directives as DIR
 from crawlscope.operators import discovery as DISC
@@ -71,14 +72,15 @@ def query_variant_cap(spark, root):
 
 def crawl_edges(spark, root):
     """Anchors of the RAW documents as edges keyed by the document."""
-    links = crawl_facts(spark, root, "links").select("site", "page_id", U.fetch_key(F.col("url")).alias("from_key"), F.explode("links").alias("l"))
+    facts = crawl_facts(spark, root, "links").withColumn("from_key", U.fetch_key(F.col("url")))
+    links = each(facts, ["site", "page_id", "from_key"], F.col("links"), "l")
     return links.select("site", "page_id", "from_key", F.col("l.pos").alias("pos"), F.col("l.url").alias("url"), F.col("l.text").alias("text"), F.col("l.zone").alias("zone"), F.col("l.crawlable").alias("crawlable"), F.col("l.internal").alias("internal"), F.lit("RAW").alias("profile"))
 
 
 @query
 def crawl_links(spark, root):
     """EXT-7, EXT-8 with all zones, fragments, entities and dot segments."""
-    links = crawl_facts(spark, root, "links").select("page_id", F.explode("links").alias("l")).select("page_id", "l.*")
+    links = X.links_of(crawl_facts(spark, root, "links"))
     return links.filter("zone <> 'nav'").select("page_id", "href_raw", "url", "text", "zone", "rel", "crawlable", "internal", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
@@ -257,7 +259,7 @@ def decided(spark, root):
 
 @query
 def robots_decisions(spark, root):
-    rows = decided(spark, root).select("page_id", "url", F.explode("decisions").alias("token", "d"))
+    rows = each(decided(spark, root), ["page_id", "url"], F.map_entries("decisions"), "e").select("page_id", "url", F.col("e.key").alias("token"), F.col("e.value").alias("d"))
     return rows.select("page_id", "url", "token", "d.decision", F.coalesce("d.rule", F.lit("")).alias("rule"))
 
 
