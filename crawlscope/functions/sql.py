@@ -159,7 +159,6 @@ _LITERAL = {
 }
 _DELEGATED = {"desc", "asc", "broadcast", "pandas_udf", "udf", "arrays_zip", "expr"}
 _LAMBDA = {"transform", "filter", "exists", "forall", "aggregate", "array_sort"}
-_RENAMED = {"count_distinct": "count"}
 
 
 class _Functions:

@@ -9,7 +9,7 @@ from crawlscope.functions.sql import F
 from crawlscope import registry
 from crawlscope.functions.expr import choose, let
 from crawlscope.functions.urls import (
-    PAGE_TYPES, ZONES, alias_hosts, exclusion_reason, fetch_key, host_of, is_section_hub, origin_of, page_type, path_of, query_keys, segments, split_extension,
+    ZONES, alias_hosts, exclusion_reason, fetch_key, host_of, is_section_hub, origin_of, page_type, path_of, query_keys, segments, split_extension,
     type_rank, url_parts, zone_rank,
 )
 from crawlscope.operators.skew import best_per_group, heavy_from_counts, join_on_hot_key
@@ -268,5 +268,3 @@ def apply_selection(chosen: DataFrame, proposed: DataFrame, candidates: DataFram
         choose((F.col("p").isNotNull(), F.col("p.reason")), (F.col("c").isNotNull(), "candidate chosen by the operator"), default="added by the operator").alias("reason"),
     )
 
-
-TYPES = PAGE_TYPES

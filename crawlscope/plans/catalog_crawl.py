@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
-
 from crawlscope import registry
 from crawlscope.functions import urls as U
 from crawlscope.functions.expr import each
@@ -638,5 +636,3 @@ def site_facts(spark, root):
     rows = S.site_facts(crawl_pages(spark, root, "generator", "hreflang"))
     return rows.select("site", F.coalesce("cms", F.lit("")).alias("cms"), "compared_pages", "has_hreflang")
 
-
-W = Window

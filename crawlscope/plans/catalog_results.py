@@ -5,7 +5,7 @@ from __future__ import annotations
 from crawlscope import registry
 from crawlscope.functions.sql import F
 from crawlscope.operators import results as R
-from crawlscope.plans.catalog import crawl_states, joined, query
+from crawlscope.plans.catalog import crawl_states, query
 from crawlscope.plans.catalog_crawl import SITE
 from crawlscope.session import cut
 from crawlscope.sources.tables import read_pages
@@ -219,8 +219,6 @@ def run_history(spark, root):
     return sinks.history(latest, 2).select("tenant_id", "rank", "audit_id", "version")
 
 
-JOINED = joined
-
 
 def full_inputs(spark, root):
     from crawlscope.plans.audit import Inputs

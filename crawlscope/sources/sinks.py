@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope.operators.skew import best_per_group
@@ -53,5 +53,3 @@ def for_tenant(df: DataFrame, tenant_id) -> DataFrame:
     """The one reader of report tables: rows of other tenants do not exist for a caller."""
     return df.filter(F.col("tenant_id") == F.lit(tenant_id))
 
-
-WINDOW = Window
