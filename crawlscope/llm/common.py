@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,13 +61,49 @@ def remainder_of(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, most_chars: int) -> DataFrame:
+    """doc_id, text, y of at most `most` labelled documents with at most `most_chars` characters together.
+
+    They are the first in order of a hash of the id. The list of ids is bounded by `most`, so it may be broadcast, and one task
+    may add up the lengths.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    first = Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_chars", F.sum(F.length("text")).over(first)).filter(F.col("_chars") <= most_chars).drop("_chars")
+
+
+def series_udf(of_batches, kind: str = "double"):
+    """A pandas UDF over an iterator of series, which keeps what it has learned from one batch to the next."""
+    import pandas as pd
+
+    of_batches.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(of_batches, kind)
+
+
+#: ASCII signs that are neither letters, digits nor white space.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class PieceEncoder:
     """The ids of a text by a public tokenizer, each different piece encoded once.
 
     Both supported pre-tokenizers never let a token cross a line break or the space before a word, so a text's ids are those of
-    its pieces in turn. Pieces not met before are sent to the library together, with a separator whose id is known between them.
-    Texts for which the rule isn't certain (runs of spaces or line breaks) go to the library whole. `kind` is "byte" for byte
-    level BPE, where a word keeps its leading space, and "word" for BPE that drops white space.
+    its pieces in turn; nor does a token join letters and the signs after them. New words of letters go to the library's model as
+    they stand; other new pieces are sent together, with a separator whose id is known between them. Texts for which the rule
+    isn't certain (runs of spaces or line breaks) go to the library whole. `kind` is "byte" for byte level BPE, where a word keeps
+    its leading space, and "word" for BPE on lower-cased words without white space.
     """
 
     def __init__(self, path: str, kind: str, limit: int = 600_000):
@@ -74,8 +111,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.limit = Tokenizer.from_file(path), kind, limit
+        self.model = self.tokenizer.model
         self.glue, self.mark = ("\n", "\n") if kind == "byte" else (" | ", "|")
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # fixed values: bytes that byte level BPE writes as themselves
+        rest = [b for b in range(256) if b not in plain]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.memo: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -86,19 +127,39 @@ class PieceEncoder:
 
     def pieces(self, text: str) -> list[str] | None:
         if self.kind == "word":
-            return text.replace("\n", " ").split(" ")
+            return (text.lower() if latin(text) else text).replace("\n", " ").split(" ")
         if text.startswith("\n") or text.endswith(("\n", " ")) or "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[:1] == " ":
             return None
         return text.replace("\n", " \n ").replace(" ", "\0 ").replace("\0 \n\0 ", "\0\n\0").split("\0") if "\0" not in text else None
 
-    def learn(self, new: list[str]) -> None:
+    def is_word(self, piece: str) -> bool:
+        """Letters only, which normalisation leaves alone but for their case."""
+        return piece[piece[:1] == " " :].isalpha() and latin(piece)
+
+    def learn(self, new: set[str]) -> None:
+        from array import array
+
         import numpy as np
 
-        known = self.memo
-        for w in [w for w in new if self.mark in w or len(w.split()) != 1]:
+        known, letters, tokenize, lower = self.memo, self.letters, self.model.tokenize, self.kind == "word"
+        words, others, ended, space = set(), set(), [], self.letters[32]
+        for w in new:
+            if self.is_word(w):
+                words.add(w)
+            elif w.isascii() and (end := len(w.rstrip(SIGNS))) and self.is_word(w[:end]):
+                ended.append((w, w[:end], w[end:]))
+                words.add(w[:end])
+                others.add(w[end:])
+            else:
+                others.add(w)
+        for w in words.difference(known):
+            raw = w.lower() if lower else w
+            raw = raw.replace(" ", space) if raw.isascii() else "".join([letters[b] for b in raw.encode()])
+            known[w] = array("I", [t.id for t in tokenize(raw)]).tobytes()
+        others = others.difference(known)
+        for w in [w for w in others if self.mark in w or len(w.split()) != 1]:
             known[w] = self.whole(w)
-        ended = [w for w in new if w[-1] in ".," and w[-2:-1].isalpha() and w not in known]  # no token joins a letter and a stop
-        rest = list({*new, *(w[:-1] for w in ended)}.difference(known, ended))
+        rest = list(others.difference(known))
         parts = [rest[i : i + 256] for i in range(0, len(rest), 256)]
         for part, got in zip(parts, self.tokenizer.encode_batch_fast([self.glue.join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, dtype="<u4")
@@ -109,9 +170,8 @@ class PieceEncoder:
             for w, cut in zip(part, [*cuts.tolist(), len(ids)], strict=True):
                 known[w] = raw[4 * at : 4 * cut]
                 at = cut + 1
-        stops = {c: self.whole(c) for c in ".,"}
-        for w in ended:
-            known[w] = known[w[:-1]] + stops[w[-1]]
+        for w, word, signs in ended:
+            known[w] = known[word] + known[signs]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -119,10 +179,12 @@ class PieceEncoder:
         if len(self.memo) > self.limit:  # pieces met again move on from the older half, the others go
             self.older, self.memo = self.memo, {"": b""}
         memo, older = self.memo, self.older
-        if missing := set().union(*(p for p in split if p is not None)).difference(memo):
-            memo.update({w: older[w] for w in missing.intersection(older)})
-            self.learn(list(missing.difference(older)))
-        return [self.whole(t) if p is None else b"".join(map(memo.__getitem__, p)) for t, p in zip(texts, split, strict=True)]
+        found = set().union(*(p for p in split if p is not None))
+        missing = found.difference(memo)
+        memo.update({w: older[w] for w in missing.intersection(older)})
+        self.learn(missing.difference(older))
+        near = {w: memo[w] for w in found}.__getitem__  # a small table for the many lookups
+        return [self.whole(t) if p is None else b"".join(map(near, p)) for t, p in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=4)

@@ -92,7 +92,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, c
         held = 0
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in slices([len(t) for t in texts], 1 << 20):
+            for a, b in slices([len(t) for t in texts], 1 << 22):
                 for doc, raw in zip(ids[a:b], coder.encode(texts[a:b]), strict=True):
                     raw += end
                     n, at = len(raw) // 4, 0

@@ -34,7 +34,7 @@ def write_tokens(
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in slices([len(t) for t in texts], 1 << 20):
+            for a, b in slices([len(t) for t in texts], 1 << 22):
                 raw = [x + end for x in coder.encode(texts[a:b])]
                 n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
                 ends = np.cumsum(n)
