@@ -216,4 +216,6 @@ def read_records(index: DataFrame) -> DataFrame:
                     rows, held = [], 0
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return index.filter("error is null").repartition("file").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInPandas(run, RECORD_SCHEMA)
+    known = index.filter("error is null")
+    files = max(1, known.agg(F.count_distinct("file")).first()[0])  # as a number, so that the few index rows aren't put together
+    return known.repartition(files, "file").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInPandas(run, RECORD_SCHEMA)
