@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlscope.llm import interleave, packing, token_files, warc
-from crawlscope.llm.common import shared_folder, written
+from crawlscope.llm import edit_match, interleave, line_chunks, noisy_or, packing, pivot_search, subword, token_files, warc
+from crawlscope.llm.common import remainder_of, shared_folder, written
 
 
 def vocabulary(name: str) -> str:
@@ -35,14 +35,40 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), remainder_of(F.col("doc_id"), 5)
+    model = noisy_or.fit(docs, table(spark, sf_dir, "labels"), "toxic", fold != 0)
+    out = noisy_or.scored(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), remainder_of(F.col("doc_id"), 4)
+    model = subword.fit(docs, table(spark, sf_dir, "labels"), "quality", fold != 2)
+    out = subword.scored(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, transform=lambda x: F.floor(x * 256).cast("double"), k=5)
+
+
 def op6_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = interleave.interleaved(table(spark, sf_dir, "documents"), shards=24)
     return places.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_edit_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_match.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), piece=512, block=1024)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op6_interleave, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_noisy_or, op4_subword, op5_pivots, op6_interleave, op8_line_chunks, op9_edit_match, op10_packing)}
