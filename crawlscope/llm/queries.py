@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlscope.llm import edit_match, interleave, line_chunks, noisy_or, packing, pivot_search, subword, token_files, warc
+from crawlscope.llm import chosen_path, edit_match, interleave, line_chunks, noisy_or, packing, pivot_search, subword, token_files, warc
 from crawlscope.llm.common import remainder_of, shared_folder, written
 
 
@@ -58,6 +58,10 @@ def op6_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.components(table(spark, sf_dir, "documents"), share=85)
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.repeats(table(spark, sf_dir, "documents"))
 
@@ -71,4 +75,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_noisy_or, op4_subword, op5_pivots, op6_interleave, op8_line_chunks, op9_edit_match, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_noisy_or, op4_subword, op5_pivots, op6_interleave, op7_chosen_path, op8_line_chunks, op9_edit_match, op10_packing)}
