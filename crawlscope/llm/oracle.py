@@ -2,4 +2,72 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+OP2 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
+d AS (
+  SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32),
+    lambda i: substr('{BASE32}', ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest
+  FROM h),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM w
+"""
+
+OP5 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+#: crc32 over the UTF-8 bytes: eight shifts make the table, a fold runs over the bytes.
+CRC = """
+crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+codes AS (
+  SELECT *, flatten(list_transform(CASE WHEN length(body) = 0 THEN [] ELSE string_split(body, '') END, lambda ch: CASE
+    WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT]
+    WHEN unicode(ch) < 2048 THEN [192 | (unicode(ch) >> 6)::BIGINT, 128 | (unicode(ch) & 63)::BIGINT]
+    WHEN unicode(ch) < 65536 THEN [224 | (unicode(ch) >> 12)::BIGINT, 128 | ((unicode(ch) >> 6) & 63)::BIGINT, 128 | (unicode(ch) & 63)::BIGINT]
+    ELSE [240 | (unicode(ch) >> 18)::BIGINT, 128 | ((unicode(ch) >> 12) & 63)::BIGINT, 128 | ((unicode(ch) >> 6) & 63)::BIGINT, 128 | (unicode(ch) & 63)::BIGINT] END)) AS bytes FROM body),
+sums AS (
+  SELECT codes.* EXCLUDE (body, bytes), xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM codes, crc_table)
+"""
+
+OP6 = f"""
+WITH body AS (SELECT doc_id, coalesce('s' || source, 'n') AS src, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size, coalesce(text, '') AS body FROM documents),
+{CRC},
+h AS (SELECT *, ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null') || ':' || text_crc32), 1, 15))::BIGINT AS hash FROM sums),
+r AS (
+  SELECT *, (row_number() OVER (PARTITION BY src ORDER BY hash, doc_id, size) - 1 + ('0x' || substr(md5('0:' || src), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE)
+    / count(*) OVER (PARTITION BY src)::DOUBLE AS place FROM h),
+o AS (SELECT *, row_number() OVER (ORDER BY place, src, hash, doc_id, size) - 1 AS pos, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 24 // n)::INT AS shard, (pos - ((pos * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard FROM o
+"""
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP7 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= 85 * (na + nb - c) UNION ALL SELECT b, a FROM pairs WHERE 100 * c >= 85 * (na + nb - c)),
+reach AS (SELECT doc_id, doc_id AS r FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r),
+least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN least USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op2_warc": OP2, "op5_pivots": OP5, "op6_interleave": OP6, "op7_chosen_path": OP7}
