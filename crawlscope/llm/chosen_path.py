@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import slices, written
+from crawlscope.llm.common import small_batches, written
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -258,6 +258,7 @@ def components(
     as the session shuffles to).
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(docs.sparkSession)
     own = written(sketched(docs, width, tokens, seed), "path-sketches")
     key = ["n", "a", "b"]
     classes = own.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))

@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Whole texts go to Python in batches of at most `rows`, for this session from here on: a batch of long texts must fit beside the others."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage ends there and a lost executor costs nothing more."""
     path = shared_folder(df.sparkSession, name)

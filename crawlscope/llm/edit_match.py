@@ -18,7 +18,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import series_udf
+from crawlscope.llm.common import series_udf, small_batches
 
 HIT = "array<struct<item_id:long,start:long,length:long,distance:long>>"
 
@@ -143,6 +143,7 @@ def matched(docs: DataFrame, items: DataFrame, share: float = 0.06, least_piece:
 
         return series_udf(search, HIT)
 
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     found = [searcher(context.broadcast(block))(docs["text"]) for block in blocks(items, least_chars, block_chars)]
     none = F.array().cast(HIT)

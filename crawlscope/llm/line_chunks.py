@@ -3,10 +3,12 @@
 A text is taken as lines; lines of prose are divided after sentence ends too, so a passage is found wherever line breaks fall. A
 hash rolls over the hashes of neighbouring lines and chooses the cuts: the same lines are cut alike whatever stands before them.
 Chunks of several lines are counted over all documents; of a repeated chunk the first occurrence (smallest id, then place) stays
-and the others are removed, after their bytes, but for the ends of lines, were compared with the first's. Several seeds choose cuts independently, so that the
-ends of a passage which one seed misses are met by another. A removed line always has an equal line that is kept.
+and the others are removed, after their bytes, but for the ends of lines, were compared with the first's. Several seeds choose cuts
+independently, so that the ends of a passage which one seed misses are met by another. A removed line always has an equal line
+that is kept.
 
-What is counted holds hashes and places only. Texts are joined by document; a chunk's occurrences are never gathered.
+What is counted holds hashes and places only. Texts are joined by document and block of lines; a chunk's occurrences are never
+gathered. Work on a text is linear in its length: long texts are taken in blocks of lines, and a chunk ends with its block.
 
 Cases: null and empty texts have no chunks and pass through as they are; rows that share an id count as one document (all are cut
 alike if their texts are); a null id is smaller than all; an empty table gives no rows; other columns pass through `without_repeats`.
@@ -14,75 +16,103 @@ alike if their texts are); a null id is smaller than all; an empty table gives n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlscope.llm.common import written
 
-#: A line ends after a line break, or after a sentence end and a blank.
-ENDS = r"(?<=\n)|(?<=[.!?] )"
+BLOCK = 128
 
 
-def lines(text: Column) -> Column:
-    """The lines of a text with their ends; put together they are the text."""
-    return F.split(text, ENDS)
+def marked(text: Column) -> Column:
+    """The text with a mark where a line ends: after a line break, or after a sentence end and a blank. The mark itself counts as a blank."""
+    text = F.replace(text, F.lit("\1"), F.lit(" "))
+    for end in ("\n", ". ", "! ", "? "):
+        text = F.replace(text, F.lit(end), F.lit(end + "\1"))
+    return text
 
 
-def bare(line: Column) -> Column:
-    return F.rtrim(line, F.lit(" \t\r\n"))
+def plain(text: Column) -> Column:
+    """Line breaks as blanks: what chunks are compared by."""
+    return F.replace(text, F.lit("\n"), F.lit(" "))
+
+
+def blocks(docs: DataFrame, of) -> DataFrame:
+    """doc_id, block, text, start (characters before it): at most BLOCK lines of a document, marked; `of` maps the marked text."""
+    rows = docs.filter("length(text) > 0").select(docs["doc_id"].cast("long").alias("doc_id"), of(marked(docs["text"])).alias("_t"))
+    rows = rows.withColumn("_n", F.length("_t") - F.length(F.replace("_t", F.lit("\1"))))
+    whole = F.array(F.struct(F.col("_t").alias("text"), F.lit(0).alias("start")))
+    piece = lambda a, n: F.array_join(F.slice(F.split("_t", "\1"), a, n), "\1")
+    # for long texts only; a text of m blocks is divided 2 m times
+    several = F.transform(F.sequence(F.lit(0), F.floor(F.col("_n") / BLOCK).cast("int")), lambda b: F.struct(piece(b * BLOCK + 1, F.lit(BLOCK)).alias("text"), F.length(F.replace(piece(F.lit(1), b * BLOCK), F.lit("\1"))).alias("start")))
+    parts = F.when(F.col("_n") < BLOCK, whole).otherwise(several)
+    return rows.select("doc_id", F.posexplode(parts).alias("block", "_b")).select("doc_id", "block", "_b.text", "_b.start")
 
 
 def chunks(docs: DataFrame, seeds: int, modulus: int, least_lines: int) -> DataFrame:
-    """hash, doc_id, first (line, from 1), size (lines) of every chunk of at least `least_lines` lines."""
-    hashed = docs.select(docs["doc_id"], F.transform(lines(docs["text"]), lambda x: F.xxhash64(bare(x))).alias("_h")).filter("size(_h) > 1")
-    tables = []
-    for seed in range(seeds):
-        # the rolling hash of two neighbouring lines, cut where it is divisible
-        rolled = F.transform(F.col("_h"), lambda h, i: F.xxhash64(F.lit(seed), F.when(i > 0, F.get(F.col("_h"), i - 1)), h))
-        cuts = F.filter(F.sequence(F.lit(1), F.size("_h")), lambda i: (F.pmod(F.get(F.col("_r"), i - 1), F.lit(modulus)) == 0) | (i == F.size("_h")))
-        spans = F.transform(F.col("_c"), lambda c, j: F.struct((F.coalesce(F.when(j > 0, F.get(F.col("_c"), j - 1)), F.lit(0)) + 1).alias("first"), c.alias("last")))
-        found = hashed.withColumn("_r", rolled).withColumn("_c", cuts).select("doc_id", "_h", F.explode(F.filter(spans, lambda s: s["last"] - s["first"] + 1 >= least_lines)).alias("_s"))
-        size = (F.col("_s.last") - F.col("_s.first") + 1).alias("size")
-        tables.append(found.select(F.xxhash64(F.lit(seed), F.slice("_h", F.col("_s.first"), F.col("_s.last") - F.col("_s.first") + 1)).alias("hash"), "doc_id", F.col("_s.first").alias("first"), size))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionAll(t)
-    return out
+    """hash, doc_id, block, first (line of the block, from 1), size (lines) of every chunk of at least `least_lines` lines.
+
+    A rolling hash covers two lines; eight of its bits choose whether a seed cuts before the next. Per seed the lines' hashes are
+    written in a row, with a bar and the line's number at each cut, and divided at the bars. A block as a whole is a chunk too, so
+    copies of a document go whole.
+    """
+    hashed = blocks(docs, plain).select("doc_id", "block", F.transform(F.split("text", "\1"), lambda x: F.hash(F.rtrim(x))).alias("_h"))
+    back = lambda a, kind: F.slice(F.concat(F.array(F.lit(None).cast(kind)), a), 1, F.size(a))
+    rolled = hashed.select("doc_id", "block", "_h", F.zip_with("_h", back(F.col("_h"), "int"), lambda h, p: F.xxhash64(p, h)).alias("_r"))
+    near = rolled.select("doc_id", "block", F.zip_with("_h", back(F.col("_r"), "bigint"), lambda h, r: F.struct(h.cast("string").alias("h"), r.alias("r"))).alias("_z"))
+
+    def row(seed: int) -> Column:
+        cut = lambda z: F.pmod(F.shiftright(z["r"], 8 * seed), F.lit(modulus)) == 0
+        before = lambda z, i: F.when(i == 0, "1:").when(cut(z), F.concat(F.lit("|"), (i + 1).cast("string"), F.lit(":"))).otherwise(",")
+        return F.array_join(F.transform("_z", lambda z, i: F.concat(before(z, i), z["h"])), "")
+
+    uncut = F.struct(F.lit(-1).alias("seed"), F.concat(F.lit("1:"), F.array_join(F.transform("_z", lambda z: z["h"]), ",")).alias("row"))
+    rows = near.select("doc_id", "block", F.explode(F.array(uncut, *[F.struct(F.lit(s).alias("seed"), row(s).alias("row")) for s in range(seeds)])).alias("_r"))
+    found = rows.select("doc_id", "block", F.col("_r.seed").alias("seed"), F.explode(F.split("_r.row", r"\|")).alias("_c"))
+    found = found.filter(F.instr("_c", ",") > 0)  # one line alone has no comma
+    found = found.select("doc_id", "block", "seed", F.substring_index("_c", ":", 1).cast("int").alias("first"), F.substring_index("_c", ":", -1).alias("_c"))
+    found = found.withColumn("size", (F.length("_c") - F.length(F.replace("_c", F.lit(","))) + 1).cast("int")).filter(F.col("size") >= least_lines)
+    return found.select(F.xxhash64("seed", "_c").alias("hash"), "doc_id", "block", "first", "size")
 
 
 def repeats(docs: DataFrame, seeds: int = 3, modulus: int = 2, least_lines: int = 2, least_bytes: int = 40) -> DataFrame:
-    """Repeated chunks but for the first of each: doc_id, first and size (lines), start and length (characters), kept_doc_id, kept_first."""
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    every = chunks(docs.filter("length(text) > 0"), seeds, modulus, least_lines)
-    place = F.struct("doc_id", "first")
-    shared = every.groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("kept")).filter("_n > 1").drop("_n")
-    met = every.join(shared, "hash")
-    by_doc = met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("hash", "first", "size", "kept")).alias("_met"))  # a document's own chunks
-    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", lines(F.col("text")).alias("_lines"), F.explode("_met").alias("_m"))
-    piece = lambda a, n: F.slice("_lines", a, n)
-    texts = written(
-        joined.select(
-            "doc_id", "_m.*", F.length(F.array_join(piece(F.lit(1), F.col("_m.first") - 1), "")).alias("start"),
-            F.length(F.array_join(piece(F.col("_m.first"), F.col("_m.size")), "")).alias("length"),
-            F.array_join(F.transform(piece(F.col("_m.first"), F.col("_m.size")), bare), "\n").alias("chunk"),
-        ).filter(F.octet_length("chunk") >= least_bytes),
-        "chunk-texts",
-    )
-    is_kept = (F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))) & (F.col("first") == F.col("kept.first"))
-    kept = texts.filter(is_kept).groupBy("hash").agg(F.min("chunk").alias("kept_chunk"))
-    same = texts.filter(~is_kept).join(kept, "hash").filter(F.col("chunk") == F.col("kept_chunk"))
-    return same.select(
-        "doc_id", "first", "size", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"),
-        F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.first").alias("kept_first"),
+    """Repeated chunks but for the first of each: doc_id, start and length (characters), size (lines), kept_doc_id, kept_start."""
+    every = written(chunks(docs, seeds, modulus, least_lines), "chunks")
+    first_doc = F.min(F.coalesce("doc_id", F.lit(-(1 << 63))))  # no id is smaller than all
+    shared = every.groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), first_doc.alias("kept_doc_id")).filter("_n > 1").drop("_n")
+    met = every.join(shared.hint("shuffle_hash"), "hash")
+    by_block = met.groupBy(F.col("doc_id").alias("_id"), F.col("block").alias("_block")).agg(F.collect_list(F.struct("hash", "first", "size", "kept_doc_id")).alias("_met"))
+    same_block = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("block") == F.col("_block"))
+    whole = blocks(docs, lambda t: t).join(by_block.hint("shuffle_hash"), same_block)
+    whole = whole.select("doc_id", F.col("start").alias("_start"), F.split("text", "\1").alias("_l"), "_met")  # divided once, before the chunks are listed
+    joined = whole.select("doc_id", "_start", "_l", F.explode("_met").alias("_m"))
+    own = F.slice("_l", F.col("_m.first"), F.col("_m.size"))
+    texts = joined.select(
+        "doc_id", "_m.hash", "_m.size", F.coalesce("doc_id", F.lit(-(1 << 63))).eqNullSafe(F.col("_m.kept_doc_id")).alias("_own"),
+        (F.col("_start") + F.length(F.array_join(F.slice("_l", F.lit(1), F.col("_m.first") - 1), ""))).cast("long").alias("start"),
+        F.length(F.array_join(own, "")).cast("long").alias("length"), F.rtrim(plain(F.array_join(own, ""))).alias("chunk"),
     )
+    texts = written(texts.filter(F.octet_length("chunk") >= least_bytes), "chunk-texts")
+    kept = texts.filter("_own").groupBy("hash").agg(F.min(F.struct("start", "chunk", "doc_id")).alias("_k"))
+    kept = kept.select("hash", F.col("_k.start").alias("kept_start"), F.col("_k.chunk").alias("kept_chunk"), F.col("_k.doc_id").alias("kept_doc_id"))
+    same = texts.join(kept, "hash").filter((F.col("chunk") == F.col("kept_chunk")) & ~(F.col("_own") & (F.col("start") == F.col("kept_start"))))
+    return same.select("doc_id", "start", "length", "size", "kept_doc_id", "kept_start")
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """`docs` with the repeated lines cut out of the text; `_llm_cut` tells how many lines went."""
-    gone = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", F.col("first") + F.col("size") - 1)))).alias("_llm_gone"))
-    gone = gone.withColumnRenamed("doc_id", "_llm_id")
-    all_lines = lines(F.col("text"))
-    kept = F.array_except(F.sequence(F.lit(1), F.size(all_lines)), F.col("_llm_gone"))
-    text = F.when(F.col("_llm_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(all_lines, i - 1)), ""))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left")
-    return joined.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns], F.coalesce(F.size("_llm_gone"), F.lit(0)).alias("_llm_cut"))
+    """`docs` with the repeated chunks cut out of the text; `_llm_cut` tells how many stretches went."""
+    by_start = Window.partitionBy("doc_id").orderBy("start", "end")
+    spans = found.select("doc_id", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+    spans = spans.withColumn("_before", F.coalesce(F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
+    spans = spans.withColumn("_run", F.count_if(F.col("start") > F.col("_before")).over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    ahead = Window.partitionBy("doc_id").orderBy("start")
+    gaps = spans.select("doc_id", F.col("start").alias("to"), F.coalesce(F.lag("end").over(ahead), F.lit(0)).alias("from"), F.lead("start").over(ahead).isNull().alias("_last"), "end")
+    kept = gaps.groupBy(F.col("doc_id").alias("_llm_id")).agg(
+        F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_llm_kept"), F.max(F.when(F.col("_last"), F.col("end"))).alias("_llm_end"), F.count(F.lit(1)).cast("int").alias("_llm_n")
+    )
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left")
+    cut = F.array_join(F.transform("_llm_kept", lambda k: F.substring(F.col("text"), (k["from"] + 1).cast("int"), (k["to"] - k["from"]).cast("int"))), "")
+    rest = F.substring(F.col("text"), (F.col("_llm_end") + 1).cast("int"), F.length("text"))
+    text = F.when(F.col("_llm_id").isNull() & F.col("_llm_n").isNull(), F.col("text")).otherwise(F.concat(cut, rest))
+    return joined.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns], F.coalesce("_llm_n", F.lit(0)).alias("_llm_cut"))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import labelled_sample, series_udf, slices
+from crawlscope.llm.common import labelled_sample, series_udf, slices, small_batches
 from crawlscope.llm.subword import Shape
 
 EDGE = re.compile(r"^\W+|\W+$")
@@ -153,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """`docs` with the probability that a text offends. The model has one weight per bucket."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
@@ -169,6 +170,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 def located(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The sentences of at least `least`: doc_id, start (characters), sentence, probability."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def find(batches: Iterator) -> Iterator:

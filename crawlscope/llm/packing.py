@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from crawlscope.llm.common import piece_encoder, slices
+from crawlscope.llm.common import piece_encoder, slices, small_batches
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -113,4 +113,5 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, c
         if rows:
             yield full()
 
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE_SCHEMA)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import labelled_sample, series_udf, slices
+from crawlscope.llm.common import labelled_sample, series_udf, slices, small_batches
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -64,7 +64,7 @@ class Shape:
 class Words:
     """What is known of words met so far: number, hash, sum of shares, number of features, and for training the buckets."""
 
-    def __init__(self, shape: Shape, share: np.ndarray | None = None, limit: int = 400_000):
+    def __init__(self, shape: Shape, share: np.ndarray | None = None, limit: int = 200_000):
         self.shape, self.share, self.limit = shape, share, limit
         self.clear()
 
@@ -97,13 +97,13 @@ class Words:
 
 
 def features(texts: list[str], words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Different buckets of each text and how often each occurs."""
+    """Different buckets of each text and the share of its features in each."""
     for found in words.split(texts):
         at = words.numbers(found)
         own = [words.buckets[i] for i in at.tolist()]
         counts = np.bincount(np.concatenate([*own, words.shape.pairs(words.ids[at])])) if own else np.zeros(0, np.int64)
         buckets = np.flatnonzero(counts)
-        yield buckets.astype(np.int32), counts[buckets].astype(np.int32)
+        yield buckets.astype(np.int32), (counts[buckets] / max(1, counts.sum())).astype(np.float32)
 
 
 @dataclass
@@ -126,18 +126,16 @@ class Model:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], shape: Shape, size: int = 10, epochs: int = 8, rate: float = 1.0, seed: int = 0) -> Model:
-    """Stochastic gradient descent over (buckets, counts, label) rows; the rate falls to zero in a line."""
+    """Stochastic gradient descent over (buckets, shares, label) rows; the rate falls to zero in a line."""
     if len({y for *_, y in rows}) < 2:
         raise ValueError("labels of both classes are needed")
     dice = np.random.default_rng(seed)
     vectors = dice.uniform(-1 / size, 1 / size, (1 << shape.bits, size)).astype(np.float32)
     output, bias = np.zeros((2, size), dtype=np.float32), np.zeros(2, dtype=np.float32)
-    weights = [(c / max(c.sum(), 1)).astype(np.float32) for _, c, _ in rows]
     steps, step = epochs * len(rows), 0
     for _ in range(epochs):
         for i in dice.permutation(len(rows)):
-            buckets, _, y = rows[i]
-            w = weights[i]
+            buckets, w, y = rows[i]
             own = vectors[buckets]
             hidden = w @ own if len(w) else np.zeros(size, dtype=np.float32)
             z = output @ hidden + bias
@@ -155,7 +153,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], shape: Shape, size: in
     return Model(shape, (vectors @ (output[1] - output[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, most: int = 5000, most_chars: int = 1 << 26, shape: Shape = Shape(), **settings) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, most: int = 2500, most_chars: int = 1 << 24, shape: Shape = Shape(), **settings) -> Model:
     """Train on at most `most` labelled documents (whole texts, `most_chars` together); features are counted by the executors."""
 
     def count(batches: Iterator) -> Iterator:
@@ -166,16 +164,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Colu
             texts = batch["text"].tolist()
             for a, b in slices([len(t) for t in texts], 1 << 20):
                 got = list(features(texts[a:b], words))
-                yield pd.DataFrame({"doc_id": batch["doc_id"][a:b], "y": batch["y"][a:b], "buckets": [g[0] for g in got], "counts": [g[1] for g in got]})
+                yield pd.DataFrame({"doc_id": batch["doc_id"][a:b], "y": batch["y"][a:b], "buckets": [g[0].tobytes() for g in got], "weights": [g[1].tobytes() for g in got]})
 
+    small_batches(docs.sparkSession)
     usable = F.lit(True) if usable is None else usable
-    rows = labelled_sample(docs, labels, label, usable, most, most_chars).mapInPandas(count, "doc_id long, y int, buckets array<int>, counts array<int>").toPandas()
+    rows = labelled_sample(docs, labels, label, usable, most, most_chars).mapInPandas(count, "doc_id long, y int, buckets binary, weights binary").toPandas()
     rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    return train([(np.asarray(b), np.asarray(c), int(y)) for b, c, y in zip(rows["buckets"], rows["counts"], rows["y"], strict=True)], shape, **settings)
+    bags = [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32), int(y)) for b, w, y in zip(rows["buckets"], rows["weights"], rows["y"], strict=True)]
+    return train(bags, shape, **settings)
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """`docs` with the probability of label 1. The model has one number per bucket and travels with the tasks."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):

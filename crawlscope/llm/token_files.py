@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import piece_encoder, shared_folder, slices
+from crawlscope.llm.common import piece_encoder, shared_folder, slices, small_batches
 
 FILE_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, tokens array<int>"
 
@@ -42,6 +42,7 @@ def write_tokens(
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, shard, dtype=np.int32)), ids.slice(a, b - a), pa.array(start + ends - n), pa.array(n), lists], names=["shard", "doc_id", "shard_start", "n_tokens", "tokens"])
                 start += int(ends[-1])
 
+    small_batches(docs.sparkSession)
     path = path or shared_folder(docs.sparkSession, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
