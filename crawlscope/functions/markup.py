@@ -29,7 +29,7 @@ JSON_LD = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]
 LANDMARKS = {"nav": "nav", "header": "nav", "footer": "footer", "main": "main", "article": "main"}
 LANDMARK_ROLES = {"navigation": "nav", "banner": "nav", "contentinfo": "footer", "main": "main"}
 # Fixed value: attribute a renderer leaves on computed-hidden subtrees.
-HIDDEN_MARK = "data-wa-hidden"
+HIDDEN_MARK = "data-rendered-hidden"  # a renderer may mark elements that style sheets hide
 VOID = "area base br col embed hr img input link meta source track wbr".split()
 
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crawlscope.functions.markup import HIDDEN_MARK
+
 # Tag sets and markers of the main-text rule.
 SKIP = frozenset("script style noscript template svg iframe canvas object embed select option head title meta link".split())
 BLOCK = frozenset(
@@ -26,6 +28,7 @@ HIDDEN_STYLES = ("display:none", "display: none", "visibility:hidden", "visibili
 # Tags a new block closes when they are still open.
 CLOSES_P = frozenset("p div ul ol dl table section article aside nav header footer main h1 h2 h3 h4 h5 h6 form pre blockquote figure hr address".split())
 SAME_LEVEL = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
+# Fixed value: how scripts name the address they go to.
 NAV_TARGET = re.compile(
     r"(?:location(?:\.href)?\s*=|location\.assign\(|location\.replace\(|window\.open\(|navigate\(|router\.push\(|goto\()\s*['\"`]([^'\"`]+)['\"`]", re.I
 )
@@ -104,7 +107,7 @@ def _norm(s: str) -> str:
 
 def _hidden(n: Node) -> bool:
     style = n.attrs.get("style", "").lower()
-    return "data-wa-hidden" in n.attrs or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" or any(s in style for s in HIDDEN_STYLES)
+    return HIDDEN_MARK in n.attrs or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" or any(s in style for s in HIDDEN_STYLES)
 
 
 def _chrome(n: Node) -> bool:
@@ -159,9 +162,19 @@ def _visible(root: Node) -> str:
     return _norm("".join(out))
 
 
+def _shown(root: Node):
+    """Nodes in order that neither are hidden nor lie in hidden ones."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if not _hidden(node):
+            yield node
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+
+
 def main_text(root: Node) -> tuple[list[str], str, str]:
     """(blocks, method, confidence) of the primary content."""
-    shown = [n for n in root.walk() if not _hidden(n) and not any(_hidden(a) for a in n.ancestors())]
+    shown = list(_shown(root))
     body = next((n for n in shown if n.tag == "body"), root)
     everything = _visible(body)
     mains = [n for n in shown if n.tag == "main" or n.attrs.get("role") == "main"]
@@ -182,46 +195,66 @@ def _item_value(n: Node) -> str:
     return _norm(n.text())
 
 
-def _items(root: Node) -> list[dict]:
-    """Microdata and RDFa items with their own properties only."""
-    out = []
-    for n in root.walk():
-        if "itemscope" in n.attrs and "itemtype" in n.attrs and "itemprop" not in n.attrs:
-            out.append({"format": "Microdata", "type": SCHEMA_ORG.sub("", (n.attrs["itemtype"].split() or [""])[0]), "props": _own(n, "itemprop", "itemscope", "itemtype", SCHEMA_ORG)})
-        if "typeof" in n.attrs and "property" not in n.attrs:
-            vocab = next((a.attrs["vocab"] for a in (n, *n.ancestors()) if "vocab" in a.attrs), "")
-            kind = n.attrs["typeof"].strip()
-            if "schema.org" in vocab.lower() or kind.lower().startswith("schema:"):
-                out.append({"format": "RDFa", "type": re.sub("^schema:", "", (kind.split() or [""])[0], flags=re.I), "props": _own(n, "property", "typeof", "typeof", re.compile("^schema:", re.I))})
-    return out
+def _kind(raw: str, prefix: re.Pattern) -> str:
+    return prefix.sub("", (raw.split() or [""])[0])
 
 
-def _own(item: Node, name: str, scope: str, kind: str, prefix: re.Pattern) -> dict[str, str]:
-    props = {}
-    for p in item.walk():
-        if p is item or name not in p.attrs or next((a for a in p.ancestors() if scope in a.attrs), None) is not item:
-            continue
-        key = prefix.sub("", p.attrs[name].split()[0]) if p.attrs[name].split() else ""
-        if key:
-            props[key] = f"@{prefix.sub('', p.attrs.get(kind, ''))}" if scope in p.attrs else _item_value(p)
-    return props
+def _items(root: Node) -> list[dict]:
+    """Microdata and RDFa items. Properties of a nested item belong to it and, by dotted name, to the items it is a value of.
+
+    One walk from the top carries the nearest item, its dotted prefix and the vocabulary, so depth costs nothing.
+    """
+    out: list[dict] = []
+    plain = re.compile("^schema:", re.I)
+    # the nearest items: lists of (properties, prefix), innermost first
+    stack = [(root, [], [], "")]
+    while stack:
+        n, micro, rdfa, vocab = stack.pop()
+        a = n.attrs
+        vocab = a.get("vocab", vocab)
+        for name, scope, kind, around, prefix in (("itemprop", "itemscope", "itemtype", micro, SCHEMA_ORG), ("property", "typeof", "typeof", rdfa, plain)):
+            key = prefix.sub("", a[name].split()[0]) if a.get(name, "").split() else ""
+            if key and around:
+                value = f"@{prefix.sub('', a.get(kind, ''))}" if scope in a else _item_value(n)
+                for props, path in around:
+                    props[path + key] = value
+            if scope in a:
+                props: dict[str, str] = {}
+                inside = [(props, ""), *((p, f"{path}{key}.") for p, path in around if key)]
+                if name == "itemprop":
+                    micro = inside
+                    if "itemtype" in a and "itemprop" not in a:
+                        out.append({"format": "Microdata", "type": _kind(a["itemtype"], SCHEMA_ORG), "props": props})
+                else:
+                    rdfa = inside
+                    if "property" not in a and ("schema.org" in vocab.lower() or a["typeof"].strip().lower().startswith("schema:")):
+                        out.append({"format": "RDFa", "type": _kind(a["typeof"], plain), "props": props})
+        stack.extend((c, micro, rdfa, vocab) for c in reversed(n.children) if isinstance(c, Node))
+    return out
 
 
 def _controls(root: Node) -> list[dict]:
     """Elements that navigate by script or data attribute and have no link around or inside them."""
+    around, holds = set(), set()
+    for n in root.walk():
+        if n.parent is not None and id(n.parent) in around or n.tag == "a" and "href" in n.attrs:
+            around.add(id(n))
+        if n.tag == "a" and "href" in n.attrs:
+            for p in n.ancestors():
+                if id(p) in holds:
+                    break
+                holds.add(id(p))
     out = []
     for n in root.walk():
         a = n.attrs
         if not any(k in a for k in ("data-href", "data-url", "data-link", "routerlink", "onclick")) and a.get("role") != "link":
             continue
-        if n.tag == "a" and a.get("href"):
-            continue
-        if any(x.tag == "a" and "href" in x.attrs for x in (n, *n.ancestors())) or any(x is not n and x.tag == "a" and "href" in x.attrs for x in n.walk()):
+        if id(n) in around or id(n) in holds:
             continue
         found = NAV_TARGET.search(a.get("onclick", ""))
         target = next((a[k] for k in ("data-href", "data-url", "data-link", "routerlink") if k in a), found.group(1) if found else None)
         if target:
-            out.append({"text": _norm(n.text())[:80], "target": target})
+            out.append({"text": _norm(n.text()), "target": target})
     return out
 
 

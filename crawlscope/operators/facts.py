@@ -8,11 +8,10 @@ from crawlscope.functions.sql import F
 
 from crawlscope.functions import markup as M
 from crawlscope.functions.expr import choose, each, let
-from crawlscope.functions.text import inner_text, norm, truncate
+from crawlscope.functions.text import inner_text, norm
 from crawlscope.functions.urls import alias_hosts, host_of, resolve
 
-# Limits of the extraction.
-MAX_ANCHORS, MAX_HEADINGS, MAX_IMAGES, MAX_AUTHORS, MAX_DATES = 3000, 80, 200, 5, 6
+# Fixed value: addresses that lead to no page.
 NON_PAGE_SCHEMES = r"(?i)^(mailto|tel|sms|javascript|data|blob|about|file):"
 
 
@@ -89,7 +88,7 @@ def anchors(markup: Column, contexts: Column, base: Column, doc_host: Column) ->
             ),
         ),
     ))
-    with_href = F.slice(F.filter(raw, lambda a: a["href"].isNotNull()), 1, MAX_ANCHORS)
+    with_href = F.filter(raw, lambda a: a["href"].isNotNull())
 
     def resolved(a: Column) -> Column:
         skip = choose(
@@ -106,9 +105,9 @@ def anchors(markup: Column, contexts: Column, base: Column, doc_host: Column) ->
             )
             return let(reason, lambda why: F.struct(
                 a["pos"].alias("pos"),
-                truncate(a["href"], 300).alias("href_raw"),
+                a["href"].alias("href_raw"),
                 F.when(why.isNull(), target).alias("url"),
-                truncate(a["text"], 120).alias("text"),
+                a["text"].alias("text"),
                 a["zone"].alias("zone"),
                 a["rel"].alias("rel"),
                 why.isNull().alias("crawlable"),
@@ -127,7 +126,7 @@ def first_alt(fragment: Column) -> Column:
 
 
 def headings(markup: Column, contexts: Column) -> Column:
-    """array<struct(level, text)> without hidden ones; empty texts kept out, at most 80."""
+    """array<struct(level, text)> without hidden ones; empty texts kept out."""
     page = F.struct(
         M.pieces_from(markup, "h[1-6]").alias("pieces"),
         F.transform(F.filter(contexts, lambda c: c["name"] != "a"), lambda c: c["hidden"]).alias("hidden"),
@@ -214,7 +213,7 @@ def extract(
         "titles": lambda: F.col("_titles"),
         "title": lambda: first_non_empty(F.col("_titles")),
         "meta_description": lambda: first_non_empty(F.transform(by_name("description"), norm)),
-        "headings": lambda: F.slice(F.col("_headings"), 1, MAX_HEADINGS),
+        "headings": lambda: F.col("_headings"),
         "h1": lambda: F.transform(F.filter(F.col("_headings"), lambda h: h["level"] == 1), lambda h: h["text"]),
         "canonical_head": lambda: F.col("_head_links"),
         "canonical_body": lambda: F.slice(F.col("_all_canonicals"), F.size("_head_links") + 1, F.size("_all_canonicals")),
@@ -230,26 +229,26 @@ def extract(
         "links": lambda: anchors(markup, F.col("_contexts"), F.col("_base"), F.col("_host")),
         "hreflang": lambda: hreflang(F.col("_links"), F.col("_link_header"), F.col("_base"), F.col(url)),
         "nosnippet_count": lambda: F.size(F.filter(tags, lambda t: t.rlike(r"(?i)\sdata-nosnippet[\s=>/]"))),
-        "nosnippet_excerpts": lambda: F.slice(F.transform(_marked_texts(markup, r"\sdata-nosnippet\b"), lambda t: truncate(t, 140)), 1, 3),
-        "images": lambda: F.slice(F.transform(M.named(tags, "img"), lambda t: let(M.parse_tag(t), lambda p: F.struct(
-            truncate(F.coalesce(M.attr(p, "src"), M.attr(p, "data-src"), F.lit("")), 200).alias("src"), M.attr(p, "alt").alias("alt")))), 1, MAX_IMAGES),
+        "nosnippet_excerpts": lambda: _marked_texts(markup, r"\sdata-nosnippet\b"),
+        "images": lambda: F.transform(M.named(tags, "img"), lambda t: let(M.parse_tag(t), lambda p: F.struct(
+            F.coalesce(M.attr(p, "src"), M.attr(p, "data-src"), F.lit("")).alias("src"), M.attr(p, "alt").alias("alt")))),
         "lists": lambda: let(count_tags(content_area, "ul|ol"), lambda n: F.when(n > 0, n).otherwise(count_tags(markup, "ul|ol"))),
         "tables": lambda: count_tags(markup, "table"),
         "landmarks": lambda: let(F.array_distinct(F.transform(tags, M.tag_name)), lambda names: F.array_intersect(F.array(*[F.lit(x) for x in ("header", "nav", "main", "footer", "article", "aside")]), names)),
         "noscript": lambda: count_tags(markup, "noscript") > 0,
         "generator": lambda: F.get(by_name("generator"), F.lit(0)),
-        "author_signals": lambda: F.slice(F.array_distinct(F.concat(
-            F.transform(F.filter(F.slice(F.transform(by_name("author"), norm), 1, 1), lambda a: a != ""), lambda a: F.concat(F.lit("meta author: "), a)),
-            F.transform(F.filter(F.slice(_marked_texts(markup, BYLINE), 1, 3), lambda t: t != ""), lambda t: F.concat(F.lit("byline: "), truncate(t, 80))),
+        "author_signals": lambda: F.array_distinct(F.concat(
+            F.transform(F.filter(F.transform(by_name("author"), norm), lambda a: a != ""), lambda a: F.concat(F.lit("meta author: "), a)),
+            F.transform(F.filter(_marked_texts(markup, BYLINE), lambda t: t != ""), lambda t: F.concat(F.lit("byline: "), t)),
             F.transform(ld_value("$.author.name"), lambda a: F.concat(F.lit("JSON-LD author: "), a)),
             F.transform(ld_value("$.author[0].name"), lambda a: F.concat(F.lit("JSON-LD author: "), a)),
-        )), 1, MAX_AUTHORS),
-        "date_signals": lambda: F.slice(F.array_distinct(F.concat(
-            F.transform(F.slice(F.filter(F.transform(M.named(tags, "time"), lambda t: M.attr(M.parse_tag(t), "datetime")), lambda d: d.isNotNull()), 1, 3), lambda d: F.concat(F.lit("time: "), d)),
+        )),
+        "date_signals": lambda: F.array_distinct(F.concat(
+            F.transform(F.filter(F.transform(M.named(tags, "time"), lambda t: M.attr(M.parse_tag(t), "datetime")), lambda d: d.isNotNull()), lambda d: F.concat(F.lit("time: "), d)),
             *[F.filter(F.array(F.concat(F.lit(f"{p}: "), by_property(p))), lambda d: d.isNotNull()) for p in ("article:published_time", "article:modified_time")],
             F.transform(ld_value("$.datePublished"), lambda d: F.concat(F.lit("JSON-LD datePublished: "), d)),
             F.transform(ld_value("$.dateModified"), lambda d: F.concat(F.lit("JSON-LD dateModified: "), d)),
-        )), 1, MAX_DATES),
+        )),
         "json_ld": lambda: F.col("_json"),
         "visible_text": lambda: M.visible_text(F.col("_plain")),
     }

@@ -28,7 +28,6 @@ CHALLENGE_TAGS = {
     "akamai": _ID + r"""(sec-if-cpt-container|sec-cpt-if)["'\s>]""",
     "imperva": r"""(?i)^<(?:script|iframe)\b[^>]*\ssrc\s*=\s*["']?[^"'>]*_Incapsula_Resource""",
     "captcha form": r"""(?i)^<form\b[^>]*(\sid\s*=\s*["']?captcha-form["'\s>]|\saction\s*=\s*["']?[^"'>]*(captcha|/challenge))""",
-    "fixture marker": r"(?i)\sdata-wa-fixture-challenge[\s=>/]",
 }
 CHALLENGE_PHRASES = (
     r"(?i)just a moment|checking your browser|verify(ing)? (that )?you are (a )?human|attention required|pardon our interruption|"
@@ -138,6 +137,14 @@ def hops_text(hops: Column) -> Column:
     return F.array_join(F.transform(hops, lambda h: F.concat_ws(" ", h["status"].cast("string"), h["url"], F.lit("->"), F.coalesce(h["location"], F.lit("null")))), " | ")
 
 
+def lowered_headers(headers: Column) -> Column:
+    """Header map with lower-case names. Values of a name written in several ways are kept one per line, as of a repeated one."""
+    entries = F.map_entries(headers)
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(
+        n.alias("key"), F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: e["value"]), "\n").alias("value"))))
+
+
 def with_validity(crawl: DataFrame) -> DataFrame:
     """Add raw_validity and dom_validity to RAW and RENDERED records."""
     marked = crawl.withColumns({

@@ -249,7 +249,7 @@ def _missing_in_map(props: Column, feature: Column, column: int) -> Column:
     out = F.lit(None).cast("array<string>")
     for d in registry.FEATURES:
         names = d[column].split()
-        absent = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: ~F.array_contains(F.map_keys(props), F.split_part(n, F.lit("."), F.lit(1)))) if names else F.array().cast("array<string>")
+        absent = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: ~F.coalesce(F.trim(F.element_at(props, n)) != "", F.lit(False))) if names else F.array().cast("array<string>")
         if column == 3 and d[4]:
             options = d[4].split()
             absent = F.concat(absent, F.when(~F.arrays_overlap(F.map_keys(props), F.array(*[F.lit(o) for o in options])), F.array(F.lit("one of " + " / ".join(options)))).otherwise(F.array().cast("array<string>")))
@@ -279,8 +279,7 @@ def visible_haystack() -> Column:
 
 def check_markup_visible() -> Column:
     labels = F.filter(F.transform(F.col("nodes"), lambda n: n["label"]), lambda v: v.isNotNull() & (F.trim(v) != ""))
-    # A value that is found in full is found by its first 40 characters too, so one test is enough.
-    hidden = let(visible_haystack(), lambda hay: F.filter(labels, lambda v: ~F.coalesce(hay.contains(F.substring(F.lower(norm(v)), 1, 40)), F.lit(False))))
+    hidden = let(visible_haystack(), lambda hay: F.filter(labels, lambda v: ~F.coalesce(hay.contains(F.lower(norm(v))), F.lit(False))))
     return let(F.struct(labels.alias("all"), hidden.alias("hidden")), lambda s: unit(
         "S-3.3", gate=F.coalesce(F.col("gate"), F.when(F.size(s["all"]) == 0, F.lit("NOT_APPLICABLE"))),
         reasons=when_array((F.size(s["hidden"]) > 0, F.lit("MARKUP_NOT_VISIBLE_ON_PAGE"))),
@@ -288,14 +287,19 @@ def check_markup_visible() -> Column:
     ))
 
 
-def check_opportunity() -> Column:
+def opportunity() -> Column:
+    """Markup that a page of this type could carry and lacks, else NULL."""
     have = F.transform(F.col("nodes"), lambda n: n["feature"])
     kind = F.col("page_type")
-    want = choose(
+    return choose(
         (kind.isin("homepage", "about") & ~F.coalesce(F.col("site_has_org"), F.lit(False)), "ORGANIZATION"),
         ((kind == "article") & ~F.coalesce(F.array_contains(have, "Article"), F.lit(False)), "ARTICLE"),
         ((kind == "author") & ~F.coalesce(F.array_contains(have, "Profile page"), F.lit(False)), "PROFILE_PAGE"),
     )
+
+
+def check_opportunity() -> Column:
+    want, kind = opportunity(), F.col("page_type")
     return unit("S-3.4", gate=F.col("gate"), reasons=when_array((want.isNotNull(), F.concat(F.lit("MARKUP_OPPORTUNITY_"), want))), observed=F.concat(F.lit("page type "), kind), locator="page type and markup", profile=F.col("best_profile"))
 
 
@@ -307,7 +311,8 @@ def markup_template() -> Column:
     context, kind = F.lit("https://schema.org").alias("@context"), F.col("page_type")
     person = F.struct(F.lit("Person").alias("@type"), F.coalesce(head, ask("person name")).alias("name"), ask("byline or credential").alias("description"))
     return (
-        F.when(kind.isin("homepage", "about"), F.to_json(F.struct(context, F.lit("Organization").alias("@type"), F.concat(root, F.lit("/#organization")).alias("@id"), ask("legal or brand name").alias("name"), F.concat(root, F.lit("/")).alias("url"), ask("absolute logo URL").alias("logo"), F.array(ask("official profile URLs")).alias("sameAs"))))
+        F.when(~F.coalesce(opportunity().isNotNull(), F.lit(False)), F.lit(None).cast("string"))
+        .when(kind.isin("homepage", "about"), F.to_json(F.struct(context, F.lit("Organization").alias("@type"), F.concat(root, F.lit("/#organization")).alias("@id"), ask("legal or brand name").alias("name"), F.concat(root, F.lit("/")).alias("url"), ask("absolute logo URL").alias("logo"), F.array(ask("official profile URLs")).alias("sameAs"))))
         .when(kind == "article", F.to_json(F.struct(context, F.lit("Article").alias("@type"), F.coalesce(head, ask("article headline")).alias("headline"), F.struct(F.lit("Person").alias("@type"), ask("author name").alias("name"), ask("author page URL").alias("url")).alias("author"), ask("ISO 8601 date").alias("datePublished"), ask("ISO 8601 date").alias("dateModified"), F.array(ask("image URL")).alias("image"))))
         .when(kind == "author", F.to_json(F.struct(context, F.lit("ProfilePage").alias("@type"), person.alias("mainEntity"))))
     )

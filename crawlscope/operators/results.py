@@ -7,12 +7,13 @@ Aggregations go from (site, check, status) counts upwards, so they combine on th
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as P
 
 from crawlscope.functions.sql import F
 
 from crawlscope import registry
 from crawlscope.functions.expr import choose, each
-from crawlscope.operators.skew import best_per_group, numbered
+from crawlscope.operators.skew import best_per_group, join_on_hot_key, numbered
 
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 BLOCKERS = ["UNEXPECTED_NOINDEX", "GOOGLEBOT_DISALLOWED", "NOT_FOUND_STATUS", "SERVER_ERROR_STATUS"]
@@ -55,24 +56,33 @@ def findings_of(units: DataFrame, reasons: DataFrame, rules: DataFrame) -> DataF
     return long.join(F.broadcast(fixed), ["check_id", "reason_code"]).withColumn("priority", priority(F.col("classification"), F.col("severity")))
 
 
-def finding_ids(findings: DataFrame, pages_per_bucket: int = 65536) -> DataFrame:
+def page_bucket(rows: DataFrame, buckets: int = 4096) -> Column:
+    """Number that grows with the rule and, within it, with the page: equal ranges between the smallest and the largest page id, dense or hashed."""
+    low, high = rows.agg(P.min("page_id")).scalar().cast("double"), rows.agg(P.max("page_id")).scalar().cast("double")
+    share = P.coalesce((P.col("page_id").cast("double") - low) / P.greatest(high - low, P.lit(1.0)), P.lit(0.0))
+    return P.col("check_no") * buckets + P.least(P.floor(share * buckets), P.lit(buckets - 1))
+
+
+def finding_ids(findings: DataFrame, buckets: int = 4096) -> DataFrame:
     """F-0001... per site in the order rule, page, reason, numbered without gathering a site in one task."""
-    bucket = F.col("check_no") * F.lit(1 << 40) + F.floor(F.coalesce("page_id", F.lit(0)) / pages_per_bucket)
+    bucket = page_bucket(findings, buckets)
     order = [F.col("check_no"), F.col("page_id"), F.col("reason_code")]
     return numbered(findings, ["site"], bucket, order, "finding_no").withColumn("finding_id", F.concat(F.lit("F-"), F.lpad(F.col("finding_no").cast("string"), 4, "0")))
 
 
-def evidence_of(units: DataFrame, rules: DataFrame, pages_per_bucket: int = 65536) -> DataFrame:
+def evidence_of(units: DataFrame, rules: DataFrame, buckets: int = 4096) -> DataFrame:
     """Evidence rows of the units with ids EV-0001... per site."""
     seen = units.filter(F.col("observed").isNotNull()).join(F.broadcast(rules.select("check_id", F.col("ordinal").alias("check_no"))), "check_id")
-    bucket = F.col("check_no") * F.lit(1 << 40) + F.floor(F.coalesce("page_id", F.lit(0)) / pages_per_bucket)
-    rows = numbered(seen, ["site"], bucket, [F.col("check_no"), F.col("page_id")], "evidence_no")
+    rows = numbered(seen, ["site"], page_bucket(seen, buckets), [F.col("check_no"), F.col("page_id")], "evidence_no")
     return rows.select("site", F.concat(F.lit("EV-"), F.lpad(F.col("evidence_no").cast("string"), 4, "0")).alias("evidence_id"), "check_id", "page_id", "profile", "locator", "observed")
 
 
 # --- issues -----------------------------------------------------------------------------------------------------
-def root_issues(findings: DataFrame) -> DataFrame:
-    """One row per site, check and reason. Texts come from the first finding, severity from the worst."""
+def root_issues(findings: DataFrame, affected: DataFrame | None = None) -> DataFrame:
+    """One row per site, check and reason. Texts come from the first finding, severity from the worst.
+
+    `affected` (site, check_id, reason_code, page_id) names the pages behind findings that are not of one page.
+    """
     first = F.struct("check_no", F.coalesce("page_id", F.lit(-1)))
     grouped = findings.groupBy("site", "check_id", "reason_code").agg(
         F.min(severity_rank(F.col("severity"))).alias("sev"),
@@ -82,6 +92,9 @@ def root_issues(findings: DataFrame) -> DataFrame:
         F.min_by("priority", F.struct(severity_rank(F.col("severity")), "check_no", F.coalesce("page_id", F.lit(-1)))).alias("priority"),
         F.count("page_id").alias("n_pages"), F.count(F.lit(1)).alias("n_findings"),
     )
+    if affected is not None:
+        sizes = affected.groupBy("site", "check_id", "reason_code").agg(F.count_distinct("page_id").alias("_more"))
+        grouped = grouped.join(sizes, ["site", "check_id", "reason_code"], "left").withColumn("n_pages", F.greatest("n_pages", F.coalesce("_more", F.lit(0)))).drop("_more")
     order = Window.partitionBy("site").orderBy("sev", F.col("classification") != "ISSUE", F.desc("n_pages"), "check_id", "reason_code")
     # At most one row per registered reason and site reaches this window.
     return grouped.withColumn("issue_no", F.row_number().over(order)).select(
@@ -93,24 +106,28 @@ def root_issues(findings: DataFrame) -> DataFrame:
     )
 
 
-def issue_pages(findings: DataFrame) -> DataFrame:
+def issue_pages(findings: DataFrame, affected: DataFrame | None = None) -> DataFrame:
     """Affected pages in long form."""
-    return findings.filter(F.col("page_id").isNotNull()).select("site", "check_id", "reason_code", "page_id").distinct()
+    columns = ["site", "check_id", "reason_code", "page_id"]
+    own = findings.filter(F.col("page_id").isNotNull()).select(*columns)
+    if affected is not None:
+        own = own.unionByName(affected.join(findings.select(*columns[:3]).distinct(), columns[:3], "left_semi").select(*columns))
+    return own.distinct()
 
 
 def issues_of_page(findings: DataFrame, issues: DataFrame) -> DataFrame:
     """Issues per page, numbered as in the report. Issues per page are bounded by the registry."""
     ids = issues.select("site", "check_id", "reason_code", "issue_id")
-    return issue_pages(findings).join(ids, ["site", "check_id", "reason_code"]).groupBy("site", "page_id").agg(F.array_join(F.array_sort(F.collect_list("issue_id")), ",").alias("issue_ids"), F.count(F.lit(1)).alias("n_issues"))
+    return join_on_hot_key(issue_pages(findings), ids, ["site", "check_id", "reason_code"], ["page_id"], "inner").groupBy("site", "page_id").agg(F.array_join(F.array_sort(F.collect_list("issue_id")), ",").alias("issue_ids"), F.count(F.lit(1)).alias("n_issues"))
 
 
-def related_issues(findings: DataFrame, issues: DataFrame) -> DataFrame:
+def related_issues(findings: DataFrame, issues: DataFrame, affected: DataFrame | None = None) -> DataFrame:
     """Pairs (issue, blocker) of one site where every page of the issue is a page of the blocker.
 
     Containment is counted: the pages both have must be as many as the pages the issue has. The join key is the
     page, so pairs grow with issues per page, not with pages per issue.
     """
-    pages = issue_pages(findings)
+    pages = issue_pages(findings, affected)
     blockers = pages.filter(F.col("reason_code").isin(BLOCKERS)).select("site", "page_id", F.col("reason_code").alias("blocker"))
     shared = pages.join(blockers, ["site", "page_id"]).filter(F.col("reason_code") != F.col("blocker")).groupBy("site", "check_id", "reason_code", "blocker").agg(F.count(F.lit(1)).alias("shared"))
     named = issues.select("site", "check_id", "reason_code", "issue_id", "n_pages")
@@ -283,7 +300,8 @@ def issue_evidence(issues: DataFrame, findings: DataFrame, evidence: DataFrame)
 
 
 def issue_urls(findings: DataFrame, pages: DataFrame, issues: DataFrame) -> DataFrame:
-    return issue_pages(findings).join(pages.select("site", "page_id", "url"), ["site", "page_id"]).join(issues.select("site", "check_id", "reason_code", "issue_id"), ["site", "check_id", "reason_code"]).select("site", "issue_id", "page_id", "url")
+    rows = issue_pages(findings).join(pages.select("site", "page_id", "url"), ["site", "page_id"])
+    return join_on_hot_key(rows, issues.select("site", "check_id", "reason_code", "issue_id"), ["site", "check_id", "reason_code"], ["page_id"], "inner").select("site", "issue_id", "page_id", "url")
 
 
 def limitations(*tables: DataFrame) -> DataFrame:

@@ -18,11 +18,11 @@ MISSING_WORDING = (
 )
 
 
-def site_unit(df: DataFrame, check: str, status: Column, reason: Column | None = None, observed: Column | None = None) -> DataFrame:
+def site_unit(df: DataFrame, check: str | Column, status: Column, reason: Column | None = None, observed: Column | None = None) -> DataFrame:
     """Rows (site, page_id NULL, check_id, status, reasons, observed)."""
     none = F.lit(None).cast("string")
     codes = F.when(status.isin("FAIL", "WARN") & (reason if reason is not None else none).isNotNull(), F.array(reason if reason is not None else none)).otherwise(F.array().cast("array<string>"))
-    return df.select("site", F.lit(None).cast("bigint").alias("page_id"), F.lit(check).alias("check_id"), status.alias("status"), codes.alias("reasons"),
+    return df.select("site", F.lit(None).cast("bigint").alias("page_id"), (F.lit(check) if isinstance(check, str) else check).alias("check_id"), status.alias("status"), codes.alias("reasons"),
                      F.lit("site probe").alias("locator"), (observed if observed is not None else none).alias("observed"), F.lit("RAW").alias("profile"), none.alias("limitation"))
 
 
@@ -207,6 +207,15 @@ def duplicates(pages: DataFrame) -> DataFrame:
     return long.groupBy("site", "field", "value").agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page")).filter("n_pages >= 2")
 
 
+def pages_of_duplicates(pages: DataFrame) -> DataFrame:
+    """O-2.4: every page that shares a value, with the reason."""
+    fields = F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("value")), F.struct(F.lit("meta_description").alias("field"), F.col("meta_description").alias("value")))
+    long = pages.select("site", "page_id", F.explode(fields).alias("f")).select("site", "page_id", "f.*")
+    rows = long.join(duplicates(pages).select("site", "field", "value"), ["site", "field", "value"])
+    code = F.when(F.col("field") == "title", F.lit("DUPLICATE_TITLE_IN_SAMPLE")).otherwise(F.lit("DUPLICATE_DESCRIPTION_IN_SAMPLE"))
+    return rows.select("site", F.lit("O-2.4").alias("check_id"), code.alias("reason_code"), "page_id").distinct()
+
+
 def duplicate_units(pages: DataFrame, dups: DataFrame) -> DataFrame:
     """O-2.4, one unit per site."""
     sizes = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n"))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as P
 
 from crawlscope import registry
 from crawlscope.functions import markup as M
+from crawlscope.functions.expr import let
 from crawlscope.functions.sql import F
-from crawlscope.functions.urls import page_type, resolve_http
+from crawlscope.functions.urls import alias_hosts, exclusion_reason, host_of, page_type, resolve_http
 from crawlscope.operators import discovery, dom, facts, gates, lookups, page_checks, results, robots, site_checks
 from crawlscope.operators.skew import heavy_keys, join_on_hot_key
 from crawlscope.session import cut
@@ -28,8 +29,9 @@ class Inputs:
 
     crawl: page_id, site, url, html, dom, status, acquisition, dom_status, dom_acquisition, hops, headers, final_url, dom_url
     robots_files: origin, status, acquisition, challenge, text. probes: site, kind, url, acquisition, status, ...
-    settings: site, goal, environment, multilingual. field: scope, key, lcp_ms, inp_ms, cls.
-    recordings: page_id plus any of overflow, a11y, lab.
+    settings: site, goal, environment, multilingual, and optionally intentional_restrictions (prefixes of addresses or paths).
+    field: scope, key, lcp_ms, inp_ms, cls; of several rows for an address one is used (the largest). recordings: page_id, optionally
+    site, plus any of overflow, a11y, lab; of several rows for a page any one is used.
     """
 
     crawl: DataFrame
@@ -42,13 +44,14 @@ class Inputs:
 
 def page_table(inputs: Inputs) -> DataFrame:
     """One wide row per page with facts of both profiles; html does not go further."""
-    rows = gates.with_validity(inputs.crawl)
+    rows = gates.with_validity(inputs.crawl.withColumn("headers", gates.lowered_headers(F.col("headers"))))
+    rows = rows.withColumns({"_raw_url": F.coalesce("final_url", "url"), "_dom_url": F.coalesce("dom_url", "url")})  # links resolve where each profile ended
     rows = rows.withColumns({
         "raw_tree": dom.document_facts(F.col("html")), "dom_tree": dom.document_facts(F.col("dom")),
         "insecure": page_checks.insecure_counts(M.tags_of(M.without_scripts(M.without_comments(F.col("dom"))))),
     })
-    rows = facts.extract_into(rows, "raw_facts", "html", "url", "headers")
-    return facts.extract_into(rows, "dom_facts", "dom", "url").drop("html", "dom")
+    rows = facts.extract_into(rows, "raw_facts", "html", "_raw_url", "headers")
+    return facts.extract_into(rows, "dom_facts", "dom", "_dom_url").drop("html", "dom", "_raw_url", "_dom_url")
 
 
 def with_decisions(pages: DataFrame, inputs: Inputs, hot: DataFrame) -> DataFrame:
@@ -63,19 +66,24 @@ def with_decisions(pages: DataFrame, inputs: Inputs, hot: DataFrame) -> DataFram
 def with_settings(pages: DataFrame, inputs: Inputs, hot: DataFrame) -> DataFrame:
     if inputs.settings is None:
         return page_checks.with_defaults(pages)
-    conf = inputs.settings.withColumn("intentional", F.coalesce((F.col("environment") == "staging") | (F.col("goal") == "restricted"), F.lit(False)))
-    joined = join_on_hot_key(pages, conf.select("site", "goal", "multilingual", "intentional"), ["site"], ["page_id"], "left", hot)
-    return page_checks.with_defaults(joined.na.fill({"goal": "search_ai_discovery", "multilingual": False, "intentional": False}))
+    conf = inputs.settings
+    if "intentional_restrictions" not in conf.columns:
+        conf = conf.withColumn("intentional_restrictions", F.lit(None).cast("array<string>"))
+    conf = conf.select("site", "goal", "environment", "multilingual", "intentional_restrictions").dropDuplicates(["site"])
+    joined = join_on_hot_key(pages, conf, ["site"], ["page_id"], "left", hot)
+    marked = joined.withColumn("intentional", gates.intentional(F.col("url"), F.col("intentional_restrictions"), F.col("environment"), F.col("goal")))
+    return page_checks.with_defaults(marked.drop("environment", "intentional_restrictions").na.fill({"goal": "search_ai_discovery", "multilingual": False}))
 
 
 def with_controls(pages: DataFrame) -> DataFrame:
     """Script controls of the best document that no crawlable anchor of the page reaches."""
     targets = F.transform(F.filter(F.col("best")["links"], lambda x: x["crawlable"]), lambda x: x["url"])
     controls = F.transform(F.col("best_tree")["controls"], lambda c: F.struct(c["text"].alias("text"), c["target"].alias("target")))
-    state = F.struct(F.coalesce(targets, F.array().cast("array<string>")).alias("links"), F.col("best_url").alias("base"))
-    from crawlscope.functions.expr import let
-
-    kept = let(state, lambda s: F.filter(F.transform(controls, lambda c: F.struct(c["text"].alias("text"), resolve_http(c["target"], s["base"]).alias("target"))), lambda c: c["target"].isNotNull() & ~F.array_contains(s["links"], c["target"])))
+    base = F.coalesce(resolve_http(F.col("best")["base_href"], F.col("best_url")), F.col("best_url"))
+    state = F.struct(F.coalesce(targets, F.array().cast("array<string>")).alias("links"), base.alias("base"), host_of(F.col("best_url")).alias("host"))
+    kept = let(state, lambda s: F.filter(
+        F.transform(controls, lambda c: F.struct(c["text"].alias("text"), resolve_http(c["target"], s["base"]).alias("target"))),
+        lambda c: c["target"].isNotNull() & alias_hosts(host_of(c["target"]), s["host"]) & ~F.array_contains(s["links"], c["target"])))
     return pages.withColumn("scripted_controls", F.coalesce(kept, F.array().cast(page_checks.OPTIONAL["scripted_controls"])))
 
 
@@ -85,10 +93,11 @@ def prepared_pages(inputs: Inputs) -> DataFrame:
     hot = cut(heavy_keys(base, ["site"]), "hot-sites")
     pages = gates.with_states(with_settings(with_decisions(base, inputs, hot), inputs, hot))
     if inputs.field is not None:
-        per_url = inputs.field.filter("scope = 'URL'").select(P.col("key").alias("url"), P.struct("lcp_ms", "inp_ms", "cls").alias("field"))
-        pages = pages.drop("field").join(per_url, "url", "left")
+        per_url = inputs.field.filter("scope = 'URL'").groupBy(P.col("key").alias("_at")).agg(P.max(P.struct("lcp_ms", "inp_ms", "cls")).alias("field"))
+        pages = pages.drop("field").withColumn("_at", P.coalesce("final_url", "url")).join(per_url, "_at", "left").drop("_at")
     if inputs.recordings is not None:
-        pages = pages.drop(*[c for c in inputs.recordings.columns if c != "page_id"]).join(inputs.recordings, "page_id", "left")
+        keys = [c for c in NARROW if c in inputs.recordings.columns]
+        pages = pages.drop(*[c for c in inputs.recordings.columns if c not in keys]).join(inputs.recordings.dropDuplicates(keys), keys, "left")
     lab = site_checks.lab_pages(pages).select(*NARROW, P.lit(True).alias("lab_selected"))
     pages = pages.drop("lab_selected").join(lab, list(NARROW), "left").withColumn("page_type", page_type(F.col("url")))
     ready = cut(page_checks.with_nodes(with_controls(page_checks.prepare(pages))), "prepared")
@@ -104,7 +113,7 @@ def site_units(pages: DataFrame, inputs: Inputs) -> DataFrame:
     best = pages.filter("best IS NOT NULL")
     values = best.select("site", "page_id", "best.title", "best.meta_description")
     responses = lookups.response_index(pages)
-    targets = lookups.top_targets(lookups.testable_targets(lookups.link_rollup(lookups.link_rows(best))), pages.select("site", "url"))
+    targets = lookups.testable_targets(lookups.link_rollup(lookups.link_rows(best)))  # every recorded response counts
     outcomes = lookups.tested_targets(targets, responses)
     units = [
         site_checks.duplicate_units(values, site_checks.duplicates(values)), site_checks.link_targets(lookups.link_target_units(outcomes, sites)),
@@ -120,15 +129,51 @@ def site_units(pages: DataFrame, inputs: Inputs) -> DataFrame:
             units.append(site_checks.sitemap(sites, robots.policies(inputs.robots_files), inputs.probes))
     if inputs.field is not None:
         units.append(site_checks.origin_vitals(inputs.field, sites))
+    units.append(site_checks.blocked_links(sites, blocked_counts(best, inputs)))
     out = units[0]
     for u in units[1:]:
         out = out.unionByName(u)
-    return out
+    return out.unionByName(missing_units(sites, out))
+
+
+def affected_pages(pages: DataFrame) -> DataFrame:
+    """Pages behind findings of the SAMPLE rules: site, check_id, reason_code, page_id."""
+    best = pages.filter("best IS NOT NULL")
+    shared = site_checks.pages_of_duplicates(best.select("site", "page_id", "best.title", "best.meta_description"))
+    links = lookups.link_rows(best)
+    outcomes = lookups.tested_targets(lookups.testable_targets(lookups.link_rollup(links)), lookups.response_index(pages)).filter(P.col("outcome").isin("BROKEN", "REDIRECTED"))
+    code = P.when(P.col("outcome") == "BROKEN", P.lit("BROKEN_INTERNAL_LINK_TARGET")).otherwise(P.lit("INTERNAL_LINK_REDIRECTS"))
+    sources = lookups.sources_of(links, outcomes.select("site", "url", code.alias("reason_code")))
+    return shared.unionByName(sources.select("site", P.lit("O-2.6").alias("check_id"), "reason_code", "page_id"))
+
+
+def blocked_counts(best: DataFrame, inputs: Inputs) -> DataFrame:
+    """Per site: internal targets of crawlable links, exclusions aside, that Googlebot may not fetch."""
+    found = lookups.link_rows(best).filter("crawlable AND internal").select("site", P.col("url")).distinct()
+    found = found.filter(exclusion_reason(F.col("url")).isNull())
+    if inputs.robots_files is None:
+        return found.groupBy("site").agg(P.lit(0).cast("bigint").alias("n_blocked"))
+    decided = robots.decisions(found, robots.policies(inputs.robots_files), ["Googlebot"], ("site", "url"))
+    return decided.groupBy("site").agg(P.count_if(P.col("decisions")["Googlebot"]["decision"] == "DISALLOW").alias("n_blocked"))
+
+
+#: Site rules that hang on records a site may lack.
+RECORDED_RULES = ("C-1.1", "C-1.4", "C-1.6", "C-1.12", "P-4.2", "T-8.1", "X-9.1")
+
+
+def missing_units(sites: DataFrame, units: DataFrame) -> DataFrame:
+    """NOT_TESTABLE for every site and rule without a record."""
+    expected = sites.select("site", P.explode(P.array(*[P.lit(c) for c in RECORDED_RULES])).alias("check_id"))
+    absent = expected.join(units.select("site", "check_id"), ["site", "check_id"], "left_anti")
+    return site_checks.site_unit(absent, P.col("check_id"), P.lit("NOT_TESTABLE"), None, P.lit("no record"))
 
 
-def eligibility_units(page_units: DataFrame) -> DataFrame:
-    e = page_checks.eligibility(page_units)
-    status = P.when(P.col("eligibility") == "NOT_ELIGIBLE", P.lit("FAIL")).when(P.col("eligibility") == "UNCERTAIN", P.lit("NOT_TESTABLE")).otherwise(P.lit("PASS"))
+def eligibility_units(page_units: DataFrame, pages: DataFrame) -> DataFrame:
+    """C-1.10; not applicable to pages restricted on purpose."""
+    facts_of = pages.select(*NARROW, "intentional", (P.col("best").isNotNull() & (P.concat(P.coalesce(P.trim(P.array_join(P.col("best_tree")["blocks"], "")), P.lit("")), P.coalesce(P.trim(P.col("best")["title"]), P.lit(""))) == "")).alias("_empty"))
+    e = page_checks.eligibility(page_units).join(facts_of, list(NARROW))
+    e = e.withColumn("eligibility", P.when(P.col("_empty") & (P.col("eligibility") == "ELIGIBLE"), P.lit("UNCERTAIN")).otherwise(P.col("eligibility")))
+    status = P.when(P.col("intentional"), P.lit("NOT_APPLICABLE")).when(P.col("eligibility") == "NOT_ELIGIBLE", P.lit("FAIL")).when(P.col("eligibility") == "UNCERTAIN", P.lit("NOT_TESTABLE")).otherwise(P.lit("PASS"))
     return e.select("site", "page_id", P.lit("C-1.10").alias("check_id"), status.alias("status"), P.array().cast("array<string>").alias("reasons"), P.lit("derived").alias("locator"), P.col("eligibility").alias("observed"), P.lit("NONE").alias("profile"), P.lit(None).cast("string").alias("limitation"))
 
 
@@ -137,16 +182,17 @@ def run_audit(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
     rules, reasons, categories = results.registry_tables(spark)
     pages = prepared_pages(inputs)
     by_page = cut(page_checks.evaluate(pages), "page-units")
-    units = cut(by_page.unionByName(eligibility_units(by_page)).unionByName(site_units(pages, inputs)), "units")
+    units = cut(by_page.unionByName(eligibility_units(by_page, pages)).unionByName(site_units(pages, inputs)), "units")
     found = cut(results.findings_of(units, reasons, rules), "findings")
-    issues = cut(results.root_issues(found), "issues")
+    affected = cut(affected_pages(pages), "affected")
+    issues = cut(results.root_issues(found, affected), "issues")
     cover = results.coverage(pages)
     per_check = results.check_scores(units, rules)
     per_category = results.category_scores(per_check, categories)
     counts = results.severity_counts(issues)
     return {
         "pages": pages.select("site", "page_id", "url", "page_type", "state"), "check_results": units, "findings": results.finding_ids(found), "evidence": results.evidence_of(units, rules),
-        "root_issues": issues, "issue_pages": results.issue_pages(found), "related_issues": results.related_issues(found, issues), "check_scores": per_check, "category_scores": per_category,
+        "root_issues": issues, "issue_pages": results.issue_pages(found, affected), "related_issues": results.related_issues(found, issues, affected), "check_scores": per_check, "category_scores": per_category,
         "scores": results.site_scores(per_category, cover.select("site", "valid")), "coverage": cover, "run_quality": results.run_quality(cover), "severity_counts": counts,
         "top_issues": results.top_issues(issues), "action_plan": results.action_plan(issues), "strengths": results.strengths(units), "narrative": results.narrative(cover, counts),
         "violations": results.contract_violations(found, reasons, registry.sources(spark)),

@@ -137,9 +137,10 @@ def crawl_facts(spark, root, *only):
 
 
 def crawl_pages(spark, root, *only):
-    """RAW and RENDERED facts with states; no html behind this point."""
-    rows = X.extract_into(crawl_states(spark, root), "raw_facts", "html", "url", "headers", only)
-    return X.extract_into(rows, "dom_facts", "dom", "url", None, only).drop("html", "dom")
+    """RAW and RENDERED facts with states, each resolved against the address where its profile ended; no html behind this point."""
+    rows = crawl_states(spark, root).withColumns({"_raw_url": F.coalesce("final_url", "url"), "_dom_url": F.coalesce("dom_url", "url")})
+    rows = X.extract_into(rows, "raw_facts", "html", "_raw_url", "headers", only)
+    return X.extract_into(rows, "dom_facts", "dom", "_dom_url", None, only).drop("html", "dom", "_raw_url", "_dom_url")
 
 
 __all__ = ["QUERIES", "registry", "L"]

@@ -347,8 +347,7 @@ def hreflang_check(spark, root):
 @query
 def link_target_check(spark, root):
     pages = cut(best_pages(spark, root, "title", "hreflang", "links"), "pages")
-    targets = L.top_targets(L.testable_targets(L.link_rollup(L.link_rows(pages))), pages.select("site", "url"))
-    outcomes = L.tested_targets(targets, L.response_index(pages))
+    outcomes = L.tested_targets(L.testable_targets(L.link_rollup(L.link_rows(pages))), L.response_index(pages))
     return site_rows(S.link_targets(L.link_target_units(outcomes, pages)))
 
 
@@ -426,7 +425,8 @@ def markup_opportunities(spark, root):
 
 @query
 def markup_templates(spark, root):
-    rows = best_pages(spark, root, "title", "h1").withColumn("page_type", U.page_type(F.col("url")))
+    rows = cut(PC.with_nodes(best_pages(spark, root, "json_ld", "title", "h1")), "pages")
+    rows = join_on_hot_key(rows.drop("site_has_org"), S.sites_with_organisation(rows), ["site"], ["page_id"]).withColumn("page_type", U.page_type(F.col("url")))
     return rows.filter("best IS NOT NULL").select("page_id", PC.markup_template().alias("template")).filter("template IS NOT NULL")
 
 
@@ -626,9 +626,10 @@ def embedded_items(spark, root):
 def scripted_controls(spark, root):
     """EXT-19 and JN-9: script navigation whose destination no crawlable anchor of the page reaches."""
     src = D.derived(spark, root, ITEMS_SQL)
-    controls = src.select("page_id", "url", F.explode(DOM.document_facts(F.col("html"))["controls"]).alias("c")).select("page_id", "c.text", U.resolve_http(F.col("c.target"), F.col("url")).alias("target"))
+    controls = src.select("page_id", "url", F.explode(DOM.document_facts(F.col("html"))["controls"]).alias("c")).select("page_id", "url", "c.text", U.resolve_http(F.col("c.target"), F.col("url")).alias("target"))
     anchors = X.extract(src, only=("links",)).select("page_id", F.explode("links").alias("l")).filter("l.crawlable").select("page_id", F.col("l.url").alias("target")).distinct()
-    return controls.filter("target IS NOT NULL").join(anchors, ["page_id", "target"], "left_anti")
+    own = U.alias_hosts(U.host_of(F.col("target")), U.host_of(F.col("url")))
+    return controls.filter("target IS NOT NULL").filter(own).drop("url").join(anchors, ["page_id", "target"], "left_anti")
 
 
 @query

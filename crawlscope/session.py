@@ -29,12 +29,17 @@ def build_session(app: str = "crawlscope", master: str | None = None, **conf: st
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; only where it names none, a folder of our own."""
+    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only in a local session that names none.
+
+    Executors of a cluster see no folder of the driver's disk, so without a name a cluster session stops here.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return context.getCheckpointDir()
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlscope.sources.tables import read_table, spread
+from crawlscope.sources.tables import read_table
 
 
 def _sql_text(template: str) -> str:
@@ -103,12 +103,6 @@ SELECT site AS origin, page_id, CASE page_id % 11 WHEN 5 THEN 503 WHEN 6 THEN 40
 FROM (SELECT 'https://' || host AS site, page_id FROM (SELECT split_part(url, '/', 3) AS host, min(page_id) AS page_id FROM pages GROUP BY 1))
 """
 
-# One row per page and rule: unit statuses for the aggregation layer.
-UNITS_SQL = """
-SELECT page_id, 'https://' || split_part(url, '/', 3) AS site, (page_id * 31 + ordinal * 17) % 10 AS pick, ordinal
-FROM pages CROSS JOIN (SELECT * FROM range(39)) AS r(ordinal)
-"""
-
 
 def pages_view(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "pages")
@@ -117,7 +111,7 @@ def pages_view(spark: SparkSession, root: str) -> DataFrame:
 def derived(spark: SparkSession, root: str, text: str) -> DataFrame:
     """Run one of the texts above over the `pages` table."""
     escaped = text.replace("{", "{{").replace("}", "}}").replace("FROM pages", "FROM {pages}")
-    return spark.sql(escaped, pages=spread(pages_view(spark, root)))
+    return spark.sql(escaped, pages=pages_view(spark, root))
 
 
 def crawl(spark: SparkSession, root: str) -> DataFrame:

@@ -30,8 +30,10 @@ def once(pages: DataFrame, delay: str = "1 day") -> DataFrame:
 
 def page_units(pages: DataFrame) -> DataFrame:
     """Stateless part of the audit: extraction, states and the rules that need one page only."""
-    rows = gates.with_states(gates.with_validity(pages))
-    rows = extract_into(extract_into(rows, "raw_facts", "html", "url", "headers", FACTS), "dom_facts", "dom", "url", None, FACTS).drop("html", "dom")
+    rows = gates.with_states(gates.with_validity(pages.withColumn("headers", gates.lowered_headers(F.col("headers")))))
+    rows = rows.withColumns({"_raw_url": F.coalesce("final_url", "url"), "_dom_url": F.coalesce("dom_url", "url")})
+    rows = extract_into(rows, "raw_facts", "html", "_raw_url", "headers", FACTS)
+    rows = extract_into(rows, "dom_facts", "dom", "_dom_url", None, FACTS).drop("html", "dom", "_raw_url", "_dom_url")
     ready = page_checks.with_best(page_checks.with_defaults(rows)).withColumn("nodes", F.lit(None))
     return page_checks.evaluate(ready, RULES)
 

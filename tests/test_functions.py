@@ -37,7 +37,7 @@ def test_entities(spark):
 
 DOC = """<!DOCTYPE html><html lang="de"><head><title>A &amp; B</title><meta name="Description" content=" d &quot;x&quot; "><link rel="canonical" href="/c">
 <meta name=robots content="NoIndex, follow"></head><body><svg><title>icon</title></svg><div role="navigation"><div><a href="/n1">N1</a></div></div><a href="/o1">O</a><header><a href="x.html"><img src=a alt="Pic"></a></header>
-<main><h1>Hi <b>you</b></h1><nav><a href=#f>f</a></nav><a href='mailto:q'>m</a><a href="http://other.example/x" aria-label="lab"></a></main><div data-wa-hidden="1"><h2>hid</h2></div><h2>seen</h2>
+<main><h1>Hi <b>you</b></h1><nav><a href=#f>f</a></nav><a href='mailto:q'>m</a><a href="http://other.example/x" aria-label="lab"></a></main><div data-rendered-hidden="1"><h2>hid</h2></div><h2>seen</h2>
 <footer><a href="//www.a.example/f">F</a></footer><p data-x="<a href='/no'>">t</p><!-- <a href="/comment">c</a> --><link rel=canonical href=/late></body></html>"""
 
 

@@ -288,7 +288,7 @@ ORACLE["review_budget"] = f"""WITH t AS (SELECT page_id, {SITE_SQL} AS site, reg
 SELECT page_id, n_pages, room, length(t) > room AS truncated, least(length(t), room) AS used_chars FROM r"""
 ORACLE["reaudit_plan"] = f"""WITH p AS ({D.PREVIOUS_SQL}), g AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS k FROM p WHERE state = 'VALID' AND raw_validity = 'VALID_PAGE' AND dom_validity = 'VALID_PAGE'), c AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS fetch_key FROM pages)
 SELECT page_id, fetch_key, CASE WHEN k IS NULL THEN 'evaluate' ELSE 'reuse' END AS plan FROM c LEFT JOIN g ON k = fetch_key"""
-ORACLE["embedded_items"] = "SELECT page_id, 'Microdata' AS format, 'Product' AS type, 'name=Item ' || page_id || '|offers=@Offer' AS props FROM pages UNION ALL SELECT page_id, 'RDFa', 'Person', 'name=Ann' FROM pages"
+ORACLE["embedded_items"] = "SELECT page_id, 'Microdata' AS format, 'Product' AS type, 'name=Item ' || page_id || '|offers.price=5|offers=@Offer' AS props FROM pages UNION ALL SELECT page_id, 'RDFa', 'Person', 'name=Ann' FROM pages"
 ORACLE["scripted_controls"] = f"SELECT page_id, 'Go' AS text, {SITE_SQL} || '/go/' || page_id AS target FROM pages UNION ALL SELECT page_id, 'Js', {SITE_SQL} || '/js' FROM pages"
 del ORACLE["profile_comparison"]
 from verification.oracle import FINDINGS  # noqa: E402
@@ -297,7 +297,7 @@ ORACLE["narrative"] = f"""WITH {ST}, {FINDINGS}, c AS (SELECT replace(site, 'htt
 v AS (SELECT site, count(*) FILTER (state = 'VALID') || ' of ' || count(*) || ' pages valid (0 blocked, ' || count(*) FILTER (state = 'CHALLENGED') || ' challenged, ' || count(*) FILTER (state = 'ERROR_PAGE') || ' error, ' || count(*) FILTER (state = 'UNAVAILABLE') || ' unavailable)' AS pages FROM gt GROUP BY site)
 SELECT site, pages, CASE WHEN coalesce(u, 0) > 0 THEN u || ' critical or high issues' ELSE 'no critical or high issue' END AS urgent FROM v LEFT JOIN c USING (site)"""
 BEST_LINKS = LINKS.replace(CRAWL, f"{ST}, {RESP}, doc_table AS (SELECT page_id, url, best AS html FROM gt WHERE best IS NOT NULL)").replace("FROM crawl))", "FROM doc_table))").replace("FROM crawl)),", "FROM doc_table)),")
-ORACLE["link_target_check"] = f"""WITH {BEST_LINKS}, {ROLL}, {TOPK}, o AS (SELECT t.site, CASE WHEN re.url IS NULL OR re.acquisition <> 'OK' OR re.raw_validity = 'ACCESS_CHALLENGE' OR re.status = 429 THEN 'UNTESTED' WHEN re.status IN (404, 410) OR re.status >= 500 THEN 'BROKEN' WHEN re.n_hops > 0 AND re.status = 200 THEN 'REDIRECTED' ELSE 'OK' END AS oc FROM tr t LEFT JOIN re ON re.url = t.url WHERE rank <= 20),
+ORACLE["link_target_check"] = f"""WITH {BEST_LINKS}, {ROLL}, {TOPK}, o AS (SELECT t.site, CASE WHEN re.url IS NULL OR re.acquisition <> 'OK' OR re.raw_validity = 'ACCESS_CHALLENGE' OR re.status = 429 THEN 'UNTESTED' WHEN re.status IN (404, 410) OR re.status >= 500 THEN 'BROKEN' WHEN re.n_hops > 0 AND re.status = 200 THEN 'REDIRECTED' ELSE 'OK' END AS oc FROM tr t LEFT JOIN re ON re.url = t.url),
 s AS (SELECT site, count(*) AS n, count(*) FILTER (oc <> 'UNTESTED') AS t, count(*) FILTER (oc = 'BROKEN') AS b, count(*) FILTER (oc = 'REDIRECTED') AS r FROM o GROUP BY site), a AS (SELECT DISTINCT crawl.site, coalesce(n, 0) AS n, coalesce(t, 0) AS t, coalesce(b, 0) AS b, coalesce(r, 0) AS r FROM crawl LEFT JOIN s USING (site))
 SELECT site, 'O-2.6' AS check_id, CASE WHEN n = 0 THEN 'NOT_APPLICABLE' WHEN t = 0 THEN 'NOT_TESTABLE' WHEN b > 0 THEN 'FAIL' WHEN r > 0 THEN 'WARN' ELSE 'PASS' END AS status,
  CASE WHEN n = 0 OR t = 0 THEN '' ELSE array_to_string(list_filter([CASE WHEN b > 0 THEN 'BROKEN_INTERNAL_LINK_TARGET' END, CASE WHEN r > 0 THEN 'INTERNAL_LINK_REDIRECTS' END], lambda x: x IS NOT NULL), ',') END AS reasons FROM a"""
