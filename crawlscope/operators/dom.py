@@ -36,7 +36,7 @@ SCHEMA_ORG = re.compile(r"^https?://schema\.org/", re.I)
 
 SCHEMA = (
     "struct<blocks:array<string>,method:string,confidence:string,"
-    "items:array<struct<format:string,type:string,props:map<string,string>>>,"
+    "items:array<struct<format:string,type:string,props:map<string,string>>>,item_paths:array<map<string,string>>,"
     "controls:array<struct<text:string,target:string>>>"
 )
 
@@ -199,14 +199,13 @@ def _kind(raw: str, prefix: re.Pattern) -> str:
     return prefix.sub("", (raw.split() or [""])[0])
 
 
-def _items(root: Node) -> list[dict]:
-    """Microdata and RDFa items. Properties of a nested item belong to it and, by dotted name, to the items it is a value of.
+def _items(root: Node) -> tuple[list[dict], list[dict]]:
+    """Microdata and RDFa items with their own properties; and, in the same order, what nested items add to each by dotted name.
 
-    One walk from the top carries the nearest item, its dotted prefix and the vocabulary, so depth costs nothing.
+    One walk from the top carries the items around a node with the dotted name so far, and the vocabulary.
     """
-    out: list[dict] = []
+    found: list[tuple[str, str, dict]] = []
     plain = re.compile("^schema:", re.I)
-    # the nearest items: lists of (properties, prefix), innermost first
     stack = [(root, [], [], "")]
     while stack:
         n, micro, rdfa, vocab = stack.pop()
@@ -217,20 +216,21 @@ def _items(root: Node) -> list[dict]:
             if key and around:
                 value = f"@{prefix.sub('', a.get(kind, ''))}" if scope in a else _item_value(n)
                 for props, path in around:
-                    props[path + key] = value
+                    props[(*path, key)] = value
             if scope in a:
-                props: dict[str, str] = {}
-                inside = [(props, ""), *((p, f"{path}{key}.") for p, path in around if key)]
+                props: dict[tuple, str] = {}
+                inside = [(props, ()), *((p, (*path, key)) for p, path in around if key)]
                 if name == "itemprop":
                     micro = inside
                     if "itemtype" in a and "itemprop" not in a:
-                        out.append({"format": "Microdata", "type": _kind(a["itemtype"], SCHEMA_ORG), "props": props})
+                        found.append(("Microdata", _kind(a["itemtype"], SCHEMA_ORG), props))
                 else:
                     rdfa = inside
                     if "property" not in a and ("schema.org" in vocab.lower() or a["typeof"].strip().lower().startswith("schema:")):
-                        out.append({"format": "RDFa", "type": _kind(a["typeof"], plain), "props": props})
+                        found.append(("RDFa", _kind(a["typeof"], plain), props))
         stack.extend((c, micro, rdfa, vocab) for c in reversed(n.children) if isinstance(c, Node))
-    return out
+    own = [{"format": f, "type": t, "props": {k[0]: v for k, v in p.items() if len(k) == 1}} for f, t, p in found]
+    return own, [{".".join(k): v for k, v in p.items() if len(k) > 1} for _, _, p in found]
 
 
 def _controls(root: Node) -> list[dict]:
@@ -263,7 +263,8 @@ def read_document(html: str | None) -> dict:
     builder.feed(html or "")
     builder.close()
     blocks, method, confidence = main_text(builder.root)
-    return {"blocks": blocks, "method": method, "confidence": confidence, "items": _items(builder.root), "controls": _controls(builder.root)}
+    items, paths = _items(builder.root)
+    return {"blocks": blocks, "method": method, "confidence": confidence, "items": items, "item_paths": paths, "controls": _controls(builder.root)}
 
 
 def document_facts(html: Column) -> Column:
@@ -271,6 +272,6 @@ def document_facts(html: Column) -> Column:
 
     @F.pandas_udf(SCHEMA)
     def parse(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_document(h) for h in batch], columns=["blocks", "method", "confidence", "items", "controls"])
+        return pd.DataFrame([read_document(h) for h in batch], columns=["blocks", "method", "confidence", "items", "item_paths", "controls"])
 
     return parse(html)

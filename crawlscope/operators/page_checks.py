@@ -234,9 +234,10 @@ def with_nodes(pages: DataFrame) -> DataFrame:
     ld = F.coalesce(F.col("best")["json_ld"], F.array().cast("array<struct<raw:string,in_head:boolean>>"))
     tree = F.when(F.col("ren_valid"), F.col("dom_tree")).when(F.col("raw_valid"), F.col("raw_tree"))
     items = F.coalesce(tree["items"], F.array().cast("array<struct<format:string,type:string,props:map<string,string>>>"))
-    other = F.transform(items, lambda i: let(structured.feature_of(F.array(i["type"])), lambda f: F.struct(
+    paths = tree["item_paths"]
+    other = F.transform(items, lambda i, at: let(structured.feature_of(F.array(i["type"])), lambda f: F.struct(
         F.array(i["type"]).alias("types"), f.alias("feature"),
-        *[_missing_in_map(i["props"], f, k) for k in (3, 5)],
+        *[_missing_in_map(F.map_concat(i["props"], F.get(paths, at)), f, k) for k in (3, 5)],
         F.coalesce(*[F.when(f == d[0], F.element_at(i["props"], d[7])) for d in registry.FEATURES if d[7]]).alias("label"),
     )))
     return pages.withColumns({
@@ -472,8 +473,8 @@ OPTIONAL = {
     "lab": "struct<lcp_ms:double,fcp_ms:double,available:boolean,long_tasks:array<struct<start:double,duration:double>>>",
     "lab_selected": "boolean", "site_has_org": "boolean",
     "scripted_controls": "array<struct<text:string,target:string>>",
-    "dom_tree": "struct<blocks:array<string>,method:string,confidence:string,items:array<struct<format:string,type:string,props:map<string,string>>>,controls:array<struct<text:string,target:string>>>",
-    "raw_tree": "struct<blocks:array<string>,method:string,confidence:string,items:array<struct<format:string,type:string,props:map<string,string>>>,controls:array<struct<text:string,target:string>>>",
+    "dom_tree": "struct<blocks:array<string>,method:string,confidence:string,items:array<struct<format:string,type:string,props:map<string,string>>>,item_paths:array<map<string,string>>,controls:array<struct<text:string,target:string>>>",
+    "raw_tree": "struct<blocks:array<string>,method:string,confidence:string,items:array<struct<format:string,type:string,props:map<string,string>>>,item_paths:array<map<string,string>>,controls:array<struct<text:string,target:string>>>",
 }
 CONFIG = {"goal": "search_ai_discovery", "intentional": False, "multilingual": False}
 

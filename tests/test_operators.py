@@ -6,7 +6,7 @@ import pytest
 
 from crawlscope import registry
 from crawlscope.operators import discovery as DISC
-from crawlscope.operators import dom
+from crawlscope.operators import dom, facts, gates
 from crawlscope.operators import logs as LOG
 from crawlscope.operators import results as R
 from crawlscope.operators import review as REV
@@ -136,3 +136,41 @@ def test_streaming_skips_seen_pages(spark, tmp_path):
     saved = spark.read.parquet(out)
     assert sorted({r.page_id for r in saved.select("page_id").collect()}) == [1, 2, 4]
     assert {(r.check_id, r.status) for r in saved.filter("page_id = 1").collect()} >= {("O-2.1", "PASS"), ("O-2.2", "WARN"), ("U-7.1", "FAIL")}
+
+
+def test_nested_properties_have_dotted_names():
+    r = dom.read_document('<div itemscope itemtype="https://schema.org/Product"><b itemprop="name">N</b><div itemprop="offers" itemscope itemtype="https://schema.org/Offer"><i itemprop="price">5</i><p itemprop="seller" itemscope><i itemprop="name">S</i></p></div></div>')
+    assert r["item_paths"] == [{"offers.price": "5", "offers.seller": "@", "offers.seller.name": "S"}]
+
+
+def test_every_link_and_heading_is_kept(spark):
+    html = "<html><body>" + "".join(f'<h2>t{i}</h2><a href="/p{i}">{"x" * 200}{i}</a>' for i in range(5000)) + "</body></html>"
+    got = facts.extract(spark.createDataFrame([(1, "https://a.example/", html)], "page_id long, url string, html string"), only=("links", "headings")).first()
+    assert len(got.links) == 5000 and len(got.headings) == 5000 and got.links[4999].text.endswith("4999")
+
+
+def test_header_names_are_lowered(spark):
+    df = spark.createDataFrame([({"X-Robots-Tag": "noindex", "x-robots-tag": "nofollow", "Link": "<a>"},)], "headers map<string,string>")
+    assert df.select(gates.lowered_headers(P.col("headers")).alias("h")).first().h == {"x-robots-tag": "noindex\nnofollow", "link": "<a>"}
+
+
+def test_audit_joins_and_site_units(spark):
+    from crawlscope.plans import audit
+
+    page = "<html><head><title>t</title></head><body><main><h1>h</h1><p>" + "text " * 80 + '</p><a href="next">n</a></main></body></html>'
+    rows = [(i, f"https://s{i % 2}.example", f"https://s{i % 2}.example/old/{i}", page, page, 200, "OK", 200, "OK", [], {"Content-Type": "text/html"}, f"https://s{i % 2}.example/new/dir/{i}", None) for i in range(4)]
+    schema = "page_id long, site string, url string, html string, dom string, status int, acquisition string, dom_status int, dom_acquisition string, hops array<struct<url:string,status:int,location:string>>, headers map<string,string>, final_url string, dom_url string"
+    crawl = spark.createDataFrame(rows, schema)
+    field = spark.createDataFrame([("URL", rows[0][11], 1000.0, 100.0, 0.05), ("URL", rows[0][11], 900.0, 90.0, 0.04)], "scope string, key string, lcp_ms double, inp_ms double, cls double")
+    settings = spark.createDataFrame([("https://s0.example", "search_ai_discovery", "production", False, ["/old/2"])], "site string, goal string, environment string, multilingual boolean, intentional_restrictions array<string>")
+    tables = audit.run_audit(spark, audit.Inputs(crawl=crawl, field=field, settings=settings))
+    units = tables["check_results"]
+    assert units.filter("page_id IS NOT NULL").groupBy("page_id", "check_id").count().filter("count > 1").count() == 0
+    site = {(r.site, r.check_id): r.status for r in units.filter("page_id IS NULL").collect()}
+    assert all(site[s, c] == "NOT_TESTABLE" for s in ("https://s0.example", "https://s1.example") for c in ("C-1.1", "C-1.4", "C-1.6", "X-9.1", "T-8.1", "C-1.12"))
+    assert site["https://s0.example", "C-1.11"] == "NOT_APPLICABLE"
+    status = {r.page_id: r.status for r in units.filter("check_id = 'C-1.10'").collect()}
+    assert status[2] == "NOT_APPLICABLE" and status[1] != "NOT_APPLICABLE"
+    issue = tables["root_issues"].filter("reason_code = 'DUPLICATE_TITLE_IN_SAMPLE'").collect()
+    assert {r.n_pages for r in issue} == {2}
+    assert tables["issue_pages"].filter("reason_code = 'DUPLICATE_TITLE_IN_SAMPLE'").count() == 4
