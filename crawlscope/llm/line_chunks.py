@@ -21,15 +21,16 @@ from pyspark.sql import functions as F
 
 from crawlscope.llm.common import written
 
-BLOCK = 128
+#: Lines of a text that are looked at together.
+BLOCK = 64
+#: Where a line ends: a line break, or a sentence end and a blank. The mark that stands for these is taken as a blank.
+ENDS = "[.!?][ \1]|\n"
 
 
 def marked(text: Column) -> Column:
-    """The text with a mark where a line ends: after a line break, or after a sentence end and a blank. The mark itself counts as a blank."""
-    text = F.replace(text, F.lit("\1"), F.lit(" "))
-    for end in ("\n", ". ", "! ", "? "):
-        text = F.replace(text, F.lit(end), F.lit(end + "\1"))
-    return text
+    """The text with a mark after each line."""
+    free = F.when(text.rlike("\1"), F.replace(text, F.lit("\1"), F.lit(" "))).otherwise(text)
+    return F.regexp_replace(free, "([.!?] |\n)", "$1\1")
 
 
 def plain(text: Column) -> Column:
@@ -37,16 +38,8 @@ def plain(text: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.lit(" "))
 
 
-def blocks(docs: DataFrame, of) -> DataFrame:
-    """doc_id, block, text, start (characters before it): at most BLOCK lines of a document, marked; `of` maps the marked text."""
-    rows = docs.filter("length(text) > 0").select(docs["doc_id"].cast("long").alias("doc_id"), of(marked(docs["text"])).alias("_t"))
-    rows = rows.withColumn("_n", F.length("_t") - F.length(F.replace("_t", F.lit("\1"))))
-    whole = F.array(F.struct(F.col("_t").alias("text"), F.lit(0).alias("start")))
-    piece = lambda a, n: F.array_join(F.slice(F.split("_t", "\1"), a, n), "\1")
-    # for long texts only; a text of m blocks is divided 2 m times
-    several = F.transform(F.sequence(F.lit(0), F.floor(F.col("_n") / BLOCK).cast("int")), lambda b: F.struct(piece(b * BLOCK + 1, F.lit(BLOCK)).alias("text"), F.length(F.replace(piece(F.lit(1), b * BLOCK), F.lit("\1"))).alias("start")))
-    parts = F.when(F.col("_n") < BLOCK, whole).otherwise(several)
-    return rows.select("doc_id", F.posexplode(parts).alias("block", "_b")).select("doc_id", "block", "_b.text", "_b.start")
+def last_block(lines: Column) -> Column:
+    return F.floor((lines - 1) / BLOCK).cast("int")
 
 
 def chunks(docs: DataFrame, seeds: int, modulus: int, least_lines: int) -> DataFrame:
@@ -56,7 +49,10 @@ def chunks(docs: DataFrame, seeds: int, modulus: int, least_lines: int) -> DataF
     written in a row, with a bar and the line's number at each cut, and divided at the bars. A block as a whole is a chunk too, so
     copies of a document go whole.
     """
-    hashed = blocks(docs, plain).select("doc_id", "block", F.transform(F.split("text", "\1"), lambda x: F.hash(F.rtrim(x))).alias("_h"))
+    every = docs.filter("length(text) > 0").select(docs["doc_id"].cast("long").alias("doc_id"), F.transform(F.split(docs["text"], ENDS), lambda x: F.hash(x)).alias("_all"))
+    whole = F.array(F.col("_all"))
+    several = F.transform(F.sequence(F.lit(0), last_block(F.size("_all"))), lambda b: F.slice("_all", b * BLOCK + 1, BLOCK))
+    hashed = every.select("doc_id", F.posexplode(F.when(F.size("_all") <= BLOCK, whole).otherwise(several)).alias("block", "_h"))
     back = lambda a, kind: F.slice(F.concat(F.array(F.lit(None).cast(kind)), a), 1, F.size(a))
     rolled = hashed.select("doc_id", "block", "_h", F.zip_with("_h", back(F.col("_h"), "int"), lambda h, p: F.xxhash64(p, h)).alias("_r"))
     near = rolled.select("doc_id", "block", F.zip_with("_h", back(F.col("_r"), "bigint"), lambda h, r: F.struct(h.cast("string").alias("h"), r.alias("r"))).alias("_z"))
@@ -81,10 +77,20 @@ def repeats(docs: DataFrame, seeds: int = 3, modulus: int = 2, least_lines: int
     first_doc = F.min(F.coalesce("doc_id", F.lit(-(1 << 63))))  # no id is smaller than all
     shared = every.groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), first_doc.alias("kept_doc_id")).filter("_n > 1").drop("_n")
     met = every.join(shared.hint("shuffle_hash"), "hash")
-    by_block = met.groupBy(F.col("doc_id").alias("_id"), F.col("block").alias("_block")).agg(F.collect_list(F.struct("hash", "first", "size", "kept_doc_id")).alias("_met"))
-    same_block = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("block") == F.col("_block"))
-    whole = blocks(docs, lambda t: t).join(by_block.hint("shuffle_hash"), same_block)
-    whole = whole.select("doc_id", F.col("start").alias("_start"), F.split("text", "\1").alias("_l"), "_met")  # divided once, before the chunks are listed
+    by_doc = met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("block", "hash", "first", "size", "kept_doc_id")).alias("_met"))  # a document's own
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").filter("length(text) > 0")
+    rows = texts.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", marked(F.col("text")).alias("_t"), "_met")
+    rows = rows.withColumn("_n", F.length("_t") - F.length(F.replace("_t", F.lit("\1"))) + 1)
+    piece = lambda a, n: F.array_join(F.slice(F.split("_t", "\1"), a, n), "\1")
+    whole = F.array(F.struct(F.col("_t").alias("text"), F.lit(0).alias("start"), F.col("_met").alias("met")))
+    several = F.transform(  # for long texts only; a text of m blocks is divided 2 m times
+        F.sequence(F.lit(0), last_block(F.col("_n"))),
+        lambda b: F.struct(
+            piece(b * BLOCK + 1, F.lit(BLOCK)).alias("text"), F.length(F.replace(piece(F.lit(1), b * BLOCK), F.lit("\1"))).alias("start"), F.filter("_met", lambda m: m["block"] == b).alias("met")
+        ),
+    )
+    whole = rows.select("doc_id", F.explode(F.when(F.col("_n") <= BLOCK, whole).otherwise(several)).alias("_b"))
+    whole = whole.select("doc_id", F.col("_b.start").alias("_start"), F.split("_b.text", "\1").alias("_l"), F.col("_b.met").alias("_met"))  # divided once, before the chunks are listed
     joined = whole.select("doc_id", "_start", "_l", F.explode("_met").alias("_m"))
     own = F.slice("_l", F.col("_m.first"), F.col("_m.size"))
     texts = joined.select(
