@@ -30,10 +30,18 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage ends there and a lost executor costs nothing more."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder and read it back: the lineage ends there and a lost executor costs nothing more.
+
+    The shuffle files behind it are let go at once, as nothing reads them again.
+    """
+    spark, path, key = df.sparkSession, shared_folder(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def before(counts: DataFrame, keys: list[str], order: str, value: str, name: str, group: int = 4096) -> DataFrame:
@@ -133,40 +141,52 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def pieces(self, text: str) -> list[str] | None:
+        """Byte kind: a piece is a word after a blank, or, with a line break before it, one that starts a line; the first word has a tab."""
         if self.kind == "word":
             return (text.lower() if latin(text) else text).replace("\n", " ").split(" ")
-        if text.startswith("\n") or text.endswith(("\n", " ")) or "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[:1] == " ":
+        if text[:1] in ("\n", " ") or text[-1:] in ("\n", " ") or "  " in text or "\n\n" in text or "\n " in text or " \n" in text or "\t" in text:
             return None
-        return text.replace("\n", " \n ").replace(" ", "\0 ").replace("\0 \n\0 ", "\0\n\0").split("\0") if "\0" not in text else None
+        return ("\t" + text.replace("\n", " \n")).split(" ") if text else [""]
 
     def is_word(self, piece: str) -> bool:
         """Letters only, which normalisation leaves alone but for their case."""
-        return piece[piece[:1] == " " :].isalpha() and latin(piece)
+        return piece.isalpha() and latin(piece)
 
     def learn(self, new: set[str]) -> None:
         from array import array
 
         import numpy as np
 
-        known, letters, tokenize, lower = self.memo, self.letters, self.model.tokenize, self.kind == "word"
-        words, others, ended, space = set(), set(), [], self.letters[32]
-        for w in new:
+        known, letters, tokenize, lower, space = self.memo, self.letters, self.model.tokenize, self.kind == "word", self.letters[32]
+        mark = self.whole(self.mark)
+        words, others, ended = set(), set(), []
+        for piece in new:  # (what stands before, the word, the signs after it)
+            head, w = (piece[:1], piece[1:]) if not lower and piece[:1] in ("\n", "\t") else ("", piece)
             if self.is_word(w):
-                words.add(w)
+                words.add(w if lower or head else " " + w)
+                ended.append((piece, head, w, ""))
             elif w.isascii() and (end := len(w.rstrip(SIGNS))) and self.is_word(w[:end]):
-                ended.append((w, w[:end], w[end:]))
-                words.add(w[:end])
+                words.add(w[:end] if lower or head else " " + w[:end])
                 others.add(w[end:])
+                ended.append((piece, head, w[:end], w[end:]))
             else:
-                others.add(w)
-        for w in words.difference(known):
+                others.add(w if lower or head else " " + w)
+                ended.append((piece, head, w, ""))
+        own: dict[str, bytes] = {"": b""}
+        for w in words:
+            piece = w if lower else w[1:] if w[0] == " " else None  # the piece that is this word alone
+            if piece is not None and (met := known.get(piece)) is not None:
+                own[w] = met
+                continue
             raw = w.lower() if lower else w
             raw = raw.replace(" ", space) if raw.isascii() else "".join([letters[b] for b in raw.encode()])
-            known[w] = array("I", [t.id for t in tokenize(raw)]).tobytes()
-        others = others.difference(known)
+            own[w] = array("I", [t.id for t in tokenize(raw)]).tobytes()
+            if piece is not None:
+                known[piece] = own[w]
+        others = others.difference(own)
         for w in [w for w in others if self.mark in w or len(w.split()) != 1]:
-            known[w] = self.whole(w)
-        rest = list(others.difference(known))
+            own[w] = self.whole(w)
+        rest = list(others.difference(own))
         parts = [rest[i : i + 256] for i in range(0, len(rest), 256)]
         for part, got in zip(parts, self.tokenizer.encode_batch_fast([self.glue.join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, dtype="<u4")
@@ -175,10 +195,11 @@ class PieceEncoder:
                 raise ValueError("the separator met inside a piece")
             raw, at = ids.tobytes(), 0
             for w, cut in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-                known[w] = raw[4 * at : 4 * cut]
+                own[w] = raw[4 * at : 4 * cut]
                 at = cut + 1
-        for w, word, signs in ended:
-            known[w] = known[word] + known[signs]
+        for piece, head, w, signs in ended:
+            ids = own[w if lower or head else " " + w] + own[signs]
+            known[piece] = mark + ids if head == "\n" else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

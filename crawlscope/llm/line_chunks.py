@@ -43,7 +43,7 @@ def last_block(lines: Column) -> Column:
 
 
 def chunks(docs: DataFrame, seeds: int, modulus: int, least_lines: int) -> DataFrame:
-    """hash, doc_id, block, first (line of the block, from 1), size (lines) of every chunk of at least `least_lines` lines.
+    """hash, doc_id and place of every chunk of at least `least_lines` lines; a place is block, first line in it (from 1) and lines.
 
     A rolling hash covers two lines; eight of its bits choose whether a seed cuts before the next. Per seed the lines' hashes are
     written in a row, with a bar and the line's number at each cut, and divided at the bars. A block as a whole is a chunk too, so
@@ -68,7 +68,8 @@ def chunks(docs: DataFrame, seeds: int, modulus: int, least_lines: int) -> DataF
     found = found.filter(F.instr("_c", ",") > 0)  # one line alone has no comma
     found = found.select("doc_id", "block", "seed", F.substring_index("_c", ":", 1).cast("int").alias("first"), F.substring_index("_c", ":", -1).alias("_c"))
     found = found.withColumn("size", (F.length("_c") - F.length(F.replace("_c", F.lit(","))) + 1).cast("int")).filter(F.col("size") >= least_lines)
-    return found.select(F.xxhash64("seed", "_c").alias("hash"), "doc_id", "block", "first", "size")
+    place = F.col("block").cast("long") * 65536 + F.col("first") * 256 + F.col("size")
+    return found.select(F.xxhash64("seed", "_c").alias("hash"), "doc_id", place.alias("place"))
 
 
 def repeats(docs: DataFrame, seeds: int = 3, modulus: int = 2, least_lines: int = 2, least_bytes: int = 40) -> DataFrame:
@@ -77,25 +78,26 @@ def repeats(docs: DataFrame, seeds: int = 3, modulus: int = 2, least_lines: int
     first_doc = F.min(F.coalesce("doc_id", F.lit(-(1 << 63))))  # no id is smaller than all
     shared = every.groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), first_doc.alias("kept_doc_id")).filter("_n > 1").drop("_n")
     met = every.join(shared.hint("shuffle_hash"), "hash")
-    by_doc = met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("block", "hash", "first", "size", "kept_doc_id")).alias("_met"))  # a document's own
+    by_doc = met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("hash", "place", "kept_doc_id")).alias("_met"))  # a document's own
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").filter("length(text) > 0")
-    rows = texts.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", marked(F.col("text")).alias("_t"), "_met")
-    rows = rows.withColumn("_n", F.length("_t") - F.length(F.replace("_t", F.lit("\1"))) + 1)
-    piece = lambda a, n: F.array_join(F.slice(F.split("_t", "\1"), a, n), "\1")
-    whole = F.array(F.struct(F.col("_t").alias("text"), F.lit(0).alias("start"), F.col("_met").alias("met")))
-    several = F.transform(  # for long texts only; a text of m blocks is divided 2 m times
-        F.sequence(F.lit(0), last_block(F.col("_n"))),
+    rows = texts.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", F.split(marked(F.col("text")), "\1").alias("_all"), "_met")
+    whole = F.array(F.struct(F.col("_all").alias("lines"), F.lit(0).alias("start"), F.col("_met").alias("met")))
+    several = F.transform(
+        F.sequence(F.lit(0), last_block(F.size("_all"))),
         lambda b: F.struct(
-            piece(b * BLOCK + 1, F.lit(BLOCK)).alias("text"), F.length(F.replace(piece(F.lit(1), b * BLOCK), F.lit("\1"))).alias("start"), F.filter("_met", lambda m: m["block"] == b).alias("met")
+            F.slice("_all", b * BLOCK + 1, BLOCK).alias("lines"), F.length(F.array_join(F.slice("_all", F.lit(1), b * BLOCK), "")).alias("start"),
+            F.filter("_met", lambda m: F.shiftright(m["place"], 16) == b).alias("met"),
         ),
-    )
-    whole = rows.select("doc_id", F.explode(F.when(F.col("_n") <= BLOCK, whole).otherwise(several)).alias("_b"))
-    whole = whole.select("doc_id", F.col("_b.start").alias("_start"), F.split("_b.text", "\1").alias("_l"), F.col("_b.met").alias("_met"))  # divided once, before the chunks are listed
+    )
+    whole = rows.select("doc_id", F.explode(F.when(F.size("_all") <= BLOCK, whole).otherwise(several)).alias("_b"))
+    whole = whole.select("doc_id", F.col("_b.start").alias("_start"), F.col("_b.lines").alias("_l"), F.col("_b.met").alias("_met"))
     joined = whole.select("doc_id", "_start", "_l", F.explode("_met").alias("_m"))
-    own = F.slice("_l", F.col("_m.first"), F.col("_m.size"))
+    first, size = (F.shiftright("_m.place", 8).bitwiseAND(F.lit(255))).cast("int"), (F.col("_m.place").bitwiseAND(F.lit(255))).cast("int")
+    joined = joined.select("doc_id", "_start", "_l", "_m.hash", "_m.kept_doc_id", first.alias("_first"), size.alias("size"))
+    own = F.slice("_l", F.col("_first"), F.col("size"))
     texts = joined.select(
-        "doc_id", "_m.hash", "_m.size", F.coalesce("doc_id", F.lit(-(1 << 63))).eqNullSafe(F.col("_m.kept_doc_id")).alias("_own"),
-        (F.col("_start") + F.length(F.array_join(F.slice("_l", F.lit(1), F.col("_m.first") - 1), ""))).cast("long").alias("start"),
+        "doc_id", "hash", "size", F.coalesce("doc_id", F.lit(-(1 << 63))).eqNullSafe(F.col("kept_doc_id")).alias("_own"),
+        (F.col("_start") + F.length(F.array_join(F.slice("_l", F.lit(1), F.col("_first") - 1), ""))).cast("long").alias("start"),
         F.length(F.array_join(own, "")).cast("long").alias("length"), F.rtrim(plain(F.array_join(own, ""))).alias("chunk"),
     )
     texts = written(texts.filter(F.octet_length("chunk") >= least_bytes), "chunk-texts")
