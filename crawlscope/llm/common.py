@@ -164,7 +164,8 @@ class PieceEncoder:
             head, w = (piece[:1], piece[1:]) if not lower and piece[:1] in ("\n", "\t") else ("", piece)
             if self.is_word(w):
                 words.add(w if lower or head else " " + w)
-                ended.append((piece, head, w, ""))
+                if head:
+                    ended.append((piece, head, w, ""))
             elif w.isascii() and (end := len(w.rstrip(SIGNS))) and self.is_word(w[:end]):
                 words.add(w[:end] if lower or head else " " + w[:end])
                 others.add(w[end:])
