@@ -162,7 +162,7 @@ class PieceEncoder:
         words, others, ended = set(), set(), []
         for piece in new:  # (what stands before, the word, the signs after it)
             head, w = (piece[:1], piece[1:]) if not lower and piece[:1] in ("\n", "\t") else ("", piece)
-            if self.is_word(w):
+            if w.isalpha() and (w.isascii() or latin(w)):  # is_word, written out for the many new words
                 words.add(w if lower or head else " " + w)
                 if head:
                     ended.append((piece, head, w, ""))
