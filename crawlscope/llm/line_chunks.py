@@ -1,17 +1,19 @@
-"""Removal of repeated passages by content-defined line chunks, with DataFrame functions only.
+"""Removal of repeated passages by chunks of neighbouring lines, with DataFrame functions only.
 
-A text is taken as lines; lines of prose are divided after sentence ends too, so a passage is found wherever line breaks fall. A
-hash rolls over the hashes of neighbouring lines and chooses the cuts: the same lines are cut alike whatever stands before them.
-Chunks of several lines are counted over all documents; of a repeated chunk the first occurrence (smallest id, then place) stays
-and the others are removed, after their bytes, but for the ends of lines, were compared with the first's. Several seeds choose cuts
-independently, so that the ends of a passage which one seed misses are met by another. A removed line always has an equal line
-that is kept.
+A text is taken as lines; lines of prose are divided after sentence ends too, so a passage is found wherever line breaks fall. Every
+`least_lines` neighbouring lines are a chunk, so whatever stands before or after a passage, all chunks inside it are met in each of
+its copies. Chunks are counted over all documents; of a repeated chunk the first occurrence (smallest id, then place) stays and the
+others are removed, after their bytes, but for the ends of lines, were compared with the first's. Chunks that follow one another
+here and in the kept text are one stretch, which so reaches as far as whole lines agree; stretches under `least_bytes` stay. Text
+that repeats itself at once (a line again and again) is held against its own occurrence before too. A removed line always has an
+equal line that is kept.
 
-What is counted holds hashes and places only. Texts are joined by document and block of lines; a chunk's occurrences are never
-gathered. Work on a text is linear in its length: long texts are taken in blocks of lines, and a chunk ends with its block.
+What is counted holds hashes and places only. Texts are joined by document; a chunk's occurrences are never gathered. Long texts are
+taken in blocks of lines, each with the lines after it that its last chunks reach into, so no chunk is lost at an edge.
 
 Cases: null and empty texts have no chunks and pass through as they are; rows that share an id count as one document (all are cut
 alike if their texts are); a null id is smaller than all; an empty table gives no rows; other columns pass through `without_repeats`.
+Of a passage that begins or ends within a line, the whole lines go; what repeats of the broken lines stays.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from crawlscope.llm.common import written
 
 #: Lines of a text that are looked at together.
 BLOCK = 64
-#: Where a line ends: a line break, or a sentence end and a blank. The mark that stands for these is taken as a blank.
-ENDS = "[.!?][ \1]|\n"
+#: Where a line ends: a line break, or a blank after a sentence end. The mark that stands for these is taken as a blank.
+ENDS = "[ \1](?<=[.!?].)|\n"
 
 
 def marked(text: Column) -> Column:
@@ -42,69 +44,76 @@ def last_block(lines: Column) -> Column:
     return F.floor((lines - 1) / BLOCK).cast("int")
 
 
-def chunks(docs: DataFrame, seeds: int, modulus: int, least_lines: int) -> DataFrame:
-    """hash, doc_id and place of every chunk of at least `least_lines` lines; a place is block, first line in it (from 1) and lines.
+def chunks(docs: DataFrame, least_lines: int) -> DataFrame:
+    """hash, doc_id and line (from 0) of every `least_lines` neighbouring lines."""
+    every = docs.filter("length(text) > 0").select(docs["doc_id"].cast("long").alias("doc_id"), F.transform(F.split(docs["text"], ENDS), lambda x: F.hash(x)).alias("_h"))
+    every = every.filter(F.size("_h") >= least_lines)
+    at = F.sequence(F.lit(1), F.size("_h") - (least_lines - 1))
+    return every.select("doc_id", F.posexplode(F.transform(at, lambda i: F.xxhash64(F.slice("_h", i, least_lines)))).alias("line", "hash"))
 
-    A rolling hash covers two lines; eight of its bits choose whether a seed cuts before the next. Per seed the lines' hashes are
-    written in a row, with a bar and the line's number at each cut, and divided at the bars. A block as a whole is a chunk too, so
-    copies of a document go whole.
+
+def stretches(same: DataFrame, least_lines: int, least_bytes: int) -> DataFrame:
+    """Repeated chunks joined where they follow one another in both texts.
+
+    A chunk is held against the kept one, or, if that gives less than `least_bytes`, against the one before it in its own text.
     """
-    every = docs.filter("length(text) > 0").select(docs["doc_id"].cast("long").alias("doc_id"), F.transform(F.split(docs["text"], ENDS), lambda x: F.hash(x)).alias("_all"))
-    whole = F.array(F.col("_all"))
-    several = F.transform(F.sequence(F.lit(0), last_block(F.size("_all"))), lambda b: F.slice("_all", b * BLOCK + 1, BLOCK))
-    hashed = every.select("doc_id", F.posexplode(F.when(F.size("_all") <= BLOCK, whole).otherwise(several)).alias("block", "_h"))
-    back = lambda a, kind: F.slice(F.concat(F.array(F.lit(None).cast(kind)), a), 1, F.size(a))
-    rolled = hashed.select("doc_id", "block", "_h", F.zip_with("_h", back(F.col("_h"), "int"), lambda h, p: F.xxhash64(p, h)).alias("_r"))
-    near = rolled.select("doc_id", "block", F.zip_with("_h", back(F.col("_r"), "bigint"), lambda h, r: F.struct(h.cast("string").alias("h"), r.alias("r"))).alias("_z"))
-
-    def row(seed: int) -> Column:
-        cut = lambda z: F.pmod(F.shiftright(z["r"], 8 * seed), F.lit(modulus)) == 0
-        before = lambda z, i: F.when(i == 0, "1:").when(cut(z), F.concat(F.lit("|"), (i + 1).cast("string"), F.lit(":"))).otherwise(",")
-        return F.array_join(F.transform("_z", lambda z, i: F.concat(before(z, i), z["h"])), "")
-
-    uncut = F.struct(F.lit(-1).alias("seed"), F.concat(F.lit("1:"), F.array_join(F.transform("_z", lambda z: z["h"]), ",")).alias("row"))
-    rows = near.select("doc_id", "block", F.explode(F.array(uncut, *[F.struct(F.lit(s).alias("seed"), row(s).alias("row")) for s in range(seeds)])).alias("_r"))
-    found = rows.select("doc_id", "block", F.col("_r.seed").alias("seed"), F.explode(F.split("_r.row", r"\|")).alias("_c"))
-    found = found.filter(F.instr("_c", ",") > 0)  # one line alone has no comma
-    found = found.select("doc_id", "block", "seed", F.substring_index("_c", ":", 1).cast("int").alias("first"), F.substring_index("_c", ":", -1).alias("_c"))
-    found = found.withColumn("size", (F.length("_c") - F.length(F.replace("_c", F.lit(","))) + 1).cast("int")).filter(F.col("size") >= least_lines)
-    place = F.col("block").cast("long") * 65536 + F.col("first") * 256 + F.col("size")
-    return found.select(F.xxhash64("seed", "_c").alias("hash"), "doc_id", place.alias("place"))
-
-
-def repeats(docs: DataFrame, seeds: int = 3, modulus: int = 2, least_lines: int = 2, least_bytes: int = 40) -> DataFrame:
-    """Repeated chunks but for the first of each: doc_id, start and length (characters), size (lines), kept_doc_id, kept_start."""
-    every = written(chunks(docs, seeds, modulus, least_lines), "chunks")
+    again = Window.partitionBy("doc_id", "hash").orderBy("line")
+    own = F.when(F.col("_own"), F.col("kept_line")), F.when(F.col("_own"), F.col("kept_start"))
+    rows = same.repartition("doc_id").withColumns({"_line": F.coalesce(F.lag("line").over(again), own[0]), "_start": F.coalesce(F.lag("start").over(again), own[1])})
+    for name, keys, other in (("_a", ["doc_id", "kept_doc_id"], "kept_line"), ("_b", ["doc_id"], "_line")):
+        rows = rows.withColumn(f"{name}_shift", F.col("line") - F.col(other))
+        keys = [*keys, f"{name}_shift"]
+        rows = rows.withColumn(f"{name}_run", F.col("line") - F.row_number().over(Window.partitionBy(*keys).orderBy("line")))
+        run = Window.partitionBy(*keys, f"{name}_run")
+        rows = rows.withColumn(f"{name}_bytes", F.sum("_head").over(run) + F.max_by("_tail", "line").over(run))
+    first = F.col("_a_bytes") >= least_bytes
+    rows = rows.filter(first | (F.col("_b_shift").isNotNull() & (F.col("_b_bytes") >= least_bytes)))
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    rows = rows.select(
+        "doc_id", "line", "start", (F.col("start") + F.col("length")).alias("_end"), first.alias("_first"), pick("kept_doc_id", "doc_id").alias("kept_doc_id"),
+        pick("kept_start", "_start").alias("kept_start"), pick("_a_shift", "_b_shift").alias("_shift"), pick("_a_run", "_b_run").alias("_run"),
+    )
+    out = rows.groupBy("doc_id", "_first", "kept_doc_id", "_shift", "_run").agg(
+        F.min("start").alias("start"), F.max("_end").alias("_end"), (F.max("line") - F.min("line") + least_lines).cast("int").alias("size"), F.min("kept_start").alias("kept_start")
+    )
+    return out.select("doc_id", "start", (F.col("_end") - F.col("start")).alias("length"), "size", "kept_doc_id", "kept_start")
+
+
+def repeats(docs: DataFrame, least_lines: int = 2, least_bytes: int = 40) -> DataFrame:
+    """Repeated stretches but for the first of each: doc_id, start and length (characters), size (lines), kept_doc_id, kept_start."""
+    every = written(chunks(docs, least_lines), "chunks")
     first_doc = F.min(F.coalesce("doc_id", F.lit(-(1 << 63))))  # no id is smaller than all
     shared = every.groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), first_doc.alias("kept_doc_id")).filter("_n > 1").drop("_n")
     met = every.join(shared.hint("shuffle_hash"), "hash")
-    by_doc = met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("hash", "place", "kept_doc_id")).alias("_met"))  # a document's own
+    by_doc = met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("hash", "line", "kept_doc_id")).alias("_met"))  # a document's own
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").filter("length(text) > 0")
     rows = texts.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", F.split(marked(F.col("text")), "\1").alias("_all"), "_met")
-    whole = F.array(F.struct(F.col("_all").alias("lines"), F.lit(0).alias("start"), F.col("_met").alias("met")))
+    whole = F.array(F.struct(F.col("_all").alias("lines"), F.lit(0).alias("start"), F.lit(0).alias("line"), F.col("_met").alias("met")))
     several = F.transform(
         F.sequence(F.lit(0), last_block(F.size("_all"))),
         lambda b: F.struct(
-            F.slice("_all", b * BLOCK + 1, BLOCK).alias("lines"), F.length(F.array_join(F.slice("_all", F.lit(1), b * BLOCK), "")).alias("start"),
-            F.filter("_met", lambda m: F.shiftright(m["place"], 16) == b).alias("met"),
+            F.slice("_all", b * BLOCK + 1, BLOCK + least_lines - 1).alias("lines"), F.length(F.array_join(F.slice("_all", F.lit(1), b * BLOCK), "")).alias("start"),
+            (b * BLOCK).alias("line"), F.filter("_met", lambda m: F.floor(m["line"] / BLOCK) == b).alias("met"),
         ),
     )
     whole = rows.select("doc_id", F.explode(F.when(F.size("_all") <= BLOCK, whole).otherwise(several)).alias("_b"))
-    whole = whole.select("doc_id", F.col("_b.start").alias("_start"), F.col("_b.lines").alias("_l"), F.col("_b.met").alias("_met"))
-    joined = whole.select("doc_id", "_start", "_l", F.explode("_met").alias("_m"))
-    first, size = (F.shiftright("_m.place", 8).bitwiseAND(F.lit(255))).cast("int"), (F.col("_m.place").bitwiseAND(F.lit(255))).cast("int")
-    joined = joined.select("doc_id", "_start", "_l", "_m.hash", "_m.kept_doc_id", first.alias("_first"), size.alias("size"))
-    own = F.slice("_l", F.col("_first"), F.col("size"))
+    whole = whole.select("doc_id", F.col("_b.start").alias("_start"), F.col("_b.line").alias("_line"), F.col("_b.lines").alias("_l"), F.col("_b.met").alias("_met"))
+    joined = whole.select("doc_id", "_start", "_line", "_l", F.explode("_met").alias("_m"))
+    before = F.col("_m.line") - F.col("_line")
+    joined = joined.select(
+        "doc_id", "_m.hash", "_m.kept_doc_id", "_m.line", F.get("_l", before).alias("_one"), F.array_join(F.slice("_l", before + 1, least_lines), "").alias("_text"),
+        (F.col("_start") + F.length(F.array_join(F.slice("_l", F.lit(1), before), ""))).cast("long").alias("start"),
+    )
     texts = joined.select(
-        "doc_id", "hash", "size", F.coalesce("doc_id", F.lit(-(1 << 63))).eqNullSafe(F.col("kept_doc_id")).alias("_own"),
-        (F.col("_start") + F.length(F.array_join(F.slice("_l", F.lit(1), F.col("_first") - 1), ""))).cast("long").alias("start"),
-        F.length(F.array_join(own, "")).cast("long").alias("length"), F.rtrim(plain(F.array_join(own, ""))).alias("chunk"),
+        "doc_id", "hash", "line", "start", F.coalesce("doc_id", F.lit(-(1 << 63))).eqNullSafe(F.col("kept_doc_id")).alias("_own"), F.octet_length("_one").alias("_head"),
+        F.length("_text").cast("long").alias("length"), F.rtrim(plain(F.col("_text"))).alias("chunk"),
     )
-    texts = written(texts.filter(F.octet_length("chunk") >= least_bytes), "chunk-texts")
-    kept = texts.filter("_own").groupBy("hash").agg(F.min(F.struct("start", "chunk", "doc_id")).alias("_k"))
-    kept = kept.select("hash", F.col("_k.start").alias("kept_start"), F.col("_k.chunk").alias("kept_chunk"), F.col("_k.doc_id").alias("kept_doc_id"))
-    same = texts.join(kept, "hash").filter((F.col("chunk") == F.col("kept_chunk")) & ~(F.col("_own") & (F.col("start") == F.col("kept_start"))))
-    return same.select("doc_id", "start", "length", "size", "kept_doc_id", "kept_start")
+    texts = written(texts, "chunk-texts")
+    kept = texts.filter("_own").groupBy("hash").agg(F.min(F.struct("line", "start", "chunk", "doc_id")).alias("_k"))
+    kept = kept.select("hash", F.col("_k.line").alias("kept_line"), F.col("_k.start").alias("kept_start"), F.col("_k.chunk").alias("kept_chunk"), F.col("_k.doc_id").alias("kept_doc_id"))
+    same = texts.join(kept, "hash").filter((F.col("chunk") == F.col("kept_chunk")) & ~(F.col("_own") & (F.col("line") == F.col("kept_line"))))
+    same = same.withColumn("_tail", F.octet_length("chunk") - F.col("_head")).drop("chunk", "kept_chunk")
+    return stretches(same, least_lines, least_bytes)
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -254,6 +254,43 @@ def test_line_chunks_cut_repeated_passages(spark):
     assert line_chunks.repeats(docs.limit(0)).count() == 0
 
 
+def spread_passage(dice, shared):
+    """A document with `shared` between foreign sentences of its own."""
+    return f"{passage(dice, dice.randrange(3, 9))} {shared} {passage(dice, dice.randrange(3, 9))}"
+
+
+@pytest.mark.parametrize("sentences", [2, 3, 4, 5, 6])
+def test_line_chunks_cut_every_short_passage(spark, sentences):
+    """Whole sentences: all of them go. Word-level ends: all but the two broken sentences go."""
+    dice = random.Random(sentences)
+    shared = [passage(dice, sentences) for _ in range(40)]
+    texts = [spread_passage(dice, s) for s in shared for _ in range(2)]
+    words = [passage(dice, sentences + 1).split(" ") for _ in range(40)]
+    broken = [w[3:-3] for w in words]
+    few = lambda: " ".join("".join(dice.choice("abcdefgh") for _ in range(6)) for _ in range(4))
+    texts += [spread_passage(dice, f"{few()} {' '.join(b)} {few()}.") for b in broken for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    after = {r.doc_id: r.text for r in line_chunks.without_repeats(docs, line_chunks.repeats(docs)).collect()}
+    for k in range(80):
+        assert after[2 * k] == texts[2 * k]
+    for k, s in enumerate(shared):
+        assert after[2 * k + 1] == texts[2 * k + 1].replace(s + " ", "")
+    for k, b in enumerate(broken):
+        own = " ".join(b).split(". ")
+        assert [s in after[81 + 2 * k] for s in own[1:-1]] == [sentences < 3] * (sentences - 1)
+
+
+def test_line_chunks_cross_block_edges(spark):
+    dice = random.Random(11)
+    long = [passage(dice, 1) for _ in range(400)]
+    copies = [" ".join(long), " ".join([passage(dice, 1), *long]), " ".join([*(passage(dice, 1) for _ in range(62)), *long[63:65], passage(dice, 3)])]
+    docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    found = line_chunks.repeats(docs)
+    assert sorted((r.doc_id, r.size, r.kept_doc_id, r.kept_start) for r in found.collect()) == [(1, 400, 0, 0), (2, 2, 0, len(" ".join(long[:63])) + 1)]
+    after = {r.doc_id: r.text for r in line_chunks.without_repeats(docs, found).collect()}
+    assert after[0] == copies[0] and after[1] == copies[1][: len(copies[1]) - len(copies[0])] and after[2] == copies[2].replace(" ".join(long[63:65]) + " ", "")
+
+
 def test_line_chunks_odd_rows(spark):
     docs = odd_documents(spark)
     found = line_chunks.repeats(docs)
