@@ -11,8 +11,9 @@ equal line that is kept.
 What is counted holds hashes and places only. Texts are joined by document; a chunk's occurrences are never gathered. Long texts are
 taken in blocks of lines, each with the lines after it that its last chunks reach into, so no chunk is lost at an edge.
 
-Cases: null and empty texts have no chunks and pass through as they are; rows that share an id count as one document (all are cut
-alike if their texts are); a null id is smaller than all; an empty table gives no rows; other columns pass through `without_repeats`.
+Cases: null and empty texts have no chunks and pass through as they are; a document is an id and a hash of the text, so rows that
+share an id, or have none, are cut each by its own text, and only those with equal texts count as one document and are cut alike; a
+null id is smaller than all, and of one id the smaller hash comes first; an empty table gives no rows; other columns pass through `without_repeats`.
 Of a passage that begins or ends within a line, the whole lines go; what repeats of the broken lines stays.
 """
 
@@ -40,16 +41,21 @@ def plain(text: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.lit(" "))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and text of the rows with text: the first two name a document."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].alias("text")).filter("length(text) > 0")
+
+
 def last_block(lines: Column) -> Column:
     return F.floor((lines - 1) / BLOCK).cast("int")
 
 
 def chunks(docs: DataFrame, least_lines: int) -> DataFrame:
-    """hash, doc_id and line (from 0) of every `least_lines` neighbouring lines."""
-    every = docs.filter("length(text) > 0").select(docs["doc_id"].cast("long").alias("doc_id"), F.transform(F.split(docs["text"], ENDS), lambda x: F.hash(x)).alias("_h"))
+    """hash, doc_id, text_hash and line (from 0) of every `least_lines` neighbouring lines."""
+    every = keyed(docs).select("doc_id", "text_hash", F.transform(F.split("text", ENDS), lambda x: F.hash(x)).alias("_h"))
     every = every.filter(F.size("_h") >= least_lines)
     at = F.sequence(F.lit(1), F.size("_h") - (least_lines - 1))
-    return every.select("doc_id", F.posexplode(F.transform(at, lambda i: F.xxhash64(F.slice("_h", i, least_lines)))).alias("line", "hash"))
+    return every.select("doc_id", "text_hash", F.posexplode(F.transform(at, lambda i: F.xxhash64(F.slice("_h", i, least_lines)))).alias("line", "hash"))
 
 
 def stretches(same: DataFrame, least_lines: int, least_bytes: int) -> DataFrame:
@@ -57,10 +63,10 @@ def stretches(same: DataFrame, least_lines: int, least_bytes: int) -> DataFrame:
 
     A chunk is held against the kept one, or, if that gives less than `least_bytes`, against the one before it in its own text.
     """
-    again = Window.partitionBy("doc_id", "hash").orderBy("line")
+    again = Window.partitionBy("doc_id", "text_hash", "hash").orderBy("line")
     own = F.when(F.col("_own"), F.col("kept_line")), F.when(F.col("_own"), F.col("kept_start"))
-    rows = same.repartition("doc_id").withColumns({"_line": F.coalesce(F.lag("line").over(again), own[0]), "_start": F.coalesce(F.lag("start").over(again), own[1])})
-    for name, keys, other in (("_a", ["doc_id", "kept_doc_id"], "kept_line"), ("_b", ["doc_id"], "_line")):
+    rows = same.repartition("doc_id", "text_hash").withColumns({"_line": F.coalesce(F.lag("line").over(again), own[0]), "_start": F.coalesce(F.lag("start").over(again), own[1])})
+    for name, keys, other in (("_a", ["doc_id", "text_hash", "kept_doc_id", "kept_text_hash"], "kept_line"), ("_b", ["doc_id", "text_hash"], "_line")):
         rows = rows.withColumn(f"{name}_shift", F.col("line") - F.col(other))
         keys = [*keys, f"{name}_shift"]
         rows = rows.withColumn(f"{name}_run", F.col("line") - F.row_number().over(Window.partitionBy(*keys).orderBy("line")))
@@ -70,24 +76,25 @@ def stretches(same: DataFrame, least_lines: int, least_bytes: int) -> DataFrame:
     rows = rows.filter(first | (F.col("_b_shift").isNotNull() & (F.col("_b_bytes") >= least_bytes)))
     pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
     rows = rows.select(
-        "doc_id", "line", "start", (F.col("start") + F.col("length")).alias("_end"), first.alias("_first"), pick("kept_doc_id", "doc_id").alias("kept_doc_id"),
+        "doc_id", "text_hash", "line", "start", (F.col("start") + F.col("length")).alias("_end"), first.alias("_first"),
+        pick("kept_doc_id", "doc_id").alias("kept_doc_id"), pick("kept_text_hash", "text_hash").alias("kept_text_hash"),
         pick("kept_start", "_start").alias("kept_start"), pick("_a_shift", "_b_shift").alias("_shift"), pick("_a_run", "_b_run").alias("_run"),
     )
-    out = rows.groupBy("doc_id", "_first", "kept_doc_id", "_shift", "_run").agg(
+    out = rows.groupBy("doc_id", "text_hash", "_first", "kept_doc_id", "kept_text_hash", "_shift", "_run").agg(
         F.min("start").alias("start"), F.max("_end").alias("_end"), (F.max("line") - F.min("line") + least_lines).cast("int").alias("size"), F.min("kept_start").alias("kept_start")
     )
-    return out.select("doc_id", "start", (F.col("_end") - F.col("start")).alias("length"), "size", "kept_doc_id", "kept_start")
+    return out.select("doc_id", "start", (F.col("_end") - F.col("start")).alias("length"), "size", "kept_doc_id", "kept_start", "text_hash", "kept_text_hash")
 
 
 def repeats(docs: DataFrame, least_lines: int = 2, least_bytes: int = 40) -> DataFrame:
-    """Repeated stretches but for the first of each: doc_id, start and length (characters), size (lines), kept_doc_id, kept_start."""
+    """Repeated stretches but for the first of each: doc_id, start and length (characters), size (lines), kept_doc_id, kept_start, text_hash, kept_text_hash."""
     every = written(chunks(docs, least_lines), "chunks")
     first_doc = F.min(F.coalesce("doc_id", F.lit(-(1 << 63))))  # no id is smaller than all
     shared = every.groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), first_doc.alias("kept_doc_id")).filter("_n > 1").drop("_n")
     met = every.join(shared.hint("shuffle_hash"), "hash")
-    by_doc = met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("hash", "line", "kept_doc_id")).alias("_met"))  # a document's own
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").filter("length(text) > 0")
-    rows = texts.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", F.split(marked(F.col("text")), "\1").alias("_all"), "_met")
+    by_doc = met.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("hash", "line", "kept_doc_id")).alias("_met"))  # a document's own
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    rows = keyed(docs).join(by_doc.hint("shuffle_hash"), own).select("doc_id", "text_hash", F.split(marked(F.col("text")), "\1").alias("_all"), "_met")
     whole = F.array(F.struct(F.col("_all").alias("lines"), F.lit(0).alias("start"), F.lit(0).alias("line"), F.col("_met").alias("met")))
     several = F.transform(
         F.sequence(F.lit(0), last_block(F.size("_all"))),
@@ -96,40 +103,41 @@ def repeats(docs: DataFrame, least_lines: int = 2, least_bytes: int = 40) -> Dat
             (b * BLOCK).alias("line"), F.filter("_met", lambda m: F.floor(m["line"] / BLOCK) == b).alias("met"),
         ),
     )
-    whole = rows.select("doc_id", F.explode(F.when(F.size("_all") <= BLOCK, whole).otherwise(several)).alias("_b"))
-    whole = whole.select("doc_id", F.col("_b.start").alias("_start"), F.col("_b.line").alias("_line"), F.col("_b.lines").alias("_l"), F.col("_b.met").alias("_met"))
-    joined = whole.select("doc_id", "_start", "_line", "_l", F.explode("_met").alias("_m"))
+    whole = rows.select("doc_id", "text_hash", F.explode(F.when(F.size("_all") <= BLOCK, whole).otherwise(several)).alias("_b"))
+    whole = whole.select("doc_id", "text_hash", F.col("_b.start").alias("_start"), F.col("_b.line").alias("_line"), F.col("_b.lines").alias("_l"), F.col("_b.met").alias("_met"))
+    joined = whole.select("doc_id", "text_hash", "_start", "_line", "_l", F.explode("_met").alias("_m"))
     before = F.col("_m.line") - F.col("_line")
     joined = joined.select(
-        "doc_id", "_m.hash", "_m.kept_doc_id", "_m.line", F.get("_l", before).alias("_one"), F.array_join(F.slice("_l", before + 1, least_lines), "").alias("_text"),
+        "doc_id", "text_hash", "_m.hash", "_m.kept_doc_id", "_m.line", F.get("_l", before).alias("_one"), F.array_join(F.slice("_l", before + 1, least_lines), "").alias("_text"),
         (F.col("_start") + F.length(F.array_join(F.slice("_l", F.lit(1), before), ""))).cast("long").alias("start"),
     )
     texts = joined.select(
-        "doc_id", "hash", "line", "start", F.coalesce("doc_id", F.lit(-(1 << 63))).eqNullSafe(F.col("kept_doc_id")).alias("_own"), F.octet_length("_one").alias("_head"),
+        "doc_id", "text_hash", "hash", "line", "start", F.coalesce("doc_id", F.lit(-(1 << 63))).eqNullSafe(F.col("kept_doc_id")).alias("_own"), F.octet_length("_one").alias("_head"),
         F.length("_text").cast("long").alias("length"), F.rtrim(plain(F.col("_text"))).alias("chunk"),
     )
     texts = written(texts, "chunk-texts")
-    kept = texts.filter("_own").groupBy("hash").agg(F.min(F.struct("line", "start", "chunk", "doc_id")).alias("_k"))
-    kept = kept.select("hash", F.col("_k.line").alias("kept_line"), F.col("_k.start").alias("kept_start"), F.col("_k.chunk").alias("kept_chunk"), F.col("_k.doc_id").alias("kept_doc_id"))
-    same = texts.join(kept, "hash").filter((F.col("chunk") == F.col("kept_chunk")) & ~(F.col("_own") & (F.col("line") == F.col("kept_line"))))
+    kept = texts.filter("_own").groupBy("hash").agg(F.min(F.struct("doc_id", "text_hash", "line", "start", "chunk")).alias("_k"))
+    kept = kept.select("hash", F.col("_k.text_hash").alias("kept_text_hash"), F.col("_k.line").alias("kept_line"), F.col("_k.start").alias("kept_start"), F.col("_k.chunk").alias("kept_chunk"), F.col("_k.doc_id").alias("kept_doc_id"))
+    same = texts.drop("kept_doc_id", "_own").join(kept, "hash").withColumn("_own", F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("text_hash") == F.col("kept_text_hash")))
+    same = same.filter((F.col("chunk") == F.col("kept_chunk")) & ~(F.col("_own") & (F.col("line") == F.col("kept_line"))))
     same = same.withColumn("_tail", F.octet_length("chunk") - F.col("_head")).drop("chunk", "kept_chunk")
     return stretches(same, least_lines, least_bytes)
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """`docs` with the repeated chunks cut out of the text; `_llm_cut` tells how many stretches went."""
-    by_start = Window.partitionBy("doc_id").orderBy("start", "end")
-    spans = found.select("doc_id", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+    by_start = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
+    spans = found.select("doc_id", "text_hash", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
     spans = spans.withColumn("_before", F.coalesce(F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
     spans = spans.withColumn("_run", F.count_if(F.col("start") > F.col("_before")).over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    ahead = Window.partitionBy("doc_id").orderBy("start")
-    gaps = spans.select("doc_id", F.col("start").alias("to"), F.coalesce(F.lag("end").over(ahead), F.lit(0)).alias("from"), F.lead("start").over(ahead).isNull().alias("_last"), "end")
-    kept = gaps.groupBy(F.col("doc_id").alias("_llm_id")).agg(
+    spans = spans.groupBy("doc_id", "text_hash", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    ahead = Window.partitionBy("doc_id", "text_hash").orderBy("start")
+    gaps = spans.select("doc_id", "text_hash", F.col("start").alias("to"), F.coalesce(F.lag("end").over(ahead), F.lit(0)).alias("from"), F.lead("start").over(ahead).isNull().alias("_last"), "end")
+    kept = gaps.groupBy(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash")).agg(
         F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_llm_kept"), F.max(F.when(F.col("_last"), F.col("end"))).alias("_llm_end"), F.count(F.lit(1)).cast("int").alias("_llm_n")
     )
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left")
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.xxhash64("text") == F.col("_llm_hash")), "left")
     cut = F.array_join(F.transform("_llm_kept", lambda k: F.substring(F.col("text"), (k["from"] + 1).cast("int"), (k["to"] - k["from"]).cast("int"))), "")
     rest = F.substring(F.col("text"), (F.col("_llm_end") + 1).cast("int"), F.length("text"))
-    text = F.when(F.col("_llm_id").isNull() & F.col("_llm_n").isNull(), F.col("text")).otherwise(F.concat(cut, rest))
+    text = F.when(F.col("_llm_n").isNull(), F.col("text")).otherwise(F.concat(cut, rest))
     return joined.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns], F.coalesce("_llm_n", F.lit(0)).alias("_llm_cut"))

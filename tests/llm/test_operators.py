@@ -291,6 +291,20 @@ def test_line_chunks_cross_block_edges(spark):
     assert after[0] == copies[0] and after[1] == copies[1][: len(copies[1]) - len(copies[0])] and after[2] == copies[2].replace(" ".join(long[63:65]) + " ", "")
 
 
+def test_line_chunks_touch_only_the_text_they_were_found_in(spark):
+    dice = random.Random(12)
+    shared, other = passage(dice, 4), passage(dice, 4)
+    rows = [(None, spread_passage(dice, shared)), (None, passage(dice, 30)), (None, spread_passage(dice, other)), (None, passage(dice, 40))]
+    rows += [(5, spread_passage(dice, shared)), (5, passage(dice, 30)), (5, spread_passage(dice, other)), (6, None), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.lit("x"))
+    found = line_chunks.repeats(docs)
+    after = line_chunks.without_repeats(docs, found)
+    want = [(i, t.replace(f"{shared} ", "").replace(f"{other} ", "") if i == 5 else t) for i, t in rows]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in after.collect()), key=order) == sorted(want, key=order)
+    assert found.count() == 2
+
+
 def test_line_chunks_odd_rows(spark):
     docs = odd_documents(spark)
     found = line_chunks.repeats(docs)
