@@ -41,10 +41,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component."""
-    found = chosen_path.components(docs, share=80)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_llm_id"))
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left_anti")
+    """Keep the document with the smallest id of each component; each row goes or stays by its own text."""
+    found = chosen_path.by_row(docs, share=80)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.xxhash64("text") == F.col("_llm_hash"))
+    return docs.select(*COLUMNS).join(gone, same, "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ probability 0.85 if its node is small after one step and about a half after many
 thousand; pairs whose sketches agree less than 4.5 standard deviations below the threshold's mean are not confirmed.
 
 Cases: null and empty texts and texts without words have an empty set and are linked with nothing; fewer words than a shingle
-make one shingle; rows that share an id count as one document with several sets; a null id is never a representative, and rows
-without an id get the smallest id of their class or component, or null; an empty table gives no rows; other columns are ignored.
+make one shingle; sets are linked, not ids, so each row of a repeated id goes by its own text; a null id is never a representative,
+and rows without an id get the smallest id of their component, or null if no row of it has one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,8 +62,13 @@ def factors(count: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1 << 62, (1 << 64) - 1, count, dtype=np.uint64) | np.uint64(1)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and text: rows of equal id and text are alike in all that follows."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].alias("text"))
+
+
 def sketched(docs: DataFrame, width: int, tokens: int, seed: int) -> DataFrame:
-    """doc_id, n (set size), two hashes of the set and its sketch."""
+    """doc_id, text_hash, n (set size), two hashes of the set and its sketch."""
     own = factors(tokens, seed)
 
     def run(batches: Iterator) -> Iterator:
@@ -79,10 +84,10 @@ def sketched(docs: DataFrame, width: int, tokens: int, seed: int) -> DataFrame:
             import pyarrow as pa
 
             frame = pd.DataFrame(rows, columns=["n", "a", "b", "sig"])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(frame["n"], pa.int64()), pa.array(frame["a"], pa.int64()), pa.array(frame["b"], pa.int64()), pa.array(list(frame["sig"]), pa.list_(pa.int32()))], names=["doc_id", "n", "a", "b", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(frame["n"], pa.int64()), pa.array(frame["a"], pa.int64()), pa.array(frame["b"], pa.int64()), pa.array(list(frame["sig"]), pa.list_(pa.int32()))], names=["doc_id", "text_hash", "n", "a", "b", "sig"])
             del ids
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, a long, b long, sig array<int>")
+    return keyed(docs).mapInArrow(run, "doc_id long, text_hash long, n long, a long, b long, sig array<int>")
 
 
 def by_group(df: DataFrame, key: str, parts: int, work: Callable, schema: str) -> DataFrame:
@@ -201,7 +206,7 @@ def contracted(links: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, nodes: list[DataFrame], parts: int, tokens: int, width: int, share: int) -> DataFrame:
-    """Confirmed links (u, v) between ids, enough of them to connect all that are linked within a cluster."""
+    """Confirmed links (u, v) between classes, enough of them to connect all that are linked within a cluster."""
     mean = share / 100
     least = int(tokens * mean - 4.5 * (tokens * mean * (1 - mean)) ** 0.5)
 
@@ -227,7 +232,7 @@ def links(docs: DataFrame, classes: DataFrame, nodes: list[DataFrame], parts: in
     def confirm(_, frame) -> list[tuple]:
         sets = [shingles(t, width) for t in frame["text"]]
         n, told = np.array([len(s) for s in sets]), frame["n"].to_numpy()
-        keep = np.flatnonzero(n == told)  # rows that share an id come with each of its texts
+        keep = np.flatnonzero(n == told)
         ids, sig = frame["id"].to_numpy(), np.frombuffer(b"".join(frame["sig"]), dtype=np.int32).reshape(len(frame), -1)
         equal = agreeing(sig[keep], n[keep], least, share)
         a, b = np.nonzero(np.triu(equal >= 0, 1))
@@ -245,14 +250,16 @@ def links(docs: DataFrame, classes: DataFrame, nodes: list[DataFrame], parts: in
                     out.append((u, v))
         return out
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), "text").filter("id is not null and text is not null")
+    wanted = classes.join(found.select("id").distinct(), "id").select("id", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    texts = keyed(docs).filter("text is not null").join(wanted, same).select("id", "text").dropDuplicates(["id"])  # one text a class
     return by_group(found.join(texts, "id"), "cluster", parts, confirm, "u long, v long")
 
 
-def components(
+def by_row(
     docs: DataFrame, width: int = 5, share: int = 80, trees: int = 12, tokens: int = 64, small: int = 512, heavy: int = 1 << 22, rounds: int = 12, parts: int | None = None, seed: int = 1,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; linked are sets with 100 * shared >= share * united.
+    """doc_id, text_hash, n_shingles, component_id, kept of every row; linked are sets with 100 * shared >= share * united.
 
     `small` classes, or `heavy` shingles, are the most that a node is compared with at once; `parts` tasks compare (default: as many
     as the session shuffles to).
@@ -261,12 +268,19 @@ def components(
     small_batches(docs.sparkSession)
     own = written(sketched(docs, width, tokens, seed), "path-sketches")
     key = ["n", "a", "b"]
-    classes = own.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
+    classes = own.filter("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "text_hash")).alias("_one"), F.first("sig").alias("sig"))
+    classes = classes.select(*key, F.xxhash64(*key).alias("id"), "_one.doc_id", "_one.text_hash", "sig")  # the smallest id of a class, null if it has none
     classes = written(classes, "path-classes")
-    usable = classes.filter("id is not null").select("id", "n", "sig")
-    nodes = nodes_of(usable, trees, tokens, small, heavy, rounds, share / 100, seed)
-    tops = contracted(links(docs, usable, nodes, parts, tokens, width, share))
-    owner = classes.select(*key, "id").join(tops, "id", "left").select(*key, F.coalesce("top", "id").alias("_top"))
-    out = own.select("doc_id", *key).join(owner, key, "left")
+    nodes = nodes_of(classes.select("id", "n", "sig"), trees, tokens, small, heavy, rounds, share / 100, seed)
+    tops = contracted(links(docs, classes, nodes, parts, tokens, width, share))
+    owner = classes.select(*key, "id", "doc_id").join(tops, "id", "left").select(*key, "doc_id", F.coalesce("top", "id").alias("_part"))
+    least = owner.groupBy("_part").agg(F.min("doc_id").alias("_top"))
+    owner = owner.drop("doc_id").join(least, "_part").select(*key, "_top")
+    out = own.select("doc_id", "text_hash", *key).join(owner, key, "left")
     component = F.when(F.col("n") > 0, F.col("_top")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def components(docs: DataFrame, **settings) -> DataFrame:
+    """`by_row` without the hash of the text: doc_id, n_shingles, component_id, kept of every row."""
+    return by_row(docs, **settings).drop("text_hash")

@@ -235,6 +235,25 @@ def passage(dice, sentences=9):
     return " ".join(" ".join("".join(dice.choice("abcdefgh") for _ in range(6)) for _ in range(7)) + "." for _ in range(sentences))
 
 
+def test_near_dedup_decides_by_row(spark):
+    dice = random.Random(13)
+    a, b, c = (passage(dice, 12) for _ in range(3))
+    rows = [(1, a), (None, a), (None, b), (None, ""), (None, None), (7, f"{a} one more word"), (7, c), (7, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (None, b), (None, ""), (None, None), (7, c), (7, c)], key=str)
+
+
+def test_chosen_path_links_rows_without_an_id(spark):
+    dice = random.Random(14)
+    a, b = passage(dice, 12), passage(dice, 12)
+    rows = [(None, f"{a} x"), (None, f"{a} y"), (9, f"{a} z"), (None, f"{b} x"), (None, f"{b} y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in chosen_path.components(docs, parts=2).collect()}
+    assert got == {(None, 81, 9, False), (9, 81, 9, True), (None, 81, None, True)}
+
+
 def test_line_chunks_cut_repeated_passages(spark):
     dice = random.Random(4)
     shared = passage(dice)
