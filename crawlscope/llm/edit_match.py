@@ -6,7 +6,9 @@ whole item by Myers' bit-parallel edit distance. Texts and items are taken in lo
 
 Items are read in blocks of bounded size, which travel to the tasks; every block meets all texts. Nothing is shuffled.
 
-Cases: null and empty texts have no hits; null, blank and very short items (under `least_chars`) are not searched; items with equal
+Short items (under `least_chars`) are met without edits only, and only where no word goes on before or after them.
+
+Cases: null and empty texts have no hits; null and blank items are not searched; items with equal
 texts are all reported; rows with equal or null ids are each searched; empty tables give no rows; other columns pass through.
 """
 
@@ -69,15 +71,20 @@ def myers(peq: dict[str, int], m: int, text: str, anchored: bool = False) -> tup
     return best, end
 
 
+def inside_word(text: str, start: int, end: int) -> bool:
+    """Whether a word goes on over either end of a stretch."""
+    return text[max(0, start - 1) : start + 1].isalnum() and start > 0 or text[end - 1 : end + 1].isalnum() and end < len(text)
+
+
 class Finder:
     """Searches texts for a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float, least_piece: int):
+    def __init__(self, items: list[tuple[int, str]], share: float, least_piece: int, least_chars: int):
         import ahocorasick
 
-        self.items, by_piece = [], {}
+        self.items, by_piece, self.least_chars = [], {}, least_chars
         for number, (item_id, item) in enumerate(items):
-            edits = budget(len(item), share, least_piece)
+            edits = budget(len(item), share, least_piece) if len(item) >= least_chars else 0
             self.items.append((item_id, item, edits, masks(item), masks(item[::-1])))
             for at, piece in pieces(item, edits):
                 by_piece.setdefault(piece, []).append((number, at))
@@ -98,6 +105,8 @@ class Finder:
             for start in sorted(starts):
                 if start <= done:  # within a stretch that was found or searched
                     continue
+                if len(item) < self.least_chars and inside_word(text, start, start + len(item)):
+                    continue
                 low = max(0, start - edits)
                 distance, end = myers(peq, len(item), text[low : start + len(item) + edits])
                 done = start + edits
@@ -110,18 +119,18 @@ class Finder:
 
 
 @lru_cache(maxsize=4)
-def finder(items: tuple, share: float, least_piece: int) -> Finder:
+def finder(items: tuple, share: float, least_piece: int, least_chars: int) -> Finder:
     """One automaton for each block and worker process."""
-    return Finder(list(items), share, least_piece)
+    return Finder(list(items), share, least_piece, least_chars)
 
 
-def blocks(items: DataFrame, least_chars: int, block_chars: int) -> Iterator[tuple]:
+def blocks(items: DataFrame, block_chars: int) -> Iterator[tuple]:
     """Items in blocks of about `block_chars` characters: only one block is held at a time."""
     held, size = [], 0
     usable = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
     for row in usable.toLocalIterator():
         text = plain(row["text"])
-        if len(text) >= least_chars:
+        if text:
             held.append((row["item_id"], text))
             size += len(text)
         if size >= block_chars:
@@ -137,7 +146,7 @@ def matched(docs: DataFrame, items: DataFrame, share: float = 0.06, least_piece:
         def search(batches):
             import pandas as pd
 
-            machine = finder(held.value, share, least_piece)
+            machine = finder(held.value, share, least_piece, least_chars)
             for batch in batches:
                 yield pd.Series([[dict(zip(("item_id", "start", "length", "distance"), h, strict=True)) for h in machine.hits(t)] if t else [] for t in batch])
 
@@ -145,7 +154,7 @@ def matched(docs: DataFrame, items: DataFrame, share: float = 0.06, least_piece:
 
     small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    found = [searcher(context.broadcast(block))(docs["text"]) for block in blocks(items, least_chars, block_chars)]
+    found = [searcher(context.broadcast(block))(docs["text"]) for block in blocks(items, block_chars)]
     none = F.array().cast(HIT)
     return docs.withColumn(name, F.concat(*found) if len(found) > 1 else found[0] if found else none)
 

@@ -381,6 +381,15 @@ def test_edit_match_finds_edited_items(spark):
     assert edit_match.leaks(odd_documents(spark), bench).count() == 0
 
 
+def test_edit_match_finds_short_items_at_word_bounds(spark):
+    texts = ["so: What is  PI? yes", "what is pi", "what is pie?", "somewhat is pi?", "what is pi?", "nothing", "somewhat is pi? what is pi?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is pi?"), (2, " "), (3, None)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.length, r.distance) for r in edit_match.leaks(docs, bench).collect())
+    assert got == [(0, 1, 4, 11, 0), (4, 1, 0, 11, 0), (6, 1, 16, 11, 0)]
+    assert {r.doc_id for r in edit_match.without_leaks(docs, bench).collect()} == {1, 2, 3, 5}
+
+
 def test_packing(spark):
     docs, coder = odd_documents(spark), Tokenizer.from_file(WORD)
     pieces = packing.pack(docs.repartition(3), WORD, piece=512, block=16).collect()
