@@ -79,14 +79,18 @@ def remainder_of(doc_id: Column, modulus: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, most_chars: int) -> DataFrame:
     """doc_id, text, y of at most `most` labelled documents with at most `most_chars` characters together.
 
-    They are the first in order of a hash of the id. The list of ids is bounded by `most`, so it may be broadcast, and one task
-    may add up the lengths.
+    They are the first in order of a hash of the id; texts over a 64th of `most_chars` come after all others, the shortest first, so
+    that no text takes the place of many. The list of ids is bounded by `most`, so it may be broadcast, and one task may add up the
+    lengths: it sees ids and lengths only, and the texts are joined to those that fit.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    first = Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_chars", F.sum(F.length("text")).over(first)).filter(F.col("_chars") <= most_chars).drop("_chars")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_hash", F.xxhash64("text"))
+    lengths = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y", "_hash").agg(F.max(F.length("text")).alias("_one"), F.sum(F.length("text")).alias("_chars"))
+    late = F.when(F.col("_one") > most_chars // 64, F.col("_one")).otherwise(0)
+    first = Window.orderBy(late, F.xxhash64("doc_id"), "doc_id", "_one", "_hash").rowsBetween(Window.unboundedPreceding, 0)
+    fit = lengths.withColumn("_sum", F.sum("_chars").over(first)).filter(F.col("_sum") <= most_chars).select("doc_id", "y", "_hash")
+    return rows.join(F.broadcast(fit), ["doc_id", "_hash"]).select("doc_id", "text", "y").orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text"), "text")
 
 
 def series_udf(of_batches, kind: str = "double"):

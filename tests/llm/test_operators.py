@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from crawlscope.llm import chosen_path, edit_match, interleave, line_chunks, noisy_or, packing, pivot_search, subword, token_files, warc
-from crawlscope.llm.common import PieceEncoder, shared_folder, written
+from crawlscope.llm.common import PieceEncoder, labelled_sample, shared_folder, written
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, shard int, node long, hash string, _n int, score string, start string"
@@ -141,6 +141,14 @@ def test_subword_classifier(spark):
         subword.fit(docs, labels.limit(0))
 
 
+def test_labelled_sample_is_not_ended_by_a_long_text(spark):
+    docs = spark.createDataFrame([(i, "a" * (7000 if i % 2 else 10)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(40)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", F.lit(True), 40, 6400).collect()
+    assert {r.doc_id for r in got} == set(range(0, 40, 2)) and all(r.y == r.doc_id % 3 % 2 for r in got)
+    assert len(labelled_sample(docs, labels, "quality", F.lit(True), 40, 7200).collect()) == 21
+
+
 def test_subword_score_is_the_average_of_features():
     shape = subword.Shape(9, 3, 4)
     model = subword.Model(shape, np.random.default_rng(1).normal(0, 1, 512).astype(np.float32), 0.3)
