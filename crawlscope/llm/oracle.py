@@ -70,4 +70,51 @@ least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
 SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN least USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_warc": OP2, "op5_pivots": OP5, "op6_interleave": OP6, "op7_chosen_path": OP7}
+OP11 = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT r, s, array_to_string(w[s + 1:s + 35], ' ') AS win FROM (SELECT r, w, unnest(range(len(w) - 34)) AS s FROM w WHERE len(w) >= 35)),
+again AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY win) AS c FROM x) WHERE c > 1),
+gone AS (SELECT r, list(DISTINCT p) AS g FROM (SELECT r, unnest(range(s, s + 35)) AS p FROM again) GROUP BY r),
+k AS (SELECT doc_id, w, coalesce(len(g), 0) AS n, CASE WHEN g IS NULL THEN w ELSE list_transform(list_filter(range(len(w)), lambda i: NOT list_contains(g, i)), lambda i: w[i + 1]) END AS kept
+  FROM w LEFT JOIN gone USING (r))
+SELECT doc_id, len(w)::BIGINT AS n_words, n::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+dw AS (SELECT r, unnest(w) AS body FROM d),
+tw AS (SELECT unnest(list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS body FROM benchmark),
+body AS (SELECT body, body AS word FROM (SELECT body FROM dw UNION SELECT body FROM tw)),
+{CRC},
+b AS (SELECT word, text_crc32 % 10000 AS b FROM sums),
+s AS (SELECT b, count(*) AS s FROM dw JOIN b ON body = word GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM tw JOIN b ON body = word GROUP BY b),
+n AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS s_all, (SELECT count(*) FROM tw)::DOUBLE AS t_all),
+g AS (
+  SELECT s.b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN t ON s.b = t.b, n),
+e AS (SELECT r, sum(gain)::BIGINT AS weight FROM dw JOIN b ON body = word JOIN g USING (b) GROUP BY r),
+h AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT::DOUBLE AS h
+  FROM d LEFT JOIN e USING (r)),
+c AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, n_features) AS pos, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND pos <= 10 * n // 100 THEN pos END AS rank FROM o
+"""
+
+OP13 = """
+WITH v AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+ORACLE: dict[str, str] = {"op2_warc": OP2, "op5_pivots": OP5, "op6_interleave": OP6, "op7_chosen_path": OP7, "op11_block_anchors": OP11, "op12_importance": OP12, "op13_packed_negatives": OP13}

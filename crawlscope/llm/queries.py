@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlscope.llm import chosen_path, edit_match, interleave, line_chunks, noisy_or, packing, pivot_search, subword, token_files, warc
+from crawlscope.llm import (
+    block_anchors, chosen_path, edit_match, importance, interleave, line_chunks, noisy_or, packed_negatives, packing, pivot_search, subword, token_files, warc,
+)
 from crawlscope.llm.common import remainder_of, shared_folder, written
 
 
@@ -75,4 +77,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_noisy_or, op4_subword, op5_pivots, op6_interleave, op7_chosen_path, op8_line_chunks, op9_edit_match, op10_packing)}
+def op11_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = block_anchors.deduplicated(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), runs=(1, 1), buckets=10_000, share=10, least_words=20, seed=2024)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_packed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return packed_negatives.mined(rows, lambda i: i % 100 == 0, label, lambda x: packed_negatives.floor_of(x * 256), positives=5, negatives=5, share=80)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_warc, op3_noisy_or, op4_subword, op5_pivots, op6_interleave, op7_chosen_path, op8_line_chunks, op9_edit_match, op10_packing,
+        op11_block_anchors, op12_importance, op13_packed_negatives,
+    )
+}
