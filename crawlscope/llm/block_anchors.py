@@ -70,9 +70,14 @@ def rolling(words: np.ndarray, size: int, base: int = BASES[0]) -> np.ndarray:
     return mixed((total[size:] - total[:-size]) * back)
 
 
+def second(words: np.ndarray, size: int) -> tuple:
+    """What the second hash of runs is made of."""
+    return mixed(words + np.uint64(1)), size, BASES[1]
+
+
 def windows_of(words: np.ndarray, size: int) -> np.ndarray:
     """Two independent hashes of each run of `size` words, as columns."""
-    return np.stack([rolling(words, size), rolling(mixed(words + np.uint64(1)), size, BASES[1])], axis=1)
+    return np.stack([rolling(words, size), rolling(*second(words, size))], axis=1)
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -93,6 +98,38 @@ def twice(ordered: np.ndarray) -> np.ndarray:
     return keep
 
 
+def member(ordered: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which of `asked` occur in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(asked), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, asked), len(ordered) - 1)] == asked
+
+
+class Known:
+    """The windows of a chunk that are met elsewhere, looked up through a table of their low bits."""
+
+    def __init__(self, hits, parts: int):
+        lists = [numbers(x, 8) for x in hits["windows"]]
+        first = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+        part = np.repeat(hits["part"].to_numpy(np.uint64), [len(x) for x in lists])
+        order = np.argsort(first, kind="stable")
+        self.first, self.part, self.parts = first[order], part[order], np.uint64(parts)
+        self.mask = np.uint64((1 << max(8, (8 * len(first)).bit_length())) - 1)
+        self.low = np.zeros(int(self.mask) + 1, bool)
+        self.low[self.first & self.mask] = True
+
+    def starts(self, words: np.ndarray, window: int) -> np.ndarray:
+        """Where the repeated windows of a text begin."""
+        first = rolling(words, window)
+        maybe = np.flatnonzero(self.low[first & self.mask])
+        maybe = maybe[member(self.first, first[maybe])]
+        if len(maybe):
+            own = rolling(*second(words, window))[maybe] % self.parts
+            low, high = (np.searchsorted(self.first, first[maybe], side) for side in ("left", "right"))
+            maybe = maybe[(self.part[low] == own) | (self.part[high - 1] == own)]
+        return maybe
+
+
 def cut(parts: np.ndarray):
     """(part, from, to) of an array in order of its parts."""
     edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
@@ -195,7 +232,8 @@ def met_windows(frame):
     every, counts = np.unique(np.concatenate(lists), return_counts=True)
     again = every[counts > 1]
     for chunk, own in zip(frame["chunk"].tolist(), lists, strict=True):
-        keep = np.intersect1d(own, again)
+        own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        keep = own[member(again, own)]
         if len(keep):
             out.append((chunk, int(frame["part"].iloc[0]), planes(keep, 8)))
     return pd.DataFrame(out, columns=["chunk", "part", "windows"])
@@ -207,19 +245,12 @@ def removing(window: int, parts: int):
     def run(key, texts, hits):
         import pandas as pd
 
-        seen, out, lists = Words(), [], [numbers(x, 8) for x in hits["windows"]]
-        known = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-        part = np.repeat(hits["part"].to_numpy(np.uint64), [len(x) for x in lists])
-        order = np.argsort(known, kind="stable")
-        known, part = known[order], part[order]
+        seen, out, known = Words(), [], Known(hits, parts)
         for doc_id, text in zip(texts["doc_id"], texts["text"].tolist(), strict=True):
             words = text.encode().split()
             gone = np.zeros(len(words) + 1, np.int64)
-            if len(known) and len(words) >= window:
-                both = windows_of(seen.of(text), window)
-                low, high = np.searchsorted(known, both[:, 0], "left"), np.searchsorted(known, both[:, 0], "right")
-                own, last = both[:, 1] % np.uint64(parts), len(known) - 1
-                starts = np.flatnonzero((low < high) & ((part[np.minimum(low, last)] == own) | (part[np.maximum(high, 1) - 1] == own)))
+            if len(known.first) and len(words) >= window:
+                starts = known.starts(seen.of(text), window)
                 gone[starts] += 1
                 gone[starts + window] -= 1
             lost = np.cumsum(gone)[: len(words)] > 0
