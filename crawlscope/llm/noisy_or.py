@@ -4,13 +4,18 @@ A document is a bag of sentences. Each sentence has a probability from the weigh
 one minus the chance that no sentence offends. Weights are trained through the noisy-or from document labels alone, on a bounded
 sample; afterwards the sentence probabilities tell where a text offends.
 
-Cases: a null or empty text has one empty sentence and scores by the bias alone; repeated rows score alike; null labels and labels
+A long text has many sentences, and a small chance from each would add up to a large one from length alone. So sentences of a text with more
+than `crowd` of them (the 95th percentile of the sample's clean texts) are judged as if their odds were spread over it: each one's logit falls
+by ln(sentences / crowd), and clean sentences in any number score like `crowd` of them. Lines and sentences without a word count for nothing.
+
+Cases: a null or empty text, or one without words, has one empty sentence and scores by the bias alone; repeated rows score alike; null labels and labels
 of unknown documents are not used; several labels of a document count as their maximum; an empty table gives no rows; without
 labels of both classes fitting raises ValueError; other columns pass through `scored` untouched.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +29,8 @@ from crawlscope.llm.subword import Shape
 
 EDGE = re.compile(r"^\W+|\W+$")
 STOPS = ".!?"
+BREAK = re.compile(r"[^\S\n]*\n\s*")
+LONE = re.compile(r"(?:^|\s+)(?=[.!?]+(?:\s|$))")
 SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s|$)|(?=\n)|$)")
 
 
@@ -32,17 +39,27 @@ def bare(token: str) -> str:
 
 
 def tokens(text: str) -> list[str]:
-    """White-space tokens; a line break ends a sentence as a full stop does."""
-    return text.replace("\n", ". ").split()
+    """White-space tokens; a line break ends a sentence as a full stop does, and lone stops belong to the word before."""
+    if "\n" in text:
+        text = BREAK.sub(". ", text)
+    if LONE.search(text):
+        text = LONE.sub("", text)
+        return [t for t in text.split() if t.strip(STOPS)]
+    return text.split()
+
+
+def crowding(sentences: int, crowd: float) -> float:
+    return math.log(max(1.0, sentences / crowd))
 
 
 @dataclass
 class Model:
-    """Weights of hashed words and character n-grams (see subword.Shape), and the bias of a sentence."""
+    """Weights of hashed words and character n-grams (see subword.Shape), the bias of a sentence, and the sentences that make a crowd."""
 
     shape: Shape
     weights: np.ndarray
     bias: float
+    crowd: float = math.inf
 
     def logits(self, words: list[str]) -> np.ndarray:
         """The sum of the weights of each word's features."""
@@ -51,10 +68,10 @@ class Model:
 
     def offending(self, text: str, least: float) -> list[tuple[int, int, float]]:
         """Start, end and probability of the sentences of at least `least`."""
-        out = []
-        for m in SENTENCE.finditer(text):
-            words = sorted(set(m.group().split()))
-            z = self.bias + (float(self.logits(words).sum()) if words else 0.0)
+        found = [(m, sorted(set(tokens(m.group() + text[m.end() : m.end() + 1])))) for m in SENTENCE.finditer(text)]
+        found, out = [(m, words) for m, words in found if words], []
+        for m, words in found:
+            z = self.bias + float(self.logits(words).sum()) - crowding(len(found), self.crowd)
             if (p := 1 / (1 + np.exp(-z))) >= least:
                 out.append((m.start(), m.end(), float(p)))
         return out
@@ -83,7 +100,8 @@ class Reader:
         if not words:
             return float(-np.expm1(-np.logaddexp(0, bias)))
         at, sentence = placed(words, self.codes)
-        z = bias + np.bincount(sentence, weights=self.values[at], minlength=int(sentence[-1]) + 1)
+        n = int(sentence[-1]) + 1
+        z = bias + np.bincount(sentence, weights=self.values[at], minlength=n) - crowding(n, self.model.crowd)
         return float(-np.expm1(-np.logaddexp(0, z).sum()))
 
 
@@ -141,7 +159,7 @@ def train(rows: list[tuple[str, int]], shape: Shape = Shape(18, 5, 5), rare: int
             past_bias += p.sum() ** 2
             bias -= rate * p.sum() / np.sqrt(past_bias)
         w = np.sign(w) * np.maximum(np.abs(w) - shrink, 0)
-    return Model(shape, w, float(bias))
+    return Model(shape, w, float(bias), max(1.0, float(np.quantile([n for *_, n, y in bags if not y], 0.95))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column | None = None, most: int = 4000, most_chars: int = 1 << 26, **settings) -> Model:
@@ -168,6 +186,29 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     return docs.withColumn(name, series_udf(score)(docs["text"]))
 
 
+def offending_in(docs: DataFrame, model: Model, name: str = "offending", score: str = "score", least: float = 0.5) -> DataFrame:
+    """`docs` with the places of the worst sentences of texts whose score is `least` or more: start, length (characters) and probability; else none.
+
+    Sentences of at least `least` are named; where only several together reach it, the most probable ones.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def find(batches):
+        import pandas as pd
+
+        model = held.value
+        for batch in batches:
+            out = []
+            for text in batch:
+                places = model.offending(text, least) or model.offending(text, 0.0) if text else []
+                top = max((p for *_, p in places), default=0.0)
+                out.append([{"start": s, "length": e - s, "probability": p} for s, e, p in places if p >= min(least, top)])
+            yield pd.Series(out)
+
+    text = F.when(F.col(score) >= least, docs["text"])
+    return docs.withColumn(name, series_udf(find, "array<struct<start:long,length:long,probability:double>>")(text))
+
+
 def located(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The sentences of at least `least`: doc_id, start (characters), sentence, probability."""
     small_batches(docs.sparkSession)
