@@ -4,7 +4,8 @@ A test item with an error budget of k edits is split into k + 1 pieces: wherever
 occurs unchanged. An automaton finds the pieces in every text; each hit names a diagonal, and the text around it is compared with the
 whole item by Myers' bit-parallel edit distance. Texts and items are taken in lower case with single blanks; places refer to that form.
 
-Items are read in blocks of bounded size, which travel to the tasks; every block meets all texts. Nothing is shuffled.
+Items are read in blocks of bounded size, which travel to the tasks; every block meets all texts. Nothing is shuffled. All blocks are
+held by each worker, so what it needs grows with the test items (about a hundred bytes a character), not with the documents.
 
 Short items (under `least_chars`) are met without edits only, and only where no word goes on before or after them.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from crawlscope.llm.common import series_udf, small_batches
 
-HIT = "array<struct<item_id:long,start:long,length:long,distance:long>>"
+HIT = "array<struct<item_id:long,start:long,length:long,distance:long,budget:long>>"
 
 
 def plain(text: str) -> str:
@@ -93,7 +94,7 @@ class Finder:
             self.machine.add_word(piece, (len(piece), places))
         self.machine.make_automaton()
 
-    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
+    def hits(self, text: str) -> list[tuple[int, int, int, int, int]]:
         text, diagonals = plain(text), {}
         for end, (size, places) in self.machine.iter(text):
             for number, at in places:
@@ -101,7 +102,7 @@ class Finder:
         out = []
         for number, starts in diagonals.items():
             item_id, item, edits, peq, back = self.items[number]
-            done = -1
+            done = min(starts) - 1  # below any diagonal: an item whose head is missing begins before the text
             for start in sorted(starts):
                 if start <= done:  # within a stretch that was found or searched
                     continue
@@ -113,7 +114,7 @@ class Finder:
                 if distance <= edits:
                     stop = low + end
                     _, size = myers(back, len(item), text[max(0, stop - len(item) - edits) : stop][::-1], anchored=True)
-                    out.append((item_id, stop - size, size, distance))
+                    out.append((item_id, stop - size, size, distance, edits))
                     done = max(done, stop - 1 - edits)
         return sorted(out)
 
@@ -125,7 +126,7 @@ def finder(items: tuple, share: float, least_piece: int, least_chars: int) -> Fi
 
 
 def blocks(items: DataFrame, block_chars: int) -> Iterator[tuple]:
-    """Items in blocks of about `block_chars` characters: only one block is held at a time."""
+    """Items in blocks of about `block_chars` characters."""
     held, size = [], 0
     usable = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
     for row in usable.toLocalIterator():
@@ -148,7 +149,7 @@ def matched(docs: DataFrame, items: DataFrame, share: float = 0.06, least_piece:
 
             machine = finder(held.value, share, least_piece, least_chars)
             for batch in batches:
-                yield pd.Series([[dict(zip(("item_id", "start", "length", "distance"), h, strict=True)) for h in machine.hits(t)] if t else [] for t in batch])
+                yield pd.Series([[dict(zip(("item_id", "start", "length", "distance", "budget"), h, strict=True)) for h in machine.hits(t)] if t else [] for t in batch])
 
         return series_udf(search, HIT)
 
@@ -160,7 +161,7 @@ def matched(docs: DataFrame, items: DataFrame, share: float = 0.06, least_piece:
 
 
 def leaks(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """One row per occurrence: doc_id, item_id, start, length, distance."""
+    """One row per occurrence: doc_id, item_id, start, length, distance, budget (the edits that were allowed; 0 also for short items, which are met at word bounds)."""
     hits = matched(docs.select("doc_id", "text"), items, name="_hits", **settings)
     return hits.select("doc_id", F.explode("_hits").alias("_h")).select("doc_id", "_h.*")
 
