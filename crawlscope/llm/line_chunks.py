@@ -65,7 +65,7 @@ def stretches(same: DataFrame, least_lines: int, least_bytes: int) -> DataFrame:
     """
     again = Window.partitionBy("doc_id", "text_hash", "hash").orderBy("line")
     own = F.when(F.col("_own"), F.col("kept_line")), F.when(F.col("_own"), F.col("kept_start"))
-    rows = same.repartition("doc_id", "text_hash").withColumns({"_line": F.coalesce(F.lag("line").over(again), own[0]), "_start": F.coalesce(F.lag("start").over(again), own[1])})
+    rows = same.repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "line"]).withColumns({"_line": F.coalesce(F.lag("line").over(again), own[0]), "_start": F.coalesce(F.lag("start").over(again), own[1])})
     for name, keys, other in (("_a", ["doc_id", "text_hash", "kept_doc_id", "kept_text_hash"], "kept_line"), ("_b", ["doc_id", "text_hash"], "_line")):
         rows = rows.withColumn(f"{name}_shift", F.col("line") - F.col(other))
         keys = [*keys, f"{name}_shift"]
@@ -92,7 +92,7 @@ def repeats(docs: DataFrame, least_lines: int = 2, least_bytes: int = 40) -> Dat
     first_doc = F.min(F.coalesce("doc_id", F.lit(-(1 << 63))))  # no id is smaller than all
     shared = every.groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), first_doc.alias("kept_doc_id")).filter("_n > 1").drop("_n")
     met = every.join(shared.hint("shuffle_hash"), "hash")
-    by_doc = met.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("hash", "line", "kept_doc_id")).alias("_met"))  # a document's own
+    by_doc = met.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("hash", "line", "kept_doc_id")).alias("_met"))  # a document's own lines, once for all rows that are this document
     own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     rows = keyed(docs).join(by_doc.hint("shuffle_hash"), own).select("doc_id", "text_hash", F.split(marked(F.col("text")), "\1").alias("_all"), "_met")
     whole = F.array(F.struct(F.col("_all").alias("lines"), F.lit(0).alias("start"), F.lit(0).alias("line"), F.col("_met").alias("met")))
