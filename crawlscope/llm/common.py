@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is named."""
+    """A fresh path in the folder the cluster names in spark.checkpoint.dir; a folder of our own only in a local session that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -66,6 +68,11 @@ def before(counts: DataFrame, keys: list[str], order: str, value: str, name: str
     )
 
 
+def floor_of(x: Column) -> Column:
+    """Rounded down, as a double; doubles from 2**53 on are integers already."""
+    return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
+
+
 def crc32(text: Column) -> Column:
     """Unsigned crc32 of the UTF-8 bytes."""
     return F.crc32(text)

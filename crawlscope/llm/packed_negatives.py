@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import written
+from crawlscope.llm.common import floor_of, written
 
 #: Components from here on are packed as Python integers, below as 64-bit ones.
 WIDE = 1 << 30
@@ -42,11 +42,6 @@ def usable(rows: DataFrame, label: Column, transform: Callable, id_column: str,
     return some.filter(finite(F.col("v")))
 
 
-def floor_of(x: Column) -> Column:
-    """Rounded down, as a double; doubles from 2**53 on are integers already."""
-    return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
-
-
 def matrix(vectors, size: int) -> np.ndarray:
     out = np.zeros((len(vectors), size))
     for i, v in enumerate(vectors):

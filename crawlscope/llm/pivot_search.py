@@ -7,7 +7,7 @@ product. Candidates are evaluated in order of that bound until the k-th best sco
 The query set meets all vectors in blocks: a task holds a block of queries and a block of candidates and returns k rows a query.
 
 Cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part; shorter vectors count as
-padded with zeros; a query never meets rows of its own id; rows that share an id are each candidates, and the query of that id is the
+padded with zeros; products with a vector whose squared length reaches 2**50 are summed in Python integers, and scores beyond a long count as the nearest long; a query never meets rows of its own id; rows that share an id are each candidates, and the query of that id is the
 smallest of its vectors; equal scores go to smaller ids; fewer than k others give all of them; an empty table gives no rows.
 """
 
@@ -23,6 +23,8 @@ from crawlscope.llm.common import written
 
 #: Rounding of distances and bounds, as a share of the squared lengths.
 SLACK = 1e-9
+#: Squared lengths below which every inner product is an exact double.
+WIDE = float(1 << 50)
 
 
 def usable(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -41,7 +43,7 @@ def padded(vectors, size: int) -> np.ndarray:
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     squares = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T
-    return np.sqrt(np.maximum(squares, 0))
+    return np.sqrt(np.nan_to_num(np.maximum(squares, 0)))
 
 
 def spread(sample: np.ndarray, count: int) -> np.ndarray:
@@ -55,12 +57,21 @@ def spread(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[chosen]
 
 
+def exact(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in whole numbers of any size, then as longs."""
+    q = [int(c) for c in query.tolist()]
+    sums = [sum(int(a) * b for a, b in zip(row, q, strict=True)) for row in x.tolist()]
+    return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in sums], dtype=np.int64)
+
+
 def best(query: np.ndarray, own: int, to_pivots: np.ndarray, ids: np.ndarray, x: np.ndarray, table: np.ndarray, squares: np.ndarray, k: int) -> list[tuple[int, int]]:
     """The k best (id, score) of one query in a block, ties to smaller ids."""
     length = float(query @ query)
     low = np.abs(table - to_pivots).max(1) if table.shape[1] else np.zeros(len(x))
     scale = squares + length
     bound = (scale - low * low) / 2 + SLACK * scale * len(query) + 1e-6
+    wide = ~(squares < WIDE) | (not length < WIDE)  # no bounds for these: all are evaluated
+    bound[wide] = np.inf
     bound[ids == own] = -np.inf
     top, batch = [], 64
     left = np.arange(len(x))
@@ -71,12 +82,15 @@ def best(query: np.ndarray, own: int, to_pivots: np.ndarray, ids: np.ndarray, x:
         part = part[bound[part] > -np.inf]
         if not len(part):
             break
-        scores = np.rint(x[part] @ query)
-        keep = np.lexsort((ids[part], -scores))[:k]
-        top = sorted([*top, *((float(scores[i]), int(ids[part[i]])) for i in keep)], key=lambda s: (-s[0], s[1]))[:k]
+        scores = np.zeros(len(part), np.int64)
+        plain = ~wide[part]
+        scores[plain] = np.rint(x[part[plain]] @ query)
+        scores[~plain] = exact(x[part[~plain]], query)
+        keep = np.lexsort((ids[part], ~scores))[:k]
+        top = sorted([*top, *((int(scores[i]), int(ids[part[i]])) for i in keep)], key=lambda s: (-s[0], s[1]))[:k]
         left = np.setdiff1d(left, part, assume_unique=True)
         batch *= 4
-    return [(i, int(s)) for s, i in top]
+    return [(i, s) for s, i in top]
 
 
 def nearest(
@@ -86,18 +100,17 @@ def nearest(
     """query_id, rank, vec_id, score of the k best of every row whose id satisfies `is_query` (a function of a column).
 
     `transform` turns a component into the integer that is compared (none: components are integers already). Pivots are chosen from
-    at most `sample` rows. Sums must stay below 2**53 for exact doubles, else ValueError.
+    at most `sample` rows.
     """
     spark = rows.sparkSession
     clean = usable(rows, id_column, vector_column)
     if transform is not None:
-        clean = clean.withColumn("v", F.transform("v", transform))
+        clean = clean.withColumn("v", F.transform("v", transform)).filter(F.forall("v", lambda x: F.abs(x) < float("inf")))
     clean = written(clean, "pivot-vectors")
-    facts = clean.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("size"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
+    facts = clean.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("size")).first()
     count, size = facts["n"], facts["size"] or 0
-    if (facts["square"] or 0) >= 2**52:
-        raise ValueError("inner products beyond 2**53 are not exact in doubles")
-    first = clean.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").toPandas()["v"]
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    first = clean.filter(square < WIDE).orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").toPandas()["v"]
     held = spark.sparkContext.broadcast(spread(padded(list(first), size), pivots))
 
     def measure(batches: Iterator) -> Iterator:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crawlscope.llm import (
     block_anchors, chosen_path, edit_match, importance, interleave, line_chunks, noisy_or, packed_negatives, packing, pivot_search, subword, token_files, warc,
 )
-from crawlscope.llm.common import remainder_of, shared_folder, written
+from crawlscope.llm.common import floor_of, remainder_of, shared_folder, written
 
 
 def vocabulary(name: str) -> str:
@@ -40,8 +40,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), remainder_of(F.col("doc_id"), 5)
     model = noisy_or.fit(docs, table(spark, sf_dir, "labels"), "toxic", fold != 0)
-    out = noisy_or.scored(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = noisy_or.offending_in(noisy_or.scored(docs.select("doc_id", "text"), model), model)
+    return out.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
 def op4_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op4_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pivot_search.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, transform=lambda x: F.floor(x * 256).cast("double"), k=5)
+    return pivot_search.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, transform=lambda x: floor_of(x * 256), k=5)
 
 
 def op6_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_packed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    return packed_negatives.mined(rows, lambda i: i % 100 == 0, label, lambda x: packed_negatives.floor_of(x * 256), positives=5, negatives=5, share=80)
+    return packed_negatives.mined(rows, lambda i: i % 100 == 0, label, lambda x: floor_of(x * 256), positives=5, negatives=5, share=80)
 
 
 QUERIES = {
