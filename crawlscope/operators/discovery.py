@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as P
 
 from crawlscope.functions.sql import F
 
@@ -12,6 +13,7 @@ from crawlscope.functions.urls import (
     ZONES, alias_hosts, exclusion_reason, fetch_key, host_of, is_section_hub, origin_of, page_type, path_of, query_keys, segments, split_extension,
     type_rank, url_parts, zone_rank,
 )
+from crawlscope.operators.sampling import sample  # noqa: F401
 from crawlscope.operators.skew import best_per_group, heavy_from_counts, join_on_hot_key
 
 B = registry.BUDGETS
@@ -36,20 +38,36 @@ def preferred_origins(responses: DataFrame) -> DataFrame:
     return best.withColumn("preferred_origin", target).select("seed", "url", "preferred_origin", note.alias("origin_note"), F.col("url").startswith("http:").alias("http_fallback"))
 
 
+def by_suffix(host: Column, rules: list[str]) -> Column:
+    """Registrable domain of a host by the longest public suffix, from rules with *. and ! forms.
+
+    The rules are three hash sets inside the projection, so nothing is joined and no ending is a hot key.
+    """
+    sets = [[r.removeprefix(form).lower() for r in rules if r.startswith(form) and (form or r[:1] not in "*!")] for form in ("!", "*.", "")]
+    low = P.lower(host)
+    labels = P.split(low, r"\.")
+    n = P.size(labels)
+    tails = P.transform(P.sequence(P.lit(1), n), lambda i: P.struct((n - i + 1).alias("size"), P.array_join(P.slice(labels, i, n), ".").alias("name")))
+    longest = lambda names, more: P.array_max(P.transform(P.filter(tails, lambda t: t["name"].isin(names)), lambda t: t["size"] + more))
+    # A wildcard takes one label more, an exception one label less and goes before all others.
+    wild = P.array_max(P.filter(P.array(longest(sets[1], 1)), lambda w: w <= n))
+    width = P.coalesce(longest(sets[0], -1), P.greatest(wild, longest(sets[2], 0)), P.lit(1)) + 1
+    address = low.rlike(r"^\[|^\d{1,3}(\.\d{1,3}){3}$")
+    return P.when(~address & (n >= width), P.array_join(P.slice(labels, n - width + 1, width), "."))
+
+
+def with_registrable(rows: DataFrame, suffixes: DataFrame, host: str = "host", most: int = 1 << 16) -> DataFrame:
+    """Add `registrable` in a projection. `suffixes` has one rule per row; the list is fixed and far below `most` rules, beyond which this stops."""
+    rules = [r.suffix for r in suffixes.select("suffix").filter("suffix IS NOT NULL").distinct().limit(most + 1).collect()]
+    if len(rules) > most:
+        raise ValueError(f"more than {most} suffix rules")
+    return rows.withColumn("registrable", by_suffix(P.col(host), sorted(rules)))
+
+
 def registrable_domains(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """Longest public-suffix match per host. `suffixes` has one rule per row, with *. and ! forms."""
-    names = hosts.select(F.lower("host").alias("host")).distinct().filter(~F.col("host").rlike(r"^\[|^\d{1,3}(\.\d{1,3}){3}$"))
-    labels = F.split("host", r"\.")
-    tails = names.select("host", F.size(labels).alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("at", "tail"))
-    rules = suffixes.select(
-        F.regexp_replace("suffix", r"^(\*\.|!)", "").alias("tail"), F.col("suffix").startswith("*.").alias("wild"), F.col("suffix").startswith("!").alias("exception"),
-    )
-    hit = tails.join(rules, "tail")
-    # at = labels before the matched tail; a wildcard takes one label more, an exception one label less.
-    width = F.when(F.col("exception"), F.col("n") - F.col("at") - 1).when(F.col("wild"), F.col("n") - F.col("at") + 1).otherwise(F.col("n") - F.col("at"))
-    best = hit.withColumn("width", width).filter("width <= n").groupBy("host").agg(F.max_by("width", F.struct("exception", "width")).alias("width"))
-    keep = F.coalesce("width", F.lit(1)) + 1
-    return names.join(best, "host", "left").select("host", F.when(F.size(labels) >= keep, F.array_join(F.slice(labels, F.size(labels) - keep + 1, keep), ".")).alias("registrable"))
+    """host, registrable of each host name once; addresses are left out."""
+    names = hosts.select(P.lower("host").alias("host")).filter(~P.col("host").rlike(r"^\[|^\d{1,3}(\.\d{1,3}){3}$")).distinct()
+    return with_registrable(names, suffixes)
 
 
 # --- candidates --------------------------------------------------------------------------------------------------
@@ -202,52 +220,6 @@ def blocked_candidates(candidates: DataFrame, decided: DataFrame, shown: int = 1
     return counts.withColumn("n_more", F.greatest(F.col("n_blocked") - shown, F.lit(0))), best_per_group(closed, ["site"], ordered(), shown)
 
 
-GROUPS_PER_TYPE, PER_GROUP = 21, 12
-
-
-def sample(candidates: DataFrame, homes: DataFrame, supplied: DataFrame | None = None, size: int = B["max_selected_pages"]) -> DataFrame:
-    """Up to `size` pages per site: homepage, supplied pages, plan slots, unused groups, second pages of a group.
-
-    The choice is greedy, so it is folded per site, over a list that is cut before it is gathered without changing
-    the outcome: with at most ten picks no slot can need more than the best row of 21 groups of its type, or more
-    than 12 rows of one group.
-    """
-    eligible = candidates.filter("excluded IS NULL AND verification = 'verified'")
-    eligible = best_per_group(eligible, ["site", "signature", "page_type", "final_key"], ordered(), 1, "_n").drop("_n")
-    per_group = best_per_group(eligible, ["site", "signature", "page_type"], ordered(), 1, "_n").drop("_n")
-    per_type = best_per_group(per_group, ["site", "page_type"], ordered(), GROUPS_PER_TYPE, "_n").drop("_n")
-    groups = per_type.select("site", "signature").distinct()
-    deep = best_per_group(eligible.filter("page_type NOT IN ('other', 'contact')").join(groups, ["site", "signature"], "left_semi"), ["site", "signature"], ordered(), PER_GROUP, "_n").drop("_n")
-    pool = per_type.unionByName(deep).dropDuplicates(["site", "signature", "page_type", "url"])
-    row = F.struct("zone_rank", "type_rank", "depth", "url", "final_key", "page_type", "signature")
-    gathered = pool.groupBy("site").agg(F.sort_array(F.collect_list(row)).alias("pool"))
-    base = homes.select("site", F.array(F.struct(F.col("home_key").alias("url"), F.lit("homepage").alias("page_type"), F.lit("/").alias("signature"), F.lit("homepage").alias("reason"))).alias("start"))
-    if supplied is not None:
-        own = best_per_group(supplied.select("site", fetch_key(F.col("url")).alias("url")).distinct().join(homes.select("site", F.col("home_key").alias("url")), ["site", "url"], "left_anti"), ["site"], [F.col("url")], size)
-        listed = own.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("url", page_type(F.col("url")).alias("page_type"), path_of(F.col("url")).alias("signature"), F.lit("supplied").alias("reason")))).alias("own"))
-        base = base.join(listed, "site", "left").select("site", F.slice(F.concat("start", F.coalesce("own", F.slice("start", 1, 0))), 1, size).alias("start"))
-    steps = F.array(*[F.lit(t) for t in registry.SELECTION_PLAN], *[F.lit("distinct group")] * size, *[F.lit("second page")] * size)
-
-    def step(picked: Column, what: Column) -> Column:
-        used = F.transform(picked, lambda p: p["signature"])
-        keys = F.transform(picked, lambda p: p["url"])
-        choice = let(F.struct(used.alias("used"), keys.alias("keys")), lambda s: F.array_min(F.transform(
-            F.filter(F.col("pool"), lambda c: ~F.array_contains(s["keys"], c["final_key"]) & choose(
-                (what == "distinct group", ~F.array_contains(s["used"], c["signature"])),
-                (what == "second page", (F.size(F.filter(s["used"], lambda g: g == c["signature"])) == 1) & ~c["page_type"].isin("other", "contact")),
-                default=(c["page_type"] == what) & ~F.array_contains(s["used"], c["signature"]),
-            )),
-            # Free slots go by page type before link zone.
-            lambda c: F.struct(F.when(what == "distinct group", c["type_rank"]).otherwise(F.lit(0)).alias("first"), c.alias("c")),
-        )))
-        add = lambda c: F.concat(picked, F.array(F.struct(c["c"]["final_key"].alias("url"), c["c"]["page_type"].alias("page_type"), c["c"]["signature"].alias("signature"), what.alias("reason"))))
-        return let(choice, lambda c: F.when((F.size(picked) < size) & c.isNotNull(), add(c)).otherwise(picked))
-
-    folded = base.join(gathered, "site", "left").withColumn("pool", F.coalesce("pool", F.array().cast(gathered.schema["pool"].dataType)))
-    picked = folded.select("site", F.posexplode(F.aggregate(steps, F.col("start"), step)).alias("slot", "p"))
-    return picked.select("site", (F.col("slot") + 1).alias("slot"), "p.*").withColumn("sample_id", F.concat(F.lit("P"), F.lpad(F.col("slot").cast("string"), 2, "0")))
-
-
 def review_list(sampled: DataFrame, candidates: DataFrame) -> DataFrame:
     """Proposed pages, then candidates not proposed and not aliases."""
     proposed = sampled.select("site", "url", F.lit("proposed").alias("source"), "reason")

@@ -135,6 +135,26 @@ def sample_pages(spark, root):
     return sampled(spark, root)[0].select("site", "slot", "sample_id", "url", "page_type", "signature", "reason")
 
 
+# Candidates whose redirects end on few shared addresses and whose groups hold several page types.
+_KINDS = "CASE page_id % 10 WHEN 0 THEN 'service' WHEN 1 THEN 'article' WHEN 2 THEN 'product' WHEN 3 THEN 'other' WHEN 4 THEN 'pricing' WHEN 5 THEN 'service' WHEN 6 THEN 'author' WHEN 7 THEN 'contact' WHEN 8 THEN 'category_hub' ELSE 'about' END"
+CANDIDATES_SQL = f"""
+SELECT site, url, CAST(page_id % 4 + 1 AS INT) AS zone_rank, CAST(page_id % 2 + 1 AS INT) AS depth, kind AS page_type, '/g' || CAST(page_id % 7 AS STRING) AS signature,
+  CASE WHEN page_id % 11 = 4 THEN 'NON_HTML' END AS excluded, CASE WHEN page_id % 13 = 5 THEN 'failed' ELSE 'verified' END AS verification,
+  CASE WHEN page_id % 17 = 2 THEN 'DISALLOW' ELSE 'ALLOW' END AS robots_auditor, CASE WHEN page_id % 3 = 1 THEN site || '/end/' || CAST(page_id % 5 AS STRING) ELSE url END AS final_key,
+  page_id, page_id % 29 = 3 AS supplied
+FROM (SELECT page_id, 'https://' || split_part(url, '/', 3) AS site, 'https://' || split_part(url, '/', 3) || '/c/' || CAST(page_id AS STRING) AS url, {_KINDS} AS kind FROM pages)
+"""
+
+
+@query
+def sample_rounds(spark, root):
+    """WIN-6 over candidates with redirects onto pages that are picked already."""
+    rows = cut(D.derived(spark, root, CANDIDATES_SQL).withColumn("type_rank", U.type_rank(F.col("page_type"))), "candidates")
+    homes = rows.select("site", F.concat("site", F.lit("/")).alias("home_key")).distinct()
+    supplied = rows.filter("supplied").select("site", "url", F.col("page_id").alias("position"))
+    return DISC.sample(rows, homes, supplied).select("site", "slot", "sample_id", "url", "page_type", "signature", "reason")
+
+
 @query
 def selection_review(spark, root):
     picked, checked = sampled(spark, root)

@@ -141,6 +141,30 @@ f AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY position, url) AS
 SELECT f.site, CAST(slot AS INTEGER) AS slot, f.url, {page_type_sql(stems_of('f.url'))} AS page_type, {path_of('f.url')} AS signature, CASE WHEN p.url IS NOT NULL THEN 'proposed' WHEN c.url IS NOT NULL THEN 'candidate chosen by the operator' ELSE 'added by the operator' END AS reason
 FROM f LEFT JOIN p ON p.site = f.site AND p.url = f.url LEFT JOIN c ON c.site = f.site AND c.url = f.url WHERE slot <= 4
 """
+# One step a recursion: the state of a site is three lists, and a step adds the first fitting candidate to them.
+_STEPS = [(0, t) for t in G.SELECTION_PLAN] + [(1, "distinct group")] * 10 + [(2, "second page")] * 10
+ORACLE["sample_rounds"] = f"""
+WITH RECURSIVE cand AS (SELECT *, list_position({list(U.PAGE_TYPES)}, page_type) AS type_rank FROM ({CC.CANDIDATES_SQL.replace('STRING', 'VARCHAR')})),
+steps AS (SELECT * FROM (VALUES {', '.join(f"({i}, {k}, '{w}')" for i, (k, w) in enumerate(_STEPS))}) s(n, mode, what)),
+own AS (SELECT site, list(url ORDER BY page_id) AS urls, list({page_type_sql(stems_of("url"))} ORDER BY page_id) AS kinds, list(signature ORDER BY page_id) AS sigs FROM cand WHERE supplied GROUP BY site),
+fit AS (SELECT * FROM cand WHERE excluded IS NULL AND verification = 'verified' AND robots_auditor = 'ALLOW' AND NOT supplied),
+st AS (
+  SELECT s.site, 0 AS n, list_concat([s.site || '/'], coalesce(urls, []))[:10] AS keys, list_concat(['/'], coalesce(sigs, []))[:10] AS sigs,
+    list_concat(['homepage'], coalesce(kinds, []))[:10] AS kinds, list_concat(['homepage'], list_transform(coalesce(urls, []), lambda x: 'supplied'))[:10] AS why
+  FROM (SELECT DISTINCT site FROM cand) s LEFT JOIN own USING (site)
+  UNION ALL
+  SELECT site, n + 1, CASE WHEN b IS NULL THEN keys ELSE list_append(keys, b.final_key) END, CASE WHEN b IS NULL THEN sigs ELSE list_append(sigs, b.signature) END,
+    CASE WHEN b IS NULL THEN kinds ELSE list_append(kinds, b.page_type) END, CASE WHEN b IS NULL THEN why ELSE list_append(why, what) END
+  FROM (SELECT st.site, st.n, any_value(keys) AS keys, any_value(sigs) AS sigs, any_value(kinds) AS kinds, any_value(why) AS why, any_value(what) AS what,
+      arg_min({{'final_key': f.final_key, 'signature': f.signature, 'page_type': f.page_type}},
+        {{'a': CASE WHEN mode = 1 THEN type_rank ELSE 0 END, 'z': zone_rank, 't': type_rank, 'd': depth, 'u': f.url}}) FILTER (f.url IS NOT NULL) AS b
+    FROM st JOIN steps ON steps.n = st.n LEFT JOIN fit f ON f.site = st.site AND len(keys) < 10 AND NOT list_contains(keys, f.final_key)
+      AND CASE mode WHEN 0 THEN f.page_type = what AND NOT list_contains(sigs, f.signature) WHEN 1 THEN NOT list_contains(sigs, f.signature)
+        ELSE len(list_filter(sigs, lambda g: g = f.signature)) = 1 AND f.page_type NOT IN ('other', 'contact') END
+    GROUP BY st.site, st.n))
+SELECT site, CAST(i AS INTEGER) AS slot, 'P' || lpad(i::VARCHAR, 2, '0') AS sample_id, keys[i] AS url, kinds[i] AS page_type, sigs[i] AS signature, why[i] AS reason
+FROM (SELECT *, unnest(range(1, len(keys) + 1)) AS i FROM st WHERE n = {len(_STEPS)})
+"""
 ORACLE["registrable_domains"] = """
 WITH h AS (SELECT DISTINCT split_part(url, '/', 3) AS host FROM pages), s AS (SELECT host, string_split(host, '.') AS l, host LIKE '%.org' AS org FROM h),
 -- example.com and example.net are suffixes, *.example.org takes one label more, blog.example.org is its exception
