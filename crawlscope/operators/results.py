@@ -6,7 +6,7 @@ Aggregations go from (site, check, status) counts upwards, so they combine on th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as P
 
 from crawlscope.functions.sql import F
@@ -49,6 +49,43 @@ def contract_violations(findings: DataFrame, reasons: DataFrame, sources: DataFr
     return failing.join(F.broadcast(documented.select("check_id", "reason_code").distinct()), ["check_id", "reason_code"], "left_anti")
 
 
+#: What is said about a unit that broke the contract (fixed value).
+DEFECT = "This is a tool defect, not a website defect."
+
+
+def guarded(units: DataFrame, rules: DataFrame, reasons: DataFrame, sources: DataFrame, watch: Observation | None = None) -> DataFrame:
+    """Units with `note`; a unit that breaks the contract becomes an ERROR without reasons, and its note names the breach.
+
+    Breaches: an unknown rule, a reason that is not of the rule, a FAIL reason without a documented source, a reason or a PASS without anything observed.
+    The registry is a fixed list of some two hundred codes, which enters the projection as hash sets: no join, no second scan.
+    `watch` observes how many units were seen, broke the contract, and were errors anyway, while the result is written.
+    """
+    documented = {r.source_id for r in sources.filter("label = 'DOCUMENTED'").select("source_id").collect()}
+    known = reasons.select("check_id", "reason_code", "finding_status", "source_ids").collect()
+    checks = [r.check_id for r in rules.select("check_id").collect()]
+    codes = [f"{r.check_id}|{r.reason_code}" for r in known]
+    bare = [f"{r.check_id}|{r.reason_code}" for r in known if r.finding_status == "FAIL" and not documented & set(r.source_ids)]
+    named = lambda x: P.concat(P.col("check_id"), P.lit("|"), x)
+    given = P.coalesce("reasons", P.array().cast("array<string>"))
+    told = ~P.col("status").isin("NOT_APPLICABLE", "ERROR")
+    first = lambda name, kept: P.concat(P.lit(f"{name}: "), P.get(P.filter(given, kept), P.lit(0)))
+    breach = P.coalesce(
+        P.when(~P.col("check_id").isin(checks), P.concat(P.lit("UNKNOWN_CHECK: "), P.col("check_id"))),
+        P.when(told, first("UNKNOWN_REASON", lambda x: ~named(x).isin(codes))),
+        P.when(told & P.col("observed").isNull(), first("NO_EVIDENCE", lambda x: P.lit(True))),
+        P.when(told, first("UNDOCUMENTED_FAIL", lambda x: named(x).isin(bare))),
+        P.when((P.col("status") == "PASS") & P.col("observed").isNull(), P.lit("PASS_WITHOUT_EVIDENCE")),
+    )
+    out = units.withColumn("note", breach)
+    if watch is not None:
+        out = out.observe(watch, P.count(P.lit(1)).alias("units"), P.count("note").alias("broken"), P.count_if((P.col("status") == "ERROR") & P.col("note").isNull()).alias("errors"))
+    broken = P.col("note").isNotNull()
+    return out.withColumns({
+        "status": P.when(broken, P.lit("ERROR")).otherwise(P.col("status")), "reasons": P.when(broken, P.array().cast("array<string>")).otherwise(P.col("reasons")),
+        "limitation": P.when(broken, P.lit(DEFECT)).otherwise(P.col("limitation")),
+    })
+
+
 def findings_of(units: DataFrame, reasons: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per unit and reason, with the fixed attributes of the reason."""
     long = units.filter(~F.col("status").isin("NOT_APPLICABLE", "ERROR")).select("site", "page_id", "check_id", F.explode("reasons").alias("reason_code"))
@@ -56,24 +93,38 @@ def findings_of(units: DataFrame, reasons: DataFrame, rules: DataFrame) -> DataF
     return long.join(F.broadcast(fixed), ["check_id", "reason_code"]).withColumn("priority", priority(F.col("classification"), F.col("severity")))
 
 
-def page_bucket(rows: DataFrame, buckets: int = 4096) -> Column:
-    """Number that grows with the rule and, within it, with the page: equal ranges between the smallest and the largest page id, dense or hashed."""
-    low, high = rows.agg(P.min("page_id")).scalar().cast("double"), rows.agg(P.max("page_id")).scalar().cast("double")
-    share = P.coalesce((P.col("page_id").cast("double") - low) / P.greatest(high - low, P.lit(1.0)), P.lit(0.0))
-    return P.col("check_no") * buckets + P.least(P.floor(share * buckets), P.lit(buckets - 1))
+def splitters(rows: DataFrame, buckets: int = 128) -> DataFrame:
+    """check_no, cuts: page ids that cut the rows of a rule into about equal parts, whatever ids look like. One row a rule, so few rows."""
+    shares = P.array(*[P.lit(i / buckets) for i in range(1, buckets)])
+    return rows.groupBy("check_no").agg(P.percentile_approx("page_id", shares, 20 * buckets).alias("cuts"))
+
+
+def bucketed(rows: DataFrame, buckets: int = 128) -> DataFrame:
+    """Add `_at`, a number that grows with the rule and, within it, with the page: how many cuts of its rule a page id has passed.
+
+    The cuts are quantiles of the rows themselves, so one outlying id, or ids hashed over the whole range, leave all parts alike. The place
+    among the cuts is found by halving. Rows without a page id come first.
+    """
+    halves = [1 << i for i in reversed(range((buckets - 1).bit_length()))]
+    passed = P.aggregate(
+        P.array(*[P.lit(h) for h in halves]), P.lit(0),
+        lambda n, h: P.when((n + h <= P.size("cuts")) & (P.get("cuts", n + h - 1) < P.col("page_id")), n + h).otherwise(n),
+    )
+    marked = rows.join(P.broadcast(splitters(rows, buckets)), "check_no", "left")
+    return marked.withColumn("_at", P.col("check_no") * buckets + P.when(P.col("page_id").isNull() | P.col("cuts").isNull(), 0).otherwise(passed)).drop("cuts")
 
 
-def finding_ids(findings: DataFrame, buckets: int = 4096) -> DataFrame:
+def finding_ids(findings: DataFrame, buckets: int = 128) -> DataFrame:
     """F-0001... per site in the order rule, page, reason, numbered without gathering a site in one task."""
-    bucket = page_bucket(findings, buckets)
     order = [F.col("check_no"), F.col("page_id"), F.col("reason_code")]
-    return numbered(findings, ["site"], bucket, order, "finding_no").withColumn("finding_id", F.concat(F.lit("F-"), F.lpad(F.col("finding_no").cast("string"), 4, "0")))
+    rows = numbered(bucketed(findings, buckets), ["site"], P.col("_at"), order, "finding_no").drop("_at")
+    return rows.withColumn("finding_id", F.concat(F.lit("F-"), F.lpad(F.col("finding_no").cast("string"), 4, "0")))
 
 
-def evidence_of(units: DataFrame, rules: DataFrame, buckets: int = 4096) -> DataFrame:
+def evidence_of(units: DataFrame, rules: DataFrame, buckets: int = 128) -> DataFrame:
     """Evidence rows of the units with ids EV-0001... per site."""
     seen = units.filter(F.col("observed").isNotNull()).join(F.broadcast(rules.select("check_id", F.col("ordinal").alias("check_no"))), "check_id")
-    rows = numbered(seen, ["site"], page_bucket(seen, buckets), [F.col("check_no"), F.col("page_id")], "evidence_no")
+    rows = numbered(bucketed(seen, buckets), ["site"], P.col("_at"), [F.col("check_no"), F.col("page_id")], "evidence_no")
     return rows.select("site", F.concat(F.lit("EV-"), F.lpad(F.col("evidence_no").cast("string"), 4, "0")).alias("evidence_id"), "check_id", "page_id", "profile", "locator", "observed")
 
 

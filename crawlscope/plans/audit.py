@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as P
 
 from crawlscope import registry
@@ -19,6 +19,7 @@ from crawlscope.functions.urls import alias_hosts, exclusion_reason, host_of, pa
 from crawlscope.operators import discovery, dom, facts, gates, lookups, page_checks, results, robots, site_checks
 from crawlscope.operators.skew import heavy_keys, join_on_hot_key
 from crawlscope.session import cut
+from crawlscope.sources.sinks import write_results
 
 NARROW = ("site", "page_id")
 
@@ -177,12 +178,13 @@ def eligibility_units(page_units: DataFrame, pages: DataFrame) -> DataFrame:
     return e.select("site", "page_id", P.lit("C-1.10").alias("check_id"), status.alias("status"), P.array().cast("array<string>").alias("reasons"), P.lit("derived").alias("locator"), P.col("eligibility").alias("observed"), P.lit("NONE").alias("profile"), P.lit(None).cast("string").alias("limitation"))
 
 
-def run_audit(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
-    """All result tables, lazily, over intermediate tables that are written once."""
+def run_audit(spark: SparkSession, inputs: Inputs, watch: Observation | None = None) -> dict[str, DataFrame]:
+    """All result tables, lazily, over intermediate tables that are written once. `watch` observes units that break the contract."""
     rules, reasons, categories = results.registry_tables(spark)
     pages = prepared_pages(inputs)
     by_page = cut(page_checks.evaluate(pages), "page-units")
-    units = cut(by_page.unionByName(eligibility_units(by_page, pages)).unionByName(site_units(pages, inputs)), "units")
+    every = by_page.unionByName(eligibility_units(by_page, pages)).unionByName(site_units(pages, inputs))
+    units = cut(results.guarded(every, rules, reasons, registry.sources(spark), watch), "units")
     found = cut(results.findings_of(units, reasons, rules), "findings")
     affected = cut(affected_pages(pages), "affected")
     issues = cut(results.root_issues(found, affected), "issues")
@@ -195,5 +197,13 @@ def run_audit(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
         "root_issues": issues, "issue_pages": results.issue_pages(found, affected), "related_issues": results.related_issues(found, issues, affected), "check_scores": per_check, "category_scores": per_category,
         "scores": results.site_scores(per_category, cover.select("site", "valid")), "coverage": cover, "run_quality": results.run_quality(cover), "severity_counts": counts,
         "top_issues": results.top_issues(issues), "action_plan": results.action_plan(issues), "strengths": results.strengths(units), "narrative": results.narrative(cover, counts),
+        "quarantine": units.filter("note IS NOT NULL").select("site", "page_id", "check_id", "note"),
         "violations": results.contract_violations(found, reasons, registry.sources(spark)),
     }
+
+
+def save_audit(spark: SparkSession, inputs: Inputs, path: str, run_id: str) -> dict[str, int]:
+    """Run the audit and write all result tables under one run id; a second call with it replaces the first one's rows. Returns what `run_audit` observed."""
+    watch = Observation("contract")
+    write_results(run_audit(spark, inputs, watch), path, run_id)
+    return watch.get

@@ -52,6 +52,19 @@ def contract_violations(spark, root):
     return out.select("site", "page_id", "check_id", "reason_code")
 
 
+@query
+def unit_errors(spark, root):
+    """JN-14: recorded units of which some break the contract, over a registry in which some FAIL reasons cite no documented source."""
+    n = F.col("page_id")
+    broken = recorded_units(spark, root).withColumns({
+        "reasons": F.when(n % 6 == 1, F.concat("reasons", F.array(F.lit("NO_SUCH_REASON")))).otherwise(F.col("reasons")),
+        "observed": F.when(n % 6 != 2, F.col("observed")), "check_id": F.when(n % 12 == 3, F.concat(F.lit("Z-"), F.col("check_id"))).otherwise(F.col("check_id")),
+    })
+    reasons = registry.reasons(spark).withColumn("source_ids", F.when(F.substring("reason_code", 1, 1) < "G", F.array(F.lit("SRC-TOOL-POLICY"))).otherwise(F.col("source_ids")))
+    out = R.guarded(broken, registry.rules(spark), reasons, registry.sources(spark))
+    return out.select("site", "page_id", "check_id", "status", F.array_join("reasons", ",").alias("reasons"), F.coalesce("note", F.lit("")).alias("note"), F.coalesce("limitation", F.lit("")).alias("limitation"))
+
+
 @query
 def check_scores(spark, root):
     return R.check_scores(recorded_units(spark, root), registry.rules(spark)).select("site", "check_id", "evaluated", "applicable", R.round1(F.col("check_score") * 100).alias("score_pct"))

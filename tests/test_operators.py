@@ -113,16 +113,54 @@ def test_sinks(spark, tmp_path):
     u = units(spark, [("O-2.1", i, "PASS", []) for i in range(20)])
     issues = spark.createDataFrame([("s", "I-001", "X", "LOW", 3)], "site string, issue_id string, reason_code string, severity string, n_pages bigint")
     scores = spark.createDataFrame([("s", "technical_health", 70, None)], "site string, score string, value bigint, suppressed string")
-    doc = json.loads(sinks.site_documents(pages, issues, scores, u).first().value)
-    assert len(doc["pages"]) == 10 and len(doc["checks"]) == 10 and doc["root_issues"][0]["issue_id"] == "I-001"
-    sinks.write_results({"check_results": u}, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/check_results").count() == 20
+    docs = [json.loads(r.value) for r in sinks.site_documents(pages, issues, scores, u, size=8).orderBy("part").collect()]
+    assert [len(d["pages"]) for d in docs] == [8, 8, 4] and [len(d["checks"]) for d in docs] == [8, 8, 4] and docs[0]["root_issues"][0]["issue_id"] == "I-001"
+    assert [p["page_id"] for d in docs for p in d["pages"]] == list(range(20)) and "scores" not in docs[1] and {d["n_parts"] for d in docs} == {3}
+    for run in ("a", "b", "a"):
+        sinks.write_results({"check_results": u}, str(tmp_path), run)
+    assert spark.read.parquet(f"{tmp_path}/check_results").groupBy("run_id").count().orderBy("run_id").collect() == [("a", 20), ("b", 20)]
     runs = spark.createDataFrame([("t1", "a", "2024-01-01", 1), ("t2", "b", "2024-01-02", 1)], "tenant_id string, audit_id string, updated_at string, version int")
     new = spark.createDataFrame([("t1", "a", "2024-01-03", 2)], "tenant_id string, audit_id string, updated_at string, version int")
     latest = sinks.latest_runs(runs, new)
     assert [r.version for r in sinks.for_tenant(latest, "t1").collect()] == [2]
 
 
+def test_hot_site_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(40_000).select(P.when(P.col("id") % 10 < 9, P.lit("hot")).otherwise(P.concat(P.lit("s"), (P.col("id") % 100).cast("string"))).alias("site"), "id", P.sha2(P.col("id").cast("string"), 256).alias("x"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        sinks.write_results({"rows": rows.repartition(16)}, str(tmp_path), "r")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = spark.read.parquet(f"{tmp_path}/rows").groupBy("site", P.input_file_name().alias("f")).count()
+    per_site = {r.site: r.n for r in files.groupBy("site").agg(P.count("*").alias("n")).collect()}
+    others = sorted(n for s, n in per_site.items() if s != "hot")  # one may share the hot site's bucket
+    assert per_site["hot"] >= 4 and others[len(others) // 2] == 1 and files.select("f").distinct().count() <= 64
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 40_000
+
+
+def test_numbers_of_outlying_and_hashed_ids(spark):
+    ids = [*range(3000), 1 << 62, -(1 << 62)]
+    rows = [(f"s{i % 2}", 1 + i % 3, (i * 0x9E3779B97F4A7C15 % (1 << 63)) if i % 2 else i, "R") for i in ids] + [("s0", 1, None, "R")]
+    df = spark.createDataFrame(rows, "site string, check_no int, page_id bigint, reason_code string")
+    most = R.bucketed(df, 16).groupBy("check_no", "_at").count().agg(P.max("count")).first()[0]
+    assert most <= 2 * len(rows) / (3 * 16)
+    want = df.withColumn("finding_no", P.row_number().over(Window.partitionBy("site").orderBy("check_no", "page_id", "reason_code")))
+    got = R.finding_ids(df, 16).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_broken_units_become_errors(spark):
+    from pyspark.sql import Observation
+
+    u = units(spark, [("C-1.2", 1, "FAIL", ["GOOGLEBOT_DISALLOWED"]), ("C-1.2", 2, "FAIL", ["O_NO"]), ("Q-1", 3, "PASS", []), ("C-1.3", 4, "PASS", []), ("C-1.3", 5, "NOT_APPLICABLE", ["O_NO"]), ("O-2.1", 6, "ERROR", [])])
+    u = u.withColumn("observed", P.when(P.col("page_id") != 4, P.col("observed")))
+    watch = Observation("w")
+    got = {r.page_id: (r.status, r.note) for r in R.guarded(u, registry.rules(spark), registry.reasons(spark), registry.sources(spark), watch).collect()}
+    assert got == {1: ("FAIL", None), 2: ("ERROR", "UNKNOWN_REASON: O_NO"), 3: ("ERROR", "UNKNOWN_CHECK: Q-1"), 4: ("ERROR", "PASS_WITHOUT_EVIDENCE"), 5: ("NOT_APPLICABLE", None), 6: ("ERROR", None)}
+    assert watch.get == {"units": 6, "broken": 3, "errors": 1}
+
+
 def test_streaming_skips_seen_pages(spark, tmp_path):
     from crawlscope.streaming import incremental as INC
 

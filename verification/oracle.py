@@ -178,6 +178,17 @@ _DOC = {s for s, label in G.SOURCES if label == "DOCUMENTED"}
 _RULE_SOURCES = {r[0]: r[7] for r in G.RULES}
 _BAD = [r[0] for r in G.REASONS if r[2] == "FAIL" and not _DOC & set((r[7] or _RULE_SOURCES[r[1]]).split())]
 ORACLE["contract_violations"] = f"WITH {FINDINGS} SELECT site, page_id, check_id, reason_code FROM findings WHERE reason_code IN {words(_BAD or ['-'])}"
+_DOCUMENTED = [f"{r[1]}|{r[0]}" for r in G.REASONS if r[0] >= "G" and _DOC & set((r[7] or _RULE_SOURCES[r[1]]).split())]
+ORACLE["unit_errors"] = f"""
+WITH {UNITS}, b AS (SELECT site, page_id, CASE WHEN page_id % 12 = 3 THEN 'Z-' ELSE '' END || check_id AS check_id, status, limitation, seen AND page_id % 6 <> 2 AS seen,
+  list_concat(CASE WHEN reason IS NULL THEN CAST([] AS VARCHAR[]) ELSE [reason] END, CASE WHEN page_id % 6 = 1 THEN ['NO_SUCH_REASON'] ELSE CAST([] AS VARCHAR[]) END) AS rs FROM units),
+t AS (SELECT *, status NOT IN ('NOT_APPLICABLE', 'ERROR') AS told, list_filter(rs, lambda x: (check_id || '|' || x) NOT IN {words([f"{r[1]}|{r[0]}" for r in G.REASONS])}) AS strange,
+  list_filter(rs, lambda x: (check_id || '|' || x) IN {words([f"{r[1]}|{r[0]}" for r in G.REASONS if r[2] == 'FAIL'])} AND (check_id || '|' || x) NOT IN {words(_DOCUMENTED)}) AS bare FROM b),
+n AS (SELECT *, CASE WHEN check_id LIKE 'Z-%' THEN 'UNKNOWN_CHECK: ' || check_id WHEN told AND len(strange) > 0 THEN 'UNKNOWN_REASON: ' || strange[1] WHEN told AND NOT seen AND len(rs) > 0 THEN 'NO_EVIDENCE: ' || rs[1]
+  WHEN told AND len(bare) > 0 THEN 'UNDOCUMENTED_FAIL: ' || bare[1] WHEN status = 'PASS' AND NOT seen THEN 'PASS_WITHOUT_EVIDENCE' END AS note FROM t)
+SELECT site, page_id, check_id, CASE WHEN note IS NULL THEN status ELSE 'ERROR' END AS status, CASE WHEN note IS NULL THEN array_to_string(rs, ',') ELSE '' END AS reasons, coalesce(note, '') AS note,
+  CASE WHEN note IS NULL THEN coalesce(limitation, '') ELSE 'This is a tool defect, not a website defect.' END AS limitation FROM n
+"""
 ORACLE["check_scores"] = f"WITH {SCORES} SELECT site, check_id, evaluated, applicable, floor(s * 100 * 10 + 0.5) / 10 AS score_pct FROM per_check"
 ORACLE["category_scores"] = f"WITH {SCORES} SELECT site, score, bucket, cs AS category_score, CAST(evaluated AS BIGINT) AS evaluated, CAST(applicable AS BIGINT) AS applicable FROM per_cat"
 ORACLE["site_scores"] = f"""
