@@ -105,54 +105,83 @@ _OWN_ZONE = "CASE " + " ".join(f"WHEN role = '{r}' THEN '{z}'" for r, z in LANDM
 ) + " END"
 
 
+#: Zones by number (fixed values); a segment of a page is one digit, its zone and four more if it is hidden.
+_ZONES = sorted(set(LANDMARKS.values()))
+#: Tags that are folded together.
+_BLOCK = 256
+
+
 def contexts_of(tags: Column) -> Column:
     """For every opening <a> and <h1>..<h6>, in document order: struct(name, zone, hidden) from its ancestors.
 
-    Only landmark tags, tags with a role or hidden mark, and tags of the same names (to balance closings) enter
-    the fold, so its length follows the number of links and landmarks, not the size of the page.
+    Tags that open or close a landmark, or an element of a name that carries a role or hidden mark on this page, cut the page
+    into segments of one context. A fold over these tags alone makes the table of segments, a digit each; a link or heading finds
+    its segment by halving. A fold copies its state at every step, so tags are folded in blocks and only whole blocks of digits are put together:
+    the work grows with the tags.
     """
     entries = F.transform(
         tags,
-        lambda t: F.struct(
+        lambda t, i: F.struct(
             tag_name(t).alias("name"),
             t.startswith("</").alias("closing"),
             F.when(t.rlike(r"(?i)\srole\s*="), F.lower(F.regexp_extract(t, r"""(?i)\srole\s*=\s*["']?([a-z]+)""", 1))).otherwise(F.lit("")).alias("role"),
             t.rlike(rf"(?i)\s{HIDDEN_MARK}[\s=>/]").alias("hidden"),
+            i.alias("at"),
         ),
     )
-
-    def keep(all_entries: Column) -> Column:
-        marked = F.array_distinct(F.transform(F.filter(all_entries, lambda e: e["hidden"] | e["role"].isin(*LANDMARK_ROLES)), lambda e: e["name"]))
-        return let(marked, lambda m: F.filter(all_entries, lambda e: e["name"].rlike("^(a|h[1-6])$") | e["name"].isin(*LANDMARKS) | F.array_contains(m, e["name"])))
-
+    is_marker = lambda e: e["name"].rlike("^(a|h[1-6])$")
     zone_of = lambda e: F.coalesce(
         *[F.when(e["role"] == r, F.lit(z)) for r, z in LANDMARK_ROLES.items()],
         *[F.when(e["name"] == n, F.lit(z)) for n, z in LANDMARKS.items()],
     )
-    empty = F.struct(
-        F.array().cast("array<struct<name:string,zone:string,hidden:boolean>>").alias("stack"),
-        F.array().cast("array<struct<name:string,zone:string,hidden:boolean>>").alias("out"),
-    )
+
+    def edges_of(all_entries: Column) -> Column:
+        marked = F.array_distinct(F.transform(F.filter(all_entries, lambda e: e["hidden"] | e["role"].isin(*LANDMARK_ROLES)), lambda e: e["name"]))
+        return let(marked, lambda m: F.filter(all_entries, lambda e: ~is_marker(e) & ~e["name"].isin(*VOID) & (e["name"].isin(*LANDMARKS) | F.array_contains(m, e["name"]))))
+
+    none = F.array().cast("array<struct<name:string,zone:string,hidden:boolean>>")
+    digit = lambda top: (F.coalesce(F.array_position(F.array(*[F.lit(z) for z in _ZONES]), top["zone"]), F.lit(0)) + F.when(top["hidden"], 4).otherwise(0)).cast("string")
 
     def step(acc: Column, e: Column) -> Column:
         top = F.try_element_at(acc["stack"], F.lit(-1))
-        inherited = F.struct(
-            e["name"].alias("name"),
-            F.coalesce(zone_of(e), top["zone"]).alias("zone"),
-            (e["hidden"] | F.coalesce(top["hidden"], F.lit(False))).alias("hidden"),
-        )
+        opened = F.struct(e["name"].alias("name"), F.coalesce(zone_of(e), top["zone"]).alias("zone"), (e["hidden"] | F.coalesce(top["hidden"], F.lit(False))).alias("hidden"))
         back = F.array_position(F.reverse(F.transform(acc["stack"], lambda s: s["name"])), e["name"]).cast("int")
-        marker = e["name"].rlike("^(a|h[1-6])$")
         stack = (
-            F.when(marker, acc["stack"])
-            .when(e["closing"] & (back > 0), F.slice(acc["stack"], F.lit(1), F.size(acc["stack"]) - back))
-            .when(e["closing"] | e["name"].isin(*VOID), acc["stack"])
-            .otherwise(F.concat(acc["stack"], F.array(inherited)))
+            F.when(e["closing"] & (back > 0), F.slice(acc["stack"], F.lit(1), F.size(acc["stack"]) - back))
+            .when(e["closing"], acc["stack"])
+            .otherwise(F.concat(acc["stack"], F.array(opened)))
         )
-        out = F.when(marker & ~e["closing"], F.concat(acc["out"], F.array(inherited))).otherwise(acc["out"])
-        return F.struct(stack.alias("stack"), out.alias("out"))
+        now = F.when(e["closing"] & (back > 0), F.get(acc["stack"], F.size(acc["stack"]) - back - 1)).when(e["closing"], top).otherwise(opened)
+        return F.struct(stack.alias("stack"), F.concat(acc["digits"], F.coalesce(digit(now), F.lit("0"))).alias("digits"))
+
+    def folded(edges: Column) -> Column:
+        last = F.floor((F.size(edges) - 1) / F.lit(_BLOCK)).cast("int")
+        blocks = F.when(F.size(edges) > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(edges, b * _BLOCK + 1, F.lit(_BLOCK)))).otherwise(F.array(F.slice(edges, F.lit(1), F.lit(0))))
+        whole = lambda acc, block: let(
+            F.aggregate(block, F.struct(acc["stack"].alias("stack"), F.lit("").alias("digits")), step),
+            lambda own: F.struct(own["stack"].alias("stack"), F.concat(acc["digits"], own["digits"]).alias("digits")),
+        )
+        return F.split(F.aggregate(blocks, F.struct(none.alias("stack"), F.lit("0").alias("digits")), whole, lambda acc: acc["digits"]), "")
+
+    def placed(all_entries: Column) -> Column:
+        def found(edges: Column) -> Column:
+            places = F.transform(edges, lambda e: e["at"])
+            halves = F.filter(F.array(*[F.lit(1 << i) for i in reversed(range(24))]), lambda h: h <= F.size(edges))
+
+            def looked_up(t: Column) -> Column:
+                before = lambda e: F.aggregate(t["halves"], F.lit(0), lambda n, h: F.when((n + h <= F.size(t["places"])) & (F.get(t["places"], n + h - 1) < e["at"]), n + h).otherwise(n))
+                zone = lambda d: F.get(F.array(F.lit(None).cast("string"), *[F.lit(z) for z in _ZONES]), d % 4)
+                return F.transform(
+                    F.filter(all_entries, lambda e: is_marker(e) & ~e["closing"]),
+                    lambda e: let(F.get(t["segments"], before(e)).cast("int"), lambda d: F.struct(e["name"].alias("name"), F.coalesce(zone_of(e), zone(d)).alias("zone"), (e["hidden"] | (d >= 4)).alias("hidden"))),
+                )
+
+            segments = folded(edges)
+            return let(F.struct(places.alias("places"), halves.alias("halves"), segments.alias("segments")), looked_up)
+
+        return let(edges_of(all_entries), found)
 
-    return F.aggregate(let(entries, keep), empty, step, lambda acc: acc["out"])
+    return let(entries, placed)
 
 
 def heading_text(piece: Column) -> Column:

@@ -1,12 +1,14 @@
 """robots.txt as data: one policy row per origin, decisions as one join and array work.
 
-Parsing is a projection over the file table. Pages meet their origin's policy in a single join on the origin;
-rules are matched inside arrays, so pages x rules is never materialised and nothing is shuffled twice.
+Parsing is a projection over the file table, and so is the compilation of its groups into the few different rule lists that
+matter. Pages meet their origin's lists in a single join on the origin; rules are matched inside arrays, once a page and list,
+so pages x rules is never materialised and nothing is shuffled twice.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as P
 
 from crawlscope.functions.sql import F
 
@@ -113,41 +115,48 @@ def rules_table(policy: DataFrame) -> DataFrame:
     )
 
 
-def decide(state: Column, groups: Column, token: Column, path: Column) -> Column:
-    """Struct(decision, rule) for one token on one path."""
+def compiled(policy: DataFrame, tokens: list[str]) -> DataFrame:
+    """Add `rule_sets`, the different rule lists that govern any of `tokens`, and `set_of`, the list (from 1) of each token.
 
-    def with_groups(mine: Column) -> Column:
-        chosen = F.when(F.size(mine) > 0, mine).otherwise(F.filter(groups, lambda g: F.array_contains(g["agents"], "*")))
-        target = encode_path(path)
-        return let(F.struct(chosen.alias("groups"), target.alias("target")), lambda c: F.filter(
-            F.flatten(F.transform(c["groups"], lambda g: g["rules"])),
-            lambda r: F.coalesce(c["target"].startswith(r["match"]["prefix"]), F.regexp_like(c["target"], r["match"]["regex"]), F.lit(False)),
-        ))
+    Done once a file, before pages are joined. Groups of one token are merged; tokens of the same groups, and all that no group names
+    (they have the `*` groups), share one list. A list is in order of precedence: longest rule, then allow, then the first line.
+    """
 
-    def best(rules: Column) -> Column:
-        ranked = F.array_max(F.transform(rules, lambda r: F.struct(F.length(r["path"]).alias("len"), r["allow"].alias("allow"), (-r["line"]).alias("line"), r["path"].alias("path"))))
-        return let(ranked, lambda b: F.struct(
-            F.when(b.isNull() | b["allow"], F.lit("ALLOW")).otherwise(F.lit("DISALLOW")).alias("decision"),
-            F.when(b.isNotNull(), F.concat(F.when(b["allow"], F.lit("Allow: ")).otherwise(F.lit("Disallow: ")), b["path"], F.format_string(" (line %d)", -b["line"]))).alias("rule"),
-        ))
+    def rules_of(token: str) -> Column:
+        mine = P.filter("groups", lambda g: P.array_contains(g["agents"], token.lower()))
+        chosen = P.when(P.size(mine) > 0, mine).otherwise(P.filter("groups", lambda g: P.array_contains(g["agents"], "*")))
+        ranked = P.transform(P.flatten(P.transform(chosen, lambda g: g["rules"])), lambda r: P.struct(
+            (-P.length(r["path"])).alias("size"), (~r["allow"]).alias("deny"), r["line"].alias("line"), r["path"].alias("path"), r["match"]["prefix"].alias("prefix"), r["match"]["regex"].alias("regex"),
+        ))
+        return P.array_sort(ranked)
+
+    lists = policy.withColumn("_lists", P.array(*[rules_of(t) for t in tokens]))
+    sets = lists.withColumn("rule_sets", P.array_distinct("_lists"))
+    return sets.withColumn("set_of", P.transform("_lists", lambda x: P.array_position("rule_sets", x).cast("int"))).drop("_lists")
 
-    fixed = lambda d: F.struct(F.lit(d).alias("decision"), F.lit(None).cast("string").alias("rule"))
-    evaluated = let(let(F.filter(groups, lambda g: F.array_contains(g["agents"], F.lower(token))), with_groups), best)
-    return (
-        F.when(state.isNull(), fixed("UNKNOWN"))
-        .when((state == "PARSED") & (path == "/robots.txt"), fixed("ALLOW"))
-        .when(state == "PARSED", evaluated)
-        .when(state == "NO_RESTRICTIONS_4XX", fixed("ALLOW"))
-        .otherwise(fixed("UNKNOWN"))
-    )
+
+def matched(rules: Column, target: Column) -> Column:
+    """Struct(decision, rule) of the first rule in order of precedence that matches."""
+    hit = lambda r: P.coalesce(target.startswith(r["prefix"]), P.regexp_like(target, r["regex"]), P.lit(False))
+    first = P.get(P.filter(rules, hit), P.lit(0))
+    name = P.concat(P.when(first["deny"], P.lit("Disallow: ")).otherwise(P.lit("Allow: ")), first["path"], P.format_string(" (line %d)", first["line"]))
+    return P.struct(P.when(first["deny"], P.lit("DISALLOW")).otherwise(P.lit("ALLOW")).alias("decision"), P.when(first.isNotNull(), name).alias("rule"))
 
 
 def decisions(pages: DataFrame, policy: DataFrame, tokens: list[str], keys: tuple[str, ...] = ("page_id",), hot: DataFrame | None = None) -> DataFrame:
-    """Add `decisions`: MAP token -> struct(decision, rule) to pages with a `url` column."""
+    """Add `decisions`: MAP token -> struct(decision, rule) to pages with a `url` column.
+
+    A page's path is encoded once and matched once with each different rule list of its file; tokens read the outcome of their list.
+    """
     narrow = pages.withColumn("origin", origin_of(F.col("url")))
-    joined = join_on_hot_key(narrow, policy.select("origin", "robots_state", "groups"), ["origin"], list(keys), "left", hot)
+    ready = compiled(policy.select("origin", "robots_state", "groups"), tokens).drop("groups")
+    joined = join_on_hot_key(narrow, ready, ["origin"], list(keys), "left", hot)
     located = joined.withColumn("_path", path_and_query(F.col("url")))
-    by_token = F.map_from_entries(F.array(*[
-        F.struct(F.lit(t).alias("key"), decide(F.col("robots_state"), F.col("groups"), F.lit(t), F.col("_path")).alias("value")) for t in tokens
-    ]))
-    return located.withColumn("decisions", by_token).drop("_path", "groups")
+    state, path = P.col("robots_state"), P.col("_path")
+    fixed = lambda d: P.struct(P.lit(d).alias("decision"), P.lit(None).cast("string").alias("rule"))
+    open_file = (state == "NO_RESTRICTIONS_4XX") | ((state == "PARSED") & (path == "/robots.txt"))
+    located = located.withColumn("_target", P.when((state == "PARSED") & (path != "/robots.txt"), encode_path(F.col("_path"))))
+    located = located.withColumn("_outcomes", P.when(P.col("_target").isNotNull(), P.transform("rule_sets", lambda rules: matched(rules, P.col("_target")))))
+    of_token = lambda i: P.when(P.col("_target").isNotNull(), P.get("_outcomes", P.get("set_of", P.lit(i)) - 1)).when(open_file, fixed("ALLOW")).otherwise(fixed("UNKNOWN"))
+    by_token = P.map_from_arrays(P.array(*[P.lit(t) for t in tokens]), P.array(*[of_token(i) for i in range(len(tokens))]))
+    return located.withColumn("decisions", by_token).drop("_path", "_target", "_outcomes", "rule_sets", "set_of")

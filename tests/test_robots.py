@@ -57,3 +57,17 @@ def test_states(spark):
     table = spark.createDataFrame(rows, "origin string, status int, acquisition string, challenge boolean, text string")
     got = {r.origin[8]: r.robots_state for r in RB.policies(table).collect()}
     assert got == {"a": "SERVER_ERROR", "b": "NO_RESTRICTIONS_4XX", "c": "UNREACHABLE", "d": "CHALLENGED", "e": "RATE_LIMITED"}
+
+
+def test_a_page_is_matched_once_with_each_different_list(spark):
+    text = "User-agent: *\nDisallow: /a\n\nUser-agent: GPTBot\nUser-agent: ClaudeBot\nDisallow: /b\n\nUser-agent: CCBot\nDisallow: /b"
+    policy = RB.policies(spark.createDataFrame([("https://a.example", 200, "OK", False, text)], "origin string, status int, acquisition string, challenge boolean, text string"))
+    tokens = ["Googlebot", "Bingbot", "Other", "GPTBot", "ClaudeBot"]
+    row = RB.compiled(policy, tokens).first()
+    assert len(row.rule_sets) == 2 and row.set_of == [1, 1, 1, 2, 2]
+    pages = spark.createDataFrame([(1, "https://a.example/a/x"), (2, "https://a.example/b")], "page_id bigint, url string")
+    plan = RB.decisions(pages, policy, tokens)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_like") <= 1 or plan.count("RLIKE") <= 1
+    got = {r.page_id: {t: d.decision for t, d in r.decisions.items()} for r in RB.decisions(pages, policy, tokens).collect()}
+    assert got[1] == {"Googlebot": "DISALLOW", "Bingbot": "DISALLOW", "Other": "DISALLOW", "GPTBot": "ALLOW", "ClaudeBot": "ALLOW"}
+    assert got[2] == {"Googlebot": "ALLOW", "Bingbot": "ALLOW", "Other": "ALLOW", "GPTBot": "DISALLOW", "ClaudeBot": "DISALLOW"}
