@@ -23,6 +23,7 @@ from crawlscope.operators.skew import join_on_hot_key
 from crawlscope.plans.catalog import crawl_facts, crawl_pages, crawl_states, given_facts, joined, query, sample_urls
 from crawlscope.session import cut
 from crawlscope.sources import derived as D
+from crawlscope.sources import field
 from crawlscope.sources.tables import read_pages
 
 SITE = F.regexp_extract(F.col("url"), "^https?://[^/?#]+", 0)
@@ -507,6 +508,23 @@ def field_vitals(spark, root):
     return f.select("page_id", PC.vitals_grade(F.col("lcp_ms"), F.col("inp_ms"), F.col("cls")).alias("grade"))
 
 
+@query
+def field_records(spark, root):
+    """SRC-4 from answers of all shapes."""
+    out = field.field_records(D.derived(spark, root, D.FIELD_ANSWERS_SQL))
+    texts = ["reason", "form_factor", "period_first", "period_last"]
+    return out.select("page_id", "scope", "key", "available", *[F.coalesce(c, F.lit("")).alias(c) for c in texts], *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in field.METRICS], "assessment")
+
+
+@query
+def origin_field_check(spark, root):
+    """P-4.2 with the records of whole origins."""
+    answers = D.derived(spark, root, D.FIELD_ANSWERS_SQL)
+    one = field.field_records(answers.filter("scope = 'ORIGIN'")).groupBy("scope", "key").agg(*[F.max(c).alias(c) for c in field.METRICS])
+    sites = answers.select(F.regexp_extract("key", "^https?://[^/]+", 0).alias("site")).distinct()
+    return S.origin_vitals(one, sites).select("site", "check_id", "status", F.coalesce("observed", F.lit("")).alias("observed"))
+
+
 @query
 def field_check(spark, root):
     f = D.derived(spark, root, D.FIELD_SQL)

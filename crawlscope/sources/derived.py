@@ -171,6 +171,21 @@ SELECT page_id, 'https://' || split_part(url, '/', 3) AS site,
 FROM pages
 """
 
+# Answers of a vitals service as text: numbers, numbers in text, other values, cut and empty bodies, failures.
+_P75 = '{"percentiles":{"p75":'
+FIELD_ANSWERS_SQL = f"""
+SELECT page_id, scope, key, CASE page_id % 9 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN NULL ELSE 200 END AS status, CASE WHEN page_id % 9 = 2 AND page_id % 2 = 0 THEN 'TimeoutError' END AS error,
+  page_id % 31 <> 5 AS configured, CASE WHEN page_id % 37 = 6 THEN 'RATE_LIMITED' END AS stopped,
+  CASE page_id % 8
+    WHEN 0 THEN '{{"record":{{"key":{{"formFactor":"DESKTOP"}},"collectionPeriod":{{"firstDate":{{"year":2024,"month":3,"day":7}},"lastDate":{{"year":2024,"month":11,"day":"3"}}}},"metrics":{{"largest_contentful_paint":{_P75}' || CAST(1000 + page_id * 7 % 5000 AS STRING) || '}}}},"interaction_to_next_paint":{_P75}"' || CAST(page_id % 700 AS STRING) || '"}}}},"cumulative_layout_shift":{_P75}"0.' || CAST(page_id % 40 AS STRING) || '"}}}}}}}}}}'
+    WHEN 1 THEN '{{"record":{{"collectionPeriod":{{"firstDate":{{"year":2023,"month":12,"day":31}}}},"metrics":{{"largest_contentful_paint":{_P75}" 2501.5 "}}}},"interaction_to_next_paint":{_P75}true}}}},"cumulative_layout_shift":{_P75}""}}}}}}}}}}'
+    WHEN 2 THEN '{{"record":{{}}}}' WHEN 3 THEN '{{"record":' WHEN 4 THEN '{{}}'
+    WHEN 5 THEN '{{"record":{{"metrics":{{"largest_contentful_paint":{_P75}"4.2e3"}}}},"interaction_to_next_paint":{_P75}"0x1F"}}}},"cumulative_layout_shift":{_P75}0.' || CAST(page_id % 30 AS STRING) || '}}}}}}}}}}'
+    WHEN 6 THEN '{{"record":{{"metrics":{{"largest_contentful_paint":{_P75}[1]}}}},"interaction_to_next_paint":{_P75}"fast"}}}},"cumulative_layout_shift":{_P75}null}}}}}}}}}}'
+    ELSE '{{"record":{{"metrics":{{"largest_contentful_paint":{_P75}"1e999"}}}},"interaction_to_next_paint":{_P75}-3}}}},"cumulative_layout_shift":{{"percentiles":{{}}}}}}}}}}' END AS body
+FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'ORIGIN' ELSE 'URL' END AS scope, 'https://' || split_part(url, '/', 3) || CASE WHEN page_id % 4 = 0 THEN '' ELSE '/p/' || CAST(page_id AS STRING) END AS key FROM pages)
+"""
+
 FETCH_LOG_SQL = """
 SELECT event_id AS seq, 'https://s' || CAST(user_id AS STRING) || '.example' AS site, 's' || CAST(user_id % 50 AS STRING) || '.example' AS host,
   'https://s' || CAST(user_id AS STRING) || '.example/p' || CAST(event_id % 7 AS STRING) AS url, event_type AS purpose, ts AS started_at,

@@ -295,6 +295,31 @@ SELECT site, s || '://' || h || '/' AS url FROM v, (VALUES ('https'), ('http'))
 # --- performance, logs, review ----------------------------------------------------------------------------------------------------------------
 _GRADE = "CASE WHEN lcp_ms IS NULL AND inp_ms IS NULL AND cls IS NULL THEN 'UNAVAILABLE' WHEN lcp_ms > 4000 OR inp_ms > 500 OR cls > 0.25 THEN 'POOR' WHEN lcp_ms > 2500 OR inp_ms > 200 OR cls > 0.1 THEN 'NEEDS_IMPROVEMENT' WHEN lcp_ms IS NULL OR inp_ms IS NULL OR cls IS NULL THEN 'INCOMPLETE' ELSE 'GOOD' END"
 ORACLE["field_vitals"] = f"WITH f AS ({D.FIELD_SQL}) SELECT page_id, {_GRADE} AS grade FROM f"
+
+
+def p75_sql(metric: str) -> str:
+    at = f"'$.record.metrics.{metric}.percentiles.p75'"
+    text = f"trim(json_extract_string(j, {at}))"
+    number = f"""CASE json_type(j, {at}) WHEN 'VARCHAR' THEN CASE WHEN {text} = '' THEN 0.0 WHEN {text} LIKE '0x%' THEN try_cast({text} AS BIGINT)::DOUBLE ELSE try_cast({text} AS DOUBLE) END
+      WHEN 'BOOLEAN' THEN NULL WHEN 'NULL' THEN NULL WHEN 'ARRAY' THEN NULL WHEN 'OBJECT' THEN NULL ELSE try_cast({text} AS DOUBLE) END"""
+    return f"CASE WHEN ok AND isfinite({number}) THEN {number} END"
+
+
+def day_sql(name: str) -> str:
+    part = lambda p: f"json_extract_string(j, '$.record.collectionPeriod.{name}.{p}')"
+    return f"CASE WHEN ok AND json_exists(j, '$.record.collectionPeriod') THEN concat_ws('-', {part('year')}, lpad({part('month')}, 2, '0'), lpad({part('day')}, 2, '0')) ELSE '' END"
+
+
+RECORDS = f"""fr AS (SELECT *, CASE WHEN json_valid(body) THEN body::JSON END AS j, CASE WHEN NOT configured THEN 'NOT_CONFIGURED' WHEN stopped IS NOT NULL THEN 'STOPPED:' || stopped WHEN error IS NOT NULL THEN 'FAILED:' || error
+   WHEN status IS NULL THEN 'FAILED:no answer' WHEN status = 404 THEN 'NO_RECORD:' || scope WHEN status <> 200 THEN 'HTTP:' || status WHEN NOT json_valid(body) THEN 'FAILED:SyntaxError' ELSE '' END AS reason
+  FROM ({D.FIELD_ANSWERS_SQL.replace('AS STRING', 'AS VARCHAR')})),
+fo AS (SELECT *, reason = '' AS ok FROM fr),
+rec AS (SELECT *, {p75_sql('largest_contentful_paint')} AS lcp_ms, {p75_sql('interaction_to_next_paint')} AS inp_ms, {p75_sql('cumulative_layout_shift')} AS cls FROM fo)"""
+ORACLE["field_records"] = f"""WITH {RECORDS} SELECT page_id, scope, key, ok AS available, reason, CASE WHEN ok THEN coalesce(json_extract_string(j, '$.record.key.formFactor'), 'PHONE') ELSE '' END AS form_factor,
+ {day_sql('firstDate')} AS period_first, {day_sql('lastDate')} AS period_last, coalesce(lcp_ms, -1.0)::DOUBLE AS lcp_ms, coalesce(inp_ms, -1.0)::DOUBLE AS inp_ms, coalesce(cls, -1.0)::DOUBLE AS cls, {_GRADE} AS assessment FROM rec"""
+ORACLE["origin_field_check"] = f"""WITH {RECORDS}, o AS (SELECT key AS site, max(lcp_ms) AS lcp_ms, max(inp_ms) AS inp_ms, max(cls) AS cls FROM rec WHERE scope = 'ORIGIN' GROUP BY key),
+s AS (SELECT DISTINCT regexp_extract(key, '^https?://[^/]+') AS site FROM rec), g AS (SELECT s.site, o.site IS NOT NULL AS met, {_GRADE} AS grade FROM s LEFT JOIN o USING (site))
+SELECT site, 'P-4.2' AS check_id, CASE WHEN met AND grade <> 'UNAVAILABLE' THEN 'PASS' ELSE 'NOT_TESTABLE' END AS status, CASE WHEN met THEN grade ELSE '' END AS observed FROM g"""
 ORACLE["field_check"] = f"WITH {ST}, f AS ({D.FIELD_SQL}), g AS (SELECT gt.*, {_GRADE} AS grade FROM gt JOIN f USING (page_id)) " + unit("P-4.1", "CASE WHEN NOT (raw_valid OR ren_valid) OR grade = 'UNAVAILABLE' THEN 'NOT_TESTABLE' ELSE '' END", [("grade = 'POOR'", "CWV_FIELD_POOR"), ("grade = 'NEEDS_IMPROVEMENT'", "CWV_FIELD_NEEDS_IMPROVEMENT")], "g", "grade = 'INCOMPLETE'")
 _TASK = "CASE WHEN page_id * {0} % 900 >= page_id * 11 % 400 THEN greatest(page_id * ({0} + 3) % 180 - 50, 0) ELSE 0 END"
 ORACLE["lab_summary"] = f"""WITH {ST}, k AS (SELECT page_id AS chosen FROM gt WHERE ren_valid QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id) <= 3)
