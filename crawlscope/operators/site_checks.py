@@ -217,8 +217,8 @@ def pages_of_duplicates(pages: DataFrame) -> DataFrame:
 
 
 def duplicate_units(pages: DataFrame, dups: DataFrame) -> DataFrame:
-    """O-2.4, one unit per site."""
-    sizes = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    """O-2.4, one unit per site. `pages`: a row a page, or a row a site with their number `n`."""
+    sizes = pages.select("site", "n") if "n" in pages.columns else pages.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     found = dups.groupBy("site").agg(F.count_if(F.col("field") == "title").alias("titles"), F.count_if(F.col("field") != "title").alias("descriptions"))
     joined = sizes.join(found, "site", "left").na.fill(0, ["titles", "descriptions"])
     t, d = F.col("titles") > 0, F.col("descriptions") > 0

@@ -171,7 +171,7 @@ def test_streaming_skips_seen_pages(spark, tmp_path):
     for batch in ([row(1, "https://s.example/a"), row(2, "https://s.example/b")], [row(3, "https://s.example/a#x"), row(4, "https://s.example/c")]):
         spark.createDataFrame(batch, schema).withColumn("crawled_at", P.lit("2024-01-01 00:00:00").cast("timestamp")).write.mode("append").parquet(landing)
         INC.start_units(INC.read_landing(spark, landing), out, check).awaitTermination()
-    saved = spark.read.parquet(out)
+    saved = spark.read.parquet(f"{out}/units")
     assert sorted({r.page_id for r in saved.select("page_id").collect()}) == [1, 2, 4]
     assert {(r.check_id, r.status) for r in saved.filter("page_id = 1").collect()} >= {("O-2.1", "PASS"), ("O-2.2", "WARN"), ("U-7.1", "FAIL")}
 
