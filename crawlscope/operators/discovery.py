@@ -213,13 +213,6 @@ def verify(candidates: DataFrame, responses: DataFrame, taken: DataFrame) -> Dat
     return joined.withColumn("verification", state).drop("acquisition", "status", "validity", "final_url", "_taken")
 
 
-def blocked_candidates(candidates: DataFrame, decided: DataFrame, shown: int = 10) -> tuple[DataFrame, DataFrame]:
-    """C-1.11: (count per site, first rows per site) of kept candidates that Googlebot may not crawl."""
-    closed = candidates.filter("excluded IS NULL").join(decided.filter(F.col("decisions")["Googlebot"]["decision"] == "DISALLOW").select("site", "url"), ["site", "url"], "left_semi")
-    counts = closed.groupBy("site").agg(F.count(F.lit(1)).alias("n_blocked"))
-    return counts.withColumn("n_more", F.greatest(F.col("n_blocked") - shown, F.lit(0))), best_per_group(closed, ["site"], ordered(), shown)
-
-
 def review_list(sampled: DataFrame, candidates: DataFrame) -> DataFrame:
     """Proposed pages, then candidates not proposed and not aliases."""
     proposed = sampled.select("site", "url", F.lit("proposed").alias("source"), "reason")

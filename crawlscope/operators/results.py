@@ -304,7 +304,7 @@ def strengths(units: DataFrame) -> DataFrame:
 
 def omitted(units: DataFrame) -> DataFrame:
     gone = units.filter(F.col("status").isin("NOT_TESTABLE", "ERROR"))
-    return gone.select("site", "check_id", "page_id", "status", F.substring(F.coalesce("limitation", F.lit("unavailable")), 1, 300).alias("reason"))
+    return gone.select("site", "check_id", "page_id", "status", F.coalesce("limitation", F.lit("unavailable")).alias("reason"))
 
 
 def omitted_reasons(units: DataFrame, k: int = 5) -> DataFrame:

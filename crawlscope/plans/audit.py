@@ -148,14 +148,19 @@ def affected_pages(pages: DataFrame) -> DataFrame:
     return shared.unionByName(sources.select("site", P.lit("O-2.6").alias("check_id"), "reason_code", "page_id"))
 
 
+def blocked_links(found: DataFrame, policies: DataFrame | None) -> DataFrame:
+    """C-1.11 rows: site, url, rule of the internal targets of crawlable links, exclusions aside, that Googlebot may not fetch."""
+    kept = found.filter("crawlable AND internal").select("site", P.col("url")).distinct().filter(exclusion_reason(F.col("url")).isNull())
+    if policies is None:
+        return kept.filter("false").withColumn("rule", P.lit(None).cast("string"))
+    decided = robots.decisions(kept, policies, ["Googlebot"], ("site", "url"))
+    return decided.select("site", "url", P.col("decisions")["Googlebot"].alias("_d")).filter("_d.decision = 'DISALLOW'").select("site", "url", "_d.rule")
+
+
 def blocked_counts(best: DataFrame, inputs: Inputs) -> DataFrame:
-    """Per site: internal targets of crawlable links, exclusions aside, that Googlebot may not fetch."""
-    found = lookups.link_rows(best).filter("crawlable AND internal").select("site", P.col("url")).distinct()
-    found = found.filter(exclusion_reason(F.col("url")).isNull())
-    if inputs.robots_files is None:
-        return found.groupBy("site").agg(P.lit(0).cast("bigint").alias("n_blocked"))
-    decided = robots.decisions(found, robots.policies(inputs.robots_files), ["Googlebot"], ("site", "url"))
-    return decided.groupBy("site").agg(P.count_if(P.col("decisions")["Googlebot"]["decision"] == "DISALLOW").alias("n_blocked"))
+    """Blocked links per site."""
+    policies = None if inputs.robots_files is None else robots.policies(inputs.robots_files)
+    return blocked_links(lookups.link_rows(best), policies).groupBy("site").agg(P.count(P.lit(1)).alias("n_blocked"))
 
 
 #: Site rules that hang on records a site may lack.
@@ -197,7 +202,8 @@ def run_audit(spark: SparkSession, inputs: Inputs, watch: Observation | None = N
         "root_issues": issues, "issue_pages": results.issue_pages(found, affected), "related_issues": results.related_issues(found, issues, affected), "check_scores": per_check, "category_scores": per_category,
         "scores": results.site_scores(per_category, cover.select("site", "valid")), "coverage": cover, "run_quality": results.run_quality(cover), "severity_counts": counts,
         "top_issues": results.top_issues(issues), "action_plan": results.action_plan(issues), "strengths": results.strengths(units), "narrative": results.narrative(cover, counts),
-        "quarantine": units.filter("note IS NOT NULL").select("site", "page_id", "check_id", "note"),
+        "blocked_links": blocked_links(lookups.link_rows(pages.filter("best IS NOT NULL")), None if inputs.robots_files is None else robots.policies(inputs.robots_files)),
+        "omitted_checks": results.omitted(units), "quarantine": units.filter("note IS NOT NULL").select("site", "page_id", "check_id", "note"),
         "violations": results.contract_violations(found, reasons, registry.sources(spark)),
     }
 
