@@ -203,7 +203,8 @@ def verify(candidates: DataFrame, responses: DataFrame, taken: DataFrame) -> Dat
     """Add verification (verified, failed, alias, unverified) and final_key. `taken`: site, url already in the sample."""
     r = responses.select(F.col("fetch_key").alias("url"), "acquisition", "status", "validity", "final_url")
     joined = candidates.join(r, "url", "left").withColumn("final_key", F.coalesce(fetch_key(F.col("final_url")), F.col("url")))
-    joined = joined.join(taken.select("site", fetch_key(F.col("url")).alias("final_key")).distinct().withColumn("_taken", F.lit(True)), ["site", "final_key"], "left")
+    known = taken.select("site", fetch_key(F.col("url")).alias("final_key")).distinct().withColumn("_taken", F.lit(True))
+    joined = join_on_hot_key(joined, known, ["site", "final_key"], ["url"], "left")  # many links may redirect to one page
     moved = F.col("final_key") != F.col("url")
     state = choose(
         (F.col("acquisition").isNull(), "unverified"), (F.coalesce(F.col("validity") == "ACCESS_CHALLENGE", F.lit(False)), "verified"),

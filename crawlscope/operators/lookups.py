@@ -108,7 +108,7 @@ def link_rollup(links: DataFrame) -> DataFrame:
 def sources_of(links: DataFrame, targets: DataFrame) -> DataFrame:
     """Pages that link to `targets` (site, url, ...), with the targets' columns."""
     rows = links.filter("crawlable AND internal").select("site", "page_id", fetch_key(F.col("url")).alias("url")).distinct()
-    return rows.join(targets.withColumn("url", fetch_key(F.col("url"))).distinct(), ["site", "url"])
+    return join_on_hot_key(rows, targets.withColumn("url", fetch_key(F.col("url"))).distinct(), ["site", "url"], ["page_id"], "inner")  # every page links home
 
 
 def testable_targets(rollup: DataFrame) -> DataFrame:

@@ -345,9 +345,9 @@ def used_sources(findings: DataFrame, units: DataFrame, rules: DataFrame) -> Dat
 def issue_evidence(issues: DataFrame, findings: DataFrame, evidence: DataFrame) -> DataFrame:
     """Evidence rows per issue in long form."""
     links = findings.select("site", "check_id", "reason_code", "page_id").distinct()
-    return links.join(evidence, (links.site == evidence.site) & (links.check_id == evidence.check_id) & links.page_id.eqNullSafe(evidence.page_id)).select(
-        links.site, links.check_id, links.reason_code, links.page_id, "evidence_id", "profile", "locator", "observed"
-    ).join(issues.select("site", "check_id", "reason_code", "issue_id"), ["site", "check_id", "reason_code"])
+    met = links.join(evidence, (links.site == evidence.site) & (links.check_id == evidence.check_id) & links.page_id.eqNullSafe(evidence.page_id))
+    rows = met.select(links.site, links.check_id, links.reason_code, links.page_id, "evidence_id", "profile", "locator", "observed")
+    return join_on_hot_key(rows, issues.select("site", "check_id", "reason_code", "issue_id"), ["site", "check_id", "reason_code"], ["page_id", "evidence_id"], "inner")
 
 
 def issue_urls(findings: DataFrame, pages: DataFrame, issues: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from crawlscope.functions.sql import F
 from crawlscope.functions.expr import choose
 from crawlscope.functions.urls import alias_hosts, host_of, origin_of, path_and_query, url_parts
 from crawlscope.operators.page_checks import SECURITY_HEADERS, vitals_grade
-from crawlscope.operators.skew import best_per_group
+from crawlscope.operators.skew import best_per_group, join_on_hot_key
 
 # Fixed value: wording of missing pages.
 MISSING_WORDING = (
@@ -211,7 +211,7 @@ def pages_of_duplicates(pages: DataFrame) -> DataFrame:
     """O-2.4: every page that shares a value, with the reason."""
     fields = F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("value")), F.struct(F.lit("meta_description").alias("field"), F.col("meta_description").alias("value")))
     long = pages.select("site", "page_id", F.explode(fields).alias("f")).select("site", "page_id", "f.*")
-    rows = long.join(duplicates(pages).select("site", "field", "value"), ["site", "field", "value"])
+    rows = join_on_hot_key(long, duplicates(pages).select("site", "field", "value"), ["site", "field", "value"], ["page_id"], "inner")  # a title may be that of a third of all pages
     code = F.when(F.col("field") == "title", F.lit("DUPLICATE_TITLE_IN_SAMPLE")).otherwise(F.lit("DUPLICATE_DESCRIPTION_IN_SAMPLE"))
     return rows.select("site", F.lit("O-2.4").alias("check_id"), code.alias("reason_code"), "page_id").distinct()
 

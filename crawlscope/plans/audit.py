@@ -32,7 +32,7 @@ class Inputs:
     robots_files: origin, status, acquisition, challenge, text. probes: site, kind, url, acquisition, status, ...
     settings: site, goal, environment, multilingual, and optionally intentional_restrictions (prefixes of addresses or paths).
     field: scope, key, lcp_ms, inp_ms, cls; of several rows for an address one is used (the largest). recordings: page_id, optionally
-    site, plus any of overflow, a11y, lab; of several rows for a page any one is used.
+    site, plus any of overflow, a11y, lab. Of several rows for a page or site the smallest is used.
     """
 
     crawl: DataFrame
@@ -70,7 +70,7 @@ def with_settings(pages: DataFrame, inputs: Inputs, hot: DataFrame) -> DataFrame
     conf = inputs.settings
     if "intentional_restrictions" not in conf.columns:
         conf = conf.withColumn("intentional_restrictions", F.lit(None).cast("array<string>"))
-    conf = conf.select("site", "goal", "environment", "multilingual", "intentional_restrictions").dropDuplicates(["site"])
+    conf = conf.groupBy("site").agg(P.min(P.struct("goal", "environment", "multilingual", "intentional_restrictions")).alias("_c")).select("site", "_c.*")
     joined = join_on_hot_key(pages, conf, ["site"], ["page_id"], "left", hot)
     marked = joined.withColumn("intentional", gates.intentional(F.col("url"), F.col("intentional_restrictions"), F.col("environment"), F.col("goal")))
     return page_checks.with_defaults(marked.drop("environment", "intentional_restrictions").na.fill({"goal": "search_ai_discovery", "multilingual": False}))
@@ -95,10 +95,12 @@ def prepared_pages(inputs: Inputs) -> DataFrame:
     pages = gates.with_states(with_settings(with_decisions(base, inputs, hot), inputs, hot))
     if inputs.field is not None:
         per_url = inputs.field.filter("scope = 'URL'").groupBy(P.col("key").alias("_at")).agg(P.max(P.struct("lcp_ms", "inp_ms", "cls")).alias("field"))
-        pages = pages.drop("field").withColumn("_at", P.coalesce("final_url", "url")).join(per_url, "_at", "left").drop("_at")
+        pages = join_on_hot_key(pages.drop("field").withColumn("_at", P.coalesce("final_url", "url")), per_url, ["_at"], ["page_id"], "left").drop("_at")  # many pages may end at one log-in page
     if inputs.recordings is not None:
         keys = [c for c in NARROW if c in inputs.recordings.columns]
-        pages = pages.drop(*[c for c in inputs.recordings.columns if c not in keys]).join(inputs.recordings.dropDuplicates(keys), keys, "left")
+        rest = [c for c in inputs.recordings.columns if c not in keys]
+        one = inputs.recordings.groupBy(*keys).agg(P.min(P.struct(*rest)).alias("_r")).select(*keys, "_r.*")
+        pages = pages.drop(*rest).join(one, keys, "left")
     lab = site_checks.lab_pages(pages).select(*NARROW, P.lit(True).alias("lab_selected"))
     pages = pages.drop("lab_selected").join(lab, list(NARROW), "left").withColumn("page_type", page_type(F.col("url")))
     ready = cut(page_checks.with_nodes(with_controls(page_checks.prepare(pages))), "prepared")
