@@ -69,11 +69,16 @@ def query_variant_cap(spark, root):
     return DISC.cap_query_variants(rows, 1).select("site", "url", F.coalesce("excluded", F.lit("")).alias("excluded"))
 
 
-def crawl_edges(spark, root):
-    """Anchors of the RAW documents as edges keyed by the document."""
-    facts = crawl_facts(spark, root, "links").withColumn("from_key", U.fetch_key(F.col("url")))
-    links = each(facts, ["site", "page_id", "from_key"], F.col("links"), "l")
-    return links.select("site", "page_id", "from_key", F.col("l.pos").alias("pos"), F.col("l.url").alias("url"), F.col("l.text").alias("text"), F.col("l.zone").alias("zone"), F.col("l.crawlable").alias("crawlable"), F.col("l.internal").alias("internal"), F.lit("RAW").alias("profile"))
+def crawl_edges(spark, root, *profiles):
+    """Anchors of the RAW documents (and, if asked for, the RENDERED ones) as edges keyed by the document."""
+    out = None
+    for profile in profiles or ("RAW",):
+        source = X.extract_into(crawl_states(spark, root), "f", "html" if profile == "RAW" else "dom", "url", "headers" if profile == "RAW" else None, ("links",))
+        facts = source.withColumn("from_key", U.fetch_key(F.col("url")))
+        links = each(facts, ["site", "page_id", "from_key"], F.col("f.links"), "l")
+        edges = links.select("site", "page_id", "from_key", F.col("l.pos").alias("pos"), F.col("l.url").alias("url"), F.col("l.text").alias("text"), F.col("l.zone").alias("zone"), F.col("l.crawlable").alias("crawlable"), F.col("l.internal").alias("internal"), F.lit(profile).alias("profile"))
+        out = edges if out is None else out.unionByName(edges)
+    return out
 
 
 @query
@@ -112,17 +117,19 @@ def index(spark, root):
 
 
 def sampled(spark, root):
-    """(sample, verified candidates)"""
+    """(sample, verified candidates): links of both profiles, nothing that the auditor may not fetch, and only pages with a genuine record."""
     homes = D.crawl(spark, root).filter(F.col("url") == F.concat("site", F.lit("/"))).select("site", U.fetch_key(F.col("url")).alias("home_key")).distinct()
     responses = index(spark, root)
+    policies = cut(RB.policies(D.derived(spark, root, D.ROBOTS_SQL)), "policies")
+    gate = lambda rows: RB.decisions(rows, policies, [registry.AUDITOR_TOKEN], ("site", "url")).withColumn("robots_auditor", F.col("decisions")[registry.AUDITOR_TOKEN]["decision"]).drop("decisions", "origin", "robots_state")
     # Each step reads its input several times, so the steps are written out in between.
     homes = cut(homes, "homes")
-    edges = cut(DISC.usable_edges(crawl_edges(spark, root)), "edges")
-    found = cut(DISC.expand(edges, homes), "found")
-    capped = cut(DISC.cap_query_variants(DISC.with_fallback(found, responses, homes)), "capped")
+    edges = cut(DISC.usable_edges(crawl_edges(spark, root, "RAW", "RENDERED")), "edges")
+    blocked = gate(edges.select("site", "url").distinct()).filter("robots_auditor = 'DISALLOW'")
+    found = cut(DISC.expand(edges, homes, cut(blocked.select("site", "url"), "blocked")), "found")
+    capped = cut(gate(DISC.cap_query_variants(DISC.with_fallback(found, responses, homes))), "capped")
     checked = cut(DISC.verify(DISC.signatures(capped), responses, homes.select("site", F.col("home_key").alias("url"))), "candidates")
-    # Recorded crawls hold few of the linked pages, so pages without a record stay candidates here.
-    return DISC.sample(checked.withColumn("verification", F.when(F.col("verification") == "unverified", F.lit("verified")).otherwise(F.col("verification"))), homes), checked
+    return DISC.sample(checked, homes), checked
 
 
 @query
