@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from crawlscope.plans import catalog_tables as CT
 from verification.oracle import ORACLE, SITE_SQL, UNITS
-from verification.oracle_crawl import EXCL, LINKS, PROBES, ROBOTS, ST
+from verification.oracle_crawl import _SM, EXCL, LINKS, PROBES, ROBOTS, ST
 
 ORACLE["header_names"] = f"""
 WITH h AS ({CT.HEADERS_SQL.replace('AS STRING', 'AS VARCHAR')}), e AS (SELECT page_id, 1 AS k, lower(name_a) AS name, value_a AS v FROM h UNION ALL SELECT page_id, 2, lower(name_b), value_b FROM h)
@@ -51,3 +51,17 @@ SELECT p.site, CAST(no // 5 AS INTEGER) AS part, any_value((p.n + 4) // 5) AS n_
 ORACLE["tenant_runs"] = """
 SELECT o_custkey % 10 AS tenant_id, 'a' || o_orderkey AS audit_id, o_orderkey AS version FROM orders WHERE o_custkey % 10 = 3 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50
 """
+_SIDES = [("C-1.2", "access_checks"), ("C-1.3", "http_status_check"), ("C-1.7", "canonical_check"), ("C-1.8", "indexing_check")]
+ORACLE["eligibility"] = f"""
+WITH u AS ({' UNION ALL '.join(f"SELECT page_id, check_id, status, string_split(reasons, ',') AS r FROM ({ORACLE[name]}) WHERE check_id = '{check}'" for check, name in _SIDES)}),
+g AS (SELECT page_id, max(status) FILTER (check_id = 'C-1.2') AS access, max(status) FILTER (check_id = 'C-1.3') AS http, max(status) FILTER (check_id = 'C-1.8') AS indexing, bool_or(list_contains(r, 'UNEXPECTED_NOINDEX')) AS noindex,
+  bool_or(list_has_any(r, ['CANONICAL_POINTS_TO_DIFFERENT_PAGE', 'CANONICAL_TARGET_BROKEN', 'CANONICAL_CONFLICT'])) AS unclear FROM u GROUP BY page_id)
+SELECT page_id, CASE WHEN access = 'FAIL' OR http = 'FAIL' OR noindex THEN 'NOT_ELIGIBLE' WHEN access = 'NOT_TESTABLE' OR http <> 'PASS' OR indexing = 'NOT_TESTABLE' OR unclear THEN 'UNCERTAIN' ELSE 'ELIGIBLE' END AS eligibility FROM g
+"""
+ORACLE["sitemap_variants"] = f"""
+WITH {PROBES}, {_SM}, {ROBOTS}, dc AS (SELECT origin AS site, min_by(v, line) AS d FROM kv WHERE k = 'sitemap' AND regexp_matches(v, '^https?://') GROUP BY origin),
+s AS (SELECT site, min_by(url, CASE WHEN url LIKE '%/sitemap.xml' THEN 1 ELSE 2 END) FILTER (result = 'OPEN') AS f FROM sm GROUP BY site), c AS (SELECT s.site, coalesce(d, f) AS chosen FROM s LEFT JOIN dc USING (site)),
+p AS (SELECT *, regexp_replace(regexp_extract(chosen, '^https?://([^/?#]+)', 1), '^www[.]', '') AS bare, regexp_replace(regexp_extract(site, '^https?://([^/?#]+)', 1), '^www[.]', '') AS own, regexp_replace(chosen, '^https?://[^/?#]+', '') AS rest FROM c WHERE chosen IS NOT NULL),
+v AS (SELECT site, chosen, unnest(list_distinct(CASE WHEN bare <> own THEN [chosen] ELSE [chosen, 'https://' || bare || rest, 'https://www.' || bare || rest, 'http://' || bare || rest, 'http://www.' || bare || rest] END)) AS url FROM p)
+SELECT site, url, CASE WHEN url = chosen THEN 'main' ELSE 'variant' END AS role FROM v
+"""
