@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from crawlscope.plans import catalog_tables as CT
-from verification.oracle import ORACLE, SITE_SQL, UNITS
+from verification.oracle import ORACLE, SITE_SQL, TOKENS, UNITS
 from verification.oracle_crawl import _SM, EXCL, LINKS, PROBES, ROBOTS, ST
 
 ORACLE["header_names"] = f"""
@@ -65,3 +65,8 @@ p AS (SELECT *, regexp_replace(regexp_extract(chosen, '^https?://([^/?#]+)', 1),
 v AS (SELECT site, chosen, unnest(list_distinct(CASE WHEN bare <> own THEN [chosen] ELSE [chosen, 'https://' || bare || rest, 'https://www.' || bare || rest, 'http://' || bare || rest, 'http://www.' || bare || rest] END)) AS url FROM p)
 SELECT site, url, CASE WHEN url = chosen THEN 'main' ELSE 'variant' END AS role FROM v
 """
+_DOM_LINKS = LINKS.replace(TOKENS.format(table="crawl"), TOKENS.format(table="(SELECT page_id, url, dom AS html FROM crawl)"))
+ORACLE["rendered_only_links"] = f"""
+WITH {ST}, raw_edge AS (SELECT * FROM (WITH {LINKS} SELECT page_id, url FROM edge WHERE crawlable)), dom_edge AS (SELECT * FROM (WITH {_DOM_LINKS} SELECT page_id, url FROM edge WHERE internal AND zone IN ('nav', 'main')))
+SELECT DISTINCT d.page_id, d.url FROM dom_edge d JOIN gt ON gt.page_id = d.page_id AND gt.pair_gate = '' LEFT JOIN raw_edge r ON r.page_id = d.page_id AND r.url = d.url WHERE r.page_id IS NULL
+"""
