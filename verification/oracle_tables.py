@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from crawlscope.plans import catalog_tables as CT
-from verification.oracle import ORACLE, SITE_SQL, TOKENS, UNITS
+from verification.oracle import ORACLE, SITE_SQL, TOKENS, UNITS, text_sql
 from verification.oracle_crawl import _SM, EXCL, LINKS, PROBES, ROBOTS, ST
 
 ORACLE["header_names"] = f"""
@@ -70,3 +70,16 @@ ORACLE["rendered_only_links"] = f"""
 WITH {ST}, raw_edge AS (SELECT * FROM (WITH {LINKS} SELECT page_id, url FROM edge WHERE crawlable)), dom_edge AS (SELECT * FROM (WITH {_DOM_LINKS} SELECT page_id, url FROM edge WHERE internal AND zone IN ('nav', 'main')))
 SELECT DISTINCT d.page_id, d.url FROM dom_edge d JOIN gt ON gt.page_id = d.page_id AND gt.pair_gate = '' LEFT JOIN raw_edge r ON r.page_id = d.page_id AND r.url = d.url WHERE r.page_id IS NULL
 """
+
+
+def words_sql(source: str) -> str:
+    bare = f"regexp_replace(regexp_replace(regexp_replace({source}, '(?s)<!--.*?-->', '', 'g'), '(?s)^.*?<body>', ''), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
+    return f"len(list_filter(string_split({text_sql(bare)}, ' '), lambda w: w <> ''))"
+
+
+ORACLE["profile_comparison"] = f"""
+WITH {ST}, raw_n AS (SELECT page_id, count(*) AS n FROM (WITH {LINKS} SELECT page_id FROM edge) GROUP BY 1), dom_n AS (SELECT page_id, count(*) AS n FROM (WITH {_DOM_LINKS} SELECT page_id FROM edge) GROUP BY 1)
+SELECT site, gt.page_id, CAST(CASE WHEN raw_valid THEN {words_sql('html')} ELSE -1 END AS INTEGER) AS raw_words, CAST(CASE WHEN raw_valid THEN coalesce(r.n, 0) ELSE -1 END AS INTEGER) AS raw_links,
+  CAST(CASE WHEN ren_valid THEN {words_sql('dom')} ELSE -1 END AS INTEGER) AS dom_words, CAST(CASE WHEN ren_valid THEN coalesce(d.n, 0) ELSE -1 END AS INTEGER) AS dom_links
+FROM gt LEFT JOIN raw_n r ON r.page_id = gt.page_id LEFT JOIN dom_n d ON d.page_id = gt.page_id WHERE raw_valid OR ren_valid
+"""
