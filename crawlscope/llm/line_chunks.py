@@ -26,14 +26,18 @@ from crawlscope.llm.common import written
 
 #: Lines of a text that are looked at together.
 BLOCK = 64
-#: Where a line ends: a line break, or a blank after a sentence end. The mark that stands for these is taken as a blank.
-ENDS = "[ \1](?<=[.!?].)|\n"
+#: Where a line ends; the last character of each may be left out.
+ENDS = (". ", "! ", "? ", "\n")
+#: Stands between lines; in a text it is taken as a blank.
+MARK = "\1"
 
 
-def marked(text: Column) -> Column:
-    """The text with a mark after each line."""
-    free = F.when(text.rlike("\1"), F.replace(text, F.lit("\1"), F.lit(" "))).otherwise(text)
-    return F.regexp_replace(free, "([.!?] |\n)", "$1\1")
+def marked(text: Column, ends: bool = True) -> Column:
+    """The text with a mark after each line, or, without `ends`, in place of the blank or line break that ends it."""
+    text = F.replace(text, F.lit(MARK), F.lit(" "))
+    for end in ENDS:
+        text = F.replace(text, F.lit(end), F.lit((end if ends else end[:-1]) + MARK))
+    return text
 
 
 def plain(text: Column) -> Column:
@@ -46,16 +50,39 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].alias("text")).filter("length(text) > 0")
 
 
-def last_block(lines: Column) -> Column:
-    return F.floor((lines - 1) / BLOCK).cast("int")
+def chunks(docs: DataFrame, least_lines: int) -> DataFrame:
+    """hash, doc_id, text_hash and line (from 0) of every `least_lines` neighbouring lines.
 
+    Texts with fewer lines give a null list, and `outer` keeps Spark from testing the list's size first, which would divide each text twice.
+    """
+    every = keyed(docs).select("doc_id", "text_hash", F.transform(F.split(marked(F.col("text"), ends=False), MARK), lambda x: F.xxhash64(x)).alias("_h"))
+    last = F.size("_h") - (least_lines - 1)
+    hashes = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("_h", i, least_lines))))
+    return every.select("doc_id", "text_hash", F.posexplode_outer(hashes).alias("line", "hash")).filter("hash IS NOT NULL")
 
-def chunks(docs: DataFrame, least_lines: int) -> DataFrame:
-    """hash, doc_id, text_hash and line (from 0) of every `least_lines` neighbouring lines."""
-    every = keyed(docs).select("doc_id", "text_hash", F.transform(F.split("text", ENDS), lambda x: F.hash(x)).alias("_h"))
-    every = every.filter(F.size("_h") >= least_lines)
-    at = F.sequence(F.lit(1), F.size("_h") - (least_lines - 1))
-    return every.select("doc_id", "text_hash", F.posexplode(F.transform(at, lambda i: F.xxhash64(F.slice("_h", i, least_lines)))).alias("line", "hash"))
+
+def blocks(docs: DataFrame, least_lines: int) -> DataFrame:
+    """doc_id, text_hash, block, base (characters before it) and lines (marked text) of every `BLOCK` lines and those their last chunks reach into.
+
+    Only texts with more lines than a block are divided here; all else travels as one string.
+    """
+    rows = keyed(docs).select("doc_id", "text_hash", marked(F.col("text")).alias("_text"))
+    n = F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit(MARK), F.lit("")))
+    rows = rows.select("doc_id", "text_hash", "_text", F.when(n >= BLOCK, F.split("_text", MARK)).alias("_all"))
+    one = F.array(F.struct(F.lit(0).alias("block"), F.lit(0).cast("long").alias("base"), F.col("_text").alias("lines")))
+    several = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / BLOCK).cast("int")),
+        lambda b: F.struct(
+            b.alias("block"),
+            F.aggregate(F.slice("_all", F.greatest((b - 1) * BLOCK + 1, F.lit(1)), F.when(b > 0, BLOCK).otherwise(0)), F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("base"),
+            F.array_join(F.slice("_all", b * BLOCK + 1, BLOCK + least_lines - 1), MARK).alias("lines"),
+        ),
+    )
+    several = F.aggregate(  # characters of the block before, summed
+        several, F.array().cast("array<struct<block:int,base:bigint,lines:string>>"),
+        lambda done, x: F.concat(done, F.array(F.struct(x["block"].alias("block"), (x["base"] + F.coalesce(F.get(done, F.size(done) - 1)["base"], F.lit(0))).alias("base"), x["lines"].alias("lines")))),
+    )
+    return rows.select("doc_id", "text_hash", F.explode_outer(F.when(F.col("_all").isNull(), one).otherwise(several)).alias("_b")).select("doc_id", "text_hash", "_b.block", "_b.base", "_b.lines")
 
 
 def stretches(same: DataFrame, least_lines: int, least_bytes: int) -> DataFrame:
@@ -87,38 +114,30 @@ def stretches(same: DataFrame, least_lines: int, least_bytes: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, least_lines: int = 2, least_bytes: int = 40) -> DataFrame:
-    """Repeated stretches but for the first of each: doc_id, start and length (characters), size (lines), kept_doc_id, kept_start, text_hash, kept_text_hash."""
-    every = written(chunks(docs, least_lines), "chunks")
-    first_doc = F.min(F.coalesce("doc_id", F.lit(-(1 << 63))))  # no id is smaller than all
-    shared = every.groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), first_doc.alias("kept_doc_id")).filter("_n > 1").drop("_n")
-    met = every.join(shared.hint("shuffle_hash"), "hash")
-    by_doc = met.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("hash", "line", "kept_doc_id")).alias("_met"))  # a document's own lines, once for all rows that are this document
-    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    rows = keyed(docs).join(by_doc.hint("shuffle_hash"), own).select("doc_id", "text_hash", F.split(marked(F.col("text")), "\1").alias("_all"), "_met")
-    whole = F.array(F.struct(F.col("_all").alias("lines"), F.lit(0).alias("start"), F.lit(0).alias("line"), F.col("_met").alias("met")))
-    several = F.transform(
-        F.sequence(F.lit(0), last_block(F.size("_all"))),
-        lambda b: F.struct(
-            F.slice("_all", b * BLOCK + 1, BLOCK + least_lines - 1).alias("lines"), F.length(F.array_join(F.slice("_all", F.lit(1), b * BLOCK), "")).alias("start"),
-            (b * BLOCK).alias("line"), F.filter("_met", lambda m: F.floor(m["line"] / BLOCK) == b).alias("met"),
-        ),
-    )
-    whole = rows.select("doc_id", "text_hash", F.explode(F.when(F.size("_all") <= BLOCK, whole).otherwise(several)).alias("_b"))
-    whole = whole.select("doc_id", "text_hash", F.col("_b.start").alias("_start"), F.col("_b.line").alias("_line"), F.col("_b.lines").alias("_l"), F.col("_b.met").alias("_met"))
-    joined = whole.select("doc_id", "text_hash", "_start", "_line", "_l", F.explode("_met").alias("_m"))
-    before = F.col("_m.line") - F.col("_line")
-    joined = joined.select(
-        "doc_id", "text_hash", "_m.hash", "_m.kept_doc_id", "_m.line", F.get("_l", before).alias("_one"), F.array_join(F.slice("_l", before + 1, least_lines), "").alias("_text"),
-        (F.col("_start") + F.length(F.array_join(F.slice("_l", F.lit(1), before), ""))).cast("long").alias("start"),
-    )
-    texts = joined.select(
-        "doc_id", "text_hash", "hash", "line", "start", F.coalesce("doc_id", F.lit(-(1 << 63))).eqNullSafe(F.col("kept_doc_id")).alias("_own"), F.octet_length("_one").alias("_head"),
-        F.length("_text").cast("long").alias("length"), F.rtrim(plain(F.col("_text"))).alias("chunk"),
+    """Repeated stretches but for the first of each: doc_id, start and length (characters), size (lines), kept_doc_id, kept_start, text_hash, kept_text_hash.
+
+    Counts and kept chunks are written before they are joined: their shuffles are let go, and a hash that many lines share is split by Spark.
+    """
+    every, none = written(chunks(docs, least_lines), "chunks"), F.lit(-(1 << 63))  # no id is smaller than all
+    shared = every.groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), F.min(F.coalesce("doc_id", none)).alias("_first")).filter("_n > 1").drop("_n")
+    met = every.join(written(shared, "repeated").hint("shuffle_hash"), "hash")
+    place = F.col("line") % BLOCK * 2 + (F.coalesce("doc_id", none) == F.col("_first")).cast("int")  # the line in its block, and whether the chunk's first document has this id
+    block = F.floor(F.col("line") / BLOCK).cast("int")
+    by_block = met.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), block.alias("_block")).agg(F.collect_set(place).alias("_met"))  # a document's own lines, once for all rows that are this document
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & (F.col("block") == F.col("_block"))
+    rows = blocks(docs, least_lines).join(by_block.hint("shuffle_hash"), own).select("doc_id", "text_hash", (F.col("block") * BLOCK).alias("_line"), "base", F.split("lines", MARK).alias("_l"), "_met")
+    starts = F.aggregate("_l", F.array(F.col("base")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x))))  # at most a block and a chunk
+    rows = rows.withColumn("_starts", starts).select("doc_id", "text_hash", "_line", "_l", "_starts", F.explode_outer("_met").alias("_m"))
+    at = F.floor(F.col("_m") / 2).cast("int")
+    rows = rows.select(
+        "doc_id", "text_hash", (F.col("_line") + at).alias("line"), F.get("_starts", at).alias("start"), (F.col("_m") % 2 == 1).alias("_own"),
+        F.octet_length(F.get("_l", at)).alias("_head"), F.array_join(F.slice("_l", at + 1, least_lines), "").alias("_text"),
     )
-    texts = written(texts, "chunk-texts")
+    rows = rows.select("doc_id", "text_hash", "line", "start", "_own", "_head", F.length("_text").alias("length"), F.rtrim(plain(F.col("_text"))).alias("chunk"))
+    texts = written(rows.withColumn("hash", F.xxhash64("chunk")), "chunk-texts")
     kept = texts.filter("_own").groupBy("hash").agg(F.min(F.struct("doc_id", "text_hash", "line", "start", "chunk")).alias("_k"))
     kept = kept.select("hash", F.col("_k.text_hash").alias("kept_text_hash"), F.col("_k.line").alias("kept_line"), F.col("_k.start").alias("kept_start"), F.col("_k.chunk").alias("kept_chunk"), F.col("_k.doc_id").alias("kept_doc_id"))
-    same = texts.drop("kept_doc_id", "_own").join(kept, "hash").withColumn("_own", F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("text_hash") == F.col("kept_text_hash")))
+    same = texts.drop("_own").join(written(kept, "kept"), "hash").withColumn("_own", F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("text_hash") == F.col("kept_text_hash")))
     same = same.filter((F.col("chunk") == F.col("kept_chunk")) & ~(F.col("_own") & (F.col("line") == F.col("kept_line"))))
     same = same.withColumn("_tail", F.octet_length("chunk") - F.col("_head")).drop("chunk", "kept_chunk")
     return stretches(same, least_lines, least_bytes)
