@@ -19,6 +19,9 @@ Of a passage that begins or ends within a line, the whole lines go; what repeats
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,11 @@ def plain(text: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.lit(" "))
 
 
+def ended(line: Column) -> Column:
+    """Whether a line has the blank or line break that ends it: all but the last of a text have."""
+    return reduce(or_, [F.endswith(line, F.lit(end)) for end in ENDS])
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and text of the rows with text: the first two name a document."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].alias("text")).filter("length(text) > 0")
@@ -131,9 +139,11 @@ def repeats(docs: DataFrame, least_lines: int = 2, least_bytes: int = 40) -> Dat
     at = F.floor(F.col("_m") / 2).cast("int")
     rows = rows.select(
         "doc_id", "text_hash", (F.col("_line") + at).alias("line"), F.get("_starts", at).alias("start"), (F.col("_m") % 2 == 1).alias("_own"),
-        F.octet_length(F.get("_l", at)).alias("_head"), F.array_join(F.slice("_l", at + 1, least_lines), "").alias("_text"),
+        F.octet_length(F.get("_l", at)).alias("_head"), F.array_join(F.slice("_l", at + 1, least_lines), "").alias("_text"), ended(F.get("_l", at + (least_lines - 1))).alias("_ended"),
     )
-    rows = rows.select("doc_id", "text_hash", "line", "start", "_own", "_head", F.length("_text").alias("length"), F.rtrim(plain(F.col("_text"))).alias("chunk"))
+    length = F.length("_text")
+    chunk = plain(F.left(F.col("_text"), length - F.col("_ended").cast("int")))  # equal for equal lines and no others
+    rows = rows.select("doc_id", "text_hash", "line", "start", "_own", "_head", length.alias("length"), chunk.alias("chunk"))
     texts = written(rows.withColumn("hash", F.xxhash64("chunk")), "chunk-texts")
     kept = texts.filter("_own").groupBy("hash").agg(F.min(F.struct("doc_id", "text_hash", "line", "start", "chunk")).alias("_k"))
     kept = kept.select("hash", F.col("_k.text_hash").alias("kept_text_hash"), F.col("_k.line").alias("kept_line"), F.col("_k.start").alias("kept_start"), F.col("_k.chunk").alias("kept_chunk"), F.col("_k.doc_id").alias("kept_doc_id"))
