@@ -265,6 +265,18 @@ SELECT * FROM u1 UNION ALL SELECT page_id, 'S-3.2', CASE WHEN gate <> '' THEN ga
 _PTU = page_type_sql(stems_of("url"))
 ORACLE["markup_opportunities"] = f"""WITH {ST}, o AS (SELECT site, coalesce(bool_or(contains(best, '["Organization","Brand"]')), false) AS org FROM gt GROUP BY site), m AS (SELECT gt.*, org, {_PTU} AS pt FROM gt JOIN o USING (site))
 {unit('S-3.4', 'gate', [("pt IN ('homepage', 'about') AND NOT org", 'MARKUP_OPPORTUNITY_ORGANIZATION'), ('''pt = 'article' AND NOT contains(best, '"@type":"Article"')''', 'MARKUP_OPPORTUNITY_ARTICLE'), ("pt = 'author'", 'MARKUP_OPPORTUNITY_PROFILE_PAGE')], 'm')}"""
+_ASK = "'REQUIRES VERIFIED VALUE: {}'"
+_HEAD_OF = f"""coalesce(nullif({text_sql("regexp_extract(best, '(?s)<h1>(.*?)</h1>', 1)")}, ''), nullif({text_sql("regexp_extract(best, '(?s)<title>(.*?)</title>', 1)")}, ''))"""
+ORACLE["markup_templates"] = f"""WITH {ST}, o AS (SELECT site, coalesce(bool_or(contains(best, '["Organization","Brand"]')), false) AS org FROM gt GROUP BY site),
+m AS (SELECT page_id, org, best, regexp_extract(url, '^https?://[^/]+') AS root, {_HEAD_OF} AS head, {_PTU} AS pt FROM gt JOIN o USING (site) WHERE best IS NOT NULL),
+w AS (SELECT page_id, CAST(CASE
+  WHEN pt IN ('homepage', 'about') AND NOT org THEN json_object('@context', 'https://schema.org', '@type', 'Organization', '@id', root || '/#organization', 'name', {_ASK.format('legal or brand name')}, 'url', root || '/',
+    'logo', {_ASK.format('absolute logo URL')}, 'sameAs', [{_ASK.format('official profile URLs')}])
+  WHEN pt = 'article' AND NOT contains(best, '"@type":"Article"') THEN json_object('@context', 'https://schema.org', '@type', 'Article', 'headline', coalesce(head, {_ASK.format('article headline')}),
+    'author', json_object('@type', 'Person', 'name', {_ASK.format('author name')}, 'url', {_ASK.format('author page URL')}), 'datePublished', {_ASK.format('ISO 8601 date')}, 'dateModified', {_ASK.format('ISO 8601 date')}, 'image', [{_ASK.format('image URL')}])
+  WHEN pt = 'author' THEN json_object('@context', 'https://schema.org', '@type', 'ProfilePage', 'mainEntity', json_object('@type', 'Person', 'name', coalesce(head, {_ASK.format('person name')}), 'description', {_ASK.format('byline or credential')}))
+ END AS VARCHAR) AS template FROM m)
+SELECT page_id, template FROM w WHERE template IS NOT NULL"""
 ORACLE["mixed_content"] = f"""WITH {ST}, m AS (SELECT *, contains(dom, '<script src="http://') OR contains(dom, '<link rel="stylesheet" href="http://') AS act, contains(dom, '<img src="http://') AS pas FROM gt)
 {unit('T-8.2', "CASE WHEN gate <> '' THEN gate WHEN NOT ren_valid THEN 'NOT_TESTABLE' ELSE '' END", [('act', 'MIXED_ACTIVE_CONTENT'), ('NOT act AND pas', 'MIXED_PASSIVE_CONTENT')], 'm')}"""
 ORACLE["security_headers"] = f"""WITH {CRAWL}, f AS (SELECT site, min(page_id) FILTER (acquisition = 'OK' AND status = 200) AS p FROM crawl GROUP BY site)
