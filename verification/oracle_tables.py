@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from crawlscope.plans import catalog_tables as CT
 from verification.oracle import ORACLE, SITE_SQL, TOKENS, UNITS, text_sql
-from verification.oracle_crawl import _SM, EXCL, LINKS, PROBES, ROBOTS, ST
+from verification.oracle_crawl import _SM, CANON, EXCL, LINKS, PROBES, ROBOTS, ST, unit
 
 ORACLE["header_names"] = f"""
 WITH h AS ({CT.HEADERS_SQL.replace('AS STRING', 'AS VARCHAR')}), e AS (SELECT page_id, 1 AS k, lower(name_a) AS name, value_a AS v FROM h UNION ALL SELECT page_id, 2, lower(name_b), value_b FROM h)
@@ -72,6 +72,21 @@ SELECT DISTINCT d.page_id, d.url FROM dom_edge d JOIN gt ON gt.page_id = d.page_
 """
 
 
+def signals_sql(source: str) -> str:
+    """Title, first h1, first canonical and types of a derived document as one list; its robots tags are the same in both profiles."""
+    types = f"array_to_string(list_sort(list_distinct(regexp_extract_all({source}, '\"@type\":\"([^\"]*)\"', 1))), ',')"
+    return f"[{text_sql(f"regexp_extract({source}, '(?s)<title>(.*?)</title>', 1)")}, {text_sql(f"regexp_extract({source}, '(?s)<h1>(.*?)</h1>', 1)")}, coalesce({CANON.format(source)}[1], ''), {types}]"
+
+
+ORACLE["raw_rendered_check"] = f"""
+WITH {ST}, raw_edge AS (SELECT DISTINCT * FROM (WITH {LINKS} SELECT page_id, url FROM edge WHERE crawlable)), dom_edge AS (SELECT DISTINCT * FROM (WITH {_DOM_LINKS} SELECT page_id, url FROM edge WHERE internal AND zone IN ('nav', 'main'))),
+n AS (SELECT d.page_id, count(*) AS n, count(*) FILTER (r.url IS NULL) AS gone FROM dom_edge d LEFT JOIN raw_edge r ON r.page_id = d.page_id AND r.url = d.url GROUP BY d.page_id),
+m AS (SELECT gt.*, coalesce(n.n, 0) AS n, coalesce(gone, 0) AS gone, {signals_sql('html')} <> {signals_sql('dom')} AS differs FROM gt LEFT JOIN n ON n.page_id = gt.page_id)
+{unit('A-5.2', "CASE WHEN pair_gate <> '' THEN 'NOT_TESTABLE' WHEN n = 0 THEN 'NOT_APPLICABLE' ELSE '' END", [('gone >= 3 AND 2 * gone > n', 'IMPORTANT_LINKS_REQUIRE_RENDERING')], 'm')}
+UNION ALL {unit('A-5.5', "CASE WHEN pair_gate <> '' THEN 'NOT_TESTABLE' ELSE '' END", [('differs', 'SIGNALS_DIFFER_AFTER_RENDERING')], 'm')}
+"""
+
+
 def words_sql(source: str) -> str:
     bare = f"regexp_replace(regexp_replace(regexp_replace({source}, '(?s)<!--.*?-->', '', 'g'), '(?s)^.*?<body>', ''), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
     return f"len(list_filter(string_split({text_sql(bare)}, ' '), lambda w: w <> ''))"
