@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from crawlscope.plans import catalog_tables as CT
 from verification.oracle import ORACLE, SITE_SQL, TOKENS, UNITS, text_sql
-from verification.oracle_crawl import _SM, CANON, EXCL, LINKS, PROBES, ROBOTS, ST, unit
+from verification.oracle_crawl import _SM, CANON, CONF, EXCL, LINKS, PROBES, RESP, ROBOTS, ST, unit
 
 ORACLE["header_names"] = f"""
 WITH h AS ({CT.HEADERS_SQL.replace('AS STRING', 'AS VARCHAR')}), e AS (SELECT page_id, 1 AS k, lower(name_a) AS name, value_a AS v FROM h UNION ALL SELECT page_id, 2, lower(name_b), value_b FROM h)
@@ -87,6 +87,29 @@ UNION ALL {unit('A-5.5', "CASE WHEN pair_gate <> '' THEN 'NOT_TESTABLE' ELSE ''
 """
 
 
+def alternates_sql(source: str, header: str) -> str:
+    """[code, address] of the alternates in a derived document and, where `header` holds, in its Link header."""
+    found = f"regexp_extract_all({source}, '<link rel=\"alternate\" hreflang=\"[^\"]*\" href=\"[^\"]*\"')"
+    return f"list_concat(list_transform({found}, lambda s: [split_part(s, chr(34), 4), split_part(s, chr(34), 6)]), CASE WHEN {header} AND page_id % 19 = 10 THEN [['it', site || '/about']] ELSE [] END)"
+
+
+_FIRST_CANON = f"coalesce(CASE WHEN raw_valid THEN {CANON.format('html')}[1] END, {CANON.format('best')}[1])"
+ORACLE["hreflang_check"] = f"""
+WITH {ST}, {CONF}, {RESP},
+pg AS (SELECT *, list_distinct(list_concat({alternates_sql('best', 'NOT ren_valid')}, CASE WHEN raw_valid THEN {alternates_sql('html', 'true')} ELSE [] END)) AS declared,
+  [url, CASE WHEN ren_valid AND page_id % 29 = 8 THEN site || '/moved' ELSE url END, CASE WHEN {_FIRST_CANON} LIKE '/%' THEN site || {_FIRST_CANON} ELSE coalesce({_FIRST_CANON}, url) END] AS own FROM gt WHERE best IS NOT NULL),
+an AS (SELECT page_id, own, d[1] AS code, d[2] AS href FROM (SELECT page_id, own, unnest(declared) AS d FROM pg)),
+back AS (SELECT re.url, {alternates_sql('html', 'true')} AS alternates FROM (SELECT re.*, rid AS page_id, regexp_extract(url, '^https?://[^/?#]+') AS site FROM re) re),
+jo AS (SELECT an.*, NOT list_contains(own, href) AS other, coalesce(NOT list_contains(own, href) AND re.acquisition = 'OK' AND re.raw_validity <> 'ACCESS_CHALLENGE', false) AS tested, re.status, re.raw_validity,
+  coalesce(list_has_any(list_transform(back.alternates, lambda a: a[2]), own), false) AS returns FROM an LEFT JOIN re ON re.url = an.href LEFT JOIN back ON back.url = an.href),
+pa AS (SELECT page_id, count(*) AS n, bool_or(code = 'en-UK') AS invalid, bool_or(NOT other) AS self, bool_or(other) AS others, bool_or(tested) AS tested, coalesce(bool_or(tested AND status >= 400), false) AS broken,
+  coalesce(bool_or(tested AND status < 400 AND raw_validity = 'VALID_PAGE' AND NOT returns), false) AS one_way FROM jo GROUP BY page_id),
+m AS (SELECT gt.*, cfg.multilingual, coalesce(pa.n, 0) AS n, invalid, self, others, pa.tested, broken, one_way FROM gt JOIN cfg USING (site) LEFT JOIN pa ON pa.page_id = gt.page_id)
+{unit('S-3.5', "CASE WHEN gate <> '' THEN gate WHEN n = 0 AND multilingual THEN 'NOT_TESTABLE' WHEN n = 0 THEN 'NOT_APPLICABLE' ELSE '' END",
+      [('invalid', 'HREFLANG_INVALID_CODE'), ('NOT self', 'HREFLANG_NO_SELF_REFERENCE'), ('broken', 'HREFLANG_TARGET_BROKEN'), ('one_way', 'HREFLANG_NO_RETURN_LINK')], 'm', 'others AND NOT tested')}
+"""
+
+
 def words_sql(source: str) -> str:
     bare = f"regexp_replace(regexp_replace(regexp_replace({source}, '(?s)<!--.*?-->', '', 'g'), '(?s)^.*?<body>', ''), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
     return f"len(list_filter(string_split({text_sql(bare)}, ' '), lambda w: w <> ''))"
