@@ -29,6 +29,8 @@ CHALLENGE_TAGS = {
     "imperva": r"""(?i)^<(?:script|iframe)\b[^>]*\ssrc\s*=\s*["']?[^"'>]*_Incapsula_Resource""",
     "captcha form": r"""(?i)^<form\b[^>]*(\sid\s*=\s*["']?captcha-form["'\s>]|\saction\s*=\s*["']?[^"'>]*(captcha|/challenge))""",
 }
+# Every pattern above needs one of these words; a document without them has no such tag. The first letters stand apart, so most places fail at once.
+CHALLENGE_WORDS = r"[cCsS_](?i:hallenge|aptcha|f-please-wait|f-turnstile|ec-if-cpt|ec-cpt-if|incapsula_resource)"
 CHALLENGE_PHRASES = (
     r"(?i)just a moment|checking your browser|verify(ing)? (that )?you are (a )?human|attention required|pardon our interruption|"
     r"security check|are you a robot|unusual traffic|enable javascript and cookies to continue|bot verification|"
@@ -48,23 +50,20 @@ def looks_truncated(source: Column) -> Column:
     return let(F.regexp_replace(source, r"^\s+|\s+$", ""), test)
 
 
-def shape(source: Column) -> Column:
-    """Struct(title, text, words, links, chrome, structure) of a document."""
-    plain = M.without_comments(source)
+def _on_interstitial(plain: Column) -> Column:
+    """True when a document without comments is short and bare and its title or opening words are those of a challenge.
 
-    def build(p: Column) -> Column:
-        body = F.regexp_replace(p, r"(?is)^.*?(?=<body[\s>])", "")
-        for name in ("script", "style", "noscript", "template", "title"):
-            body = F.regexp_replace(body, rf"(?is)<{name}\b.*?</{name}\s*>", "")
-        return let(inner_text(body), lambda text: F.struct(
-            F.get(M.titles_of(p), F.lit(0)).alias("title"),
-            text.alias("text"),
-            word_count(text).alias("words"),
-            F.size(F.regexp_extract_all(p, F.lit(r"(?i)<a\s[^>]*?\bhref\b"), F.lit(0))).alias("links"),
-            p.rlike(r"(?i)<(nav|main|article|footer)[\s>]").alias("chrome"),
-        ))
-
-    return let(plain, build)
+    The tests stand in the order of their cost: an ordinary page leaves at its first landmark, and only bare pages have their text read.
+    """
+    body = F.regexp_replace(plain, r"(?is)^.*?(?=<body[\s>])", "")
+    for name in ("script", "style", "noscript", "template", "title"):
+        body = F.regexp_replace(body, rf"(?is)<{name}\b.*?</{name}\s*>", "")
+    return (
+        ~plain.rlike(r"(?i)<(nav|main|article|footer)[\s>]")
+        & (F.size(F.regexp_extract_all(plain, F.lit(r"(?i)<a\s[^>]*?\bhref\b"), F.lit(0))) <= 4)
+        & let(inner_text(body), lambda text: (word_count(text) < 120) & (
+            F.coalesce(F.get(M.titles_of(plain), F.lit(0)).rlike(CHALLENGE_PHRASES), F.lit(False)) | F.substring(text, 1, 1500).rlike(CHALLENGE_PHRASES)))
+    )
 
 
 def challenge_evidence(source: Column, headers: Column | None) -> Column:
@@ -72,17 +71,16 @@ def challenge_evidence(source: Column, headers: Column | None) -> Column:
     by_header = [] if headers is None else [
         (F.coalesce(F.element_at(headers, name).rlike(pattern), F.lit(False)), F.lit(name)) for name, pattern in CHALLENGE_HEADERS.items()
     ]
-    markup = M.without_scripts(M.without_comments(F.coalesce(source, F.lit(""))))
 
     def strong(tags: Column) -> Column:
         return when_array(*by_header, *[(F.exists(tags, lambda t: t.rlike(pattern)), F.lit(label)) for label, pattern in CHALLENGE_TAGS.items()])
 
-    def with_shape(signals: Column) -> Column:
-        wording = let(shape(source), lambda s: (s["words"] < 120) & (s["links"] <= 4) & ~s["chrome"] & (
-            F.coalesce(s["title"].rlike(CHALLENGE_PHRASES), F.lit(False)) | F.substring(s["text"], 1, 1500).rlike(CHALLENGE_PHRASES)))
-        return F.when(F.size(signals) > 0, signals).when(F.coalesce(wording, F.lit(False)), F.array(F.lit("wording on an interstitial"))).otherwise(signals)
+    def found(plain: Column) -> Column:
+        tags = F.when(plain.rlike(CHALLENGE_WORDS), M.tags_of(M.without_scripts(plain))).otherwise(F.array().cast("array<string>"))
+        return let(let(tags, strong), lambda signals: F.when(F.size(signals) > 0, signals)
+                   .when(F.coalesce(_on_interstitial(plain), F.lit(False)), F.array(F.lit("wording on an interstitial"))).otherwise(signals))
 
-    return let(let(M.tags_of(markup), strong), with_shape)
+    return let(M.without_comments(F.coalesce(source, F.lit(""))), found)
 
 
 def validity(

@@ -14,7 +14,7 @@ from crawlscope.plans import audit
 from crawlscope.plans.catalog import crawl_states, query
 from crawlscope.plans.catalog_crawl import crawl_edges, probes, site_rows
 from crawlscope.plans.catalog_results import recorded_units
-from crawlscope.session import shared_checkpoint_dir
+from crawlscope.session import cut, shared_checkpoint_dir
 from crawlscope.sources import decoding, sinks
 from crawlscope.sources import derived as D
 from crawlscope.sources.tables import read_pages, read_table
@@ -73,6 +73,8 @@ def llms_check(spark, root):
 def stopped_runs(spark, root):
     """AGG-17, FLT-9 with stopped and cancelled runs, pages blocked by robots and restricted ones."""
     states = crawl_states(spark, root).withColumn("state", F.when(F.col("page_id") % 9 == 2, F.lit("BLOCKED")).otherwise(F.col("state")))
+    # Three tables are made of the states, so they are found once and written out.
+    states = cut(states.select("site", "page_id", "acquisition", "dom_acquisition", "state"), "states")
     cover = R.coverage(states)
     n = F.col("_first") % 7
     sites = states.groupBy("site").agg(F.min("page_id").alias("_first"))
