@@ -80,7 +80,9 @@ def usable_edges(links: DataFrame, cap: int = B["max_links_per_document"]) -> Da
 
 def merge_candidates(found: DataFrame) -> DataFrame:
     """One row per site and URL: best zone, first non-empty text, smallest depth, profiles it was seen in."""
-    first = F.struct("depth", F.when(F.col("profile") == "RAW", 0).otherwise(1), "from_key", "pos")
+    # A document recorded several times has several links at one place; the smallest page is the first.
+    tie = ["page_id"] if "page_id" in found.columns else []
+    first = F.struct("depth", F.when(F.col("profile") == "RAW", 0).otherwise(1), "from_key", "pos", *tie)
     merged = found.groupBy("site", "url").agg(
         F.min("zone_rank").alias("zone_rank"), F.min_by(F.nullif("text", F.lit("")), F.when(F.col("text") != "", first)).alias("text"),
         F.min("depth").alias("depth"), F.bool_or(F.col("profile") == "RAW").alias("in_raw"), F.bool_or(F.col("profile") == "RENDERED").alias("in_rendered"),

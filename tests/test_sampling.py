@@ -78,3 +78,10 @@ def test_registrable_domain_is_a_projection(spark):
     assert {r.host: r.registrable for r in out.collect()} == want and out.count() == 2 * len(want)
     with pytest.raises(ValueError):
         discovery.with_registrable(hosts, spark.range(20).select(P.concat(P.lit("s"), "id").alias("suffix")), most=10)
+
+
+def test_text_of_a_place_recorded_twice_is_that_of_the_smallest_page(spark):
+    row = lambda page, text: ("s", "https://s.example/x", page, "https://s.example/", 3, text, 1, 1, "RAW")
+    for pages in ([7, 2, 5], [5, 7, 2], [2, 5, 7]):
+        rows = spark.createDataFrame([row(p, f"text {p}") for p in pages], "site string, url string, page_id bigint, from_key string, pos int, text string, zone_rank int, depth int, profile string").coalesce(1)
+        assert discovery.merge_candidates(rows).first().text == "text 2"
