@@ -95,8 +95,8 @@ def titles_of(markup: Column) -> Column:
 
 def pieces_from(markup: Column, opener: str) -> Column:
     """The source cut so that each piece starts at an opening tag matched by `opener`."""
-    parts = F.split(markup, rf"(?i)(?=<(?:{opener})[\s>])")
-    return F.slice(F.when(markup.rlike(rf"(?i)^<(?:{opener})[\s>]"), F.concat(F.array(F.lit("")), parts)).otherwise(parts), 2, F.size(parts) + 1)
+    cut = F.split(markup, rf"(?i)(?=<(?:{opener})[\s>])")
+    return let(cut, lambda parts: F.slice(F.when(markup.rlike(rf"(?i)^<(?:{opener})[\s>]"), F.concat(F.array(F.lit("")), parts)).otherwise(parts), F.lit(2), F.size(parts) + 1))
 
 
 _NAMES = ", ".join(f"'{n}'" for n in LANDMARKS)

@@ -9,7 +9,9 @@ from crawlscope.functions.sql import F
 # Characters that count as blanks besides ASCII whitespace.
 BLANKS = "[ ​‌‍﻿]"
 # Whitespace as the HTML world sees it (Java's \s is ASCII only).
-SPACE = r"[\s   -     　﻿]+"
+#: Most characters are printable ASCII, which the first half of each class turns away at once.
+SPACE = r"[[^!-~]&&[\s   -     　﻿]]+"
+ANY_BLANK = f"[[^!-~]&&[{BLANKS}{SPACE[:-1]}]]+"
 
 # Named character references that occur in ordinary copy; &amp; is decoded last.
 ENTITIES = {
@@ -23,7 +25,7 @@ ENTITIES = {
 
 def norm(s: Column) -> Column:
     """Collapse all runs of whitespace and invisible blanks to one space and trim."""
-    return F.trim(F.regexp_replace(F.regexp_replace(s, BLANKS, " "), SPACE, " "))
+    return F.trim(F.regexp_replace(s, ANY_BLANK, " "))
 
 
 def truncate(s: Column, n: int) -> Column:

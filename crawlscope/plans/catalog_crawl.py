@@ -396,9 +396,14 @@ def profile_comparison(spark, root):
     """AGG-29: words and links per profile, side by side."""
     from crawlscope.functions.text import word_count
 
-    rows = crawl_pages(spark, root, "links", "visible_text")
+    only = ("links", "visible_text")
+    # A document that is not genuine is not compared, so it is not read.
+    rows = crawl_states(spark, root).withColumns({
+        "html": F.when(F.col("raw_valid"), F.col("html")), "dom": F.when(F.col("ren_valid"), F.col("dom")), "_raw_url": F.coalesce("final_url", "url"), "_dom_url": F.coalesce("dom_url", "url"),
+    }).select("site", "page_id", "raw_valid", "ren_valid", "html", "dom", "_raw_url", "_dom_url")
+    rows = X.extract_into(X.extract_into(rows, "raw_facts", "html", "_raw_url", None, only), "dom_facts", "dom", "_dom_url", None, only)
     side = lambda p, ok: F.when(F.col(ok), F.struct(F.lit(p).alias("profile"), word_count(F.col(f"{p}_facts")["visible_text"]).alias("words"), F.size(F.col(f"{p}_facts")["links"]).alias("n_links")))
-    long = rows.select("site", "page_id", F.explode(F.filter(F.array(side("raw", "raw_valid"), side("dom", "ren_valid")), lambda x: x.isNotNull())).alias("x")).select("site", "page_id", "x.*")
+    long = each(rows, ["site", "page_id"], F.array(side("raw", "raw_valid"), side("dom", "ren_valid")), "x").select("site", "page_id", "x.*")
     return long.groupBy("site", "page_id").pivot("profile", ["raw", "dom"]).agg(F.max("words").alias("words"), F.max("n_links").alias("links")).na.fill(-1)
 
 

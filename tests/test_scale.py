@@ -1,7 +1,7 @@
 """What keeps the cost of a query with its input: one evaluation per document."""
 
 from crawlscope.operators import gates
-from crawlscope.plans import catalog_tables
+from crawlscope.plans import catalog_crawl, catalog_tables
 from pyspark.sql import functions as P
 
 ROOT = "/root/testdata/sf0.001"
@@ -25,3 +25,8 @@ def test_challenge_signals_keep_their_rules(spark):
     df = spark.createDataFrame(rows, "name string, html string")
     found = {r.name: r.n for r in df.select("name", P.size(gates.challenge_evidence(P.col("html"), None)).alias("n")).collect()}
     assert found == {"tag": 1, "split": 1, "form": 1, "word": 1, "chrome": 0, "script": 0, "links": 0, "text": 1, "long": 0, "none": 0}
+
+
+def test_each_profile_is_read_once_for_the_comparison(spark):
+    text = plan(catalog_crawl.profile_comparison(spark, ROOT))
+    assert "Filter ((size(filter(" not in text and "raw_facts" not in text.split("Generate")[0]
