@@ -116,8 +116,8 @@ def index(spark, root):
     return cut(L.response_index(X.extract_into(crawl_states(spark, root), "raw_facts", "html", "url", "headers", ("title", "hreflang"))), "responses")
 
 
-def sampled(spark, root):
-    """(sample, verified candidates): links of both profiles, nothing that the auditor may not fetch, and only pages with a genuine record."""
+def candidates(spark, root):
+    """(homepages, verified candidates): links of both profiles, nothing that the auditor may not fetch, and only pages with a genuine record."""
     homes = D.crawl(spark, root).filter(F.col("url") == F.concat("site", F.lit("/"))).select("site", U.fetch_key(F.col("url")).alias("home_key")).distinct()
     responses = index(spark, root)
     policies = cut(RB.policies(D.derived(spark, root, D.ROBOTS_SQL)), "policies")
@@ -128,13 +128,18 @@ def sampled(spark, root):
     blocked = gate(edges.select("site", "url").distinct()).filter("robots_auditor = 'DISALLOW'")
     found = cut(DISC.expand(edges, homes, cut(blocked.select("site", "url"), "blocked")), "found")
     capped = cut(gate(DISC.cap_query_variants(DISC.with_fallback(found, responses, homes))), "capped")
-    checked = cut(DISC.verify(DISC.signatures(capped), responses, homes.select("site", F.col("home_key").alias("url"))), "candidates")
+    return homes, cut(DISC.verify(DISC.signatures(capped), responses, homes.select("site", F.col("home_key").alias("url"))), "candidates")
+
+
+def sampled(spark, root):
+    """(sample, verified candidates)."""
+    homes, checked = candidates(spark, root)
     return DISC.sample(checked, homes), checked
 
 
 @query
 def candidate_verification(spark, root):
-    _, checked = sampled(spark, root)
+    _, checked = candidates(spark, root)
     return checked.select("site", "url", "verification", "final_key", "signature")
 
 
