@@ -323,6 +323,13 @@ def best_pages(spark, root, *only):
     return PC.with_best(PC.with_defaults(crawl_pages(spark, root, *only)))
 
 
+def best_documents(spark, root, *only):
+    """`best_pages` for rules that look at the best document alone: no other is read."""
+    rows = PC.with_best(PC.with_defaults(crawl_states(spark, root).withColumns({"raw_facts": F.col("html"), "dom_facts": F.col("dom")}))).withColumnRenamed("best", "_html")
+    rows = X.extract_into(rows.drop("html", "dom", "raw_facts", "dom_facts"), "_facts", "_html", "best_url", None, only)
+    return rows.withColumn("best", F.when(F.col("best_profile").isNotNull(), F.col("_facts"))).drop("_html", "_facts")
+
+
 @query
 def onpage_checks(spark, root):
     rows = best_pages(spark, root, "title", "meta_description", "h1", "headings", "viewport", "landmarks").withColumn("nodes", F.lit(None))
@@ -451,19 +458,23 @@ def jsonld_nodes(spark, root):
 @query
 def jsonld_checks(spark, root):
     """S-3.1 and S-3.2 from JSON-LD."""
-    return units(PC.with_nodes(best_pages(spark, root, "json_ld")), PC.check_markup_syntax, PC.check_features)
+    return units(PC.with_nodes(best_documents(spark, root, "json_ld")), PC.check_markup_syntax, PC.check_features)
+
+
+def marked_up_pages(spark, root):
+    return cut(PC.with_nodes(best_documents(spark, root, "json_ld", "title", "h1")), "pages")
 
 
 @query
 def markup_opportunities(spark, root):
-    rows = cut(PC.with_nodes(best_pages(spark, root, "json_ld", "title", "h1")), "pages")
+    rows = marked_up_pages(spark, root)
     marked = join_on_hot_key(rows.drop("site_has_org"), S.sites_with_organisation(rows), ["site"], ["page_id"]).withColumn("page_type", U.page_type(F.col("url")))
     return units(marked, PC.check_opportunity)
 
 
 @query
 def markup_templates(spark, root):
-    rows = cut(PC.with_nodes(best_pages(spark, root, "json_ld", "title", "h1")), "pages")
+    rows = marked_up_pages(spark, root)
     rows = join_on_hot_key(rows.drop("site_has_org"), S.sites_with_organisation(rows), ["site"], ["page_id"]).withColumn("page_type", U.page_type(F.col("url")))
     return rows.filter("best IS NOT NULL").select("page_id", PC.markup_template().alias("template")).filter("template IS NOT NULL")
 
