@@ -110,8 +110,8 @@ def prepared_pages(inputs: Inputs) -> DataFrame:
     return cut(join_on_hot_key(ready.drop("site_has_org"), organisations, ["site"], ["page_id"], "left", hot), "pages")
 
 
-def site_units(pages: DataFrame, inputs: Inputs) -> DataFrame:
-    """Units of SITE and SAMPLE rules."""
+def site_units(pages: DataFrame, inputs: Inputs, blocked: DataFrame | None = None) -> DataFrame:
+    """Units of SITE and SAMPLE rules. `blocked`: rows of `blocked_links`, if they are at hand."""
     sites = pages.select("site").distinct()
     best = pages.filter("best IS NOT NULL")
     values = best.select("site", "page_id", "best.title", "best.meta_description")
@@ -132,7 +132,7 @@ def site_units(pages: DataFrame, inputs: Inputs) -> DataFrame:
             units.append(site_checks.sitemap(sites, robots.policies(inputs.robots_files), inputs.probes))
     if inputs.field is not None:
         units.append(site_checks.origin_vitals(inputs.field, sites))
-    units.append(site_checks.blocked_links(sites, blocked_counts(best, inputs)))
+    units.append(site_checks.blocked_links(sites, (blocked if blocked is not None else blocked_pages_links(pages, inputs)).groupBy("site").agg(P.count(P.lit(1)).alias("n_blocked"))))
     out = units[0]
     for u in units[1:]:
         out = out.unionByName(u)
@@ -155,14 +155,13 @@ def blocked_links(found: DataFrame, policies: DataFrame | None) -> DataFrame:
     kept = found.filter("crawlable AND internal").select("site", P.col("url")).distinct().filter(exclusion_reason(F.col("url")).isNull())
     if policies is None:
         return kept.filter("false").withColumn("rule", P.lit(None).cast("string"))
-    decided = robots.decisions(kept, policies, ["Googlebot"], ("site", "url"))
+    decided = robots.decisions(cut(kept, "targets"), policies, ["Googlebot"], ("site", "url"))  # read several times
     return decided.select("site", "url", P.col("decisions")["Googlebot"].alias("_d")).filter("_d.decision = 'DISALLOW'").select("site", "url", "_d.rule")
 
 
-def blocked_counts(best: DataFrame, inputs: Inputs) -> DataFrame:
-    """Blocked links per site."""
-    policies = None if inputs.robots_files is None else robots.policies(inputs.robots_files)
-    return blocked_links(lookups.link_rows(best), policies).groupBy("site").agg(P.count(P.lit(1)).alias("n_blocked"))
+def blocked_pages_links(pages: DataFrame, inputs: Inputs) -> DataFrame:
+    """Blocked links of the best documents."""
+    return blocked_links(lookups.link_rows(pages.filter("best IS NOT NULL")), None if inputs.robots_files is None else robots.policies(inputs.robots_files))
 
 
 #: Site rules that hang on records a site may lack.
@@ -190,7 +189,8 @@ def run_audit(spark: SparkSession, inputs: Inputs, watch: Observation | None = N
     rules, reasons, categories = results.registry_tables(spark)
     pages = prepared_pages(inputs)
     by_page = cut(page_checks.evaluate(pages), "page-units")
-    every = by_page.unionByName(eligibility_units(by_page, pages)).unionByName(site_units(pages, inputs))
+    blocked = cut(blocked_pages_links(pages, inputs), "blocked")
+    every = by_page.unionByName(eligibility_units(by_page, pages)).unionByName(site_units(pages, inputs, blocked))
     units = cut(results.guarded(every, rules, reasons, registry.sources(spark), watch), "units")
     found = cut(results.findings_of(units, reasons, rules), "findings")
     affected = cut(affected_pages(pages), "affected")
@@ -204,7 +204,7 @@ def run_audit(spark: SparkSession, inputs: Inputs, watch: Observation | None = N
         "root_issues": issues, "issue_pages": results.issue_pages(found, affected), "related_issues": results.related_issues(found, issues, affected), "check_scores": per_check, "category_scores": per_category,
         "scores": results.site_scores(per_category, cover.select("site", "valid")), "coverage": cover, "run_quality": results.run_quality(cover), "severity_counts": counts,
         "top_issues": results.top_issues(issues), "action_plan": results.action_plan(issues), "strengths": results.strengths(units), "narrative": results.narrative(cover, counts),
-        "blocked_links": blocked_links(lookups.link_rows(pages.filter("best IS NOT NULL")), None if inputs.robots_files is None else robots.policies(inputs.robots_files)),
+        "blocked_links": blocked,
         "omitted_checks": results.omitted(units), "quarantine": units.filter("note IS NOT NULL").select("site", "page_id", "check_id", "note"),
         "violations": results.contract_violations(found, reasons, registry.sources(spark)),
     }
