@@ -28,6 +28,14 @@ def build_session(app: str = "crawlscope", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def small_batches(rows: int) -> None:
+    """Set Arrow batches to at most `rows` rows for the session, if they are larger: a Python worker holds a whole batch, so its memory must not hang on the size of a partition."""
+    spark, key = SparkSession.active(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def shared_checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a folder of our own only in a local session that names none.
 
