@@ -109,6 +109,8 @@ _OWN_ZONE = "CASE " + " ".join(f"WHEN role = '{r}' THEN '{z}'" for r, z in LANDM
 _ZONES = sorted(set(LANDMARKS.values()))
 #: Tags that are folded together.
 _BLOCK = 256
+#: Links and headings that open, landmarks that open or close.
+_CONTEXT_TAGS = rf"(?i)^<(?:(?:a|h[1-6])|/?(?:{'|'.join(LANDMARKS)}))(?![a-z0-9])"
 
 
 def contexts_of(tags: Column) -> Column:
@@ -119,8 +121,11 @@ def contexts_of(tags: Column) -> Column:
     its segment by halving. A fold copies its state at every step, so tags are folded in blocks and only whole blocks of digits are put together:
     the work grows with the tags.
     """
+    # Only names that carry a mark on this page, landmarks, links and headings matter; their order is all that is asked of their places.
+    marks = F.array_distinct(F.transform(F.filter(tags, lambda t: t.rlike(rf"(?i)\s(?:role\s*=|{HIDDEN_MARK}[\s=>/])")), tag_name))
+    kept = let(marks, lambda m: F.filter(tags, lambda t: t.rlike(_CONTEXT_TAGS) | ((F.size(m) > 0) & F.array_contains(m, tag_name(t)))))
     entries = F.transform(
-        tags,
+        kept,
         lambda t, i: F.struct(
             tag_name(t).alias("name"),
             t.startswith("</").alias("closing"),

@@ -150,28 +150,43 @@ def url_hash(u: Column) -> Column:
     return F.substring(F.sha1(fetch_key(u)), 1, 10)
 
 
+def _joined(h: Column, b: Column) -> Column:
+    """A relative reference put after the parts of its base."""
+    root = F.concat(b["scheme"], F.lit("://"), b["host"], F.when(b["port"] != "", F.concat(F.lit(":"), b["port"])).otherwise(F.lit("")))
+    return choose(
+        (h.rlike(r"^[/\\]{2}"), F.concat(b["scheme"], F.lit(":"), h)),
+        (h.rlike(r"^[/\\]"), F.concat(root, h)),
+        (h.startswith("?"), F.concat(root, b["path"], h)),
+        (h.startswith("#") | (h == ""), F.concat(root, b["path"], b["query"])),
+        default=F.concat(root, F.regexp_replace(b["path"], r"[^/]*$", ""), h),
+    )
+
+
+_OTHER_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
+
+
 def resolve(href: Column, base: Column) -> Column:
     """Absolute form of `href` against `base`, fragment dropped. Other schemes come back as written, junk as NULL."""
-    cleaned = F.regexp_replace(F.trim(href), r"[\t\r\n]", "")
 
     def build(h: Column) -> Column:
-        def joined(b: Column) -> Column:
-            root = F.concat(b["scheme"], F.lit("://"), b["host"], F.when(b["port"] != "", F.concat(F.lit(":"), b["port"])).otherwise(F.lit("")))
-            return choose(
-                (h.rlike(r"^[/\\]{2}"), F.concat(b["scheme"], F.lit(":"), h)),
-                (h.rlike(r"^[/\\]"), F.concat(root, h)),
-                (h.startswith("?"), F.concat(root, b["path"], h)),
-                (h.startswith("#") | (h == ""), F.concat(root, b["path"], b["query"])),
-                default=F.concat(root, F.regexp_replace(b["path"], r"[^/]*$", ""), h),
-            )
-
         return choose(
             (h.rlike(r"(?i)^https?:"), fetch_key(h)),
-            (h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h),
-            default=fetch_key(let(url_parts(base), joined)),
+            (h.rlike(_OTHER_SCHEME), h),
+            default=fetch_key(let(url_parts(base), lambda b: _joined(h, b))),
         )
 
-    return let(cleaned, build)
+    return let(F.regexp_replace(F.trim(href), r"[\t\r\n]", ""), build)
+
+
+def resolve_with_host(href: Column, base_parts: Column) -> Column:
+    """Struct(url, host): `resolve` against a base given by its parts, and the host of the result; for many references of one document."""
+
+    def build(h: Column) -> Column:
+        absolute = F.when(h.rlike(r"(?i)^https?:"), h).when(~h.rlike(_OTHER_SCHEME), _joined(h, base_parts))
+        return let(url_parts(absolute), lambda p: F.struct(
+            F.when(p.isNotNull(), _serialise(p)).when(h.rlike(_OTHER_SCHEME) & ~h.rlike(r"(?i)^https?:"), h).alias("url"), p["host"].alias("host")))
+
+    return let(F.regexp_replace(F.trim(href), r"[\t\r\n]", ""), build)
 
 
 def resolve_http(href: Column, base: Column) -> Column:

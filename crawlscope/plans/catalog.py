@@ -137,7 +137,12 @@ def crawl_facts(spark, root, *only):
 
 
 def crawl_pages(spark, root, *only):
-    """RAW and RENDERED facts with states, each resolved against the address where its profile ended; no html behind this point."""
+    """RAW and RENDERED facts of the genuine documents with states, each resolved against the address where its profile ended; no html behind this point."""
+    return X.extract_profiles(X.genuine_documents(crawl_states(spark, root)), only)
+
+
+def recorded_pages(spark, root, *only):
+    """`crawl_pages` with facts of every recorded document, error pages and challenges too."""
     rows = crawl_states(spark, root).withColumns({"_raw_url": F.coalesce("final_url", "url"), "_dom_url": F.coalesce("dom_url", "url")})
     rows = X.extract_into(rows, "raw_facts", "html", "_raw_url", "headers", only)
     return X.extract_into(rows, "dom_facts", "dom", "_dom_url", None, only).drop("html", "dom", "_raw_url", "_dom_url")

@@ -20,7 +20,7 @@ from crawlscope.operators import robots as RB
 from crawlscope.operators import site_checks as S
 from crawlscope.operators import structured as SD
 from crawlscope.operators.skew import join_on_hot_key
-from crawlscope.plans.catalog import crawl_facts, crawl_pages, crawl_states, given_facts, joined, query, sample_urls
+from crawlscope.plans.catalog import crawl_facts, crawl_pages, crawl_states, given_facts, joined, query, recorded_pages, sample_urls
 from crawlscope.session import cut
 from crawlscope.sources import derived as D
 from crawlscope.sources import field
@@ -634,7 +634,7 @@ def reaudit_plan(spark, root):
 
 
 def tree_facts(spark, root):
-    return read_pages(spark, root).select("page_id", "url", DOM.document_facts(F.col("html")).alias("tree"))
+    return read_pages(spark, root).select("page_id", "url", DOM.document_facts(F.col("html"), "blocks", "method", "confidence").alias("tree"))
 
 
 @query
@@ -661,16 +661,15 @@ def question_answers(spark, root):
 @query
 def raw_content_check(spark, root):
     """A-5.1 and S-3.3 on the derived crawl."""
-    states = crawl_states(spark, root).withColumns({"dom_tree": DOM.document_facts(F.col("dom")), "raw_tree": DOM.document_facts(F.col("html"))})
     only = ("visible_text", "json_ld", "title", "headings", "links", "images")
-    rows = X.extract_into(X.extract_into(states, "raw_facts", "html", "url", "headers", only), "dom_facts", "dom", "url", None, only).drop("html", "dom")
+    rows = X.extract_profiles(DOM.profile_trees(X.genuine_documents(crawl_states(spark, root))), only)
     return units(PC.prepare_tree(rows), PC.check_main_text, PC.check_markup_visible)
 
 
 @query
 def content_observations(spark, root):
     facts = X.extract(read_pages(spark, root), keep=("page_id", "html"), only=("title", "h1", "headings", "author_signals", "date_signals"))
-    rows = facts.withColumns({"site": SITE, "page_type": F.lit("article"), "blocks": DOM.document_facts(F.col("html"))["blocks"]})
+    rows = facts.withColumns({"site": SITE, "page_type": F.lit("article"), "blocks": DOM.document_facts(F.col("html"), "blocks")["blocks"]})
     return REV.observations(rows).select("site", "page_id", "area", F.md5("excerpt").alias("excerpt_md5"))
 
 
@@ -684,7 +683,7 @@ FROM pages
 
 @query
 def embedded_items(spark, root):
-    rows = D.derived(spark, root, ITEMS_SQL).select("page_id", F.explode(DOM.document_facts(F.col("html"))["items"]).alias("i"))
+    rows = D.derived(spark, root, ITEMS_SQL).select("page_id", F.explode(DOM.document_facts(F.col("html"), "items")["items"]).alias("i"))
     return rows.select("page_id", "i.format", "i.type", joined(F.array_sort(F.transform(F.map_entries("i.props"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))).alias("props"))
 
 
@@ -692,14 +691,14 @@ def embedded_items(spark, root):
 def scripted_controls(spark, root):
     """EXT-19 and JN-9: script navigation whose destination no crawlable anchor of the page reaches."""
     src = D.derived(spark, root, ITEMS_SQL)
-    controls = src.select("page_id", "url", F.explode(DOM.document_facts(F.col("html"))["controls"]).alias("c")).select("page_id", "url", "c.text", U.resolve_http(F.col("c.target"), F.col("url")).alias("target"))
-    anchors = X.extract(src, only=("links",)).select("page_id", F.explode("links").alias("l")).filter("l.crawlable").select("page_id", F.col("l.url").alias("target")).distinct()
+    controls = src.select("page_id", "url", F.explode(DOM.document_facts(F.col("html"), "controls")["controls"]).alias("c")).select("page_id", "url", "c.text", U.resolve_http(F.col("c.target"), F.col("url")).alias("target"))
+    anchors = each(X.extract(src, only=("targets",)), ["page_id"], F.col("targets"), "target")
     own = U.alias_hosts(U.host_of(F.col("target")), U.host_of(F.col("url")))
     return controls.filter("target IS NOT NULL").filter(own).drop("url").join(anchors, ["page_id", "target"], "left_anti")
 
 
 @query
 def site_facts(spark, root):
-    rows = S.site_facts(crawl_pages(spark, root, "generator", "hreflang"))
+    rows = S.site_facts(recorded_pages(spark, root, "generator", "hreflang"))
     return rows.select("site", F.coalesce("cms", F.lit("")).alias("cms"), "compared_pages", "has_hreflang")
 

@@ -48,3 +48,33 @@ def test_verified_candidates_need_no_sample(spark, monkeypatch):
 
 def test_blocked_links_match_written_targets(spark):
     assert "<!--" not in plan(catalog_tables.blocked_links(spark, ROOT))  # documents are read once, before the robots rules
+
+
+ODD = [
+    "/abs", "rel/a.html", "../up/./x", "?k=1", "//cdn.example/x", "#frag", "", "HTTP://Mixed.EXAMPLE:80/A b", "https://u@h.example:8443/p?q=1#f", "mailto:x@y.example", "/für/Straße",
+    "https://[bad/", "https:/one", "ftp://f.example/a", "\\\\share\\x", " /a\tb ", "javascript:go()", "https://www.site.example", "https://[::1]:443/x", "a:b",
+]
+
+
+def test_links_are_resolved_as_one_reference(spark):
+    from crawlscope.functions import urls as U
+
+    rows = spark.createDataFrame([(h, b) for h in ODD for b in ("https://site.example:444/d/e.html?z=1", "https://site.example", "junk", None)], "href string, base string")
+    found = rows.select("href", "base", U.resolve(P.col("href"), P.col("base")).alias("url"), U.resolve_with_host(P.col("href"), U.url_parts(P.col("base"))).alias("r"))
+    found = found.select("*", P.when(P.col("url").rlike("^https?://"), U.host_of(P.col("url"))).alias("host"))
+    assert found.filter("NOT (url <=> r.url) OR NOT (host <=> r.host)").collect() == []
+
+
+def test_targets_are_those_of_the_links(spark):
+    from crawlscope.operators import facts
+
+    html = "<base href='/in/'>" + "".join(f'<nav><a href="{h}">x</a></nav>' for h in ODD) + "<a title='<a href=/no>' href=/late>z</a><a>none</a><a href=/bare>y</a><a href='/cut"
+    pages = spark.createDataFrame([(1, "https://site.example/p", html), (2, "https://site.example/q", "no links"), (3, "https://site.example/r", None)], "page_id bigint, url string, html string")
+    row = {r.page_id: r for r in facts.extract(pages, only=("links", "targets")).collect()}
+    assert row[1].targets == list(dict.fromkeys(x.url for x in row[1].links if x.crawlable)) and len(row[1].targets) > 8
+    assert row[2].targets == [] and row[3].targets is None
+
+
+def test_controls_need_no_other_fact(spark):
+    text = plan(catalog_crawl.scripted_controls(spark, ROOT))
+    assert "href_raw" not in text and "blocks" not in text
