@@ -47,7 +47,7 @@ def looks_truncated(source: Column) -> Column:
             & ~F.when(F.length(s) > 4000, tail).otherwise(s).rlike(r"(?i)</body\s*>|</html\s*>") & ~s.endswith(">")
         )
 
-    return let(F.regexp_replace(source, r"^\s+|\s+$", ""), test)
+    return let(F.btrim(source, F.lit(" \t\n\x0b\f\r")), test)
 
 
 def _on_interstitial(plain: Column) -> Column:
@@ -144,11 +144,20 @@ def lowered_headers(headers: Column) -> Column:
 
 
 def with_validity(crawl: DataFrame) -> DataFrame:
-    """Add raw_validity and dom_validity to RAW and RENDERED records."""
+    """Add raw_validity and dom_validity to RAW and RENDERED records.
+
+    Signals are looked for in documents that were acquired; one that rendering left as it was is searched once.
+    """
+    raw, dom, same = F.col("acquisition") == "OK", F.col("dom_acquisition") == "OK", F.col("html") == F.col("dom")
+    by_header = F.coalesce(F.greatest(F.lit(False), *[F.coalesce(F.element_at("headers", F.lit(name)).rlike(pattern), F.lit(False)) for name, pattern in CHALLENGE_HEADERS.items()]), F.lit(False))
     marked = crawl.withColumns({
-        "_raw_challenge": challenge_evidence(F.col("html"), F.col("headers")),
-        "_dom_challenge": challenge_evidence(F.col("dom"), None),
+        "_in_html": F.when(raw | (dom & same), challenge_evidence(F.col("html"), None)),
+        "_in_dom": F.when(dom & ~F.coalesce(same, F.lit(False)), challenge_evidence(F.col("dom"), None)),
     })
+    marked = marked.withColumns({
+        "_raw_challenge": F.when(by_header, F.array(F.lit("header"))).otherwise(F.col("_in_html")),
+        "_dom_challenge": F.when(F.coalesce(same, F.lit(False)), F.col("_in_html")).otherwise(F.col("_in_dom")),
+    }).drop("_in_html", "_in_dom")
     return marked.withColumns({
         "raw_validity": F.when(F.col("acquisition") == "OK", validity(F.col("status"), F.col("html"), F.col("_raw_challenge"), content_type=F.element_at("headers", "content-type"), raw_source=True)),
         "dom_validity": F.when(F.col("dom_acquisition") == "OK", validity(F.coalesce(F.col("dom_status"), F.lit(200)), F.col("dom"), F.col("_dom_challenge"))),

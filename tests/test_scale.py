@@ -78,3 +78,37 @@ def test_targets_are_those_of_the_links(spark):
 def test_controls_need_no_other_fact(spark):
     text = plan(catalog_crawl.scripted_controls(spark, ROOT))
     assert "href_raw" not in text and "blocks" not in text
+
+
+HEADERS = {"content-type": "text/html", "link": '<https://s.example/h>; rel="canonical", <https://s.example/it>; rel="alternate"; hreflang="it"', "x-robots-tag": "noindex"}
+DOCUMENT = '<html><head><title>T</title><link rel="canonical" href="/c"><link rel="alternate" hreflang="en" href="/en"></head><body><nav><a href="x">x</a></nav></body></html>'
+
+
+def recorded(spark):
+    """Page 1 as rendered, 2 rendered elsewhere, 3 changed, 4 an error page, 5 not rendered, 6 challenged by header."""
+    u = "https://s.example/a/"
+    rows = [
+        (1, u, DOCUMENT, DOCUMENT, 200, "OK", 200, "OK", u, u, HEADERS), (2, u, DOCUMENT, DOCUMENT, 200, "OK", 200, "OK", u, "https://s.example/b/", HEADERS),
+        (3, u, DOCUMENT, DOCUMENT.replace("T<", "U<"), 200, "OK", None, "OK", u, u, HEADERS), (4, u, DOCUMENT, DOCUMENT, 404, "OK", 200, "OK", u, u, HEADERS),
+        (5, u, DOCUMENT, DOCUMENT, 200, "OK", None, "RENDER_FAILED", u, None, HEADERS), (6, u, DOCUMENT, DOCUMENT, 200, "OK", 200, "OK", u, u, {**HEADERS, "cf-mitigated": "challenge"}),
+    ]
+    return spark.createDataFrame(rows, "page_id int, url string, html string, dom string, status int, acquisition string, dom_status int, dom_acquisition string, final_url string, dom_url string, headers map<string,string>")
+
+
+def test_equal_documents_are_read_once_with_the_same_facts(spark):
+    from crawlscope.operators import facts
+
+    rows = gates.with_validity(recorded(spark))
+    kept = {r.page_id: r for r in facts.genuine_documents(rows).collect()}
+    assert {k: (r.html is not None, r.dom is not None, r._same) for k, r in kept.items()} == {
+        1: (True, False, True), 2: (True, True, False), 3: (True, True, False), 4: (False, True, False), 5: (True, False, False), 6: (False, True, False)}
+    once = {r.page_id: r for r in facts.extract_profiles(facts.genuine_documents(rows), plus=("insecure",)).collect()}
+    twice = {r.page_id: r for r in facts.extract_into(facts.extract_into(rows, "raw_facts", "html", "final_url", "headers", None, ("insecure",)), "dom_facts", "dom", "dom_url", None, None, ("insecure",)).collect()}
+    assert all(once[k].raw_facts == twice[k].raw_facts for k in (1, 2, 3, 5)) and all(once[k].dom_facts == twice[k].dom_facts for k in (1, 2, 3, 4, 6))
+    assert once[1].raw_facts.x_robots == ["noindex"] and once[1].dom_facts.x_robots == [] and len(once[1].dom_facts.hreflang) == 1
+
+
+def test_signals_of_equal_documents_are_found_once(spark):
+    rows = gates.with_validity(recorded(spark))
+    assert [(r.raw_validity, r.dom_validity) for r in rows.orderBy("page_id").collect()] == [("VALID_PAGE", "VALID_PAGE")] * 3 + [("ERROR_DOCUMENT", "VALID_PAGE"), ("VALID_PAGE", None), ("ACCESS_CHALLENGE", "VALID_PAGE")]
+    assert re.search(r"CASE WHEN .*html#\d+ = dom#\d+", plan(rows))
