@@ -15,6 +15,7 @@ from crawlscope.functions.expr import choose, let, when_array
 from crawlscope.functions.text import norm, truncate
 from crawlscope.functions.urls import fetch_key, page_type, resolve_http, same_url
 from crawlscope.operators import directives, structured
+from crawlscope.operators.facts import insecure_counts  # noqa: F401
 from crawlscope.operators.gates import hops_text, profile_label
 
 FAIL_CODES = [r[0] for r in registry.REASONS if r[2] == "FAIL"]
@@ -333,6 +334,11 @@ def check_hreflang() -> Column:
 
 
 # --- rendering pair ------------------------------------------------------------------------------------------
+def _compared(observed: Column) -> Column:
+    """What a comparison saw; nothing unless both documents are genuine."""
+    return F.when(F.col("pair_gate").isNull(), observed)
+
+
 def check_main_text() -> Column:
     blocks = F.filter(F.transform(F.col("dom_tree")["blocks"], norm), lambda b: F.length(b) >= SIGNIFICANT)
     chars = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + F.length(b))
@@ -341,7 +347,7 @@ def check_main_text() -> Column:
     return let(F.struct(chars(blocks).alias("total"), chars(absent).alias("absent"), F.size(blocks).alias("n")), lambda s: unit(
         "A-5.1", gate=choose((F.col("pair_gate").isNotNull(), "NOT_TESTABLE"), (F.col("dom_tree")["confidence"] == "low", "NOT_TESTABLE")),
         reasons=when_array(((s["total"] >= 200) & (s["absent"] >= 300) & (s["absent"] > s["total"] * 0.5), F.lit("PRIMARY_CONTENT_REQUIRES_RENDERING"))),
-        observed=F.format_string("%d of %d characters in %d rendered blocks absent from RAW", s["absent"], s["total"], s["n"]), locator="main text, RAW versus RENDERED",
+        observed=_compared(F.format_string("%d of %d characters in %d rendered blocks absent from RAW", s["absent"], s["total"], s["n"])), locator="main text, RAW versus RENDERED",
     ))
 
 
@@ -351,7 +357,7 @@ def check_main_links() -> Column:
     return let(F.struct(F.size(important).alias("n"), F.size(F.array_except(important, raw)).alias("missing")), lambda s: unit(
         "A-5.2", gate=choose((F.col("pair_gate").isNotNull(), "NOT_TESTABLE"), (s["n"] <= 0, "NOT_APPLICABLE")),
         reasons=when_array(((s["missing"] >= 3) & (s["missing"] > s["n"] * 0.5), F.lit("IMPORTANT_LINKS_REQUIRE_RENDERING"))),
-        observed=F.format_string("%d of %d targets absent from RAW", s["missing"], s["n"]), locator="main links, RAW versus RENDERED",
+        observed=_compared(F.format_string("%d of %d targets absent from RAW", s["missing"], s["n"])), locator="main links, RAW versus RENDERED",
     ))
 
 
@@ -379,7 +385,7 @@ def check_parity() -> Column:
     }
     return let(when_array(*[(a != b, F.lit(name)) for name, (a, b) in pairs.items()]), lambda diff: unit(
         "A-5.5", gate=F.when(F.col("pair_gate").isNotNull(), F.lit("NOT_TESTABLE")), reasons=when_array((F.size(diff) > 0, F.lit("SIGNALS_DIFFER_AFTER_RENDERING"))),
-        observed=F.concat(F.lit("different: "), F.array_join(diff, ", ")), locator="signals, RAW versus RENDERED",
+        observed=_compared(F.concat(F.lit("different: "), F.array_join(diff, ", "))), locator="signals, RAW versus RENDERED",
     ))
 
 
@@ -420,20 +426,10 @@ def check_landmarks() -> Column:
     return unit("U-7.4", gate=F.col("gate"), observed=F.concat(F.lit("landmarks: "), F.array_join(b["landmarks"], ", "), F.lit("; headings: "), outline), locator="landmarks and outline", profile=F.col("best_profile"))
 
 
-# Insecure references; scripts, stylesheets and frames are active content.
-ACTIVE = r"""(?i)^<(?:script|iframe)\b[^>]*\ssrc\s*=\s*["']?http://|^<link\b(?=[^>]*\brel\s*=\s*["']?[^"'>]*stylesheet)[^>]*\shref\s*=\s*["']?http://"""
-PASSIVE = r"""(?i)^<(?:img|video|audio|source)\b[^>]*\ssrc\s*=\s*["']?http://"""
-
-
-def insecure_counts(tags: Column) -> Column:
-    """Struct(active, passive) numbers of http:// references among tags."""
-    return F.struct(F.size(F.filter(tags, lambda t: t.rlike(ACTIVE))).alias("active"), F.size(F.filter(tags, lambda t: t.rlike(PASSIVE))).alias("passive"))
-
-
 def check_mixed_content() -> Column:
     m = F.col("insecure")
     plain = F.when(~F.coalesce("dom_url", "url").startswith("https:"), F.lit("NOT_APPLICABLE"))
-    return unit("T-8.2", gate=_render_gate(plain), reasons=when_array((m["active"] > 0, F.lit("MIXED_ACTIVE_CONTENT")), ((m["active"] == 0) & (m["passive"] > 0), F.lit("MIXED_PASSIVE_CONTENT"))), observed=F.format_string("%d active, %d passive http:// references", m["active"], m["passive"]), locator="http:// references", profile="RENDERED")
+    return unit("T-8.2", gate=_render_gate(plain), reasons=when_array((m["active"] > 0, F.lit("MIXED_ACTIVE_CONTENT")), ((m["active"] == 0) & (m["passive"] > 0), F.lit("MIXED_PASSIVE_CONTENT"))), observed=F.when(F.col("ren_valid"), F.format_string("%d active, %d passive http:// references", m["active"], m["passive"])), locator="http:// references", profile="RENDERED")
 
 
 # --- performance ----------------------------------------------------------------------------------------------------

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as P
 
 from crawlscope import registry
-from crawlscope.functions import markup as M
 from crawlscope.functions.expr import let
 from crawlscope.functions.sql import F
 from crawlscope.functions.urls import alias_hosts, exclusion_reason, host_of, page_type, resolve_http
@@ -44,15 +43,10 @@ class Inputs:
 
 
 def page_table(inputs: Inputs) -> DataFrame:
-    """One wide row per page with facts of both profiles; html does not go further."""
+    """One wide row per page with facts of both profiles, as far as they are genuine; html does not go further."""
     rows = gates.with_validity(inputs.crawl.withColumn("headers", gates.lowered_headers(F.col("headers"))))
-    rows = rows.withColumns({"_raw_url": F.coalesce("final_url", "url"), "_dom_url": F.coalesce("dom_url", "url")})  # links resolve where each profile ended
-    rows = rows.withColumns({
-        "raw_tree": dom.document_facts(F.col("html")), "dom_tree": dom.document_facts(F.col("dom")),
-        "insecure": page_checks.insecure_counts(M.tags_of(M.without_scripts(M.without_comments(F.col("dom"))))),
-    })
-    rows = facts.extract_into(rows, "raw_facts", "html", "_raw_url", "headers")
-    return facts.extract_into(rows, "dom_facts", "dom", "_dom_url").drop("html", "dom", "_raw_url", "_dom_url")
+    rows = facts.extract_profiles(dom.profile_trees(facts.genuine_documents(rows)), plus=("insecure",))
+    return rows.withColumn("insecure", F.col("dom_facts")["insecure"])
 
 
 def with_decisions(pages: DataFrame, inputs: Inputs, hot: DataFrame) -> DataFrame:

@@ -112,3 +112,12 @@ def test_signals_of_equal_documents_are_found_once(spark):
     rows = gates.with_validity(recorded(spark))
     assert [(r.raw_validity, r.dom_validity) for r in rows.orderBy("page_id").collect()] == [("VALID_PAGE", "VALID_PAGE")] * 3 + [("ERROR_DOCUMENT", "VALID_PAGE"), ("VALID_PAGE", None), ("ACCESS_CHALLENGE", "VALID_PAGE")]
     assert re.search(r"CASE WHEN .*html#\d+ = dom#\d+", plan(rows))
+
+
+def test_comparisons_see_nothing_of_other_documents(spark):
+    from crawlscope.plans import audit
+
+    crawl = recorded(spark).withColumn("site", P.lit("https://s.example")).withColumn("hops", P.array().cast("array<struct<url:string,status:int,location:string>>"))
+    units = audit.page_checks.evaluate(audit.prepared_pages(audit.Inputs(crawl=crawl))).filter("check_id IN ('A-5.1', 'A-5.2', 'A-5.5')")
+    seen = {(r.page_id, r.observed is not None) for r in units.collect()}
+    assert seen == {(1, True), (2, True), (3, True), (4, False), (5, False), (6, False)}
