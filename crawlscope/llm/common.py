@@ -111,6 +111,9 @@ def series_udf(of_batches, kind: str = "double"):
 #: ASCII signs that are neither letters, digits nor white space.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: Letters of Latin-1.
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+
 
 def latin(text: str) -> bool:
     if text.isascii():
@@ -126,23 +129,32 @@ class PieceEncoder:
     """The ids of a text by a public tokenizer, each different piece encoded once.
 
     Both supported pre-tokenizers never let a token cross a line break or the space before a word, so a text's ids are those of
-    its pieces in turn; nor does a token join letters and the signs after them. New words of letters go to the library's model as
-    they stand; other new pieces are sent together, with a separator whose id is known between them. Texts for which the rule
-    isn't certain (runs of spaces or line breaks) go to the library whole. `kind` is "byte" for byte level BPE, where a word keeps
-    its leading space, and "word" for BPE on lower-cased words without white space.
+    its pieces in turn; nor does a token join letters and the signs after them. Arrow divides the texts, numbers the different
+    words and signs and strings their ids together, so Python sees each once per call. New words of letters go to the library's
+    model as they stand, many to a call where no token of the vocabulary joins two; other new ones are sent together,
+    with a separator whose id is known between them. Texts for which the rule isn't certain (runs of spaces or line breaks) go to
+    the library whole. `kind` is "byte" for byte level BPE, where a word keeps its leading space, and "word" for BPE on lower-cased
+    words without white space.
     """
 
     def __init__(self, path: str, kind: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.limit = Tokenizer.from_file(path), kind, limit
         self.model = self.tokenizer.model
         self.glue, self.mark = ("\n", "\n") if kind == "byte" else (" | ", "|")
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_ids = self.whole(self.mark)
         plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # fixed values: bytes that byte level BPE writes as themselves
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        space, vocab, byte = self.letters[32], self.tokenizer.get_vocab(with_added_tokens=False), {c: b for b, c in self.letters.items()}
+        across = [bytes(map(byte.__getitem__, t)).decode("utf-8", "replace") for t in vocab if space in t.lstrip(space)] if kind == "byte" else []
+        self.together = kind == "byte" and all(set(t).difference(LETTERS, " \ufffd") for t in across)  # such tokens hold other signs, as no-break spaces
+        self.starts_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.starts_word[[i for token, i in vocab.items() if token[0] == space]] = True
         self.memo: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -151,80 +163,132 @@ class PieceEncoder:
 
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def pieces(self, text: str) -> list[str] | None:
-        """Byte kind: a piece is a word after a blank, or, with a line break before it, one that starts a line; the first word has a tab."""
-        if self.kind == "word":
-            return (text.lower() if latin(text) else text).replace("\n", " ").split(" ")
-        if text[:1] in ("\n", " ") or text[-1:] in ("\n", " ") or "  " in text or "\n\n" in text or "\n " in text or " \n" in text or "\t" in text:
-            return None
-        return ("\t" + text.replace("\n", " \n")).split(" ") if text else [""]
+    def uncertain(self, texts):
+        """Per text of an Arrow array, whether it goes to the library whole."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def is_word(self, piece: str) -> bool:
-        """Letters only, which normalisation leaves alone but for their case."""
-        return piece.isalpha() and latin(piece)
+        return pa.array([False] * len(texts)) if self.kind == "word" else pc.match_substring_regex(texts, r"\A[ \n]|[ \n][ \n]|[ \n]\z|\t")
 
-    def learn(self, new: set[str]) -> None:
-        from array import array
+    def pieces(self, texts):
+        """Byte kind: a piece is a word after a blank, or, with a line break before it, one that starts a line; the first word has a tab."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if self.kind == "word":
+            lower = pc.if_else(pc.match_substring_regex(texts, r"[^\x00-\x{ff}]"), texts, pc.utf8_lower(texts))
+            return pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+        tab, none = (pa.scalar(x, texts.type) for x in ("\t", ""))
+        return pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(tab, texts, none), "\n", " \n"), " ")
+
+    def parted(self, pieces):
+        """Of different pieces: which start a line, and the two texts to encode, a word with its space and the signs after it.
+
+        A piece that isn't latin letters (which normalisation leaves alone but for their case) and signs is one text as it stands.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        space, none = (pa.scalar(x, pieces.type) for x in (" ", ""))
+        lined = pc.starts_with(pieces, "\n")
+        headed = pc.or_(lined, pc.starts_with(pieces, "\t")) if self.kind == "byte" else None
+        body = pieces if headed is None else pc.if_else(headed, pc.utf8_slice_codeunits(pieces, 1), pieces)
+        stem = pc.utf8_rtrim(body, SIGNS)
+        plain = pc.and_(pc.not_equal(stem, none), pc.equal(pc.utf8_ltrim(stem, LETTERS), none))
+        word, signs = pc.if_else(plain, stem, body), pc.utf8_ltrim(pc.if_else(plain, body, none), LETTERS)
+        return lined, word if headed is None else pc.binary_join_element_wise(pc.if_else(headed, none, space), word, none), signs
+
+    def spelled(self, words: str) -> str:
+        """As the model spells them: a letter for each byte."""
+        return words.replace(" ", self.letters[32]) if words.isascii() else words.encode().decode("latin-1").translate(self.letters)
+
+    def of_words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of words of letters, all with a space before them or none."""
+        import numpy as np
 
+        tokenize, lower = self.model.tokenize, self.kind == "word"
+        if not self.together or words[:1] and words[0][0] != " ":
+            for w in words:
+                yield np.array([t.id for t in tokenize(self.spelled(w.lower() if lower else w))], dtype="<u4").tobytes()
+            return
+        ids = np.array([t.id for i in range(0, len(words), 32) for t in tokenize(self.spelled("".join(words[i : i + 32])))], dtype="<u4")
+        cuts, raw = [*(4 * np.flatnonzero(self.starts_word[ids])).tolist(), 4 * len(ids)], ids.tobytes()
+        if len(cuts) != len(words) + 1:
+            raise ValueError("a space met inside a token")
+        yield from (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+    def learn(self, new: list[str]) -> None:
         import numpy as np
 
-        known, letters, tokenize, lower, space = self.memo, self.letters, self.model.tokenize, self.kind == "word", self.letters[32]
-        mark = self.whole(self.mark)
-        words, others, ended = set(), set(), []
-        for piece in new:  # (what stands before, the word, the signs after it)
-            head, w = (piece[:1], piece[1:]) if not lower and piece[:1] in ("\n", "\t") else ("", piece)
-            if w.isalpha() and (w.isascii() or latin(w)):  # is_word, written out for the many new words
-                words.add(w if lower or head else " " + w)
-                if head:
-                    ended.append((piece, head, w, ""))
-            elif w.isascii() and (end := len(w.rstrip(SIGNS))) and self.is_word(w[:end]):
-                words.add(w[:end] if lower or head else " " + w[:end])
-                others.add(w[end:])
-                ended.append((piece, head, w[:end], w[end:]))
+        known = self.memo
+        parts: tuple[list[str], ...] = ([], [], [])  # words without a space before, with one, with one and letters beyond ASCII
+        others = []
+        for w in new:
+            spaced = w[0] == " "
+            if not (w[1:] if spaced else w).isalpha() or not latin(w):
+                others.append(w)
+            else:
+                parts[(1 if w.isascii() else 2) if spaced else 0].append(w)
+        for part in parts:
+            known.update(zip(part, self.of_words(part), strict=True))
+        rest = []
+        for w in others:
+            if self.mark in w or len(w.split()) != 1:
+                known[w] = self.whole(w)
             else:
-                others.add(w if lower or head else " " + w)
-                ended.append((piece, head, w, ""))
-        own: dict[str, bytes] = {"": b""}
-        for w in words:
-            piece = w if lower else w[1:] if w[0] == " " else None  # the piece that is this word alone
-            if piece is not None and (met := known.get(piece)) is not None:
-                own[w] = met
-                continue
-            raw = w.lower() if lower else w
-            raw = raw.replace(" ", space) if raw.isascii() else "".join([letters[b] for b in raw.encode()])
-            own[w] = array("I", [t.id for t in tokenize(raw)]).tobytes()
-            if piece is not None:
-                known[piece] = own[w]
-        others = others.difference(own)
-        for w in [w for w in others if self.mark in w or len(w.split()) != 1]:
-            own[w] = self.whole(w)
-        rest = list(others.difference(own))
-        parts = [rest[i : i + 256] for i in range(0, len(rest), 256)]
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast([self.glue.join(p) for p in parts], add_special_tokens=False), strict=True):
+                rest.append(w)
+        glued = [rest[i : i + 256] for i in range(0, len(rest), 256)]
+        for part, got in zip(glued, self.tokenizer.encode_batch_fast([self.glue.join(p) for p in glued], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark_id)
             if len(cuts) != len(part) - 1:
                 raise ValueError("the separator met inside a piece")
             raw, at = ids.tobytes(), 0
             for w, cut in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-                own[w] = raw[4 * at : 4 * cut]
+                known[w] = raw[4 * at : 4 * cut]
                 at = cut + 1
-        for piece, head, w, signs in ended:
-            ids = own[w if lower or head else " " + w] + own[signs]
-            known[piece] = mark + ids if head == "\n" else ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [self.pieces(t) for t in texts]
-        if len(self.memo) > self.limit:  # pieces met again move on from the older half, the others go
+    def known(self, words: list[str]) -> list[bytes]:
+        """The ids of different words and signs, new ones learned."""
+        if len(self.memo) > self.limit:  # those met again move on from the older half, the others go
             self.older, self.memo = self.memo, {"": b""}
         memo, older = self.memo, self.older
-        found = set().union(*(p for p in split if p is not None))
-        missing = found.difference(memo)
-        memo.update({w: older[w] for w in missing.intersection(older)})
-        self.learn(missing.difference(older))
-        near = {w: memo[w] for w in found}.__getitem__  # a small table for the many lookups
-        return [self.whole(t) if p is None else b"".join(map(near, p)) for t, p in zip(texts, split, strict=True)]
+        found = list(map(memo.get, words))
+        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        memo.update({w: older[w] for w in missing if w in older})
+        self.learn([w for w in missing if w not in memo])
+        return [memo[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def encoded(self, texts):
+        """Little-endian unsigned 32-bit ids of each text of an Arrow array without nulls, as an array of large binaries."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        kind, texts = pa.large_binary(), texts.cast(pa.large_string())
+        uncertain = self.uncertain(texts)
+        alone = [self.whole(t) for t in texts.filter(uncertain).to_pylist()]
+        if len(alone) == len(texts):
+            return pa.array(alone, kind)
+        lists = self.pieces(texts.filter(pc.invert(uncertain)) if alone else texts)
+        numbered = lists.values.dictionary_encode()
+        lined, *parts = self.parted(numbered.dictionary)
+        words = pa.concat_arrays(parts).dictionary_encode()
+        ids = pa.array(self.known(words.dictionary.to_numpy(zero_copy_only=False).tolist()), kind)
+        n, mark, none = len(lined), pa.scalar(self.mark_ids if self.kind == "byte" else b"", kind), pa.scalar(b"", kind)
+        ids = pc.binary_join_element_wise(pc.if_else(lined, mark, none), ids.take(words.indices[:n]), ids.take(words.indices[n:]), none)
+        _, ends, raw = ids.take(numbered.indices).buffers()
+        ends = np.frombuffer(ends, dtype=np.int64)[np.asarray(lists.offsets)]
+        out = pa.Array.from_buffers(kind, len(lists), [None, pa.py_buffer(ends), raw or pa.py_buffer(b"")])
+        if not alone:
+            return out
+        place = np.argsort(np.argsort(uncertain.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        return pa.concat_arrays([out, pa.array(alone, kind)]).take(pa.array(place))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        import pyarrow as pa
+
+        return self.encoded(pa.array(texts, pa.large_string())).to_pylist()
 
 
 @lru_cache(maxsize=4)

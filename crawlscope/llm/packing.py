@@ -67,6 +67,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, c
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         coder, sequence = piece_encoder(tokenizer, kind), TaskContext.get().partitionId() << 32
@@ -91,9 +92,9 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, c
 
         held = 0
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in slices([len(t) for t in texts], 1 << 22):
-                for doc, raw in zip(ids[a:b], coder.encode(texts[a:b]), strict=True):
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("")
+            for a, b in slices(pc.binary_length(texts).to_pylist(), 1 << 22):
+                for doc, raw in zip(ids[a:b], coder.encoded(texts.slice(a, b - a)).to_pylist(), strict=True):
                     raw += end
                     n, at = len(raw) // 4, 0
                     held += n

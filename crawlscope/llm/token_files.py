@@ -28,18 +28,19 @@ def write_tokens(
     def encode(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         coder, shard, start = piece_encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end, none = (pa.scalar(x, pa.large_binary()) for x in (np.array([end_id], dtype="<u4").tobytes(), b""))
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in slices([len(t) for t in texts], 1 << 22):
-                raw = [x + end for x in coder.encode(texts[a:b])]
-                n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-                ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, shard, dtype=np.int32)), ids.slice(a, b - a), pa.array(start + ends - n), pa.array(n), lists], names=["shard", "doc_id", "shard_start", "n_tokens", "tokens"])
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            for a, b in slices(pc.binary_length(texts).to_pylist(), 1 << 22):
+                _, ends, raw = pc.binary_join_element_wise(coder.encoded(texts.slice(a, b - a)), end, none).buffers()
+                ends = np.frombuffer(ends, dtype=np.int64)[: b - a + 1] // 4
+                n = np.diff(ends)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(raw, dtype="<i4", count=ends[-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, shard, dtype=np.int32)), ids.slice(a, b - a), pa.array(start + ends[:-1]), pa.array(n), lists], names=["shard", "doc_id", "shard_start", "n_tokens", "tokens"])
                 start += int(ends[-1])
 
     small_batches(docs.sparkSession)

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -39,6 +40,21 @@ def test_piece_encoder_equals_the_library(path, kind):
         assert coder.encode(texts[i : i + 100]) == [coder.whole(t) for t in texts[i : i + 100]]
 
 
+def test_piece_encoder_learns_a_word_once_and_many_together():
+    coder, calls, sent = PieceEncoder(BYTE, "byte"), [], []
+    model, tokenizer = coder.model, coder.tokenizer
+    coder.model = SimpleNamespace(tokenize=lambda w: calls.append(w) or model.tokenize(w))
+    batch = lambda texts, **how: sent.extend("\n".join(texts).split("\n")) or tokenizer.encode_batch_fast(texts, **how)
+    coder.tokenizer = SimpleNamespace(encode_batch_fast=batch, encode=tokenizer.encode)
+    words = [a + b + c for a in ("ka", "né", "Über", "st") for b in ("lor", "mî", "tesch") for c in ("en", "ing", "ça", "")]
+    text = "x " + " ".join([*words, *(w + "," for w in words), *(w + "!?" for w in words), *words])
+    assert coder.encode([text, text, "\n".join(words)]) == [coder.whole(text), coder.whole(text), coder.whole("\n".join(words))]
+    runs = [w for w in calls if w.startswith(coder.letters[32])]
+    assert sum(w.count(coder.letters[32]) for w in runs) == len(words) and len(runs) < len(words) / 8
+    assert sorted(sent) == ["!?", ","]
+    assert len(calls) - len(runs) <= len(words) + 1  # those that start a line or a text
+
+
 def test_token_files(spark):
     docs, coder = odd_documents(spark), Tokenizer.from_file(BYTE)
     path = token_files.write_tokens(docs, BYTE)
