@@ -137,7 +137,7 @@ class PieceEncoder:
     words without white space.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 600_000):
+    def __init__(self, path: str, kind: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer

@@ -93,7 +93,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, c
         held = 0
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("")
-            for a, b in slices(pc.binary_length(texts).to_pylist(), 1 << 22):
+            for a, b in slices(pc.binary_length(texts).to_pylist(), 1 << 20):
                 for doc, raw in zip(ids[a:b], coder.encoded(texts.slice(a, b - a)).to_pylist(), strict=True):
                     raw += end
                     n, at = len(raw) // 4, 0

@@ -35,7 +35,7 @@ def write_tokens(
         end, none = (pa.scalar(x, pa.large_binary()) for x in (np.array([end_id], dtype="<u4").tobytes(), b""))
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
-            for a, b in slices(pc.binary_length(texts).to_pylist(), 1 << 22):
+            for a, b in slices(pc.binary_length(texts).to_pylist(), 1 << 20):
                 _, ends, raw = pc.binary_join_element_wise(coder.encoded(texts.slice(a, b - a)), end, none).buffers()
                 ends = np.frombuffer(ends, dtype=np.int64)[: b - a + 1] // 4
                 n = np.diff(ends)
