@@ -292,9 +292,9 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=4)
-def piece_encoder(path: str, kind: str) -> PieceEncoder:
+def piece_encoder(path: str, kind: str, limit: int = 500_000) -> PieceEncoder:
     """One encoder for each worker process."""
-    return PieceEncoder(path, kind)
+    return PieceEncoder(path, kind, limit)
 
 
 def slices(sizes: list[int], most: int):

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from crawlscope.llm.common import piece_encoder, slices, small_batches
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+#: Different words that a worker's table takes before a new one is begun; the last one is kept beside it. Both stay while the worker waits for the next task or stage.
+WORDS = 125_000
 
 
 def differenced(sizes: list[int], windows: int) -> list[list[int]]:
@@ -70,7 +72,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, c
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        coder, sequence = piece_encoder(tokenizer, kind), TaskContext.get().partitionId() << 32
+        coder, sequence = piece_encoder(tokenizer, kind, WORDS), TaskContext.get().partitionId() << 32
         end, schema = end_id.to_bytes(4, "little"), pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in "doc_id start length ids doc_tokens sequence_id offset".split()])
         rows: list[tuple] = []
         rest: list[tuple] = []
@@ -113,6 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, c
         difference()
         if rows:
             yield full()
+        pa.default_memory_pool().release_unused()
 
     small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE_SCHEMA)

@@ -414,6 +414,26 @@ def test_edit_match_finds_short_items_at_word_bounds(spark):
     assert {r.doc_id for r in edit_match.without_leaks(docs, bench).collect()} == {1, 2, 3, 5}
 
 
+def test_packing_leaves_a_small_table_in_the_worker(spark, monkeypatch):
+    """Hundreds of thousands of different words, as invented names and numbers: what stays when the task is over, and the ids."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    made, words = [], [f"{a}{b:05}" for a in ("ka", "lor", "tesch") for b in range(100_000)]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, work, schema: work)
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    encoder = packing.piece_encoder
+    monkeypatch.setattr(packing, "piece_encoder", lambda *args: made.append(encoder(*args)) or made[-1])
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 10)), pa.array(texts[i : i + 10])], names=["doc_id", "text"]) for i in range(0, len(texts), 10)]
+    rows = sorted((r for out in packing.pack(docs, WORD)(batches) for r in out.to_pylist()), key=lambda r: (r["doc_id"], r["start"]))
+    (coder,) = made
+    assert len(coder.memo) + len(coder.older) < 280_000  # two tables, and the words of the slices that filled them
+    ids = {i: b"".join(r["ids"] for r in rows if r["doc_id"] == i) for i in (0, 150, 299)}
+    assert ids == {i: coder.whole(texts[i]) + (1).to_bytes(4, "little") for i in ids}
+
+
 def test_packing(spark):
     docs, coder = odd_documents(spark), Tokenizer.from_file(WORD)
     pieces = packing.pack(docs.repartition(3), WORD, piece=512, block=16).collect()
